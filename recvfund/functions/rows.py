@@ -5,6 +5,13 @@ partition. Here the rows are range-partitioned by the order (a distributed
 sort), each partition counts its rows, the per-partition counts (one row per
 partition) are prefix-summed, and every row adds its partition's offset to its
 position inside the partition. This is the DataFrame form of ``zipWithIndex``.
+
+The partition ids must be identical in the counting branch and the numbering
+branch. Rows coming out of a shuffle have no stable order, so re-running the
+range partitioning could sample different bounds; the tagged rows are therefore
+materialised once with a reliable ``checkpoint()`` (written to the cluster's
+shared checkpoint folder, so a lost executor does not lose them). Inputs that
+are plain file scans are already deterministic and can skip it.
 """
 
 from __future__ import annotations
@@ -12,27 +19,59 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
+
 _POS_BITS = 33  # monotonically_increasing_id = (partition << 33) + position
 
 
-def with_row_number(df: DataFrame, order_cols: list, out: str = "row_number", start: int = 1) -> DataFrame:
+def _number(tagged: DataFrame, out: str, start: int) -> DataFrame:
+    # one row per partition: bounded by the partition count, not the data
+    counts = tagged.groupBy("_rn_pid").agg(F.count(F.lit(1)).alias("_rn_n"))
+    w = Window.orderBy("_rn_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_rn_pid", F.coalesce(F.sum("_rn_n").over(w), F.lit(0)).alias("_rn_off"))
+    pos = F.col("_rn_mid") - F.shiftleft(F.col("_rn_pid").cast("long"), _POS_BITS)
+    return (
+        tagged.join(F.broadcast(offsets), "_rn_pid")
+        .withColumn(out, (F.col("_rn_off") + pos + F.lit(start)).cast("long"))
+        .drop("_rn_pid", "_rn_mid", "_rn_off")
+    )
+
+
+def with_row_number(df: DataFrame, order_cols: list, out: str = "row_number", start: int = 1,
+                    deterministic_input: bool = False) -> DataFrame:
     """Dense, gap-free row number over a total order ``order_cols`` (must be unique)."""
-    # an explicit partition count keeps AQE from coalescing the range partitions
-    # differently in the two branches that read them
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = (
+    tagged = (
         df.repartitionByRange(n, *order_cols)
         .sortWithinPartitions(*order_cols)
         .withColumn("_rn_pid", F.spark_partition_id())
         .withColumn("_rn_mid", F.monotonically_increasing_id())
     )
-    # one row per partition: bounded by the partition count, not the data
-    counts = ordered.groupBy("_rn_pid").agg(F.count(F.lit(1)).alias("_rn_n"))
-    w = Window.orderBy("_rn_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_rn_pid", F.coalesce(F.sum("_rn_n").over(w), F.lit(0)).alias("_rn_off"))
-    pos = F.col("_rn_mid") - F.shiftleft(F.col("_rn_pid").cast("long"), _POS_BITS)
+    if not deterministic_input:
+        checkpoint_dir(df.sparkSession)
+        tagged = tagged.checkpoint(eager=True)
+    return _number(tagged, out, start)
+
+
+def with_file_line_number(df: DataFrame, out: str = "linha_numero", start: int = 2) -> DataFrame:
+    """Per-file data-row number for rows read straight from files (no shuffle before).
+
+    A file split is read in file order inside one task, so the position inside
+    the split is ``monotonically_increasing_id`` minus the split's first id; the
+    split's offset is the row count of the earlier splits of the same file.
+    Only one row per split is aggregated and joined back.
+    """
+    tagged = (
+        df.withColumn("_f", F.col("_metadata.file_path"))
+        .withColumn("_s", F.col("_metadata.file_block_start"))
+        .withColumn("_rn_mid", F.monotonically_increasing_id())
+    )
+    splits = tagged.groupBy("_f", "_s").agg(F.count(F.lit(1)).alias("_n"), F.min("_rn_mid").alias("_m0"))
+    w = Window.partitionBy("_f").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    offs = splits.select("_f", "_s", "_m0", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
     return (
-        ordered.join(offsets, "_rn_pid")
-        .withColumn(out, (F.col("_rn_off") + pos + F.lit(start)).cast("long"))
-        .drop("_rn_pid", "_rn_mid", "_rn_off")
+        tagged.join(offs, ["_f", "_s"])
+        .withColumn(out, (F.col("_off") + F.col("_rn_mid") - F.col("_m0") + F.lit(start)).cast("long"))
+        .withColumnRenamed("_f", "arquivo")
+        .drop("_s", "_rn_mid", "_m0", "_off")
     )

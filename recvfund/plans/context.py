@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.calendar import build_calendar
-from ..operators import ledger
+from ..operators import ingest, ledger, validation
 from ..session import exact_decimals
 from ..sources import fixtures as fx
 from ..sources.tables import Tables
@@ -21,6 +21,7 @@ GRID_FIRST_MONTH = "1995-01-01"
 GRID_LAST_MONTH = "2001-12-01"
 CAL_START = "1990-01-01"
 CAL_END = "2010-12-31"
+LOTE_ID = "lote-fx-0001"       # batch id of the derived boleta file
 
 
 class Ctx:
@@ -81,3 +82,17 @@ class Ctx:
                             F.expr("interval 1 month"))
         return self.classes.select("classe_id", "fundo_id",
                                    F.explode(F.transform(months, lambda m: F.last_day(m))).alias("data"))
+
+    # --- boleta batch ---------------------------------------------------------------------
+    @cached_property
+    def boleta_raw(self) -> DataFrame:
+        return fx.boleta_raw(self.t).withColumn("lote_id", F.lit(LOTE_ID))
+
+    @cached_property
+    def validated(self) -> DataFrame:
+        return validation.validate(validation.normalize(self.boleta_raw), self.fundos, self.classes)
+
+    @cached_property
+    def ingest(self) -> "ingest.IngestResult":
+        return ingest.ingest(self.validated, self.fundos, self.classes, fx.prior_title_keys(self.titulos),
+                             fx.prior_counterparties(self.t, "cedente"), fx.prior_counterparties(self.t, "sacado"))

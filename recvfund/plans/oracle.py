@@ -204,3 +204,161 @@ SQL["class_marking"] = with_views(f"""
 select classe_id, data, cast(qtd_ativos as bigint) as qtd_ativos, cast(valor_presente as decimal(20,2)) as valor_presente,
        cast(pdd as decimal(20,2)) as pdd, cast(a_receber as decimal(20,2)) as a_receber
 from ({_GRID_MARK}) m""", "fx_grid", "fx_titulo_ativo", "fx_calendario", "fx_faixa_pdd")
+
+
+# --- boleta batch ------------------------------------------------------------------------------
+from .context import LOTE_ID  # noqa: E402
+from ..sources.fixtures import PRIOR_CUTOFF  # noqa: E402
+
+_view("fx_boleta_raw", ["fx_base"], """
+select
+  row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) + 1 as linha_numero,
+  case when h % 211 = 0 then '' else cast(l_orderkey as varchar) || '-' || cast(l_linenumber as varchar) end as identificador_externo,
+  case when h % 223 = 0 then '123' else substr(cnpj, 1, 8) || '/' || substr(cnpj, 9, 4) || '-' || substr(cnpj, 13, 2) end as fundo_cnpj,
+  case when h % 227 = 0 then '' else c_mktsegment end as classe_codigo,
+  case when h % 229 = 0 then '1997-13-01' else cast(cast(o_orderdate as date) as varchar) end as data_aquisicao,
+  case when h % 233 = 0 then 'BOLETO' when l_linenumber % 3 = 0 then 'CCB' when l_linenumber % 3 = 1 then 'DUPLICATA' else 'CARTAO' end as tipo_ativo,
+  case when h % 239 = 0 then '' else 'NF-' || cast(l_orderkey as varchar) end as numero_titulo,
+  case when l_linenumber = 1 then '' else cast(l_linenumber as varchar) end as numero_parcela,
+  '7' as total_parcelas,
+  case when h % 241 = 0 then '999' else ced_doc end as cedente_documento,
+  case when h % 251 = 0 then '  ' else ' ' || s_name || ' ' end as cedente_nome,
+  case when h % 283 = 0 then '12345' when c_custkey % 2 = 0 then cast(20000000000 + c_custkey as varchar)
+       else cast(30000000000000 + c_custkey as varchar) end as sacado_documento,
+  case when h % 257 = 0 then '' else c_name end as sacado_nome,
+  case when l_linenumber = 2 then 'x' else cast(cast(o_orderdate as date) as varchar) end as data_emissao,
+  case when h % 263 = 0 then 'n/d' else cast(cast(l_shipdate as date) as varchar) end as data_vencimento,
+  case when h % 269 = 0 then '-1' else cast(vf as varchar) end as valor_face,
+  case when h % 271 = 0 then 'abc' when h % 277 = 0 then cast(vf + 1 as varchar) else cast(va as varchar) end as valor_aquisicao,
+  case when l_linenumber = 3 then 'n' else '' end as taxa_desconto_aa,
+  case when h % 281 = 0 then 'TR' when l_returnflag = 'A' then 'cdi' when l_returnflag = 'R' then 'PRE' else '' end as indexador,
+  '' as percentual_indexador,
+  case when l_linestatus = 'O' then 's' else '' end as coobrigacao,
+  'CTA-' || l_returnflag as conta_liquidacao
+from fx_base""")
+
+
+def _clean(c: str, digits: bool = False, upper: bool = False) -> str:
+    e = f"regexp_replace(coalesce({c}, ''), '^\\s+|\\s+$', '', 'g')"
+    if digits:
+        e = f"regexp_replace({e}, '\\D', '', 'g')"
+    if upper:
+        e = f"upper({e})"
+    return f"{e} as {c}"
+
+
+_DIGITS = {"fundo_cnpj", "cedente_documento", "sacado_documento", "numero_parcela", "total_parcelas"}
+_view("fx_boleta_norm", ["fx_boleta_raw"], "select linha_numero, " + ", ".join(
+    _clean(c, digits=c in _DIGITS, upper=c == "indexador") for c in K.BOLETA_COLUMNS) + " from fx_boleta_raw")
+
+_TIPOS = ", ".join(f"'{x}'" for x in K.TIPOS_ATIVO)
+_INDEX = ", ".join(f"'{x}'" for x in K.INDEXADORES)
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+_view("fx_boleta_motivo", ["fx_boleta_norm", "fx_fundo", "fx_classe"], f"""
+select n.*,
+  case
+    when identificador_externo = '' then {_q(K.MSG_ID_AUSENTE)}
+    when length(fundo_cnpj) <> 14 then {_q(K.MSG_CNPJ_INVALIDO)}
+    when fundo_cnpj not in (select cnpj from fx_fundo where situacao = 'ATIVO') then {_q(K.MSG_FUNDO_INATIVO)}
+    when classe_codigo = '' then {_q(K.MSG_CLASSE_AUSENTE)}
+    when not exists (select 1 from fx_classe k where k.cnpj = n.fundo_cnpj and k.codigo = n.classe_codigo) then {_q(K.MSG_CLASSE_FORA)}
+    when try_strptime(data_aquisicao, '%Y-%m-%d') is null then {_q(K.MSG_DATA_AQ)}
+    when tipo_ativo not in ({_TIPOS}) then {_q(K.MSG_TIPO)}
+    when numero_titulo = '' then {_q(K.MSG_NUMERO)}
+    when length(cedente_documento) not in (11, 14) then {_q(K.MSG_CED_DOC)}
+    when cedente_nome = '' then {_q(K.MSG_CED_NOME)}
+    when length(sacado_documento) not in (11, 14) then {_q(K.MSG_SAC_DOC)}
+    when sacado_nome = '' then {_q(K.MSG_SAC_NOME)}
+    when try_strptime(data_vencimento, '%Y-%m-%d') is null then {_q(K.MSG_DATA_VENC)}
+    when try_cast(valor_face as double) is null or try_cast(valor_face as double) <= 0 then {_q(K.MSG_VF)}
+    when try_cast(valor_aquisicao as double) is null or try_cast(valor_aquisicao as double) <= 0 then {_q(K.MSG_VA)}
+    when try_cast(valor_aquisicao as double) > try_cast(valor_face as double) then {_q(K.MSG_VA_MAIOR)}
+    when try_strptime(data_vencimento, '%Y-%m-%d') < try_strptime(data_aquisicao, '%Y-%m-%d') then {_q(K.MSG_VENC_ANTES)}
+    when indexador <> '' and indexador not in ({_INDEX}) then {_q(K.MSG_INDEXADOR)}
+    when linha_numero > min(linha_numero) over (partition by identificador_externo) then {_q(K.MSG_DUPLICADO)}
+  end as motivo_rejeicao
+from fx_boleta_norm n""")
+
+_view("fx_boleta_val", ["fx_boleta_motivo"], """
+select linha_numero, identificador_externo, fundo_cnpj, classe_codigo, data_aquisicao, tipo_ativo, numero_titulo,
+       numero_parcela, total_parcelas, cedente_documento, cedente_nome, sacado_documento, sacado_nome,
+       case when try_strptime(data_emissao, '%Y-%m-%d') is null then '' else data_emissao end as data_emissao,
+       data_vencimento, valor_face, valor_aquisicao,
+       case when try_cast(taxa_desconto_aa as double) is null then '' else taxa_desconto_aa end as taxa_desconto_aa,
+       indexador,
+       case when try_cast(percentual_indexador as double) is null then '' else percentual_indexador end as percentual_indexador,
+       coobrigacao, conta_liquidacao, motivo_rejeicao is null as valido, motivo_rejeicao
+from fx_boleta_motivo""")
+
+SQL["boleta_validation"] = with_views("select * from fx_boleta_val", "fx_boleta_val")
+
+SQL["boleta_rejection_lines"] = with_views("""
+select linha_numero, identificador_externo, motivo_rejeicao from fx_boleta_val where not valido""", "fx_boleta_val")
+
+SQL["batch_summary"] = with_views("""
+select count(*) as linhas_total, count(*) filter (where valido) as linhas_aceitas,
+       count(*) filter (where not valido) as linhas_rejeitadas,
+       case when count(distinct data_aquisicao) filter (where valido) = 1
+            then cast(min(data_aquisicao) filter (where valido) as date) end as data_referencia,
+       case when count(distinct fundo_cnpj) filter (where valido) = 1
+            then min(fundo_cnpj) filter (where valido) end as fundo_cnpj
+from fx_boleta_val""", "fx_boleta_val")
+
+SQL["rejection_sample"] = with_views("""
+select linha_numero, motivo_rejeicao from fx_boleta_val where not valido order by linha_numero limit 20""", "fx_boleta_val")
+
+_view("fx_prior_base", ["fx_base"], f"""
+select * from fx_base where cast(o_orderdate as date) < date '{PRIOR_CUTOFF}'""")
+
+SQL["counterparty_upsert"] = with_views("""
+select 'CEDENTE' as papel, documento, nome, sha256('cedente|' || documento) as id
+from (select cedente_documento as documento, arg_min(cedente_nome, linha_numero) as nome
+      from fx_boleta_val where valido group by cedente_documento) v
+where documento not in (select ced_doc from fx_prior_base)
+union all
+select 'SACADO', documento, nome, sha256('sacado|' || documento)
+from (select sacado_documento as documento, arg_min(sacado_nome, linha_numero) as nome
+      from fx_boleta_val where valido group by sacado_documento) v
+where documento not in (select case when c_custkey % 2 = 0 then cast(20000000000 + c_custkey as varchar)
+                                    else cast(30000000000000 + c_custkey as varchar) end from fx_prior_base)""",
+                                         "fx_boleta_val", "fx_prior_base")
+
+_view("fx_titulo_inserido", ["fx_boleta_val", "fx_fundo", "fx_classe", "fx_titulo"], f"""
+select cast(v.data_aquisicao as date) as data_aquisicao, f.fundo_id, c.classe_id, '{LOTE_ID}' as lote_id,
+       sha256('cedente|' || v.cedente_documento) as cedente_id, sha256('sacado|' || v.sacado_documento) as sacado_id,
+       v.identificador_externo, v.tipo_ativo, v.numero_titulo,
+       cast(coalesce(try_cast(nullif(v.numero_parcela, '') as smallint), 1) as bigint) as numero_parcela,
+       cast(coalesce(try_cast(nullif(v.total_parcelas, '') as smallint), 1) as bigint) as total_parcelas,
+       cast(nullif(v.data_emissao, '') as date) as data_emissao, cast(v.data_vencimento as date) as data_vencimento,
+       cast(v.valor_face as decimal(20,2)) as valor_face, cast(v.valor_aquisicao as decimal(20,2)) as valor_aquisicao,
+       cast(nullif(v.taxa_desconto_aa, '') as decimal(12,6)) as taxa_desconto_aa,
+       coalesce(nullif(v.indexador, ''), 'PRE') as indexador,
+       cast(nullif(v.percentual_indexador, '') as decimal(9,4)) as percentual_indexador,
+       upper(coalesce(nullif(v.coobrigacao, ''), 'N')) in ('S', 'SIM', 'TRUE', '1') as coobrigacao,
+       nullif(v.conta_liquidacao, '') as conta_liquidacao, 'ATIVO' as situacao,
+       sha256(cast(f.fundo_id as varchar) || '|' || v.identificador_externo || '|' || v.data_aquisicao) as id,
+       strftime(cast(v.data_aquisicao as date), '%Y%m') as mes_aquisicao
+from fx_boleta_val v
+join fx_fundo f on f.cnpj = v.fundo_cnpj
+join fx_classe c on c.fundo_id = f.fundo_id and c.codigo = v.classe_codigo
+where v.valido and not exists (
+  select 1 from fx_titulo p where p.data_aquisicao < date '{PRIOR_CUTOFF}' and p.fundo_id = f.fundo_id
+     and p.identificador_externo = v.identificador_externo and p.data_aquisicao = cast(v.data_aquisicao as date))""")
+
+SQL["title_insert"] = with_views("select * from fx_titulo_inserido", "fx_titulo_inserido")
+
+SQL["acquisition_cash"] = with_views("""
+select fundo_id, classe_id, data_aquisicao as data, 'AQUISICAO_DC' as tipo, cast(-sum(valor_aquisicao) as decimal(20,2)) as valor,
+       'Aquisição de recebíveis (lote)' as descricao, lote_id
+from fx_titulo_inserido group by fundo_id, classe_id, data_aquisicao, lote_id""", "fx_titulo_inserido")
+
+SQL["batch_result"] = with_views("""
+select v.linhas_total, v.linhas_aceitas, i.registros_inseridos, v.linhas_total - v.linhas_aceitas as linhas_rejeitadas,
+       v.linhas_aceitas - i.registros_inseridos as duplicados_ignorados
+from (select count(*) as linhas_total, count(*) filter (where valido) as linhas_aceitas from fx_boleta_val) v,
+     (select count(*) as registros_inseridos from fx_titulo_inserido) i""", "fx_boleta_val", "fx_titulo_inserido")

@@ -14,7 +14,8 @@ from pyspark.sql import types as T
 
 from ..functions.calendar import with_business_days
 from ..functions.params import param_asof, with_pdd_pct
-from ..operators import valuation
+from .. import constants as K
+from ..operators import ingest, valuation, validation
 from .context import MARK_DATE, Ctx
 
 MONEY = T.DecimalType(20, 2)
@@ -73,10 +74,63 @@ def q_class_marking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return valuation.class_marking(c.titulos_status, c.grid, c.calendar)
 
 
+# --- boleta validation and ingest -------------------------------------------------------------
+
+def q_boleta_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of the batch with its verdict."""
+    c = Ctx(spark, sf_dir)
+    return c.validated.select("linha_numero", *K.BOLETA_COLUMNS, "valido", "motivo_rejeicao")
+
+
+def q_boleta_rejection_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rejected lines of the batch."""
+    return validation.rejections(Ctx(spark, sf_dir).validated)
+
+
+def q_batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals, uniform date and fund of the batch."""
+    return validation.batch_summary(Ctx(spark, sf_dir).validated)
+
+
+def q_rejection_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First 20 rejections by line."""
+    return validation.rejection_sample(Ctx(spark, sf_dir).validated, 20)
+
+
+def q_counterparty_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sellers and debtors to register (documents not yet known)."""
+    r = Ctx(spark, sf_dir).ingest
+    return r.cedentes.unionByName(r.sacados)
+
+
+def q_title_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed receivables inserted by the batch (existing keys skipped)."""
+    return _longs(Ctx(spark, sf_dir).ingest.titles)
+
+
+def q_acquisition_cash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Acquisition debits per (fund, class, date) of the inserted rows."""
+    return Ctx(spark, sf_dir).ingest.cash
+
+
+def q_batch_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batch counters including inserted rows and ignored duplicates."""
+    c = Ctx(spark, sf_dir)
+    return ingest.batch_result(c.validated, c.ingest.titles)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "business_days": q_business_days,
     "pdd_band": q_pdd_band,
     "param_asof": q_param_asof,
     "title_marking": q_title_marking,
     "class_marking": q_class_marking,
+    "boleta_validation": q_boleta_validation,
+    "boleta_rejection_lines": q_boleta_rejection_lines,
+    "batch_summary": q_batch_summary,
+    "rejection_sample": q_rejection_sample,
+    "counterparty_upsert": q_counterparty_upsert,
+    "title_insert": q_title_insert,
+    "acquisition_cash": q_acquisition_cash,
+    "batch_result": q_batch_result,
 }

@@ -276,3 +276,24 @@ def perfis(t: Tables) -> DataFrame:
 
 def usuario_perfil(t: Tables) -> DataFrame:
     return t.supplier.select(F.col("s_suppkey").alias("usuario_id"), F.col("s_nationkey").alias("perfil_id"))
+
+
+# --- prior state of the store, for idempotent ingest ------------------------------------------
+PRIOR_CUTOFF = "1996-01-01"  # titles and counterparties acquired before this were imported earlier
+
+
+def _sacado_doc() -> F.Column:
+    return (F.when(F.col("c_custkey") % 2 == 0, (F.lit(20000000000) + F.col("c_custkey")).cast("string"))
+            .otherwise((F.lit(30000000000000) + F.col("c_custkey")).cast("string")))
+
+
+def prior_title_keys(titles: DataFrame) -> DataFrame:
+    return titles.where(F.col("data_aquisicao") < F.lit(PRIOR_CUTOFF).cast("date")) \
+        .select("fundo_id", "identificador_externo", "data_aquisicao")
+
+
+def prior_counterparties(t: Tables, role: str) -> DataFrame:
+    b = base(t).where(F.col("o_orderdate").cast("date") < F.lit(PRIOR_CUTOFF).cast("date"))
+    if role == "cedente":
+        return b.select(F.col("ced_doc").alias("documento"), F.col("s_name").alias("nome")).distinct()
+    return b.select(_sacado_doc().alias("documento"), F.col("c_name").alias("nome")).distinct()
