@@ -39,10 +39,9 @@ def eligible(titles: DataFrame) -> DataFrame:
     return titles
 
 
-def mark_titles_at(titles: DataFrame, ref_date: str, calendar: DataFrame, bands: DataFrame) -> DataFrame:
-    """M1-M6 at one date for every eligible title acquired on or before it."""
-    d = F.lit(ref_date).cast("date")
-    t = eligible(titles).where(F.col("data_aquisicao") <= d).withColumn("data_referencia", d)
+def _mark(t: DataFrame, calendar: DataFrame, bands: DataFrame) -> DataFrame:
+    """M2-M6 for titles carrying their own ``data_referencia``."""
+    d = F.col("data_referencia")
     t = with_business_days(t, "data_aquisicao", "data_vencimento", "du_total", calendar, floor_zero=False)
     t = with_business_days(t, "data_referencia", "data_vencimento", "du_rem", calendar, floor_zero=False)
     t = t.withColumn("dias_atraso", F.greatest(F.datediff(d, F.col("data_vencimento")), F.lit(0)))
@@ -57,6 +56,23 @@ def mark_titles_at(titles: DataFrame, ref_date: str, calendar: DataFrame, bands:
     )
 
 
+def mark_titles_at(titles: DataFrame, ref_date: str, calendar: DataFrame, bands: DataFrame) -> DataFrame:
+    """M1-M6 at one date for every eligible title acquired on or before it."""
+    d = F.lit(ref_date).cast("date")
+    t = eligible(titles).where(F.col("data_aquisicao") <= d).withColumn("data_referencia", d)
+    return _mark(t, calendar, bands)
+
+
+def mark_titles_for(titles: DataFrame, class_dates: DataFrame, calendar: DataFrame, bands: DataFrame) -> DataFrame:
+    """M1-M6 with one reference date per class (``class_dates``: classe_id, data_referencia;
+    one row per class, so it is a dimension-sized broadcast)."""
+    t = (
+        eligible(titles).join(F.broadcast(class_dates.select("classe_id", "data_referencia")), "classe_id")
+        .where(F.col("data_aquisicao") <= F.col("data_referencia"))
+    )
+    return _mark(t, calendar, bands)
+
+
 def _grid_index(grid_dates: DataFrame, calendar: DataFrame):
     """Number the close dates and, for every calendar day, count close dates before it."""
     # both windows run over bounded inputs: close dates and calendar days

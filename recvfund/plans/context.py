@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.calendar import build_calendar
-from ..operators import ingest, ledger, validation
+from ..operators import closing, ingest, ledger, validation
 from ..session import exact_decimals
 from ..sources import fixtures as fx
 from ..sources.tables import Tables
@@ -96,3 +96,15 @@ class Ctx:
     def ingest(self) -> "ingest.IngestResult":
         return ingest.ingest(self.validated, self.fundos, self.classes, fx.prior_title_keys(self.titulos),
                              fx.prior_counterparties(self.t, "cedente"), fx.prior_counterparties(self.t, "sacado"))
+
+    # --- closes -----------------------------------------------------------------------------
+    @cached_property
+    def cotistas(self) -> DataFrame:
+        return fx.cotistas(self.t)
+
+    @cached_property
+    def closes(self) -> DataFrame:
+        """Every class closed at every grid date (version 1, no prior closes)."""
+        inputs = closing.close_inputs(self.grid, self.titulos_status, self.movimento_caixa, self.cota_movimento,
+                                      self.params, self.calendar)
+        return closing.close_grid(inputs, self.calendar)

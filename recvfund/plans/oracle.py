@@ -362,3 +362,219 @@ select v.linhas_total, v.linhas_aceitas, i.registros_inseridos, v.linhas_total -
        v.linhas_aceitas - i.registros_inseridos as duplicados_ignorados
 from (select count(*) as linhas_total, count(*) filter (where valido) as linhas_aceitas from fx_boleta_val) v,
      (select count(*) as registros_inseridos from fx_titulo_inserido) i""", "fx_boleta_val", "fx_titulo_inserido")
+
+
+# --- ledgers, closes, report ---------------------------------------------------------------------
+from .context import POSITION_DATE, REPORT_DATE  # noqa: E402
+
+
+def _he(num: str, den: str) -> str:
+    """HALF_EVEN rounding of num/den for HUGEINT operands, den > 0."""
+    a = f"abs({num})"
+    q, r = f"({a} // ({den}))", f"({a} % ({den}))"
+    return (f"(sign({num}) * ({q} + case when 2 * {r} > ({den}) or (2 * {r} = ({den}) and {q} % 2 = 1) "
+            f"then 1 else 0 end))")
+
+
+def _units(x: str) -> str:
+    """Exact decimal -> HUGEINT in units of its last decimal place."""
+    return f"cast(replace(cast({x} as varchar), '.', '') as hugeint)"
+
+
+def _fixed(u: str, scale: int, width: int) -> str:
+    """HUGEINT in units of 10^-scale -> DECIMAL(width, scale), exactly."""
+    p = f"cast(1{'0' * scale} as hugeint)"
+    a = f"abs({u})"
+    return (f"cast(sign({u}) * (cast({a} // {p} as decimal({width},{scale})) + "
+            f"cast({a} % {p} as decimal({scale + 1},0)) * cast('0.{'0' * (scale - 1)}1' as decimal({scale + 1},{scale}))) "
+            f"as decimal({width},{scale}))")
+
+
+_E12 = "cast(1000000000000 as hugeint)"
+
+_view("fx_cota_movimento", ["fx_fundo"], """
+select o_orderkey as mov_id, cnpj || '|' || c_mktsegment as classe_id, c_custkey as cotista_id, cast(o_orderdate as date) as data,
+       case when o_orderstatus = 'F' then 'RESGATE' else 'EMISSAO' end as tipo,
+       cast(cast(o_totalprice as decimal(18,2)) * cast(case when o_orderstatus = 'F' then 0.25 else 1 end as decimal(4,2)) as decimal(28,12)) as quantidade
+from orders join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey
+join fx_fundo on fundo_id = n_regionkey""")
+
+_view("fx_cotista", [], """
+select c_custkey as cotista_id,
+       case when c_custkey % 2 = 0 then cast(20000000000 + c_custkey as varchar) else cast(30000000000000 + c_custkey as varchar) end as documento,
+       c_name as nome
+from customer""")
+
+_view("fx_movimento_caixa", ["fx_cota_movimento", "fx_titulo", "fx_evento"], """
+select classe_id, data, case when tipo = 'EMISSAO' then 'APORTE' else 'RESGATE' end as tipo,
+       cast(case when tipo = 'EMISSAO' then round(quantidade, 2) else -round(quantidade, 2) end as decimal(20,2)) as valor
+from fx_cota_movimento
+union all
+select classe_id, data_aquisicao, 'AQUISICAO_DC', cast(-sum(valor_aquisicao) as decimal(20,2)) from fx_titulo group by classe_id, data_aquisicao
+union all
+select classe_id, data_evento, 'RECEBIMENTO_DC', cast(valor as decimal(20,2)) from fx_evento where tipo in ('PAGAMENTO', 'RECOMPRA')""")
+
+_view("fx_grid_mark", ["fx_grid", "fx_titulo_ativo", "fx_calendario", "fx_faixa_pdd"], _GRID_MARK)
+
+_view("fx_close_in", ["fx_grid", "fx_grid_mark", "fx_movimento_caixa", "fx_cota_movimento", "fx_parametro"], """
+select g.classe_id, g.fundo_id, g.data, m.qtd_ativos, cast(m.valor_presente as decimal(20,2)) as valor_presente,
+       cast(m.pdd as decimal(20,2)) as pdd, cast(m.a_receber as decimal(20,2)) as a_receber,
+       cast(coalesce((select sum(valor) from fx_movimento_caixa x where x.classe_id = g.classe_id and x.data <= g.data), 0) as decimal(20,2)) as caixa,
+       cast(coalesce((select sum(case when tipo = 'EMISSAO' then quantidade else -quantidade end) from fx_cota_movimento u
+                      where u.classe_id = g.classe_id and u.data <= g.data), 0) as decimal(28,12)) as cotas,
+       cast(coalesce((select arg_max(taxa_administracao_aa, vigencia_inicio) from fx_parametro p
+                      where p.classe_id = g.classe_id and p.vigencia_inicio <= g.data
+                        and (p.vigencia_fim is null or p.vigencia_fim >= g.data)), 0) as decimal(9,6)) as taxa
+from fx_grid g join fx_grid_mark m on m.classe_id = g.classe_id and m.data = g.data""")
+
+_view("fx_close_b", ["fx_close_in", "fx_calendario"], """
+select a.*, case when a.prev is null then 1 else greatest(c1.du_acumulado - c0.du_acumulado, 0) end as n_du,
+       cast(a.valor_presente + a.caixa as decimal(20,2)) as pl_bruto
+from (select *, lag(data) over (partition by classe_id order by data) as prev from fx_close_in) a
+left join fx_calendario c0 on c0.data = a.prev
+left join fx_calendario c1 on c1.data = a.data""")
+
+_view("fx_close_c", ["fx_close_b"], f"""
+select *, {_he(f"{_units('pl_bruto')} * {_units('taxa')} * cast(n_du as hugeint)", "cast(25200000000 as hugeint)")} as desp_c
+from fx_close_b""")
+
+_view("fx_close_e", ["fx_close_c"], f"""
+select d.*, {_units('pl_bruto')} - {_units('pdd')} - prov_c as liq_c, {_units('cotas')} as u
+from (select *, sum(desp_c) over (partition by classe_id order by data rows between unbounded preceding and current row) as prov_c
+      from fx_close_c) d""")
+
+_view("fx_close_g", ["fx_close_e"], f"""
+select *, lag(cota_u) over (partition by classe_id order by data) as ant_u
+from (select *, case when u > 0 then {_he(f"liq_c * {_E12} * cast(10000000000 as hugeint)", "u")} end as cota_u from fx_close_e) f""")
+
+_view("fx_fechamento", ["fx_close_g"], f"""
+select fundo_id, classe_id, data as data_referencia, cast(1 as bigint) as versao, 'PROCESSADO' as status,
+       valor_presente as valor_presente_ativos, pdd as pdd_total, caixa, a_receber as contas_receber,
+       cast(0 as decimal(20,2)) as contas_pagar, pl_bruto,
+       {_fixed('desp_c', 2, 20)} as despesa_adm_dia, {_fixed('prov_c', 2, 20)} as provisao_adm_acumulada,
+       {_fixed('liq_c', 2, 20)} as pl_liquido, cotas as quantidade_cotas,
+       {_fixed('cota_u', 12, 28)} as valor_cota, {_fixed('ant_u', 12, 28)} as cota_anterior,
+       case when cota_u is not null and coalesce(ant_u, {_E12}) > 0
+            then {_fixed(_he(f"(cota_u - coalesce(ant_u, {_E12})) * cast(10000000000 as hugeint)", f"coalesce(ant_u, {_E12})"), 10, 18)}
+       end as rentabilidade_dia,
+       cast(qtd_ativos as bigint) as qtd_ativos, cast(n_du as bigint) as n_du
+from fx_close_g""")
+
+SQL["cash_balance"] = with_views("""
+select g.classe_id, g.data,
+       cast(coalesce((select sum(valor) from fx_movimento_caixa x where x.classe_id = g.classe_id and x.data <= g.data), 0) as decimal(20,2)) as caixa
+from fx_grid g""", "fx_grid", "fx_movimento_caixa")
+
+SQL["unit_balance"] = with_views("""
+select g.classe_id, g.data,
+       cast(coalesce((select sum(case when tipo = 'EMISSAO' then quantidade else -quantidade end) from fx_cota_movimento u
+                      where u.classe_id = g.classe_id and u.data <= g.data), 0) as decimal(28,12)) as quantidade_cotas
+from fx_grid g""", "fx_grid", "fx_cota_movimento")
+
+_view("fx_posicao", ["fx_cota_movimento"], f"""
+select classe_id, cotista_id, cast(sum(case when tipo = 'EMISSAO' then quantidade else -quantidade end) as decimal(28,12)) as cotas
+from fx_cota_movimento where data <= date '{POSITION_DATE}'
+group by classe_id, cotista_id
+having sum(case when tipo = 'EMISSAO' then quantidade else -quantidade end) > 0""")
+
+SQL["investor_position"] = with_views("select * from fx_posicao", "fx_posicao")
+
+_PAR = "cast(1 as decimal(28,12))"
+SQL["price_asof"] = with_views(f"""
+select m.mov_id, m.classe_id, m.data,
+       coalesce((select arg_max(valor_cota, data_referencia) from fx_fechamento f
+                 where f.classe_id = m.classe_id and f.data_referencia <= m.data and f.valor_cota is not null), {_PAR}) as valor_cota_aplicavel
+from fx_cota_movimento m""", "fx_cota_movimento", "fx_fechamento")
+
+SQL["title_status"] = with_views("""
+select identificador_externo, fundo_id, classe_id, data_aquisicao, situacao, cast(n_eventos as bigint) as n_eventos
+from fx_titulo_status""", "fx_titulo_status")
+
+SQL["event_cash"] = with_views("""
+select fundo_id, classe_id, data_evento as data, 'RECEBIMENTO_DC' as tipo, cast(valor as decimal(20,2)) as valor, identificador_externo
+from fx_evento where tipo in ('PAGAMENTO', 'RECOMPRA')""", "fx_evento")
+
+SQL["position_view"] = with_views(f"""
+select classe_id, cotista_id, cotas, preco as valor_cota_aplicavel,
+       {_fixed(_he(f"{_units('cotas')} * {_units('preco')}", "cast(10000000000000000000000 as hugeint)"), 2, 20)} as valor,
+       {_fixed(_he(f"{_units('cotas')} * cast(1000000 as hugeint)", "tot"), 6, 20)} as participacao
+from (select p.*, sum({_units('p.cotas')}) over (partition by p.classe_id) as tot,
+             coalesce((select arg_max(valor_cota, data_referencia) from fx_fechamento f
+                       where f.classe_id = p.classe_id and f.data_referencia <= date '{POSITION_DATE}' and f.valor_cota is not null), {_PAR}) as preco
+      from fx_posicao p) x""", "fx_posicao", "fx_fechamento")
+
+SQL["close_grid"] = with_views("select * from fx_fechamento", "fx_fechamento")
+
+SQL["close_list"] = with_views("""
+select fundo_id, classe_id, data_referencia, versao, status, pl_liquido, quantidade_cotas, valor_cota, rentabilidade_dia, qtd_ativos
+from fx_fechamento order by data_referencia desc, versao desc, classe_id limit 200""", "fx_fechamento")
+
+SQL["price_series"] = with_views("""
+select classe_id, data_referencia, valor_cota from fx_fechamento where valor_cota is not null""", "fx_fechamento")
+
+SQL["overview"] = with_views("""
+select c.classe_id, c.fundo_id, (select count(*) from fx_fundo) as n_fundos,
+       k.data_referencia, k.pl_liquido, k.valor_cota, k.rentabilidade_dia, k.qtd_ativos,
+       k.n as n_fechamentos_recentes, k.inicio as inicio_janela
+from fx_classe c join (
+  select classe_id, max(data_referencia) as data_referencia, arg_max(pl_liquido, data_referencia) as pl_liquido,
+         arg_max(valor_cota, data_referencia) as valor_cota, arg_max(rentabilidade_dia, data_referencia) as rentabilidade_dia,
+         arg_max(qtd_ativos, data_referencia) as qtd_ativos, count(*) as n, min(data_referencia) as inicio
+  from (select *, row_number() over (partition by classe_id order by data_referencia desc, versao desc) as r from fx_fechamento) t
+  where r <= 8 group by classe_id) k on k.classe_id = c.classe_id""", "fx_classe", "fx_fundo", "fx_fechamento")
+
+_view("fx_report_close", ["fx_fechamento"], f"""
+select * from (select *, row_number() over (partition by classe_id order by data_referencia desc, versao desc) as r
+               from fx_fechamento where data_referencia <= date '{REPORT_DATE}') t where r = 1""")
+
+SQL["report_composition"] = with_views("""
+select f.classe_id, f.fundo_id, fu.nome as fundo_nome, fu.cnpj as fundo_cnpj, c.codigo, f.data_referencia, f.versao, f.status,
+       f.pl_bruto, f.pl_liquido, f.valor_cota, f.quantidade_cotas, f.rentabilidade_dia,
+       cast(coalesce(m.valor_presente, 0) as decimal(20,2)) as estoque_valorizado,
+       cast(coalesce(m.qtd_ativos, 0) as bigint) as estoque_qtd_titulos,
+       f.caixa, f.pdd_total as pdd, f.contas_receber, f.contas_pagar, f.provisao_adm_acumulada as provisao_administracao,
+       cast(coalesce(m.valor_presente, 0) - f.valor_presente_ativos as decimal(20,2)) as diferenca_estoque
+from fx_report_close f
+left join fx_grid_mark m on m.classe_id = f.classe_id and m.data = f.data_referencia
+left join fx_classe c on c.classe_id = f.classe_id
+left join fx_fundo fu on fu.fundo_id = c.fundo_id""", "fx_report_close", "fx_grid_mark", "fx_classe", "fx_fundo")
+
+_view("fx_report_pos", ["fx_report_close", "fx_cota_movimento"], """
+select m.classe_id, m.cotista_id, cast(sum(case when m.tipo = 'EMISSAO' then m.quantidade else -m.quantidade end) as decimal(28,12)) as cotas
+from fx_cota_movimento m join fx_report_close f on f.classe_id = m.classe_id and m.data <= f.data_referencia
+group by m.classe_id, m.cotista_id
+having sum(case when m.tipo = 'EMISSAO' then m.quantidade else -m.quantidade end) > 0""")
+
+SQL["report_investors"] = with_views(f"""
+select x.classe_id, f.data_referencia, x.cotista_id, x.documento, x.nome, x.cotas,
+       {_fixed(_he(f"{_units('x.cotas')} * {_units('coalesce(f.valor_cota, cast(0 as decimal(28,12)))')}", "cast(10000000000000000000000 as hugeint)"), 2, 20)} as valor,
+       case when f.quantidade_cotas > 0
+            then {_fixed(_he(f"{_units('x.cotas')} * {_E12}", _units('f.quantidade_cotas')), 12, 20)}
+            else cast(0 as decimal(20,12)) end as participacao
+from (select p.classe_id, p.cotista_id, c.documento, c.nome, p.cotas from fx_report_pos p left join fx_cotista c on c.cotista_id = p.cotista_id
+      union all
+      select f2.classe_id, null, '{K.RESIDUAL_DOC}', '{K.RESIDUAL_NAME}',
+             cast(f2.quantidade_cotas - coalesce((select sum(cotas) from fx_report_pos p2 where p2.classe_id = f2.classe_id), 0) as decimal(28,12))
+      from fx_report_close f2
+      where f2.quantidade_cotas - coalesce((select sum(cotas) from fx_report_pos p2 where p2.classe_id = f2.classe_id), 0) > 0.000001) x
+join fx_report_close f on f.classe_id = x.classe_id""", "fx_report_close", "fx_report_pos", "fx_cotista")
+
+SQL["stock_top100"] = with_views(f"""
+select classe_id, data_referencia, cast(posicao as bigint) as posicao, identificador_externo, data_vencimento, valor_face,
+       sacado, cedente, valor_presente, estoque_qtd_titulos, estoque_valorizado
+from (select m.*, row_number() over (partition by classe_id order by valor_presente desc, identificador_externo) as posicao,
+             count(*) over (partition by classe_id) as estoque_qtd_titulos,
+             cast(sum(valor_presente) over (partition by classe_id) as decimal(20,2)) as estoque_valorizado
+      from (select t.classe_id, f.data_referencia, t.identificador_externo, t.data_vencimento, t.valor_face, t.sacado, t.cedente,
+                   {_accrual('t.valor_face', 't.valor_aquisicao', 'cv.du_acumulado - cr.du_acumulado', 'cv.du_acumulado - ca.du_acumulado')} as valor_presente
+            from fx_titulo_ativo t
+            join fx_report_close f on f.classe_id = t.classe_id and t.data_aquisicao <= f.data_referencia
+            left join fx_calendario ca on ca.data = t.data_aquisicao
+            left join fx_calendario cv on cv.data = t.data_vencimento
+            left join fx_calendario cr on cr.data = f.data_referencia) m) r
+where posicao <= 100""", "fx_titulo_ativo", "fx_report_close", "fx_calendario")
+
+SQL["receivable_list"] = with_views("""
+select classe_id, cast(posicao as bigint) as posicao, identificador_externo, data_aquisicao, data_vencimento, valor_face, valor_aquisicao, situacao
+from (select *, row_number() over (partition by classe_id order by data_vencimento, identificador_externo, data_aquisicao) as posicao
+      from fx_titulo_status) t where posicao <= 200""", "fx_titulo_status")

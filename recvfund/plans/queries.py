@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 from ..functions.calendar import with_business_days
 from ..functions.params import param_asof, with_pdd_pct
 from .. import constants as K
-from ..operators import ingest, valuation, validation
-from .context import MARK_DATE, Ctx
+from ..operators import closing, ingest, ledger, report, valuation, validation
+from .context import MARK_DATE, POSITION_DATE, REPORT_DATE, Ctx
 
 MONEY = T.DecimalType(20, 2)
 
@@ -119,6 +119,107 @@ def q_batch_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.batch_result(c.validated, c.ingest.titles)
 
 
+# --- ledgers, events, investors -------------------------------------------------------------------
+
+def q_cash_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L1: cash of every class at every close date."""
+    c = Ctx(spark, sf_dir)
+    return ledger.cash_balance(c.grid.select("classe_id", "data"), c.movimento_caixa)
+
+
+def q_unit_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L2: units outstanding of every class at every close date."""
+    c = Ctx(spark, sf_dir)
+    return ledger.unit_balance(c.grid.select("classe_id", "data"), c.cota_movimento)
+
+
+def q_investor_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L3: positive unit positions per (class, investor) at the position date."""
+    return ledger.investor_positions(Ctx(spark, sf_dir).cota_movimento, POSITION_DATE)
+
+
+def q_price_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L4: unit price applicable to every unit movement (last priced close on or before it, else par)."""
+    c = Ctx(spark, sf_dir)
+    keys = c.cota_movimento.select("mov_id", "classe_id", "data")
+    return ledger.price_asof(keys, c.closes).select("mov_id", "classe_id", "data", "valor_cota_aplicavel")
+
+
+def q_title_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Current status of every receivable after its events."""
+    c = Ctx(spark, sf_dir)
+    return c.titulos_status.select("identificador_externo", "fundo_id", "classe_id", "data_aquisicao",
+                                   "situacao", "n_eventos")
+
+
+def q_event_cash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cash receipts posted by payment and repurchase events."""
+    c = Ctx(spark, sf_dir)
+    _, resolved = ledger.apply_title_events(c.titulos, c.eventos)
+    return ledger.event_cash(resolved)
+
+
+def q_position_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Investor positions valued at the applicable price, with shares of attributed units."""
+    c = Ctx(spark, sf_dir)
+    return ledger.position_view(c.cota_movimento, c.closes, POSITION_DATE).select(
+        "classe_id", "cotista_id", "cotas", "valor_cota_aplicavel", "valor", "participacao")
+
+
+# --- closing ---------------------------------------------------------------------------------
+
+def q_close_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NAV, provision, unit price and return of every class at every close date."""
+    return Ctx(spark, sf_dir).closes
+
+
+def q_close_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the 200 newest closes."""
+    return closing.list_closes(Ctx(spark, sf_dir).closes)
+
+
+def q_price_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """unit price series per class."""
+    return closing.price_series(Ctx(spark, sf_dir).closes)
+
+
+def q_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """latest close KPIs per class with the fund count."""
+    c = Ctx(spark, sf_dir)
+    return closing.overview(c.closes, c.fundos, c.classes)
+
+
+# --- daily report --------------------------------------------------------------------------------
+
+def q_report_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Header and NAV composition of every class at the report date."""
+    c = Ctx(spark, sf_dir)
+    return report.composition(c.closes, REPORT_DATE, c.titulos_status, c.calendar, c.fundos, c.classes)
+
+
+def q_report_investors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Investor section with the unattributed residual row."""
+    c = Ctx(spark, sf_dir)
+    return report.investors(c.closes, REPORT_DATE, c.cota_movimento, c.cotistas)
+
+
+def q_stock_top100(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-100 receivables by present value per class, with class totals."""
+    c = Ctx(spark, sf_dir)
+    s = report.stock(c.closes, REPORT_DATE, c.titulos_status, c.calendar, c.bands, 100)
+    return s.select("classe_id", "data_referencia", F.col("posicao").cast("long").alias("posicao"),
+                    "identificador_externo", "data_vencimento", "valor_face", "sacado", "cedente", "valor_presente",
+                    "estoque_qtd_titulos", "estoque_valorizado")
+
+
+def q_receivable_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First 200 receivables by maturity per class (any status)."""
+    c = Ctx(spark, sf_dir)
+    r = valuation.receivable_list(c.titulos_status, None, 200)
+    return r.select("classe_id", F.col("posicao").cast("long").alias("posicao"), "identificador_externo",
+                    "data_aquisicao", "data_vencimento", "valor_face", "valor_aquisicao", "situacao")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "business_days": q_business_days,
     "pdd_band": q_pdd_band,
@@ -133,4 +234,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "title_insert": q_title_insert,
     "acquisition_cash": q_acquisition_cash,
     "batch_result": q_batch_result,
+    "cash_balance": q_cash_balance,
+    "unit_balance": q_unit_balance,
+    "investor_position": q_investor_position,
+    "price_asof": q_price_asof,
+    "title_status": q_title_status,
+    "event_cash": q_event_cash,
+    "position_view": q_position_view,
+    "close_grid": q_close_grid,
+    "close_list": q_close_list,
+    "price_series": q_price_series,
+    "overview": q_overview,
+    "report_composition": q_report_composition,
+    "report_investors": q_report_investors,
+    "stock_top100": q_stock_top100,
+    "receivable_list": q_receivable_list,
 }

@@ -297,3 +297,9 @@ def prior_counterparties(t: Tables, role: str) -> DataFrame:
     if role == "cedente":
         return b.select(F.col("ced_doc").alias("documento"), F.col("s_name").alias("nome")).distinct()
     return b.select(_sacado_doc().alias("documento"), F.col("c_name").alias("nome")).distinct()
+
+
+def cotistas(t: Tables) -> DataFrame:
+    """Investors: one per customer, with an 11- or 14-digit document."""
+    return t.customer.select(F.col("c_custkey").alias("cotista_id"), _sacado_doc().alias("documento"),
+                             F.col("c_name").alias("nome"))
