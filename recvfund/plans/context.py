@@ -108,3 +108,12 @@ class Ctx:
         inputs = closing.close_inputs(self.grid, self.titulos_status, self.movimento_caixa, self.cota_movimento,
                                       self.params, self.calendar)
         return closing.close_grid(inputs, self.calendar)
+
+    # --- access review ----------------------------------------------------------------------
+    @cached_property
+    def perfis(self) -> DataFrame:
+        return fx.perfis(self.t)
+
+    @cached_property
+    def usuario_perfil(self) -> DataFrame:
+        return fx.usuario_perfil(self.t)

@@ -15,7 +15,8 @@ from pyspark.sql import types as T
 from ..functions.calendar import with_business_days
 from ..functions.params import param_asof, with_pdd_pct
 from .. import constants as K
-from ..operators import closing, ingest, ledger, report, valuation, validation
+from ..operators import access, closing, ingest, ledger, orders, registry, report, valuation, validation
+from ..sources import fixtures as fx
 from .context import MARK_DATE, POSITION_DATE, REPORT_DATE, Ctx
 
 MONEY = T.DecimalType(20, 2)
@@ -220,6 +221,52 @@ def q_receivable_list(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "data_aquisicao", "data_vencimento", "valor_face", "valor_aquisicao", "situacao")
 
 
+# --- orders, seal, registry, access -------------------------------------------------------------
+
+def q_order_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Investor orders replayed with price lookup and the redemption guard."""
+    c = Ctx(spark, sf_dir)
+    return orders.process_orders(fx.ordens(c.t), c.closes, c.cota_movimento)
+
+
+def q_seal_closes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """seal every December close twice (second is refused) and a missing version."""
+    c = Ctx(spark, sf_dir)
+    dec = c.closes.where(F.month("data_referencia") == 12)
+    cid = closing.close_id(dec)
+    missing = F.sha2(F.concat_ws("|", "classe_id", "data_referencia", F.lit(2)), 256)
+    reqs = (dec.select(cid.alias("fechamento_id"), F.lit(1).alias("ordem"))
+            .unionByName(dec.select(cid.alias("fechamento_id"), F.lit(2).alias("ordem")))
+            .unionByName(dec.select(missing.alias("fechamento_id"), F.lit(1).alias("ordem"))))
+    return closing.seal(c.closes, reqs).withColumn("ordem", F.col("ordem").cast("long"))
+
+
+def q_investor_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Register every debtor of the boleta file as an investor (bulk, with rejects)."""
+    c = Ctx(spark, sf_dir)
+    reqs = c.boleta_raw.select(F.col("linha_numero").alias("ordem"), F.col("sacado_documento").alias("documento"),
+                               F.col("sacado_nome").alias("nome"))
+    existing = fx.prior_investors(c.t)
+    return registry.register_investors(reqs, existing).select("ordem", "documento", "nome", "resultado", "id")
+
+
+def q_effective_permissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Effective (user, permission) pairs through the role hierarchy."""
+    c = Ctx(spark, sf_dir)
+    return _longs(access.effective_permissions(c.usuario_perfil, c.perfis.select("perfil_id", "perfil_pai_id"),
+                                               c.perfis.select("perfil_id", "permissao")))
+
+
+def q_permission_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Does each user hold the permission of its own supplier region?"""
+    c = Ctx(spark, sf_dir)
+    eff = access.effective_permissions(c.usuario_perfil, c.perfis.select("perfil_id", "perfil_pai_id"),
+                                       c.perfis.select("perfil_id", "permissao"))
+    reqs = c.t.supplier.select(F.col("s_suppkey").alias("usuario_id"),
+                               F.concat(F.lit("perm_"), (F.col("s_suppkey") % 5).cast("string")).alias("permissao"))
+    return _longs(access.has_permission(reqs, eff))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "business_days": q_business_days,
     "pdd_band": q_pdd_band,
@@ -249,4 +296,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "report_investors": q_report_investors,
     "stock_top100": q_stock_top100,
     "receivable_list": q_receivable_list,
+    "order_replay": q_order_replay,
+    "seal_closes": q_seal_closes,
+    "investor_registry": q_investor_registry,
+    "effective_permissions": q_effective_permissions,
+    "permission_check": q_permission_check,
 }

@@ -303,3 +303,10 @@ def cotistas(t: Tables) -> DataFrame:
     """Investors: one per customer, with an 11- or 14-digit document."""
     return t.customer.select(F.col("c_custkey").alias("cotista_id"), _sacado_doc().alias("documento"),
                              F.col("c_name").alias("nome"))
+
+
+def prior_investors(t: Tables) -> DataFrame:
+    """Investors already registered: customers with a unit movement before the cutoff."""
+    o = t.orders.where(F.col("o_orderdate").cast("date") < F.lit(PRIOR_CUTOFF).cast("date")).select("o_custkey")
+    c = t.customer.join(o.distinct(), F.col("c_custkey") == F.col("o_custkey"), "left_semi")
+    return c.select(_sacado_doc().alias("documento"))
