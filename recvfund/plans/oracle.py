@@ -248,8 +248,12 @@ def _clean(c: str, digits: bool = False, upper: bool = False) -> str:
 
 
 _DIGITS = {"fundo_cnpj", "cedente_documento", "sacado_documento", "numero_parcela", "total_parcelas"}
-_view("fx_boleta_norm", ["fx_boleta_raw"], "select linha_numero, " + ", ".join(
-    _clean(c, digits=c in _DIGITS, upper=c == "indexador") for c in K.BOLETA_COLUMNS) + " from fx_boleta_raw")
+def _norm_sql(src: str, extra: str = "") -> str:
+    return f"select {extra}linha_numero, " + ", ".join(
+        _clean(c, digits=c in _DIGITS, upper=c == "indexador") for c in K.BOLETA_COLUMNS) + f" from {src}"
+
+
+_view("fx_boleta_norm", ["fx_boleta_raw"], _norm_sql("fx_boleta_raw"))
 
 _TIPOS = ", ".join(f"'{x}'" for x in K.TIPOS_ATIVO)
 _INDEX = ", ".join(f"'{x}'" for x in K.INDEXADORES)
@@ -259,7 +263,8 @@ def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-_view("fx_boleta_motivo", ["fx_boleta_norm", "fx_fundo", "fx_classe"], f"""
+def _motivo_sql(src: str, part: str) -> str:
+    return f"""
 select n.*,
   case
     when identificador_externo = '' then {_q(K.MSG_ID_AUSENTE)}
@@ -280,12 +285,13 @@ select n.*,
     when try_cast(valor_aquisicao as double) > try_cast(valor_face as double) then {_q(K.MSG_VA_MAIOR)}
     when try_strptime(data_vencimento, '%Y-%m-%d') < try_strptime(data_aquisicao, '%Y-%m-%d') then {_q(K.MSG_VENC_ANTES)}
     when indexador <> '' and indexador not in ({_INDEX}) then {_q(K.MSG_INDEXADOR)}
-    when linha_numero > min(linha_numero) over (partition by identificador_externo) then {_q(K.MSG_DUPLICADO)}
+    when linha_numero > min(linha_numero) over (partition by {part}) then {_q(K.MSG_DUPLICADO)}
   end as motivo_rejeicao
-from fx_boleta_norm n""")
+from {src} n"""
 
-_view("fx_boleta_val", ["fx_boleta_motivo"], """
-select linha_numero, identificador_externo, fundo_cnpj, classe_codigo, data_aquisicao, tipo_ativo, numero_titulo,
+def _val_sql(src: str, extra: str = "") -> str:
+    return f"""
+select {extra}linha_numero, identificador_externo, fundo_cnpj, classe_codigo, data_aquisicao, tipo_ativo, numero_titulo,
        numero_parcela, total_parcelas, cedente_documento, cedente_nome, sacado_documento, sacado_nome,
        case when try_strptime(data_emissao, '%Y-%m-%d') is null then '' else data_emissao end as data_emissao,
        data_vencimento, valor_face, valor_aquisicao,
@@ -293,7 +299,11 @@ select linha_numero, identificador_externo, fundo_cnpj, classe_codigo, data_aqui
        indexador,
        case when try_cast(percentual_indexador as double) is null then '' else percentual_indexador end as percentual_indexador,
        coobrigacao, conta_liquidacao, motivo_rejeicao is null as valido, motivo_rejeicao
-from fx_boleta_motivo""")
+from {src}"""
+
+
+_view("fx_boleta_motivo", ["fx_boleta_norm", "fx_fundo", "fx_classe"], _motivo_sql("fx_boleta_norm", "identificador_externo"))
+_view("fx_boleta_val", ["fx_boleta_motivo"], _val_sql("fx_boleta_motivo"))
 
 SQL["boleta_validation"] = with_views("select * from fx_boleta_val", "fx_boleta_val")
 
@@ -674,3 +684,20 @@ SQL["permission_check"] = with_views("""
 select cast(s_suppkey as bigint) as usuario_id, 'perm_' || cast(s_suppkey % 5 as varchar) as permissao,
        exists (select 1 from fx_permissao_efetiva e where e.usuario_id = s_suppkey and e.permissao = 'perm_' || cast(s_suppkey % 5 as varchar)) as permitido
 from supplier""", "fx_permissao_efetiva", recursive=True)
+
+
+# --- the same batch as monthly files (one file per acquisition month) -----------------------------
+_view("fx_boleta_raw_f", ["fx_boleta_raw"], """
+select lote, cast(row_number() over (partition by lote order by linha_numero) + 1 as bigint) as linha_numero,
+       """ + ", ".join(K.BOLETA_COLUMNS) + """
+from (select 'L' || substr(data_aquisicao, 1, 7) as lote, * from fx_boleta_raw) r""")
+_view("fx_boleta_norm_f", ["fx_boleta_raw_f"], _norm_sql("fx_boleta_raw_f", "lote, "))
+_view("fx_boleta_motivo_f", ["fx_boleta_norm_f", "fx_fundo", "fx_classe"], _motivo_sql("fx_boleta_norm_f", "lote, identificador_externo"))
+_view("fx_boleta_val_f", ["fx_boleta_motivo_f"], _val_sql("fx_boleta_motivo_f", "lote, "))
+
+SQL["boleta_csv_validation"] = with_views("select * from fx_boleta_val_f", "fx_boleta_val_f")
+
+_ins_f = VIEWS["fx_titulo_inserido"][1].replace("from fx_boleta_val v", "from fx_boleta_val_f v").replace(
+    f"'{LOTE_ID}' as lote_id,", "v.lote,")
+_view("fx_titulo_inserido_f", ["fx_boleta_val_f", "fx_fundo", "fx_classe", "fx_titulo"], _ins_f)
+SQL["stream_title_insert"] = with_views("select * from fx_titulo_inserido_f", "fx_titulo_inserido_f")

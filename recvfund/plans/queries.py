@@ -16,7 +16,10 @@ from ..functions.calendar import with_business_days
 from ..functions.params import param_asof, with_pdd_pct
 from .. import constants as K
 from ..operators import access, closing, ingest, ledger, orders, registry, report, valuation, validation
+from ..session import work_dir
 from ..sources import fixtures as fx
+from ..sources.boleta_files import read_boletas, write_boleta_files
+from ..streaming.ingest_stream import StreamRefs, stream_ingest
 from .context import MARK_DATE, POSITION_DATE, REPORT_DATE, Ctx
 
 MONEY = T.DecimalType(20, 2)
@@ -267,6 +270,48 @@ def q_permission_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _longs(access.has_permission(reqs, eff))
 
 
+# --- files and streams ------------------------------------------------------------------------------
+
+def _write_monthly_files(c: Ctx) -> str:
+    """The derived boleta batch written as one ';' CSV file per acquisition month."""
+    path = work_dir(c.spark, "boletas") + "/entrada"
+    raw = c.boleta_raw.withColumn("lote", F.concat(F.lit("L"), F.substring("data_aquisicao", 1, 7)))
+    write_boleta_files(raw, path, "lote")
+    return path
+
+
+def _lote_from_path() -> F.Column:
+    return F.regexp_extract(F.col("arquivo"), r"lote=([^/]+)/", 1)
+
+
+def q_boleta_csv_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1/S2/S6 + V1-V20: read many CSV files, number lines per file, validate each file."""
+    c = Ctx(spark, sf_dir)
+    df = read_boletas(spark, _write_monthly_files(c))
+    v = validation.validate(validation.normalize(df), c.fundos, c.classes, file_key="arquivo")
+    return v.withColumn("lote", _lote_from_path()).select(
+        "lote", "linha_numero", *K.BOLETA_COLUMNS, "valido", "motivo_rejeicao")
+
+
+def q_stream_title_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The monthly files ingested by a file stream (availableNow); titles it inserted."""
+    c = Ctx(spark, sf_dir)
+    src = _write_monthly_files(c)
+    root = work_dir(spark, "stream")
+    refs = StreamRefs(c.fundos, c.classes, fx.prior_title_keys(c.titulos),
+                      fx.prior_counterparties(c.t, "cedente").select("documento"),
+                      fx.prior_counterparties(c.t, "sacado").select("documento"))
+    q = stream_ingest(spark, src, f"{root}/saida", f"{root}/checkpoint", refs)
+    q.awaitTermination()
+    titles = spark.read.parquet(f"{root}/saida/direito_creditorio")
+    staging = spark.read.parquet(f"{root}/saida/boleta_staging").select("lote_id", "arquivo").distinct()
+    return _longs(titles.join(staging, "lote_id").withColumn("lote", _lote_from_path()).select(
+        "lote", "id", "data_aquisicao", "fundo_id", "classe_id", "cedente_id", "sacado_id", "identificador_externo",
+        "tipo_ativo", "numero_titulo", "numero_parcela", "total_parcelas", "data_emissao", "data_vencimento",
+        "valor_face", "valor_aquisicao", "taxa_desconto_aa", "indexador", "percentual_indexador", "coobrigacao",
+        "conta_liquidacao", "situacao", F.col("mes_aquisicao").cast("string").alias("mes_aquisicao")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "business_days": q_business_days,
     "pdd_band": q_pdd_band,
@@ -301,4 +346,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "investor_registry": q_investor_registry,
     "effective_permissions": q_effective_permissions,
     "permission_check": q_permission_check,
+    "boleta_csv_validation": q_boleta_csv_validation,
+    "stream_title_insert": q_stream_title_insert,
 }
