@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import threading
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import build_calendar
 from ..operators import closing, ingest, ledger, validation
-from ..session import exact_decimals
+from ..session import checkpoint_dir, exact_decimals
 from ..sources import fixtures as fx
 from ..sources.tables import Tables
 
@@ -24,15 +26,36 @@ CAL_END = "2010-12-31"
 LOTE_ID = "lote-fx-0001"       # batch id of the derived boleta file
 
 
+# Stored state: the domain tables (receivables, events, ledgers, staging, closes) are
+# derived from the given tables once per application and written as parquet under
+# the shared checkpoint folder, the way the source keeps them as database tables.
+# Queries read them; each query still computes its own result from them.
+_STORE: dict[tuple[str, str, str], str] = {}
+_LOCK = threading.RLock()  # builds nest (status reads titles)
+
+
 class Ctx:
     def __init__(self, spark: SparkSession, sf_dir: str):
         exact_decimals(spark)
         self.spark = spark
+        self.sf_dir = sf_dir.rstrip("/")
         self.t = Tables(spark, sf_dir)
 
+    def stored(self, name: str, build) -> DataFrame:
+        """Read the stored table ``name``, writing it from ``build()`` on first use."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        with _LOCK:
+            path = _STORE.get(key)
+            if path is None:
+                tag = hashlib.sha1(f"{key[0]}|{key[1]}".encode()).hexdigest()[:12]
+                path = f"{checkpoint_dir(self.spark).rstrip('/')}/recvfund-store-{tag}/{name}"
+                build().write.mode("overwrite").parquet(path)
+                _STORE[key] = path
+        return self.spark.read.parquet(path)
+
     @cached_property
     def calendar(self) -> DataFrame:
-        return build_calendar(self.spark, CAL_START, CAL_END)
+        return self.stored("calendario", lambda: build_calendar(self.spark, CAL_START, CAL_END))
 
     @cached_property
     def fundos(self) -> DataFrame:
@@ -40,7 +63,7 @@ class Ctx:
 
     @cached_property
     def classes(self) -> DataFrame:
-        return fx.classes(self.t)
+        return self.stored("classe", lambda: fx.classes(self.t))
 
     @cached_property
     def bands(self) -> DataFrame:
@@ -52,25 +75,24 @@ class Ctx:
 
     @cached_property
     def titulos(self) -> DataFrame:
-        return fx.titulos(self.t)
+        return self.stored("titulo", lambda: fx.titulos(self.t))
 
     @cached_property
     def eventos(self) -> DataFrame:
-        return fx.eventos(self.t, self.titulos)
+        return self.stored("evento", lambda: fx.eventos(self.t, self.titulos))
 
     @cached_property
     def titulos_status(self) -> DataFrame:
         """Titles with their current status after every recorded event."""
-        status, _ = ledger.apply_title_events(self.titulos, self.eventos)
-        return status
+        return self.stored("titulo_status", lambda: ledger.apply_title_events(self.titulos, self.eventos)[0])
 
     @cached_property
     def cota_movimento(self) -> DataFrame:
-        return fx.cota_movimento(self.t)
+        return self.stored("cota_movimento", lambda: fx.cota_movimento(self.t))
 
     @cached_property
     def movimento_caixa(self) -> DataFrame:
-        return fx.movimento_caixa(self.t, self.titulos, self.eventos)
+        return self.stored("movimento_caixa", lambda: fx.movimento_caixa(self.t, self.titulos, self.eventos))
 
     @cached_property
     def grid(self) -> DataFrame:
@@ -86,15 +108,22 @@ class Ctx:
     # --- boleta batch ---------------------------------------------------------------------
     @cached_property
     def boleta_raw(self) -> DataFrame:
-        return fx.boleta_raw(self.t).withColumn("lote_id", F.lit(LOTE_ID))
+        """The boleta file as received (text columns and line numbers)."""
+        return self.stored("boleta_raw", lambda: fx.boleta_raw(self.t).withColumn("lote_id", F.lit(LOTE_ID)))
 
     @cached_property
     def validated(self) -> DataFrame:
+        """Computed validation of the batch (what ``boleta_validation`` returns)."""
         return validation.validate(validation.normalize(self.boleta_raw), self.fundos, self.classes)
 
+    @cached_property
+    def staging(self) -> DataFrame:
+        """The stored staging table: the batch with its verdicts, as written by the import."""
+        return self.stored("boleta_staging", lambda: self.validated)
+
     @cached_property
     def ingest(self) -> "ingest.IngestResult":
-        return ingest.ingest(self.validated, self.fundos, self.classes, fx.prior_title_keys(self.titulos),
+        return ingest.ingest(self.staging, self.fundos, self.classes, fx.prior_title_keys(self.titulos),
                              fx.prior_counterparties(self.t, "cedente"), fx.prior_counterparties(self.t, "sacado"))
 
     # --- closes -----------------------------------------------------------------------------
@@ -103,12 +132,17 @@ class Ctx:
         return fx.cotistas(self.t)
 
     @cached_property
-    def closes(self) -> DataFrame:
+    def computed_closes(self) -> DataFrame:
         """Every class closed at every grid date (version 1, no prior closes)."""
         inputs = closing.close_inputs(self.grid, self.titulos_status, self.movimento_caixa, self.cota_movimento,
                                       self.params, self.calendar)
         return closing.close_grid(inputs, self.calendar)
 
+    @cached_property
+    def closes(self) -> DataFrame:
+        """The stored closes table (apuracao.fechamento)."""
+        return self.stored("fechamento", lambda: self.computed_closes)
+
     # --- access review ----------------------------------------------------------------------
     @cached_property
     def perfis(self) -> DataFrame:

@@ -88,17 +88,17 @@ def q_boleta_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_boleta_rejection_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rejected lines of the batch."""
-    return validation.rejections(Ctx(spark, sf_dir).validated)
+    return validation.rejections(Ctx(spark, sf_dir).staging)
 
 
 def q_batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals, uniform date and fund of the batch."""
-    return validation.batch_summary(Ctx(spark, sf_dir).validated)
+    return validation.batch_summary(Ctx(spark, sf_dir).staging)
 
 
 def q_rejection_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First 20 rejections by line."""
-    return validation.rejection_sample(Ctx(spark, sf_dir).validated, 20)
+    return validation.rejection_sample(Ctx(spark, sf_dir).staging, 20)
 
 
 def q_counterparty_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +120,7 @@ def q_acquisition_cash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_batch_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batch counters including inserted rows and ignored duplicates."""
     c = Ctx(spark, sf_dir)
-    return ingest.batch_result(c.validated, c.ingest.titles)
+    return ingest.batch_result(c.staging, c.ingest.titles)
 
 
 # --- ledgers, events, investors -------------------------------------------------------------------
@@ -152,7 +152,8 @@ def q_price_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_title_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Current status of every receivable after its events."""
     c = Ctx(spark, sf_dir)
-    return c.titulos_status.select("identificador_externo", "fundo_id", "classe_id", "data_aquisicao",
+    status, _ = ledger.apply_title_events(c.titulos, c.eventos)
+    return status.select("identificador_externo", "fundo_id", "classe_id", "data_aquisicao",
                                    "situacao", "n_eventos")
 
 
@@ -174,7 +175,7 @@ def q_position_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_close_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """NAV, provision, unit price and return of every class at every close date."""
-    return Ctx(spark, sf_dir).closes
+    return Ctx(spark, sf_dir).computed_closes
 
 
 def q_close_list(spark: SparkSession, sf_dir: str) -> DataFrame:
