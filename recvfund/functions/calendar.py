@@ -61,7 +61,8 @@ def with_business_days(df: DataFrame, d_ini: str, d_fim: str, out: str, calendar
     b = F.broadcast(calendar.select(F.col("data").alias("_cf_d"), F.col("du_acumulado").alias("_cf_c")))
     diff = F.col("_cf_c") - F.col("_ci_c")
     if floor_zero:
-        diff = F.greatest(diff, F.lit(0))
+        # greatest() skips nulls, so floor only when both lookups hit
+        diff = F.when(diff.isNotNull(), F.greatest(diff, F.lit(0)))
     value = F.coalesce(diff, business_days_fallback(F.col(d_ini), F.col(d_fim)))
     return (
         df.join(a, F.col(d_ini) == F.col("_ci_d"), "left")
