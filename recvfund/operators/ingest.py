@@ -132,6 +132,6 @@ def batch_result(validated: DataFrame, inserted: DataFrame) -> DataFrame:
     )
 
 
-def latest_batches(lotes: DataFrame, n: int = 100) -> DataFrame:
+def latest_batches(lotes: DataFrame, n: int = 100, newest_first: str = "iniciado_em", tie: str = "lote_id") -> DataFrame:
     """Newest ``n`` batches (top-n, TakeOrderedAndProject)."""
-    return lotes.orderBy(F.col("iniciado_em").desc(), F.col("lote_id")).limit(n)
+    return lotes.orderBy(F.col(newest_first).desc(), F.col(tie)).limit(n)

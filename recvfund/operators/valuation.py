@@ -190,4 +190,5 @@ def receivable_list(titles: DataFrame, situacao: str | None = None, limit: int =
 def implied_rate(vf: Column, va: Column, du_total: Column) -> Column:
     """Annual cession rate (%) implied by face/acquisition value over du_total days."""
     rate = (F.pow(vf.cast("double") / va.cast("double"), F.lit(252.0) / du_total.cast("double")) - 1) * 100
-    return F.when(du_total > 0, rate.cast(T.DecimalType(12, 6)))
+    # the rate column is decimal(12,6): rates beyond it (terms of a few days) are null, not an error
+    return F.when(du_total > 0, rate.try_cast(T.DecimalType(12, 6)))

@@ -701,3 +701,22 @@ _ins_f = VIEWS["fx_titulo_inserido"][1].replace("from fx_boleta_val v", "from fx
     f"'{LOTE_ID}' as lote_id,", "v.lote,")
 _view("fx_titulo_inserido_f", ["fx_boleta_val_f", "fx_fundo", "fx_classe", "fx_titulo"], _ins_f)
 SQL["stream_title_insert"] = with_views("select * from fx_titulo_inserido_f", "fx_titulo_inserido_f")
+
+SQL["latest_batches"] = with_views("""
+select lote, count(*) as linhas_total, count(*) filter (where valido) as linhas_aceitas,
+       count(*) filter (where not valido) as linhas_rejeitadas,
+       case when count(distinct data_aquisicao) filter (where valido) = 1
+            then cast(min(data_aquisicao) filter (where valido) as date) end as data_referencia,
+       case when count(distinct fundo_cnpj) filter (where valido) = 1
+            then min(fundo_cnpj) filter (where valido) end as fundo_cnpj
+from fx_boleta_val_f group by lote order by lote desc limit 100""", "fx_boleta_val_f")
+
+SQL["implied_rate"] = with_views("""
+select identificador_externo, du_total,
+       case when du_total > 0 then try_cast((pow(cast(valor_face as double) / cast(valor_aquisicao as double), 252.0 / du_total) - 1) * 100
+                                        as decimal(12,6)) end as taxa_implicita_aa
+from (select t.identificador_externo, t.valor_face, t.valor_aquisicao,
+             cast(greatest(cv.du_acumulado - ca.du_acumulado, 0) as bigint) as du_total
+      from fx_titulo t
+      left join fx_calendario ca on ca.data = t.data_aquisicao
+      left join fx_calendario cv on cv.data = t.data_vencimento) x""", "fx_titulo", "fx_calendario")

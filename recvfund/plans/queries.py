@@ -313,6 +313,34 @@ def q_stream_title_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conta_liquidacao", "situacao", F.col("mes_aquisicao").cast("string").alias("mes_aquisicao")))
 
 
+def q_latest_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batch log of the monthly files (one batch per file), newest 100."""
+    c = Ctx(spark, sf_dir)
+    raw = c.boleta_raw.withColumn("lote", F.concat(F.lit("L"), F.substring("data_aquisicao", 1, 7)))
+    # duplicate scope is the file; first occurrence by global line = first by per-file line
+    v = validation.validate(validation.normalize(raw), c.fundos, c.classes, file_key="lote")
+    log = validation.batch_summary(v, ["lote"])
+    return ingest.latest_batches(log, 100, newest_first="lote", tie="lote")
+
+
+def q_implied_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annual cession rate implied by face value, acquisition value and business days."""
+    c = Ctx(spark, sf_dir)
+    t = with_business_days(c.titulos, "data_aquisicao", "data_vencimento", "du_total", c.calendar)
+    return _longs(t.select("identificador_externo", "du_total",
+                           valuation.implied_rate(F.col("valor_face"), F.col("valor_aquisicao"), F.col("du_total"))
+                           .alias("taxa_implicita_aa")))
+
+
+def q_close_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One audit record per close with its after-image as JSON (partitioned by month on write)."""
+    c = Ctx(spark, sf_dir)
+    cl = c.closes
+    return access.audit_rows(cl, "FECHAMENTO_EXECUTADO", "apuracao.fechamento", closing.close_id(cl),
+                             ["classe_id", "data_referencia", "versao", "pl_liquido", "valor_cota"],
+                             at=F.col("data_referencia").cast("timestamp"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "business_days": q_business_days,
     "pdd_band": q_pdd_band,
@@ -349,4 +377,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "permission_check": q_permission_check,
     "boleta_csv_validation": q_boleta_csv_validation,
     "stream_title_insert": q_stream_title_insert,
+    "latest_batches": q_latest_batches,
+    "implied_rate": q_implied_rate,
+    "close_audit": q_close_audit,
 }
