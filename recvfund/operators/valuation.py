@@ -81,9 +81,11 @@ def _grid_index(grid_dates: DataFrame, calendar: DataFrame):
     cal = (
         calendar.join(F.broadcast(gi), "data", "left")
         .withColumn("g_before", F.coalesce(F.count("gidx").over(before), F.lit(0)))
-        .select("data", "du_acumulado", "ultimo_du", "g_before")
+        .select("data", "du_acumulado", "ultimo_du", "g_before", "gidx")
     )
-    return gi, cal
+    # close dates with their cumulative business-day count: one lookup per exploded row
+    gi = cal.where(F.col("gidx").isNotNull()).select("gidx", "data", F.col("du_acumulado").alias("_cd"))
+    return gi, cal.drop("gidx")
 
 
 def class_marking(titles: DataFrame, grid: DataFrame, calendar: DataFrame, bands=None) -> DataFrame:
@@ -112,7 +114,6 @@ def class_marking(titles: DataFrame, grid: DataFrame, calendar: DataFrame, bands
         .select("classe_id", "valor_face", "valor_aquisicao", "du_total", "_cv",
                 F.explode(F.sequence(F.col("_lo"), F.col("_hi") - 1)).alias("gidx"))
         .join(F.broadcast(gi), "gidx")
-        .join(cal_b.select("data", F.col("du_acumulado").alias("_cd")), "data")
         .withColumn("_vp", accrual_value(F.col("valor_face"), F.col("valor_aquisicao"),
                                          F.col("_cv") - F.col("_cd"), F.col("du_total")))
         .groupBy("classe_id", "data")

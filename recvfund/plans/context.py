@@ -41,6 +41,18 @@ class Ctx:
         self.sf_dir = sf_dir.rstrip("/")
         self.t = Tables(spark, sf_dir)
 
+    def stored_path(self, name: str, write) -> str:
+        """Folder of the stored files ``name``, written by ``write(path)`` on first use."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, "files:" + name)
+        with _LOCK:
+            path = _STORE.get(key)
+            if path is None:
+                tag = hashlib.sha1(f"{key[0]}|{key[1]}".encode()).hexdigest()[:12]
+                path = f"{checkpoint_dir(self.spark).rstrip('/')}/recvfund-store-{tag}/{name}"
+                write(path)
+                _STORE[key] = path
+        return path
+
     def stored(self, name: str, build) -> DataFrame:
         """Read the stored table ``name``, writing it from ``build()`` on first use."""
         key = (self.spark.sparkContext.applicationId, self.sf_dir, name)

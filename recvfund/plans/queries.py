@@ -274,11 +274,10 @@ def q_permission_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- files and streams ------------------------------------------------------------------------------
 
 def _write_monthly_files(c: Ctx) -> str:
-    """The derived boleta batch written as one ';' CSV file per acquisition month."""
-    path = work_dir(c.spark, "boletas") + "/entrada"
+    """The received files: the derived boleta batch as one ';' CSV file per acquisition
+    month, written once per application (like the other stored inputs)."""
     raw = c.boleta_raw.withColumn("lote", F.concat(F.lit("L"), F.substring("data_aquisicao", 1, 7)))
-    write_boleta_files(raw, path, "lote")
-    return path
+    return c.stored_path("boleta_arquivos", lambda path: write_boleta_files(raw, path, "lote"))
 
 
 def _lote_from_path() -> F.Column:
