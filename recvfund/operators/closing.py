@@ -160,3 +160,8 @@ def overview(closes: DataFrame, fundos: DataFrame, classes: DataFrame) -> DataFr
                 F.col("k.valor_cota").alias("valor_cota"), F.col("k.rentabilidade_dia").alias("rentabilidade_dia"),
                 F.col("k.qtd_ativos").alias("qtd_ativos"), "n_fechamentos_recentes", "inicio_janela")
     )
+
+
+def get_close(closes: DataFrame, fechamento_id: str) -> DataFrame:
+    """one close by id (empty when missing)."""
+    return closes.where(close_id(closes) == F.lit(fechamento_id))

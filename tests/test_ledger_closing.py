@@ -3,6 +3,8 @@ from datetime import date
 from decimal import ROUND_HALF_EVEN, Decimal
 
 from recvfund.functions.calendar import build_calendar
+from pyspark.sql import functions as F
+
 from recvfund.operators import access, closing, orders, registry, report
 from recvfund import constants as K
 
@@ -130,3 +132,37 @@ def test_investor_registry_rules(spark):
     existing = spark.createDataFrame([("11111111111",)], "documento string")
     got = {r.ordem: r.resultado for r in registry.register_investors(reqs, existing).collect()}
     assert got == {1: "OK", 2: K.MSG_COTISTA_DUP, 3: K.MSG_COTISTA_DOC, 4: K.MSG_COTISTA_NOME, 5: "OK", 6: K.MSG_COTISTA_DUP}
+
+
+def test_fund_and_class_registry(spark):
+    funds = spark.createDataFrame([(1, "12.345.678/0001-90", "Fundo A"), (2, "123", "B"), (3, "98765432000199", " "),
+                                   (4, "12345678000190", "Fundo A bis"), (5, "11111111000111", "Fundo C")],
+                                  "ordem long, cnpj string, nome string")
+    existing = spark.createDataFrame([("11111111000111",)], "cnpj string")
+    got = {r.ordem: r.resultado for r in registry.register_funds(funds, existing).collect()}
+    assert got == {1: "OK", 2: K.MSG_FUNDO_CNPJ, 3: K.MSG_FUNDO_NOME, 4: K.MSG_FUNDO_DUP, 5: K.MSG_FUNDO_DUP}
+    known_funds = spark.createDataFrame([(1,)], "fundo_id int")
+    known_classes = spark.createDataFrame([(1, "MEZ")], "fundo_id int, codigo string")
+    reqs = spark.createDataFrame(
+        [(1, 1, " senior ", "SENIOR"), (2, 1, "", "SENIOR"), (3, 1, "sub", "OUTRO"), (4, 9, "x", "SENIOR"),
+         (5, 1, "mez", "MEZANINO"), (6, 1, "SENIOR", "SUBORDINADA")],
+        "ordem long, fundo_id int, codigo string, tipo string").withColumn("nome", F.lit("n")) \
+        .withColumn("vigencia_inicio", F.lit(date(2026, 1, 1))).withColumn("taxa_administracao_aa", F.lit(Decimal("1.5")))
+    res, params = registry.register_classes(reqs, known_funds, known_classes)
+    got = {r.ordem: r.resultado for r in res.collect()}
+    assert got == {1: "OK", 2: K.MSG_CLASSE_COD, 3: K.MSG_CLASSE_TIPO, 4: K.MSG_CLASSE_FUNDO, 5: K.MSG_CLASSE_DUP,
+                   6: K.MSG_CLASSE_DUP}
+    assert params.count() == 1
+
+
+def test_report_export_and_get_close(spark, tmp_path):
+    from recvfund.sources.sinks import export_report_csv
+
+    cal = build_calendar(spark, "2025-01-01", "2027-12-31")
+    rows = [("c", 1, date(2026, 3, 31), 1, Decimal("100.00"), Decimal(0), Decimal(0), Decimal("0.00"), Decimal("100"), Decimal(0))]
+    closes = closing.close_grid(_inputs(spark, rows), cal)
+    cid = closes.select(closing.close_id(closes)).first()[0]
+    assert closing.get_close(closes, cid).count() == 1 and closing.get_close(closes, "x").count() == 0
+    export_report_csv({"composicao": closes.select("classe_id", "data_referencia", "pl_liquido", "valor_cota")}, str(tmp_path))
+    back = spark.read.option("sep", ";").option("header", "true").csv(str(tmp_path / "composicao")).collect()
+    assert len(back) == 1 and back[0].pl_liquido == "100.00"
