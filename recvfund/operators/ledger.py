@@ -66,6 +66,17 @@ def investor_positions(units: DataFrame, as_of: str) -> DataFrame:
     )
 
 
+def investor_balance(units: DataFrame, as_of: str) -> DataFrame:
+    """Signed units per (class, investor) with date <= as_of, whatever the sign
+    (the balance the redemption guard reads)."""
+    d = F.lit(as_of).cast("date")
+    return (
+        signed_units(units).where(F.col("data") <= d)
+        .groupBy("classe_id", "cotista_id")
+        .agg(F.sum("delta").cast(UNITS).alias("saldo_cotas"))
+    )
+
+
 def latest_price_per_date(closes: DataFrame) -> DataFrame:
     """Closes with a price: highest version per (class, date)."""
     return (

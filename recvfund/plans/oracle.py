@@ -720,3 +720,41 @@ from (select t.identificador_externo, t.valor_face, t.valor_aquisicao,
       from fx_titulo t
       left join fx_calendario ca on ca.data = t.data_aquisicao
       left join fx_calendario cv on cv.data = t.data_vencimento) x""", "fx_titulo", "fx_calendario")
+
+SQL["investor_balance"] = with_views(f"""
+select classe_id, cotista_id, cast(sum(case when tipo = 'EMISSAO' then quantidade else -quantidade end) as decimal(28,12)) as saldo_cotas
+from fx_cota_movimento where data <= date '{POSITION_DATE}' group by classe_id, cotista_id""", "fx_cota_movimento")
+
+SQL["fund_registry"] = with_views(f"""
+select ordem, cnpj, nome, resultado, case when resultado = 'OK' then sha256('fundo|' || cnpj) end as id
+from (select ordem, cnpj, nome,
+             coalesce(case when res0 is null and ordem > min(case when res0 is null then ordem end) over (partition by cnpj)
+                           then {_q(K.MSG_FUNDO_DUP)} else res0 end, 'OK') as resultado
+      from (select r.*, case when length(cnpj) <> 14 then {_q(K.MSG_FUNDO_CNPJ)} when nome = '' then {_q(K.MSG_FUNDO_NOME)}
+                             when cnpj in (select cnpj from fx_fundo) then {_q(K.MSG_FUNDO_DUP)} end as res0
+            from (select cast(n_nationkey as bigint) as ordem,
+                         regexp_replace(substr(c, 1, 8) || '/' || substr(c, 9, 6), '\\D', '', 'g') as cnpj,
+                         regexp_replace(case when n_nationkey % 6 = 5 then ' ' else n_name end, '^\\s+|\\s+$', '', 'g') as nome
+                  from (select *, cast(10000000000000 + n_nationkey % 7 as varchar) as c from nation) n) r) v) w""", "fx_fundo")
+
+SQL["class_registry"] = with_views(f"""
+select ordem, fundo_id, codigo, tipo, resultado,
+       case when resultado = 'OK' then sha256(cast(fundo_id as varchar) || '|' || codigo) end as classe_id
+from (select ordem, fundo_id, codigo, tipo,
+             coalesce(case when res0 is null and ordem > min(case when res0 is null then ordem end) over (partition by fundo_id, codigo)
+                           then {_q(K.MSG_CLASSE_DUP)} else res0 end, 'OK') as resultado
+      from (select r.ordem, cast(r.fundo_id as bigint) as fundo_id, r.codigo, r.tipo,
+                   case when r.codigo = '' then {_q(K.MSG_CLASSE_COD)}
+                        when r.tipo not in ('SENIOR', 'MEZANINO', 'SUBORDINADA') then {_q(K.MSG_CLASSE_TIPO)}
+                        when r.fundo_id not in (select fundo_id from fx_fundo) then {_q(K.MSG_CLASSE_FUNDO)}
+                        when exists (select 1 from fx_classe k where k.fundo_id = r.fundo_id and k.codigo = r.codigo) then {_q(K.MSG_CLASSE_DUP)}
+                   end as res0
+            from (select cast(dense_rank() over (order by fundo_id, codigo_raw) as bigint) as ordem, fundo_id,
+                         upper(regexp_replace(codigo_raw, '^\\s+|\\s+$', '', 'g')) as codigo, tipo
+                  from (select fundo_id, lower(codigo) as codigo_raw,
+                               case codigo when 'AUTOMOBILE' then 'SENIOR' when 'BUILDING' then 'MEZANINO'
+                                           when 'MACHINERY' then 'OUTRO' else 'SUBORDINADA' end as tipo
+                        from fx_classe
+                        union all
+                        select fundo_id, ' nova' || cast(fundo_id as varchar), 'SENIOR' from fx_fundo) q) r) v) w""",
+                                    "fx_classe", "fx_fundo")

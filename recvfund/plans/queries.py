@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -340,6 +340,38 @@ def q_close_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
                              at=F.col("data_referencia").cast("timestamp"))
 
 
+def q_investor_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every investor's unit balance at the position date (any sign)."""
+    return ledger.investor_balance(Ctx(spark, sf_dir).cota_movimento, POSITION_DATE)
+
+
+def q_fund_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Register one fund per nation (formatted CNPJ, name); the regions' funds already exist."""
+    c = Ctx(spark, sf_dir)
+    n = c.t.nation
+    cnpj = (F.lit(fx.CNPJ_BASE) + F.col("n_nationkey") % 7).cast("string")
+    reqs = n.select(F.col("n_nationkey").cast("long").alias("ordem"),
+                    F.concat(F.substring(cnpj, 1, 8), F.lit("/"), F.substring(cnpj, 9, 6)).alias("cnpj"),
+                    F.when(F.col("n_nationkey") % 6 == 5, F.lit(" ")).otherwise(F.col("n_name")).alias("nome"))
+    return registry.register_funds(reqs, c.fundos).select("ordem", "cnpj", "nome", "resultado", "id")
+
+
+def q_class_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Register each known class again under its lower-case code, plus one new code per fund."""
+    c = Ctx(spark, sf_dir)
+    tipo = F.when(F.col("codigo") == "AUTOMOBILE", "SENIOR").when(F.col("codigo") == "BUILDING", "MEZANINO") \
+        .when(F.col("codigo") == "MACHINERY", "OUTRO").otherwise("SUBORDINADA")
+    again = c.classes.select(F.col("fundo_id"), F.lower("codigo").alias("codigo"), tipo.alias("tipo"))
+    new = c.fundos.select(F.col("fundo_id"), F.concat(F.lit(" nova"), F.col("fundo_id").cast("string")).alias("codigo"),
+                          F.lit("SENIOR").alias("tipo"))
+    # request order over the class dimension (one row per class: bounded)
+    reqs = again.unionByName(new).withColumn("ordem", F.dense_rank().over(Window.orderBy("fundo_id", "codigo")).cast("long")) \
+        .withColumn("nome", F.col("codigo")).withColumn("vigencia_inicio", F.lit("2026-01-01").cast("date")) \
+        .withColumn("taxa_administracao_aa", F.lit("1.5").cast("decimal(9,6)"))
+    res, _ = registry.register_classes(reqs, c.fundos, c.classes)
+    return _longs(res.select("ordem", "fundo_id", "codigo", "tipo", "resultado", "classe_id"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "business_days": q_business_days,
     "pdd_band": q_pdd_band,
@@ -379,4 +411,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "latest_batches": q_latest_batches,
     "implied_rate": q_implied_rate,
     "close_audit": q_close_audit,
+    "investor_balance": q_investor_balance,
+    "fund_registry": q_fund_registry,
+    "class_registry": q_class_registry,
 }
