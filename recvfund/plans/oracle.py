@@ -758,3 +758,16 @@ from (select ordem, fundo_id, codigo, tipo,
                         union all
                         select fundo_id, ' nova' || cast(fundo_id as varchar), 'SENIOR' from fx_fundo) q) r) v) w""",
                                     "fx_classe", "fx_fundo")
+
+SQL["title_status_asof"] = with_views(f"""
+select t.identificador_externo, t.fundo_id, t.classe_id, t.data_aquisicao, coalesce(s.situacao, 'ATIVO') as situacao,
+       cast(coalesce(s.n_eventos, 0) as bigint) as n_eventos
+from fx_titulo t
+left join (
+  select fundo_id, identificador_externo,
+         arg_max(case tipo when 'PAGAMENTO' then 'LIQUIDADO' when 'BAIXA' then 'BAIXADO' else 'RECOMPRADO' end,
+                 data_evento::varchar || tipo) as situacao,
+         count(*) as n_eventos
+  from fx_evento where tipo in ('PAGAMENTO', 'BAIXA', 'RECOMPRA') and data_evento <= date '{MARK_DATE}'
+  group by fundo_id, identificador_externo) s
+on s.fundo_id = t.fundo_id and s.identificador_externo = t.identificador_externo""", "fx_titulo", "fx_evento")

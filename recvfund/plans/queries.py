@@ -372,6 +372,13 @@ def q_class_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _longs(res.select("ordem", "fundo_id", "codigo", "tipo", "resultado", "classe_id"))
 
 
+def q_title_status_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1/L8 as-of variant: status of every receivable from the events on or before the mark date."""
+    c = Ctx(spark, sf_dir)
+    status, _ = ledger.apply_title_events(c.titulos, c.eventos, as_of=MARK_DATE)
+    return status.select("identificador_externo", "fundo_id", "classe_id", "data_aquisicao", "situacao", "n_eventos")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "business_days": q_business_days,
     "pdd_band": q_pdd_band,
@@ -414,4 +421,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "investor_balance": q_investor_balance,
     "fund_registry": q_fund_registry,
     "class_registry": q_class_registry,
+    "title_status_asof": q_title_status_asof,
 }
