@@ -34,13 +34,11 @@ def close_inputs(grid: DataFrame, titles: DataFrame, cash: DataFrame, units: Dat
     """Per (class, date): marking totals, cash, units and the fee in force."""
     keys = grid.select("classe_id", "fundo_id", "data")
     mark = valuation.class_marking(titles, keys, calendar)
-    cx = ledger.cash_balance(keys.select("classe_id", "data"), cash)
-    un = ledger.unit_balance(keys.select("classe_id", "data"), units)
+    bal = ledger.ledger_balances(keys.select("classe_id", "data"), cash, units)
     fee = param_asof(keys.select("classe_id", "data"), params)
     return (
         keys.join(mark, ["classe_id", "data"], "left")
-        .join(cx, ["classe_id", "data"], "left")
-        .join(un, ["classe_id", "data"], "left")
+        .join(bal, ["classe_id", "data"], "left")
         .join(fee.select("classe_id", "data", "taxa_administracao_aa"), ["classe_id", "data"], "left")
     )
 

@@ -52,6 +52,29 @@ def unit_balance(grid: DataFrame, units: DataFrame) -> DataFrame:
     return balances_asof(grid, signed_units(units), "delta", "quantidade_cotas", out_type=UNITS)
 
 
+def ledger_balances(grid: DataFrame, cash: DataFrame, units: DataFrame) -> DataFrame:
+    """L1 + L2 in one pass: cash and units outstanding as of each grid date
+    (one shuffle and one running window for both ledgers)."""
+    c = cash.select("classe_id", "data", F.col("valor").cast(MONEY).alias("_c"), F.lit(None).cast(UNITS).alias("_u"))
+    u = signed_units(units).select("classe_id", "data", F.lit(None).cast(MONEY).alias("_c"),
+                                   F.col("delta").cast(UNITS).alias("_u"))
+    daily = c.unionByName(u).groupBy("classe_id", "data").agg(F.sum("_c").alias("_c"), F.sum("_u").alias("_u")) \
+        .withColumn("_g", F.lit(0))
+    g = grid.select("classe_id", "data").distinct().select(
+        "classe_id", "data", F.lit(None).cast(daily.schema["_c"].dataType).alias("_c"),
+        F.lit(None).cast(daily.schema["_u"].dataType).alias("_u"), F.lit(1).alias("_g"))
+    w = Window.partitionBy("classe_id").orderBy("data", "_g").rowsBetween(Window.unboundedPreceding, 0)
+    res = (
+        daily.unionByName(g)
+        .select("classe_id", "data", "_g",
+                F.coalesce(F.sum("_c").over(w), F.lit(0)).cast(MONEY).alias("caixa"),
+                F.coalesce(F.sum("_u").over(w), F.lit(0)).cast(UNITS).alias("quantidade_cotas"))
+        .where(F.col("_g") == 1)
+        .drop("_g")
+    )
+    return grid.join(res, ["classe_id", "data"], "left")
+
+
 def investor_positions(units: DataFrame, as_of: str) -> DataFrame:
     """Per (class, investor) signed units with date <= as_of, kept when > 0.
 
