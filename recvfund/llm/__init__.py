@@ -1 +1,8 @@
 """Operators for large-scale training-data pipelines. Nothing outside this subpackage imports it."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# functions travel to the executors whole, so these need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
