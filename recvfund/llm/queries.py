@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, mixing, packing, quality, secret_scans, simhash, topk, urls
+from . import licenses, mixing, packing, quality, secret_scans, simhash, topk, toxicity, urls
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_digest(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -41,4 +45,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scans, op3_simhash_dedup, op5_packing, op6_topk_search, op7_secret_scans, op8_quality_rules, op9_url_filters, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_license_scans, op2_toxicity, op3_simhash_dedup, op5_packing, op6_topk_search, op7_secret_scans, op8_quality_rules, op9_url_filters, op10_mixing)}

@@ -53,7 +53,7 @@ def domain_of(host: Column) -> tuple[Column, Column]:
 
 
 def _strength(groups: DataFrame) -> Column:
-    """Prior strength by moments: how far the groups' rates (k of n) differ beyond what chance gives."""
+    """Prior strength by moments: how far the groups' rates (k of n) differ beyond what chance gives. Null without groups."""
     n, g = F.sum("n"), F.count(F.lit(1))
     p = (F.sum("k") + 0.5) / (n + 1.0)
     chance = p * (1 - p)
@@ -63,8 +63,8 @@ def _strength(groups: DataFrame) -> Column:
     return F.least(F.lit(MOST_STRENGTH), F.greatest(F.lit(LEAST_STRENGTH), F.when(rho > 0, (1 - rho) / rho).otherwise(MOST_STRENGTH)))
 
 
-def host_reputation(outcomes: DataFrame, z: float = Z) -> DataFrame:
-    """Per host: ``host, n, k, mean, low`` from ``outcomes`` (``host, bad``), and one row with a null host: the prior for hosts without outcomes.
+def host_reputation(outcomes: DataFrame, z: float = Z) -> tuple[DataFrame, float]:
+    """Per host: ``host, n, k, mean, low`` from ``outcomes`` (``host, bad``); and the lower bound for hosts without outcomes.
 
     Counts are summed before anything is joined, so no host's pages meet in one task.
     """
@@ -73,29 +73,26 @@ def host_reputation(outcomes: DataFrame, z: float = Z) -> DataFrame:
     hosts = kept(hosts.withColumns({"domain": domain, "suffix": suffix}))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    top = suffixes.agg(((F.coalesce(F.sum("k"), F.lit(0.0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0.0)) + 1.0)).alias("overall"), _strength(suffixes).alias("s_suffix"))
-    fits = [f.agg(_strength(f).alias(name)).withColumn("one", F.lit(1)) for f, name in ((domains, "s_domain"), (hosts, "s_host"))]
-    priors = top.withColumn("one", F.lit(1)).join(fits[0], "one").join(fits[1], "one")  # one row each
-    mean = lambda above, s: (F.col("k") + F.col(s) * F.col(above)) / (F.col("n") + F.col(s))
-    one = F.lit(1).alias("one")
-    suffixes = suffixes.select("*", one).join(priors, "one").select("suffix", "s_domain", "s_host", "overall", mean("overall", "s_suffix").alias("m_suffix"))
-    domains = domains.join(suffixes, "suffix").select("domain", "suffix", "s_host", "overall", mean("m_suffix", "s_domain").alias("m_domain"))
-    a, b = F.col("k") + F.col("s_host") * F.col("m_domain"), F.col("n") - F.col("k") + F.col("s_host") * (1 - F.col("m_domain"))
+    # one row each reaches the driver: the overall rate and the three priors' strengths
+    overall, s_suffix = suffixes.agg(((F.coalesce(F.sum("k"), F.lit(0.0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0.0)) + 1.0)).alias("overall"), _strength(suffixes).alias("s")).first()
+    s_domain, s_host = (f.agg(_strength(f).alias("s")).first()["s"] or LEAST_STRENGTH for f in (domains, hosts))
+    mean = lambda above, s: (F.col("k") + s * above) / (F.col("n") + s)
+    suffixes = suffixes.select("suffix", mean(F.lit(overall), s_suffix or LEAST_STRENGTH).alias("m_suffix"))
+    domains = domains.join(suffixes, "suffix").select("domain", "suffix", mean(F.col("m_suffix"), s_domain).alias("m_domain"))
+    a, b = F.col("k") + s_host * F.col("m_domain"), F.col("n") - F.col("k") + s_host * (1 - F.col("m_domain"))
     sd = F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
     known = hosts.join(domains, ["domain", "suffix"]).select("host", "n", "k", (a / (a + b)).alias("mean"), F.greatest(F.lit(0.0), a / (a + b) - z * sd).alias("low"))
-    p0, s0 = F.col("overall"), F.coalesce("s_host", F.lit(LEAST_STRENGTH))
-    prior = priors.select(F.lit(None).cast("string").alias("host"), F.lit(0.0).alias("n"), F.lit(0.0).alias("k"), p0.alias("mean"), F.greatest(F.lit(0.0), p0 - z * F.sqrt(p0 * (1 - p0) / (s0 + 1))).alias("low"))
-    return known.unionByName(prior)
+    low = max(0.0, overall - z * (overall * (1 - overall) / (s_host + 1)) ** 0.5)
+    return known, low
 
 
 def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]] = RULES, max_bad_rate: float = MAX_BAD_RATE) -> DataFrame:
     """Per page: ``page_id, host, path, rule, verdict``. ``outcomes``: ``host, bad`` (0 or 1), a row a labelled page."""
     host, path = url_parts(F.col("url"))
     parts = pages.select("page_id", host.alias("host"), path.alias("path"))
-    bad_hosts = kept(host_reputation(outcomes).select(F.col("host").alias("its_host"), (F.col("low") > max_bad_rate).alias("bad")))
-    unknown = bad_hosts.filter("its_host is null and bad").limit(1).count() > 0  # one row
-    known = bad_hosts.filter("its_host is not null")
-    by_host = F.when(F.coalesce("bad", F.lit(unknown)), "block").otherwise("allow")
+    reputation, unknown = host_reputation(outcomes)
+    known = kept(reputation.select(F.col("host").alias("its_host"), (F.col("low") > max_bad_rate).alias("bad")))
+    by_host = F.when(F.coalesce("bad", F.lit(unknown > max_bad_rate)), "block").otherwise("allow")
     at = rule_of(F.col("host"), F.col("path"), rules)
     named = parts.withColumn("at", at).join(known, F.col("host") == F.col("its_host"), "left")
     pick = lambda k: F.element_at(F.array(*[F.lit(r[k]) for r in rules]), F.col("at") + 1)
