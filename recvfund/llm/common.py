@@ -7,7 +7,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, work_dir
 
 #: A word of a plain text, and what stands between words: ASCII white space only.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -36,6 +36,13 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows from a Parquet table in the shared folder: smaller than a checkpoint, and read by column."""
+    path = work_dir(df.sparkSession, "llm")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def n_shards(df: DataFrame, rows_each: int) -> int:
     """How many shards of about ``rows_each`` rows hold ``df``."""
     return max(1, -(-df.count() // rows_each))

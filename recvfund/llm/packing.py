@@ -24,7 +24,7 @@ from .common import WORD, ascii_lower, kept, text_of, word_count
 
 CAPACITY = 2048
 SHARD_ROWS = 4096
-PACKED = "bin_id string, slot int, doc_id long, piece int, start long, n_words long, source string, cluster long, room long"
+PACKED = "bin_id string, slot int, doc_id string, piece int, start long, n_words long, source string, cluster long, room long"
 
 
 def best_fit(pieces: list[tuple[int, int, int]], capacity: int) -> tuple[list[int], list[int]]:
@@ -80,7 +80,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS
     ``start`` is the piece's first word in its document, ``room`` what its bin has left in the end.
     """
     plain = F.array_join(F.filter(F.split(ascii_lower(text_of()), r"[\x20\x09-\x0D]+"), lambda w: w != ""), " ")
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(text_of()).alias("words"), F.xxhash64(plain).alias("cluster"), *([text_of().alias("text")] if with_text else []))
+    sized = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(text_of()).alias("words"), F.xxhash64(plain).alias("cluster"), *([text_of().alias("text")] if with_text else []))
     sized = sized.filter("words > 0")
     sized = sized if with_text else kept(sized)
     shards = max(1, -(-(docs if with_text else sized).count() // shard_rows))
@@ -90,4 +90,5 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS
         words = F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})")), F.col("start").cast("int") + 1, F.col("n_words").cast("int"))
         pieces = pieces.withColumn("text", F.when(F.col("words") <= capacity, F.col("text")).otherwise(F.array_join(words, " ")))
     pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("int")).drop("words")
-    return pieces.groupBy("shard").applyInPandas(_packed(capacity), PACKED + (", text string" if with_text else ""))
+    out = pieces.groupBy("shard").applyInPandas(_packed(capacity), PACKED + (", text string" if with_text else ""))
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))  # a string inside, as pandas would make null ids floats

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, mixing, packing, quality, secret_scans, simhash, topk, toxicity, urls
+from . import licenses, mixing, packing, quality, secret_scans, simhash, suffixes, topk, toxicity, urls
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -45,4 +49,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scans, op2_toxicity, op3_simhash_dedup, op5_packing, op6_topk_search, op7_secret_scans, op8_quality_rules, op9_url_filters, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_license_scans, op2_toxicity, op3_simhash_dedup, op4_suffix_dedup, op5_packing, op6_topk_search, op7_secret_scans, op8_quality_rules, op9_url_filters, op10_mixing)}
