@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import kept, text_of, word_count
@@ -49,14 +49,9 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_epoch
     return s.select("source", "n_docs", "source_size", F.least("cap", F.col("weight") * F.coalesce("open_level", F.col("ratio"))).alias("target"))
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
-    """Per document: ``doc_id, source, size, source_size, target, taken`` (words taken, repeats counted).
-
-    The words taken of a source add up to the whole number of words in its target. The last document of the last epoch
-    is taken up to the budget's end.
-    """
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    sizes = kept(docs.select("doc_id", "source", word_count(text_of()).alias("size"), key.alias("key")))
+def _budgets(docs: DataFrame, weights: Sequence[int], max_epochs: int, rows_per_range: int) -> tuple[DataFrame, DataFrame]:
+    """The documents in their places (``before``: the words of their source ahead of them), and the sources' budgets."""
+    sizes = kept(docs.select("doc_id", "source", word_count(text_of()).alias("size"), _key().alias("key")))
     targets = source_targets(sizes, weights, max_epochs)
     targets = targets.select(
         F.col("source").alias("its_source"), "n_docs", "source_size", "target",
@@ -73,5 +68,36 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX
     inside = Window.partitionBy("source", "range").orderBy("key", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.join(starts, placed["source"].eqNullSafe(starts["its_source"]) & (placed["range"] == starts["its_range"]))
-    last = F.least("size", F.greatest(F.lit(0), F.col("rest") - F.col("start") - F.col("inside")))
+    return placed.withColumn("before", F.col("start") + F.col("inside")), targets
+
+
+def _key() -> Column:
+    return F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+
+
+def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """Per document: ``doc_id, source, size, source_size, target, taken`` (words taken, repeats counted).
+
+    The words taken of a source add up to the whole number of words in its target. The last document of the last epoch
+    is taken up to the budget's end.
+    """
+    placed, _ = _budgets(docs, weights, max_epochs, rows_per_range)
+    last = F.least("size", F.greatest(F.lit(0), F.col("rest") - F.col("before")))
     return placed.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("epochs") + last).cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, each as often as it is taken; a document at the budget's end stays whole.
+
+    A source's budget ends at one place of its order, so each row is judged by itself and no text is shuffled.
+    """
+    placed, targets = _budgets(docs, weights, max_epochs, rows_per_range)
+    place = lambda size: F.struct(_key().alias("key"), F.col("doc_id").alias("doc_id"), size.alias("size"))
+    ends = placed.filter((F.col("size") > 0) & (F.col("before") < F.col("rest"))).groupBy(F.col("source").alias("of")).agg(F.max(place(F.col("size"))).alias("end"))
+    cuts = targets.join(ends, targets["its_source"].eqNullSafe(ends["of"]), "left").select(F.col("its_source"), F.col("epochs"), F.col("end"))
+    name = next(f"cut{i or ''}" for i in range(len(docs.columns) + 1) if f"cut{i or ''}" not in docs.columns)
+    cuts = kept(cuts.select(F.struct(F.col("its_source").alias("source"), F.col("epochs"), F.col("end")).alias(name)))
+    rows = docs.join(cuts, docs["source"].eqNullSafe(F.col(f"{name}.source")))
+    size = word_count(text_of())
+    copies = F.when(size > 0, F.col(f"{name}.epochs") + F.coalesce((place(size) <= F.col(f"{name}.end")).cast("long"), F.lit(0))).otherwise(0)
+    return rows.withColumn(name, F.explode(F.array_repeat(F.lit(True), copies.cast("int")))).select(*docs.columns)

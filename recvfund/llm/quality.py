@@ -190,3 +190,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document: ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, anomaly``."""
     out = judged(docs.select("doc_id", "text"), fit_forest(docs, labels), "q")
     return out.select("doc_id", *[f"q.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")])
+
+
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the rules keep."""
+    name = next(f"q{i or ''}" for i in range(len(docs.columns) + 1) if f"q{i or ''}" not in docs.columns)
+    return judged(docs, fit_forest(docs, labels), name).filter(F.col(name)["kept"]).select(*docs.columns)

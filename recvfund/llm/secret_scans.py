@@ -139,3 +139,13 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 def redacted(text: Column) -> Column:
     """The text with each secret (overlapping spans as one) replaced by ``[SECRET]``; null stays null."""
     return F.pandas_udf(_redact, "string")(text)
+
+
+def without_secrets(docs: DataFrame) -> DataFrame:
+    """``docs`` with the secrets in ``text`` replaced; ``n_chars``, if there, follows a text that changed."""
+    name = next(f"new{i or ''}" for i in range(len(docs.columns) + 1) if f"new{i or ''}" not in docs.columns)
+    rows = docs.withColumn(name, redacted(F.col("text").cast("string")))
+    if "n_chars" in docs.columns:
+        changed = F.length("text").cast("long") != F.length(name)
+        rows = rows.withColumn("n_chars", F.when(changed, F.length(name).cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
+    return rows.withColumn("text", F.col(name)).select(*docs.columns)
