@@ -195,6 +195,8 @@ def _spans(rows: pd.DataFrame, starts: np.ndarray, owner: np.ndarray, dup: np.nd
     first = np.concatenate([[0], np.cumsum([len(b) for b in rows["bytes"]])])
     out = []
     hit = np.flatnonzero(dup)
+    if not len(hit):
+        return out
     hit = hit[np.argsort(owner[hit], kind="stable")]
     who, at = np.unique(owner[hit], return_index=True)
     for o, offsets in zip(who.tolist(), np.split(starts[hit], at[1:]), strict=True):
