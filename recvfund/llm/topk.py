@@ -10,7 +10,7 @@ in blocks, one block and one shard's tree at a time in memory; no query meets a
 Edge cases: a vector that is null, empty or holds a null or non-finite component takes no part, as query or as
 candidate; so does a null id. Only vectors of one length are compared. A query's own id is no candidate, however many
 rows have it; other repeated rows are candidates each. Ties go to the smaller id. Fewer candidates than k give all of
-them; an empty table gives an empty result. Other columns are ignored.
+them; a score beyond a long's range is given as the nearest long; an empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,12 +32,14 @@ QUERY_EVERY = 50
 SHARD_ROWS = 8192
 BLOCK_ROWS = 512
 LEAF_ROWS = 256
+LONG = (1 << 63) - 1
+MOST = float(1 << 54)  # a larger component has no long after scaling; its vector takes no part
 EXACT = float(1 << 52)  # float64 adds and multiplies integers exactly below
 
 
 def scaled(vector: Column) -> Column:
     """Integer components, null if the vector takes no part."""
-    sound = vector.isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(1e15)))
+    sound = vector.isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(MOST)))
     return F.when(sound, F.transform(vector, lambda x: F.floor(F.lit(float(SCALE)) * x.cast("double")).cast("long")))
 
 
@@ -124,7 +126,7 @@ def _searched(k: int):
             for tree, queries in zip(pdf["tree"], pdf["queries"], strict=True):
                 t, q = _unpack(tree), _unpack(queries)
                 out = [
-                    (int(i), -minus, score)
+                    (int(i), -minus, max(-LONG, min(LONG, score)))
                     for i, v, known, limit in zip(q["ids"], q["x"], q["known"], q["limit"], strict=True)
                     for score, minus in search(t, int(i), v, k, int(limit) if known else None)
                 ]
