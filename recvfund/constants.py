@@ -54,9 +54,6 @@ PDD_BANDS = [
     (181, "1.0000", "H"),
 ]
 
-# --- fixed values: national holidays that fall on the same day every year (MM-DD) ---
-FIXED_HOLIDAYS_MMDD = ["01-01", "04-21", "05-01", "09-07", "10-12", "11-02", "11-15", "11-20", "12-25"]
-
 # --- fixed values: dated holiday table seeded by the source application ---
 SEEDED_HOLIDAYS = [
     "2025-01-01", "2025-03-03", "2025-03-04", "2025-04-18", "2025-04-21", "2025-05-01",
@@ -77,7 +74,8 @@ PAR = "1.000000000000"
 # --- fixed values: title events ---
 EVENT_STATUS = {"PAGAMENTO": "LIQUIDADO", "BAIXA": "BAIXADO", "RECOMPRA": "RECOMPRADO"}
 EVENT_CASH_KINDS = ["PAGAMENTO", "RECOMPRA"]
-TITLE_EVENT_KINDS = ["PAGAMENTO", "PAGAMENTO_PARCIAL", "BAIXA", "RECOMPRA", "PRORROGACAO", "OUTRO"]
+TITLE_EVENT_KINDS = ["PAGAMENTO", "PAGAMENTO_PARCIAL", "BAIXA", "RECOMPRA", "ATRASO", "AJUSTE"]
+MSG_EVENTO_TIPO = "Tipo de evento inválido."
 MSG_EVENTO_NAO_ENCONTRADO = "Direito creditório não encontrado."
 MSG_EVENTO_AMBIGUO = "Identificador ambíguo (mais de um título). Refine a busca."
 
@@ -104,3 +102,5 @@ MSG_SEAL_SEALED = "Fechamento já está selado."
 
 # --- fixed values: order rejection ---
 MSG_SALDO_INSUFICIENTE = "Saldo insuficiente"
+MSG_ORDEM_CLASSE = "Classe não encontrada."
+MSG_ORDEM_COTISTA = "Cotista não encontrado."

@@ -1,8 +1,10 @@
 """Business-day calendar (C1), day counts (C2) and the out-of-range fallback.
 
-The calendar has one row per day of a bounded range (about 11 k rows for 30
-years), so it is a dimension of proven size and is broadcast to every join.
-The cumulative count turns "business days in (a, b]" into one subtraction.
+The calendar has one row per day between the first and the last date of the
+data (about 11 k rows for 30 years) and is broadcast to every join: a century
+is 36,525 rows. The cumulative count turns "business days in (a, b]" into one
+subtraction. Holidays are a table (``data``); without one, the rows that the
+source application is seeded with.
 """
 
 from __future__ import annotations
@@ -12,45 +14,51 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 
-DEFAULT_START = "1990-01-01"
-DEFAULT_END = "2010-12-31"
 
-
-def _is_business_day(d: Column, dated_holidays: list[str]) -> Column:
+def _is_business_day(d: Column, holidays: list[str]) -> Column:
     weekday = ~F.dayofweek(d).isin(1, 7)  # 1 = Sunday, 7 = Saturday
-    fixed = F.date_format(d, "MM-dd").isin(*K.FIXED_HOLIDAYS_MMDD)
-    dated = d.isin(*[F.lit(x).cast("date") for x in dated_holidays]) if dated_holidays else F.lit(False)
-    return weekday & ~fixed & ~dated
+    return weekday & ~d.isin(*[F.lit(x).cast("date") for x in holidays]) if holidays else weekday
 
 
-def build_calendar(spark: SparkSession, start: str = DEFAULT_START, end: str = DEFAULT_END,
-                   dated_holidays: list[str] | None = None) -> DataFrame:
+def build_calendar(spark: SparkSession, start: str, end: str, holidays: DataFrame | None = None) -> DataFrame:
     """(data, dia_util, du_acumulado, ultimo_du) for every day in [start, end].
 
     ``ultimo_du`` is the last business day on or before ``data``.
     """
-    hol = K.SEEDED_HOLIDAYS if dated_holidays is None else dated_holidays
+    if holidays is None:
+        holidays = spark.createDataFrame([(x,) for x in K.SEEDED_HOLIDAYS], "d string").select(F.col("d").cast("date").alias("data"))
     days = spark.range(1).select(
         F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))).alias("data")
     )
+    off = holidays.select(F.col("data").cast("date").alias("_off")).distinct()
     # single ordered pass over a bounded day range (not over the data)
     w = Window.orderBy("data").rowsBetween(Window.unboundedPreceding, 0)
     return (
-        days.withColumn("dia_util", _is_business_day(F.col("data"), hol))
+        days.join(off, F.col("data") == F.col("_off"), "left")
+        .withColumn("dia_util", ~F.dayofweek("data").isin(1, 7) & F.col("_off").isNull()).drop("_off")
         .withColumn("du_acumulado", F.sum(F.col("dia_util").cast("int")).over(w).cast("int"))
         .withColumn("ultimo_du", F.max(F.when(F.col("dia_util"), F.col("data"))).over(w))
     )
 
 
-def business_days_fallback(d_ini: Column, d_fim: Column, dated_holidays: list[str] | None = None) -> Column:
+def date_range(*columns: tuple[DataFrame, str]) -> tuple[str, str]:
+    """First and last date of several columns, as text: what a calendar has to cover (one row reaches the driver)."""
+    ends = [df.agg(F.min(c).cast("date").alias("a"), F.max(c).cast("date").alias("b")).first() for df, c in columns]
+    first, last = [r["a"] for r in ends if r["a"]], [r["b"] for r in ends if r["b"]]
+    if not first:
+        return "1970-01-01", "1970-01-31"  # no dates: any month will do
+    return min(first).isoformat(), max(last).isoformat()
+
+
+def business_days_fallback(d_ini: Column, d_fim: Column, holidays: list[str] | None = None) -> Column:
     """Count business days in (d_ini, d_fim] by enumeration; 0 when d_fim <= d_ini.
 
     Only used for dates outside the calendar range; the work per row is the
     number of days between the two dates.
     """
-    hol = K.SEEDED_HOLIDAYS if dated_holidays is None else dated_holidays
+    off = K.SEEDED_HOLIDAYS if holidays is None else holidays
     days = F.sequence(F.date_add(d_ini, 1), d_fim)
-    n = F.size(F.filter(days, lambda x: _is_business_day(x, hol)))
+    n = F.size(F.filter(days, lambda x: _is_business_day(x, off)))
     return F.when(d_fim > d_ini, n).otherwise(F.lit(0))
 
 

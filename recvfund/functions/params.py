@@ -17,14 +17,13 @@ PCT = T.DecimalType(6, 4)
 def param_asof(keys: DataFrame, params: DataFrame, key: str = "classe_id", date: str = "data") -> DataFrame:
     """C4: for each (key, date) the row with the latest start <= date whose end is open or >= date.
 
-    The parameter table is a small dimension (one row per class per effective
-    period) and is broadcast. Adds ``vigencia_inicio`` and ``taxa_administracao_aa``
+    The parameter table has one row per class and effective period. Adds ``vigencia_inicio`` and ``taxa_administracao_aa``
     (0 when no row applies).
     """
-    p = F.broadcast(params.select(
+    p = params.select(
         F.col("classe_id").alias("_p_key"), F.col("vigencia_inicio").alias("_p_ini"),
         F.col("vigencia_fim").alias("_p_fim"), F.col("taxa_administracao_aa").alias("_p_taxa"),
-    ))
+    )
     cond = (
         (F.col(key) == F.col("_p_key")) & (F.col("_p_ini") <= F.col(date))
         & (F.col("_p_fim").isNull() | (F.col("_p_fim") >= F.col(date)))

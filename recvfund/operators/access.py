@@ -1,48 +1,47 @@
 """Access review and audit trail.
 
-X1 is the transitive closure of the role tree (each role inherits every
-ancestor's permissions), written as a recursive CTE in Spark SQL. The
-recursion depth is the tree height; each step is a join of the frontier with
-the (small) role dimension.
+X1 needs every role that a user's role inherits from. Reach is computed by
+doubling: pairs (role, reached role) of up to k steps, joined with themselves,
+give those of up to 2k steps. It ends when no pair is new, after about
+log2(height) rounds, and a cycle among roles ends it like anything else. Users
+are joined afterwards, so the rounds touch the role dimension only.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _view(df: DataFrame, stem: str) -> str:
-    name = f"_recvfund_{stem}_{uuid.uuid4().hex[:8]}"
-    df.createOrReplaceTempView(name)
-    return name
+from ..session import checkpoint_dir
 
 
-def role_ancestors(roles: DataFrame) -> DataFrame:
-    """(perfil_id, origem_id): every role paired with itself and each of its ancestors."""
-    v = _view(roles.select("perfil_id", "perfil_pai_id"), "perfil")
-    return roles.sparkSession.sql(f"""
-        WITH RECURSIVE arvore (perfil_id, origem_id) AS (
-          SELECT perfil_id, perfil_id FROM {v}
-          UNION ALL
-          SELECT a.perfil_id, p.perfil_pai_id
-          FROM arvore a JOIN {v} p ON p.perfil_id = a.origem_id
-          WHERE p.perfil_pai_id IS NOT NULL
+def inherited_roles(roles: DataFrame) -> DataFrame:
+    """(role, reached): every role with itself and with all roles above it."""
+    checkpoint_dir(roles.sparkSession)
+    role, above = F.col("perfil_id").alias("role"), F.col("perfil_pai_id").alias("reached")
+    reach = (
+        roles.select(role, F.col("perfil_id").alias("reached"))
+        .unionByName(roles.where(F.col("perfil_pai_id").isNotNull()).select(role, above))
+        .distinct().checkpoint()
+    )
+    known, n = 0, reach.count()
+    while n > known:
+        onward = reach.select(F.col("role").alias("via"), F.col("reached").alias("target"))
+        reach = (
+            reach.join(onward, F.col("reached") == F.col("via"))
+            .select("role", F.col("target").alias("reached")).distinct().checkpoint()
         )
-        SELECT perfil_id, origem_id FROM arvore""")
+        known, n = n, reach.count()
+    return reach
 
 
 def effective_permissions(user_roles: DataFrame, roles: DataFrame, role_perms: DataFrame) -> DataFrame:
     """Distinct (usuario_id, permissao) after inheritance."""
-    tree = role_ancestors(roles)
-    return (
-        user_roles.join(tree, "perfil_id")
-        .join(role_perms.withColumnRenamed("perfil_id", "origem_id"), "origem_id")
-        .select("usuario_id", "permissao")
-        .distinct()
+    granted = (
+        inherited_roles(roles).join(role_perms.select(F.col("perfil_id").alias("reached"), "permissao"), "reached")
+        .select(F.col("role").alias("perfil_id"), "permissao").distinct()
     )
+    return user_roles.join(granted, "perfil_id").select("usuario_id", "permissao").distinct()
 
 
 def has_permission(requests: DataFrame, effective: DataFrame) -> DataFrame:
@@ -53,12 +52,15 @@ def has_permission(requests: DataFrame, effective: DataFrame) -> DataFrame:
 
 
 def audit_rows(df: DataFrame, acao: str, entidade: str, id_col: F.Column, after_cols: list[str],
-               usuario: str = "system", at: F.Column | None = None) -> DataFrame:
-    """One audit record per row, the after-image serialised as JSON, with its month."""
+               usuario: str = "system", at: F.Column | None = None, before: F.Column | None = None) -> DataFrame:
+    """One audit record per row with its month; before- and after-image as JSON.
+
+    ``before`` is a struct column with the earlier state (null where there was none).
+    """
     ts = at if at is not None else F.current_timestamp()
+    antes = F.lit(None).cast("string") if before is None else F.when(before.isNotNull(), F.to_json(before))
     return df.select(
         ts.alias("ocorrido_em"), F.lit(usuario).alias("usuario_email"), F.lit(acao).alias("acao"),
-        F.lit(entidade).alias("entidade"), id_col.cast("string").alias("entidade_id"),
-        F.lit(None).cast("string").alias("antes"),
+        F.lit(entidade).alias("entidade"), id_col.cast("string").alias("entidade_id"), antes.alias("antes"),
         F.to_json(F.struct(*[F.col(c) for c in after_cols])).alias("depois"),
     ).withColumn("mes", F.date_format("ocorrido_em", "yyyyMM"))

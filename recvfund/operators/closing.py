@@ -30,10 +30,10 @@ DAYS_FEE_DIVISOR = 100 * K.DU_ANO  # fee is % p.a. over 252 business days
 
 
 def close_inputs(grid: DataFrame, titles: DataFrame, cash: DataFrame, units: DataFrame, params: DataFrame,
-                 calendar: DataFrame) -> DataFrame:
+                 calendar: DataFrame, bands: DataFrame | None = None) -> DataFrame:
     """Per (class, date): marking totals, cash, units and the fee in force."""
     keys = grid.select("classe_id", "fundo_id", "data")
-    mark = valuation.class_marking(titles, keys, calendar)
+    mark = valuation.class_marking(titles, keys, calendar, bands)
     bal = ledger.ledger_balances(keys.select("classe_id", "data"), cash, units)
     fee = param_asof(keys.select("classe_id", "data"), params)
     return (
@@ -44,7 +44,13 @@ def close_inputs(grid: DataFrame, titles: DataFrame, cash: DataFrame, units: Dat
 
 
 def close_grid(inputs: DataFrame, calendar: DataFrame, prior_closes: DataFrame | None = None) -> DataFrame:
-    """F1-F8, F10 for every (class, date) of ``inputs``, previous close = previous grid date."""
+    """F1-F8, F10 for every (class, date) of ``inputs``.
+
+    The previous close is the previous date of the grid; before a class's first
+    date, it is the last of ``prior_closes`` (highest version), whose date, price
+    and accumulated provision the chain goes on from. Dates that ``prior_closes``
+    has already get the next version.
+    """
     w = Window.partitionBy("classe_id").orderBy("data")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     zero = F.lit(0).cast(MONEY)
@@ -56,8 +62,20 @@ def close_grid(inputs: DataFrame, calendar: DataFrame, prior_closes: DataFrame |
         .withColumn("qtd_ativos", F.coalesce(F.col("qtd_ativos"), F.lit(0)).cast("long"))
         .withColumn("caixa", F.coalesce(F.col("caixa"), zero).cast(MONEY))
         .withColumn("quantidade_cotas", F.coalesce(F.col("quantidade_cotas"), F.lit(0)).cast(UNITS))
-        .withColumn("_prev", F.lag("data").over(w))
     )
+    if prior_closes is not None:
+        start = inputs.groupBy("classe_id").agg(F.min("data").alias("_start"))
+        before = (
+            prior_closes.join(start, "classe_id").where(F.col("data_referencia") < F.col("_start"))
+            .groupBy("classe_id")
+            .agg(F.max_by(F.struct("data_referencia", "valor_cota", "provisao_adm_acumulada"),
+                          F.struct("data_referencia", "versao")).alias("_before"))
+        )
+        d = d.join(before, "classe_id", "left")
+    else:
+        d = d.withColumn("_before", F.lit(None).cast(
+            "struct<data_referencia:date, valor_cota:decimal(28,12), provisao_adm_acumulada:decimal(20,2)>"))
+    d = d.withColumn("_lag", F.lag("data").over(w)).withColumn("_prev", F.coalesce("_lag", F.col("_before.data_referencia")))
     # business days since the previous close; 1 for the first close
     d = with_business_days(d, "_prev", "data", "_n", calendar)
     d = d.withColumn("n_du", F.when(F.col("_prev").isNull(), F.lit(1)).otherwise(F.col("_n")))
@@ -69,12 +87,14 @@ def close_grid(inputs: DataFrame, calendar: DataFrame, prior_closes: DataFrame |
         / F.lit(DAYS_FEE_DIVISOR).cast(T.DecimalType(5, 0)), 2).cast(MONEY)
     d = (
         d.withColumn("despesa_adm_dia", despesa)
-        .withColumn("provisao_adm_acumulada", F.sum("despesa_adm_dia").over(run).cast(MONEY))   # F5
+        .withColumn("provisao_adm_acumulada", (F.sum("despesa_adm_dia").over(run)                 # F5
+                    + F.coalesce(F.col("_before.provisao_adm_acumulada"), zero)).cast(MONEY))
         .withColumn("pl_liquido", (F.col("pl_bruto") - F.col("pdd_total") - F.col("provisao_adm_acumulada"))
                     .cast(MONEY))                                                             # F6
         .withColumn("valor_cota", F.when(F.col("quantidade_cotas") > 0,                          # F7
                                          F.bround(F.col("pl_liquido") / F.col("quantidade_cotas"), 12)).cast(UNITS))
-        .withColumn("cota_anterior", F.lag("valor_cota").over(w))                                # F2
+        .withColumn("cota_anterior", F.when(F.col("_lag").isNull(), F.col("_before.valor_cota"))  # F2
+                    .otherwise(F.lag("valor_cota").over(w)))
     )
     base = F.coalesce(F.col("cota_anterior"), F.lit(K.PAR).cast(UNITS))
     d = d.withColumn("rentabilidade_dia", F.when(F.col("valor_cota").isNotNull() & (base > 0),   # F8
@@ -109,16 +129,23 @@ def seal(closes: DataFrame, requests: DataFrame, sealed_log: DataFrame | None =
         r = r.join(sealed_log.select("fechamento_id").distinct().withColumn("_pre", F.lit(True)), "fechamento_id", "left")
     else:
         r = r.withColumn("_pre", F.lit(None).cast("boolean"))
-    first = Window.partitionBy("fechamento_id").orderBy("ordem")
-    r = r.withColumn("_rank", F.row_number().over(first))
+    first = requests.groupBy("fechamento_id").agg(F.min("ordem").alias("_first"))
+    r = r.join(first, "fechamento_id")
     return r.select(
         "fechamento_id", "ordem",
         F.when(F.col("_exists").isNull(), F.lit(K.MSG_SEAL_MISSING))
-        .when(F.col("_pre") | (F.col("_rank") > 1), F.lit(K.MSG_SEAL_SEALED))
+        .when(F.col("_pre") | (F.col("ordem") > F.col("_first")), F.lit(K.MSG_SEAL_SEALED))
         .otherwise(F.lit("SELADO")).alias("resultado"),
     )
 
 
+def with_status(closes: DataFrame, seal_log: DataFrame) -> DataFrame:
+    """F11 as state: ``status`` and ``selado_em`` of every close from the log of accepted seals (fechamento_id, selado_em)."""
+    log = seal_log.groupBy(F.col("fechamento_id").alias("_id")).agg(F.min("selado_em").alias("selado_em"))
+    d = closes.withColumn("_cid", close_id(closes)).join(log, F.col("_cid") == F.col("_id"), "left")
+    return d.withColumn("status", F.when(F.col("_id").isNotNull(), "SELADO").otherwise(F.col("status"))).drop("_cid", "_id")
+
+
 def latest_versions(closes: DataFrame) -> DataFrame:
     """Highest version per (class, date)."""
     w = Window.partitionBy("classe_id", "data_referencia").orderBy(F.col("versao").desc())

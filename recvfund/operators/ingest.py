@@ -1,10 +1,9 @@
 """Set-based persistence of a validated batch.
 
 Surrogate ids are deterministic hashes of business keys, so a retried task
-or a re-run batch produces the same ids (never ``uuid()``). The idempotency
-anti-join carries the acquisition month, which is the store's partition
-column, so Spark prunes the store to the batch's months (dynamic partition
-pruning) instead of reading all history.
+or a re-run batch produces the same ids (never ``uuid()``). Before the
+idempotency anti-join the store is cut to the batch's acquisition months by a
+semi-join on its partition column, which Spark prunes dynamically.
 """
 
 from __future__ import annotations
@@ -29,11 +28,15 @@ def month_of(d: Column) -> Column:
     return F.date_format(d, "yyyyMM")
 
 
+def _place(rows: DataFrame) -> Column:
+    """A line's place in its batch: by file, if there are several, then by line."""
+    return F.struct(*[F.col(c) for c in ("arquivo", "linha_numero") if c in rows.columns])
+
+
 def new_counterparties(valid: DataFrame, existing: DataFrame, role: str) -> DataFrame:
-    """Documents of valid rows not yet registered; the name of the first line wins."""
+    """Documents of valid rows not yet registered; the name of the first line (of the first file) wins."""
     doc, name = f"{role}_documento", f"{role}_nome"
-    firsts = valid.groupBy(F.col(doc).alias("documento")).agg(
-        F.min_by(F.col(name), F.col("linha_numero")).alias("nome"))
+    firsts = valid.groupBy(F.col(doc).alias("documento")).agg(F.min_by(F.col(name), _place(valid)).alias("nome"))
     return (
         firsts.join(existing.select("documento"), "documento", "left_anti")
         .select(F.lit(role.upper()).alias("papel"), "documento", "nome",
@@ -42,9 +45,12 @@ def new_counterparties(valid: DataFrame, existing: DataFrame, role: str) -> Data
 
 
 def typed_titles(valid: DataFrame, fundos: DataFrame, classes: DataFrame) -> DataFrame:
-    """Resolve fund and class (broadcast dims) and cast text to typed columns."""
-    f = F.broadcast(fundos.select(F.col("fundo_id"), F.col("cnpj").alias("_fcnpj")))
-    c = F.broadcast(classes.select(F.col("classe_id"), F.col("fundo_id").alias("_cfundo"), F.col("codigo").alias("_ccod")))
+    """Resolve fund and class and cast text to typed columns; ``_place`` is the line's place in the batch.
+
+    Casts are tried, not forced: validation has cleared what does not fit, and one odd line never ends a batch.
+    """
+    f = fundos.select(F.col("fundo_id"), F.col("cnpj").alias("_fcnpj"))
+    c = classes.select(F.col("classe_id"), F.col("fundo_id").alias("_cfundo"), F.col("codigo").alias("_ccod"))
 
     def blank_null(name: str) -> Column:
         return F.when(F.col(name) == "", None).otherwise(F.col(name))
@@ -53,7 +59,8 @@ def typed_titles(valid: DataFrame, fundos: DataFrame, classes: DataFrame) -> Dat
         valid.join(f, F.col("fundo_cnpj") == F.col("_fcnpj"))
         .join(c, (F.col("_cfundo") == F.col("fundo_id")) & (F.col("_ccod") == F.col("classe_codigo")))
         .select(
-            F.to_date("data_aquisicao").alias("data_aquisicao"),
+            _place(valid).alias("_place"),
+            F.expr("try_to_date(data_aquisicao, 'yyyy-MM-dd')").alias("data_aquisicao"),
             "fundo_id", "classe_id", "lote_id",
             surrogate(F.lit("cedente"), "cedente_documento").alias("cedente_id"),
             surrogate(F.lit("sacado"), "sacado_documento").alias("sacado_id"),
@@ -62,13 +69,13 @@ def typed_titles(valid: DataFrame, fundos: DataFrame, classes: DataFrame) -> Dat
             .alias("numero_parcela"),
             F.coalesce(F.expr("try_cast(nullif(total_parcelas, '') as smallint)"), F.lit(1).cast("smallint"))
             .alias("total_parcelas"),
-            F.to_date(blank_null("data_emissao")).alias("data_emissao"),
-            F.to_date("data_vencimento").alias("data_vencimento"),
-            F.col("valor_face").cast(MONEY).alias("valor_face"),
-            F.col("valor_aquisicao").cast(MONEY).alias("valor_aquisicao"),
-            blank_null("taxa_desconto_aa").cast(T.DecimalType(12, 6)).alias("taxa_desconto_aa"),
+            F.expr("try_to_date(nullif(data_emissao, ''), 'yyyy-MM-dd')").alias("data_emissao"),
+            F.expr("try_to_date(data_vencimento, 'yyyy-MM-dd')").alias("data_vencimento"),
+            F.col("valor_face").try_cast(MONEY).alias("valor_face"),
+            F.col("valor_aquisicao").try_cast(MONEY).alias("valor_aquisicao"),
+            blank_null("taxa_desconto_aa").try_cast(T.DecimalType(12, 6)).alias("taxa_desconto_aa"),
             F.coalesce(blank_null("indexador"), F.lit("PRE")).alias("indexador"),
-            blank_null("percentual_indexador").cast(T.DecimalType(9, 4)).alias("percentual_indexador"),
+            blank_null("percentual_indexador").try_cast(T.DecimalType(9, 4)).alias("percentual_indexador"),
             F.upper(F.coalesce(blank_null("coobrigacao"), F.lit("N"))).isin(*K.COOBRIGACAO_TRUE).alias("coobrigacao"),
             blank_null("conta_liquidacao").alias("conta_liquidacao"),
             F.lit("ATIVO").alias("situacao"),
@@ -79,9 +86,19 @@ def typed_titles(valid: DataFrame, fundos: DataFrame, classes: DataFrame) -> Dat
 
 
 def insert_new(typed: DataFrame, store_keys: DataFrame) -> DataFrame:
-    """I4: rows whose (fund, id, acquisition date) is not in the store yet."""
-    keys = store_keys.select(*TITLE_KEY, month_of(F.col("data_aquisicao")).alias("mes_aquisicao"))
-    return typed.join(keys, [*TITLE_KEY, "mes_aquisicao"], "left_anti")
+    """I4: rows whose (fund, id, acquisition date) is not in the store yet; of a key that comes more than once in the
+    batch (in several files), the first line. Keys that repeat are found by a partial aggregate and joined back alone.
+
+    A store that carries its partition column ``mes_aquisicao`` is first cut to the months of the batch, so that only
+    those partitions are read.
+    """
+    firsts = typed.groupBy(*TITLE_KEY).agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_times"))
+    firsts = firsts.where(F.col("_times") > 1).drop("_times")
+    one = typed.join(firsts, TITLE_KEY, "left").where(F.col("_first").isNull() | (F.col("_place") == F.col("_first")))
+    if "mes_aquisicao" in store_keys.columns:
+        months = typed.select("mes_aquisicao").distinct()
+        store_keys = store_keys.withColumn("mes_aquisicao", F.col("mes_aquisicao").cast("string")).join(months, "mes_aquisicao", "left_semi")
+    return one.join(store_keys.select(*TITLE_KEY), TITLE_KEY, "left_anti").drop("_place", "_first")
 
 
 def acquisition_cash(inserted: DataFrame) -> DataFrame:

@@ -78,11 +78,12 @@ def ledger_balances(grid: DataFrame, cash: DataFrame, units: DataFrame) -> DataF
 def investor_positions(units: DataFrame, as_of: str) -> DataFrame:
     """Per (class, investor) signed units with date <= as_of, kept when > 0.
 
-    A hot investor or class is combined map-side by the partial aggregate.
+    Units without an investor belong to no position. A hot investor or class is
+    combined map-side by the partial aggregate.
     """
     d = F.lit(as_of).cast("date")
     return (
-        signed_units(units).where(F.col("data") <= d)
+        signed_units(units).where((F.col("data") <= d) & F.col("cotista_id").isNotNull())
         .groupBy("classe_id", "cotista_id")
         .agg(F.sum("delta").cast(UNITS).alias("cotas"))
         .where(F.col("cotas") > 0)
@@ -94,7 +95,7 @@ def investor_balance(units: DataFrame, as_of: str) -> DataFrame:
     (the balance the redemption guard reads)."""
     d = F.lit(as_of).cast("date")
     return (
-        signed_units(units).where(F.col("data") <= d)
+        signed_units(units).where((F.col("data") <= d) & F.col("cotista_id").isNotNull())
         .groupBy("classe_id", "cotista_id")
         .agg(F.sum("delta").cast(UNITS).alias("saldo_cotas"))
     )
@@ -133,10 +134,12 @@ def apply_title_events(titles: DataFrame, events: DataFrame, as_of: str | None =
     """Resolve events to titles by (fundo_id, identificador_externo) and derive status.
 
     Returns (titles with ``situacao`` and ``n_eventos``, resolved events with
-    ``resultado``: OK, or the not-found / ambiguous message). With ``as_of`` only
-    events on or before that date count (as-of status instead of current).
+    ``resultado``: OK, or the not-found / ambiguous / unknown-kind message). Events
+    apply in posting order (``ordem``); the class is that of the title they resolve
+    to. With ``as_of`` only events dated on or before that day count.
     """
     key = ["fundo_id", "identificador_externo"]
+    events = events.drop("classe_id")
     ev = events if as_of is None else events.where(F.col("data_evento") <= F.lit(as_of).cast("date"))
     matches = titles.groupBy(*key).agg(
         F.count(F.lit(1)).alias("_n"),
@@ -145,16 +148,18 @@ def apply_title_events(titles: DataFrame, events: DataFrame, as_of: str | None =
     resolved = (
         ev.join(matches, key, "left")
         .withColumn("resultado", F.when(F.col("_n").isNull(), F.lit(K.MSG_EVENTO_NAO_ENCONTRADO))
-                    .when(F.col("_n") > 1, F.lit(K.MSG_EVENTO_AMBIGUO)).otherwise(F.lit("OK")))
+                    .when(F.col("_n") > 1, F.lit(K.MSG_EVENTO_AMBIGUO))
+                    .when(~F.col("tipo").isin(*K.TITLE_EVENT_KINDS), F.lit(K.MSG_EVENTO_TIPO)).otherwise(F.lit("OK")))
+        .withColumn("classe_id", F.col("_t.classe_id"))
         .withColumn("data_aquisicao", F.col("_t.data_aquisicao"))
         .withColumn("valor", F.coalesce(F.col("valor"), F.col("_t.valor_face")).cast(MONEY))
         .drop("_n", "_t")
     )
     status_map = F.create_map(*[x for k, v in K.EVENT_STATUS.items() for x in (F.lit(k), F.lit(v))])
     changes = (
-        resolved.where((F.col("resultado") == "OK") & F.col("tipo").isin(*K.EVENT_STATUS))
+        resolved.where(F.col("resultado") == "OK")
         .groupBy(*key, "data_aquisicao")
-        .agg(F.max_by(status_map[F.col("tipo")], F.struct("data_evento", "tipo")).alias("_s"),
+        .agg(F.max_by(status_map[F.col("tipo")], F.when(F.col("tipo").isin(*K.EVENT_STATUS), F.col("ordem"))).alias("_s"),
              F.count(F.lit(1)).alias("n_eventos"))
     )
     status = (

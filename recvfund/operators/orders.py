@@ -6,6 +6,10 @@ redemption is accepted only if it does not exceed the investor's balance, and
 a rejected one must not reduce it. That is a sequential fold per
 (class, investor), which no associative aggregate expresses.
 
+But it only matters where some redemption is too large. A running sum in the
+JVM first assumes that all orders are accepted; a (class, investor) whose sum
+never falls below zero has its answer. Only the others enter the fold.
+
 The fold runs as ``mapInPandas`` over rows hash-partitioned by (class,
 investor) and sorted by (class, investor, date, kind, order): state is one
 balance carried across Arrow batches, so memory stays bounded by the batch
@@ -24,7 +28,7 @@ from collections.abc import Iterator
 from decimal import Decimal
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -82,23 +86,40 @@ def price_orders(orders: DataFrame, closes: DataFrame) -> DataFrame:
     return priced.withColumn("quantidade", qtd)
 
 
-def process_orders(orders: DataFrame, closes: DataFrame, unit_ledger: DataFrame | None = None) -> DataFrame:
+def process_orders(orders: DataFrame, closes: DataFrame, unit_ledger: DataFrame | None = None,
+                   classes: DataFrame | None = None, cotistas: DataFrame | None = None) -> DataFrame:
     """Replay orders (ordem, data, classe_id, cotista_id, tipo APLICACAO|RESGATE, valor
-    [, quantidade_solicitada]) -> per order: units, price, financial value, accepted, balance after."""
-    priced = price_orders(orders, closes)
-    stream = priced.select(
+    [, quantidade_solicitada]) -> per order: units, price, financial value, accepted, balance after.
+
+    With ``classes`` and ``cotistas``, an order for an unknown one is refused and changes no balance.
+    """
+    known = orders.withColumn("_refused", F.lit(None).cast("string"))
+    for table, key, message in ((cotistas, "cotista_id", K.MSG_ORDEM_COTISTA), (classes, "classe_id", K.MSG_ORDEM_CLASSE)):
+        if table is not None:
+            ids = table.select(F.col(key).alias("_id")).distinct()
+            known = known.join(ids, F.col(key) == F.col("_id"), "left").withColumn(
+                "_refused", F.when(F.col("_id").isNull(), F.lit(message)).otherwise(F.col("_refused"))).drop("_id")
+    priced = price_orders(known, closes)
+    stream = priced.where(F.col("_refused").isNull()).select(
         "classe_id", "cotista_id", "data", F.lit(1).alias("_k"), "ordem",
         (F.col("tipo") == "RESGATE").alias("_redeem"), F.col("quantidade").alias("_q"))
     if unit_ledger is not None:
         opening = (
-            ledger.signed_units(unit_ledger)
+            ledger.signed_units(unit_ledger).where(F.col("cotista_id").isNotNull())
             .groupBy("classe_id", "cotista_id", "data").agg(F.sum("delta").cast(UNITS).alias("_q"))
             .select("classe_id", "cotista_id", "data", F.lit(0).alias("_k"), F.lit(None).cast("long").alias("ordem"),
                     F.lit(False).alias("_redeem"), "_q")
         )
         stream = opening.unionByName(stream)
-    folded = (
-        stream.repartition("classe_id", "cotista_id")
+    one = Window.partitionBy("classe_id", "cotista_id")
+    run = one.orderBy("data", "_k", "ordem").rowsBetween(Window.unboundedPreceding, 0)
+    sums = stream.withColumn("_sum", F.sum(F.when(F.col("_redeem"), -F.col("_q")).otherwise(F.col("_q"))).over(run))
+    sums = sums.withColumn("_low", F.min("_sum").over(one))
+    clear = sums.where((F.col("_low") >= 0) & (F.col("_k") == 1)).select(
+        "ordem", "classe_id", "cotista_id", F.lit(True).alias("aceito"), F.col("_sum").cast(UNITS).alias("saldo_cotas"))
+    folded = clear.unionByName(
+        sums.where(F.col("_low") < 0).drop("_sum", "_low")
+        .repartition("classe_id", "cotista_id")
         .sortWithinPartitions("classe_id", "cotista_id", "data", "_k", "ordem")
         .mapInPandas(_fold, _out_schema(stream))
         .where(F.col("_k") == 1)
@@ -107,10 +128,12 @@ def process_orders(orders: DataFrame, closes: DataFrame, unit_ledger: DataFrame
     valor = F.when(F.col("tipo") == "RESGATE", F.bround(F.col("quantidade") * F.col("valor_cota_aplicavel"), 2)) \
         .otherwise(F.col("valor"))
     return (
-        priced.join(folded, ["ordem", "classe_id", "cotista_id"])
+        priced.join(folded, ["ordem", "classe_id", "cotista_id"], "left")
+        .withColumn("aceito", F.coalesce("aceito", F.lit(False)))
         .select("ordem", "classe_id", "cotista_id", "data", "tipo", "quantidade",
                 F.col("valor_cota_aplicavel").alias("valor_cota"), valor.cast(MONEY).alias("valor_financeiro"),
-                "aceito", F.when(~F.col("aceito"), F.lit(K.MSG_SALDO_INSUFICIENTE)).alias("motivo"), "saldo_cotas")
+                "aceito", F.coalesce("_refused", F.when(~F.col("aceito"), F.lit(K.MSG_SALDO_INSUFICIENTE))).alias("motivo"),
+                "saldo_cotas")
     )
 
 

@@ -51,7 +51,7 @@ def register_funds(requests: DataFrame, existing: DataFrame) -> DataFrame:
     """Requests (ordem, cnpj, nome) -> + resultado, id."""
     r = requests.withColumn("cnpj", _digits("cnpj")).withColumn("nome", _strip("nome"))
     known = existing.select(F.col("cnpj").alias("_known")).distinct().withColumn("_e", F.lit(True))
-    r = r.join(F.broadcast(known), F.col("cnpj") == F.col("_known"), "left")  # fund dimension: small
+    r = r.join(known, F.col("cnpj") == F.col("_known"), "left")
     r = r.withColumn("resultado",
                      F.when(F.length("cnpj") != 14, F.lit(K.MSG_FUNDO_CNPJ))
                      .when(F.col("nome") == "", F.lit(K.MSG_FUNDO_NOME))
@@ -65,8 +65,8 @@ def register_classes(requests: DataFrame, funds: DataFrame, existing: DataFrame)
     """Requests (ordem, fundo_id, codigo, nome, tipo, vigencia_inicio, taxa_administracao_aa)
     -> (requests + resultado, first parameter rows of the accepted classes)."""
     r = requests.withColumn("codigo", F.upper(_strip("codigo")))
-    f = F.broadcast(funds.select(F.col("fundo_id").alias("_fid")).distinct())
-    e = F.broadcast(existing.select(F.col("fundo_id").alias("_efid"), F.col("codigo").alias("_ecod")).distinct())
+    f = funds.select(F.col("fundo_id").alias("_fid")).distinct()
+    e = existing.select(F.col("fundo_id").alias("_efid"), F.col("codigo").alias("_ecod")).distinct()
     r = (
         r.join(f, F.col("fundo_id") == F.col("_fid"), "left")
         .join(e, (F.col("fundo_id") == F.col("_efid")) & (F.col("codigo") == F.col("_ecod")), "left")

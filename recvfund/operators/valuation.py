@@ -65,9 +65,9 @@ def mark_titles_at(titles: DataFrame, ref_date: str, calendar: DataFrame, bands:
 
 def mark_titles_for(titles: DataFrame, class_dates: DataFrame, calendar: DataFrame, bands: DataFrame) -> DataFrame:
     """M1-M6 with one reference date per class (``class_dates``: classe_id, data_referencia;
-    one row per class, so it is a dimension-sized broadcast)."""
+    one row per class; Spark broadcasts it only below its own size limit)."""
     t = (
-        eligible(titles).join(F.broadcast(class_dates.select("classe_id", "data_referencia")), "classe_id")
+        eligible(titles).join(class_dates.select("classe_id", "data_referencia"), "classe_id")
         .where(F.col("data_aquisicao") <= F.col("data_referencia"))
     )
     return _mark(t, calendar, bands)
@@ -88,15 +88,23 @@ def _grid_index(grid_dates: DataFrame, calendar: DataFrame):
     return gi, cal.drop("gidx")
 
 
-def class_marking(titles: DataFrame, grid: DataFrame, calendar: DataFrame, bands=None) -> DataFrame:
+def class_marking(titles: DataFrame, grid: DataFrame, calendar: DataFrame, bands: DataFrame | None = None) -> DataFrame:
     """M7 over a grid: (classe_id, data) -> qtd_ativos, valor_presente, pdd, a_receber.
 
     ``grid`` holds the (classe_id, data) pairs to close (classes x close dates,
-    small). ``calendar`` must cover every acquisition/maturity date.
+    small). Titles acquired after the last close date are not read further. The
+    job fails on a title whose dates the calendar does not cover, rather than
+    marking it wrong. ``bands``: the provision bands table (7 rows, read once).
     """
+    steps_of = band_list(bands if bands is None else [(r["dias_atraso_min"], r["percentual"]) for r in bands.orderBy("dias_atraso_min").collect()])
+    last = grid.agg(F.max("data").alias("d")).first()["d"]
     gi, cal = _grid_index(grid.select("data"), calendar)
     cal_b = F.broadcast(cal)
     t = eligible(titles).select("classe_id", "data_aquisicao", "data_vencimento", "valor_face", "valor_aquisicao")
+    t = t.where(F.col("data_aquisicao") <= F.lit(last))
+
+    def covered(value: Column) -> Column:
+        return F.when(value.isNotNull(), value).otherwise(F.raise_error(F.lit("a title's dates lie outside the calendar")).cast("int"))
 
     ca = cal_b.select(F.col("data").alias("_a"), F.col("du_acumulado").alias("_ca"), F.col("g_before").alias("_lo"))
     cv = cal_b.select(F.col("data").alias("_v"), F.col("du_acumulado").alias("_cv"), F.col("ultimo_du").alias("_b"))
@@ -105,7 +113,7 @@ def class_marking(titles: DataFrame, grid: DataFrame, calendar: DataFrame, bands
         t.join(ca, F.col("data_aquisicao") == F.col("_a"), "left")
         .join(cv, F.col("data_vencimento") == F.col("_v"), "left")
         .join(cb, F.col("_b") == F.col("_bd"), "left")
-        .withColumn("du_total", F.col("_cv") - F.col("_ca"))
+        .withColumn("du_total", covered(F.col("_cv") - F.col("_ca")))
     )  # map-side only (broadcast lookups): cheaper to rescan than to pin in memory
 
     # performing part: one row per close date in [acquisition, last business day <= maturity)
@@ -135,7 +143,7 @@ def class_marking(titles: DataFrame, grid: DataFrame, calendar: DataFrame, bands
         step(F.date_add(F.col("data_vencimento"), 1), 0, zero, vf, zero),
     ]
     prev = F.lit(0).cast(MONEY)
-    for days, pct in band_list(bands):
+    for days, pct in steps_of:
         amount = F.round(vf * F.lit(pct).cast(PCT), 2)
         steps.append(step(F.date_add(F.col("data_vencimento"), days), 0, zero, zero, amount - prev))
         prev = amount
@@ -191,5 +199,6 @@ def receivable_list(titles: DataFrame, situacao: str | None = None, limit: int =
 def implied_rate(vf: Column, va: Column, du_total: Column) -> Column:
     """Annual cession rate (%) implied by face/acquisition value over du_total days."""
     rate = (F.pow(vf.cast("double") / va.cast("double"), F.lit(252.0) / du_total.cast("double")) - 1) * 100
-    # the rate column is decimal(12,6): rates beyond it (terms of a few days) are null, not an error
-    return F.when(du_total > 0, rate.try_cast(T.DecimalType(12, 6)))
+    # terms of a few days give huge rates: a wide type holds them, to whole percent from a million on
+    rate = F.when(F.abs(rate) < 1e6, F.round(rate, 6)).otherwise(F.round(rate))
+    return F.when(du_total > 0, rate.try_cast(T.DecimalType(38, 6)))

@@ -9,7 +9,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.calendar import build_calendar
+from ..functions.calendar import build_calendar, date_range
 from ..operators import closing, ingest, ledger, validation
 from ..session import checkpoint_dir, exact_decimals
 from ..sources import fixtures as fx
@@ -19,10 +19,6 @@ from ..sources.tables import Tables
 MARK_DATE = "1998-06-30"       # single-date marking / stock report
 REPORT_DATE = "1998-07-15"     # daily report: resolves to the last close on or before it
 POSITION_DATE = "1999-03-31"   # investor positions / price as-of
-GRID_FIRST_MONTH = "1995-01-01"
-GRID_LAST_MONTH = "2001-12-01"
-CAL_START = "1990-01-01"
-CAL_END = "2010-12-31"
 LOTE_ID = "lote-fx-0001"       # batch id of the derived boleta file
 
 
@@ -67,7 +63,13 @@ class Ctx:
 
     @cached_property
     def calendar(self) -> DataFrame:
-        return self.stored("calendario", lambda: build_calendar(self.spark, CAL_START, CAL_END))
+        """Every day from the first to the last date of titles, closes and the query dates."""
+        def build() -> DataFrame:
+            ends = date_range((self.titulos, "data_aquisicao"), (self.titulos, "data_vencimento"), (self.grid, "data"))
+            start, end = min(ends[0], MARK_DATE), max(ends[1], MARK_DATE, POSITION_DATE)
+            return build_calendar(self.spark, start, end, fx.feriados(self.spark, start, end))
+
+        return self.stored("calendario", build)
 
     @cached_property
     def fundos(self) -> DataFrame:
@@ -108,11 +110,12 @@ class Ctx:
 
     @cached_property
     def grid(self) -> DataFrame:
-        """(classe_id, data): every class closed at every month end of the range.
+        """(classe_id, data): every class closed at every month end, from the first acquisition to the last maturity.
 
         Generated per class row (no join): classes x close dates is small.
         """
-        months = F.sequence(F.lit(GRID_FIRST_MONTH).cast("date"), F.lit(GRID_LAST_MONTH).cast("date"),
+        first, last = date_range((self.titulos, "data_aquisicao"), (self.titulos, "data_vencimento"))
+        months = F.sequence(F.lit(first[:7] + "-01").cast("date"), F.lit(last[:7] + "-01").cast("date"),
                             F.expr("interval 1 month"))
         return self.classes.select("classe_id", "fundo_id",
                                    F.explode(F.transform(months, lambda m: F.last_day(m))).alias("data"))
@@ -147,7 +150,7 @@ class Ctx:
     def computed_closes(self) -> DataFrame:
         """Every class closed at every grid date (version 1, no prior closes)."""
         inputs = closing.close_inputs(self.grid, self.titulos_status, self.movimento_caixa, self.cota_movimento,
-                                      self.params, self.calendar)
+                                      self.params, self.calendar, self.bands)
         return closing.close_grid(inputs, self.calendar)
 
     @cached_property

@@ -8,9 +8,13 @@ here as CTEs. ``with_views(body, *names)`` prepends the CTEs a body needs
 from __future__ import annotations
 
 from .. import constants as K
-from .context import CAL_END, CAL_START, GRID_FIRST_MONTH, GRID_LAST_MONTH, MARK_DATE
+from ..sources.fixtures import FIXTURE_HOLIDAYS_MMDD
+from .context import MARK_DATE
 
-_HOL_MMDD = ", ".join(f"'{x}'" for x in K.FIXED_HOLIDAYS_MMDD)
+# wider than any date of the tables: day counts do not depend on where a calendar begins
+CAL_START, CAL_END = "1990-01-01", "2010-12-31"
+
+_HOL_MMDD = ", ".join(f"'{x}'" for x in FIXTURE_HOLIDAYS_MMDD)
 _HOL_DATED = ", ".join(f"date '{x}'" for x in K.SEEDED_HOLIDAYS)
 _BANDS = ", ".join(f"({d}, cast({p} as decimal(6,4)), '{r}')" for d, p, r in K.PDD_BANDS)
 
@@ -74,32 +78,52 @@ from (
   from fx_base where cast(l_shipdate as date) >= cast(o_orderdate as date)) t
 where rn = 1""")
 
-_view("fx_evento", ["fx_titulo"], """
-select identificador_externo, fundo_id, classe_id, cast(data_vencimento + cast(l_linenumber as integer) as date) as data_evento,
-       valor_face as valor,
+_view("fx_evento_todos", ["fx_titulo"], """
+with f as (select *, cast(split_part(identificador_externo, '-', 1) as bigint) * 80 + l_linenumber * 8 as p from fx_titulo where l_linestatus = 'F')
+select identificador_externo, fundo_id, p as ordem, cast(data_vencimento + 1 as date) as data_evento, cast(null as decimal(20,2)) as valor, 'ATRASO' as tipo
+from f where l_linenumber % 4 = 0
+union all
+select identificador_externo, fundo_id, p + 1, cast(data_vencimento + cast(l_linenumber as integer) as date),
+       case when l_linenumber % 3 <> 0 then valor_face end,
        case l_returnflag when 'A' then 'PAGAMENTO' when 'R' then 'RECOMPRA'
-            else case when l_linenumber % 2 = 0 then 'BAIXA' else 'PAGAMENTO_PARCIAL' end end as tipo
-from fx_titulo where l_linestatus = 'F'""")
+            else case when l_linenumber % 2 = 0 then 'BAIXA' else 'PAGAMENTO_PARCIAL' end end
+from f
+union all select identificador_externo, fundo_id, p + 2, data_vencimento, null, 'BAIXA' from f where l_linenumber = 5
+union all select identificador_externo, fundo_id, p + 3, cast(data_vencimento + 9 as date), null, 'PRORROGACAO' from f where l_linenumber = 6
+union all select 'X-' || identificador_externo, fundo_id, p + 4, cast(data_vencimento + 2 as date), valor_face, 'PAGAMENTO' from f where l_linenumber = 7""")
+
+# events that resolve to one title and are of a known kind; class and missing value come from the title
+_view("fx_evento", ["fx_titulo", "fx_evento_todos"], """
+select e.identificador_externo, e.fundo_id, t.classe_id, e.ordem, e.data_evento, coalesce(e.valor, t.valor_face) as valor, e.tipo
+from fx_evento_todos e join fx_titulo t on t.fundo_id = e.fundo_id and t.identificador_externo = e.identificador_externo
+where e.tipo in ('PAGAMENTO', 'PAGAMENTO_PARCIAL', 'BAIXA', 'RECOMPRA', 'ATRASO', 'AJUSTE')""")
+
 
-# current status: the latest status-changing event wins; without one the title is ATIVO
-_view("fx_titulo_status", ["fx_titulo", "fx_evento"], """
-select t.*, coalesce(s.situacao, 'ATIVO') as situacao, coalesce(s.n_eventos, 0) as n_eventos
+def _status(events: str) -> str:
+    """Current status: the status-changing event that was posted last wins; without one the title is ATIVO."""
+    return f"""
+select t.*, coalesce(s.situacao, 'ATIVO') as situacao, coalesce(n.n_eventos, 0) as n_eventos
 from fx_titulo t
 left join (
   select fundo_id, identificador_externo,
-         arg_max(case tipo when 'PAGAMENTO' then 'LIQUIDADO' when 'BAIXA' then 'BAIXADO' else 'RECOMPRADO' end,
-                 data_evento::varchar || tipo) as situacao,
-         count(*) as n_eventos
-  from fx_evento where tipo in ('PAGAMENTO', 'BAIXA', 'RECOMPRA')
+         arg_max(case tipo when 'PAGAMENTO' then 'LIQUIDADO' when 'BAIXA' then 'BAIXADO' else 'RECOMPRADO' end, ordem) as situacao
+  from {events} where tipo in ('PAGAMENTO', 'BAIXA', 'RECOMPRA')
   group by fundo_id, identificador_externo) s
-on s.fundo_id = t.fundo_id and s.identificador_externo = t.identificador_externo""")
+on s.fundo_id = t.fundo_id and s.identificador_externo = t.identificador_externo
+left join (select fundo_id, identificador_externo, count(*) as n_eventos from {events} group by all) n
+on n.fundo_id = t.fundo_id and n.identificador_externo = t.identificador_externo"""
+
+
+_view("fx_titulo_status", ["fx_titulo", "fx_evento"], _status("fx_evento"))
 
 _view("fx_titulo_ativo", ["fx_titulo_status"], """
 select * from fx_titulo_status where situacao = 'ATIVO'""")
 
-_view("fx_grid", ["fx_classe"], f"""
-select c.classe_id, c.fundo_id, last_day(cast(m.m as date)) as data
-from fx_classe c cross join generate_series(date '{GRID_FIRST_MONTH}', date '{GRID_LAST_MONTH}', interval 1 month) m(m)""")
+_view("fx_grid", ["fx_classe", "fx_titulo"], """
+select c.classe_id, c.fundo_id, last_day(m.m) as data
+from fx_classe c cross join (
+  select cast(unnest(generate_series(date_trunc('month', min(data_aquisicao)), date_trunc('month', max(data_vencimento)), interval 1 month)) as date) as m
+  from fx_titulo) m""")
 
 
 def _order(names: list[str]) -> list[str]:
@@ -228,9 +252,10 @@ select
   case when h % 257 = 0 then '' else c_name end as sacado_nome,
   case when l_linenumber = 2 then 'x' else cast(cast(o_orderdate as date) as varchar) end as data_emissao,
   case when h % 263 = 0 then 'n/d' else cast(cast(l_shipdate as date) as varchar) end as data_vencimento,
-  case when h % 269 = 0 then '-1' else cast(vf as varchar) end as valor_face,
+  case when h % 269 = 0 then '-1' when h % 293 = 0 then 'NaN' when h % 307 = 0 then '1e30' when h % 311 = 0 then '0.001'
+       else cast(vf as varchar) end as valor_face,
   case when h % 271 = 0 then 'abc' when h % 277 = 0 then cast(vf + 1 as varchar) else cast(va as varchar) end as valor_aquisicao,
-  case when l_linenumber = 3 then 'n' else '' end as taxa_desconto_aa,
+  case l_linenumber when 3 then 'n' when 4 then '9999999' when 5 then 'NaN' when 6 then '18.5' else '' end as taxa_desconto_aa,
   case when h % 281 = 0 then 'TR' when l_returnflag = 'A' then 'cdi' when l_returnflag = 'R' then 'PRE' else '' end as indexador,
   '' as percentual_indexador,
   case when l_linestatus = 'O' then 's' else '' end as coobrigacao,
@@ -280,9 +305,9 @@ select n.*,
     when length(sacado_documento) not in (11, 14) then {_q(K.MSG_SAC_DOC)}
     when sacado_nome = '' then {_q(K.MSG_SAC_NOME)}
     when try_strptime(data_vencimento, '%Y-%m-%d') is null then {_q(K.MSG_DATA_VENC)}
-    when try_cast(valor_face as double) is null or try_cast(valor_face as double) <= 0 then {_q(K.MSG_VF)}
-    when try_cast(valor_aquisicao as double) is null or try_cast(valor_aquisicao as double) <= 0 then {_q(K.MSG_VA)}
-    when try_cast(valor_aquisicao as double) > try_cast(valor_face as double) then {_q(K.MSG_VA_MAIOR)}
+    when try_cast(valor_face as decimal(20,2)) is null or try_cast(valor_face as decimal(20,2)) <= 0 then {_q(K.MSG_VF)}
+    when try_cast(valor_aquisicao as decimal(20,2)) is null or try_cast(valor_aquisicao as decimal(20,2)) <= 0 then {_q(K.MSG_VA)}
+    when try_cast(valor_aquisicao as decimal(20,2)) > try_cast(valor_face as decimal(20,2)) then {_q(K.MSG_VA_MAIOR)}
     when try_strptime(data_vencimento, '%Y-%m-%d') < try_strptime(data_aquisicao, '%Y-%m-%d') then {_q(K.MSG_VENC_ANTES)}
     when indexador <> '' and indexador not in ({_INDEX}) then {_q(K.MSG_INDEXADOR)}
     when linha_numero > min(linha_numero) over (partition by {part}) then {_q(K.MSG_DUPLICADO)}
@@ -295,9 +320,9 @@ select {extra}linha_numero, identificador_externo, fundo_cnpj, classe_codigo, da
        numero_parcela, total_parcelas, cedente_documento, cedente_nome, sacado_documento, sacado_nome,
        case when try_strptime(data_emissao, '%Y-%m-%d') is null then '' else data_emissao end as data_emissao,
        data_vencimento, valor_face, valor_aquisicao,
-       case when try_cast(taxa_desconto_aa as double) is null then '' else taxa_desconto_aa end as taxa_desconto_aa,
+       case when try_cast(taxa_desconto_aa as decimal(12,6)) is null then '' else taxa_desconto_aa end as taxa_desconto_aa,
        indexador,
-       case when try_cast(percentual_indexador as double) is null then '' else percentual_indexador end as percentual_indexador,
+       case when try_cast(percentual_indexador as decimal(9,4)) is null then '' else percentual_indexador end as percentual_indexador,
        coobrigacao, conta_liquidacao, motivo_rejeicao is null as valido, motivo_rejeicao
 from {src}"""
 
@@ -403,7 +428,7 @@ def _fixed(u: str, scale: int, width: int) -> str:
 _E12 = "cast(1000000000000 as hugeint)"
 
 _view("fx_cota_movimento", ["fx_fundo"], """
-select o_orderkey as mov_id, cnpj || '|' || c_mktsegment as classe_id, c_custkey as cotista_id, cast(o_orderdate as date) as data,
+select o_orderkey as mov_id, cnpj || '|' || c_mktsegment as classe_id, case when o_orderkey % 17 <> 0 then c_custkey end as cotista_id, cast(o_orderdate as date) as data,
        case when o_orderstatus = 'F' then 'RESGATE' else 'EMISSAO' end as tipo,
        cast(cast(o_totalprice as decimal(18,2)) * cast(case when o_orderstatus = 'F' then 0.25 else 1 end as decimal(4,2)) as decimal(28,12)) as quantidade
 from orders join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey
@@ -483,7 +508,7 @@ from fx_grid g""", "fx_grid", "fx_cota_movimento")
 
 _view("fx_posicao", ["fx_cota_movimento"], f"""
 select classe_id, cotista_id, cast(sum(case when tipo = 'EMISSAO' then quantidade else -quantidade end) as decimal(28,12)) as cotas
-from fx_cota_movimento where data <= date '{POSITION_DATE}'
+from fx_cota_movimento where data <= date '{POSITION_DATE}' and cotista_id is not null
 group by classe_id, cotista_id
 having sum(case when tipo = 'EMISSAO' then quantidade else -quantidade end) > 0""")
 
@@ -552,6 +577,7 @@ left join fx_fundo fu on fu.fundo_id = c.fundo_id""", "fx_report_close", "fx_gri
 _view("fx_report_pos", ["fx_report_close", "fx_cota_movimento"], """
 select m.classe_id, m.cotista_id, cast(sum(case when m.tipo = 'EMISSAO' then m.quantidade else -m.quantidade end) as decimal(28,12)) as cotas
 from fx_cota_movimento m join fx_report_close f on f.classe_id = m.classe_id and m.data <= f.data_referencia
+where m.cotista_id is not null
 group by m.classe_id, m.cotista_id
 having sum(case when m.tipo = 'EMISSAO' then m.quantidade else -m.quantidade end) > 0""")
 
@@ -593,13 +619,19 @@ from (select *, row_number() over (partition by classe_id order by data_vencimen
 # --- orders, seal, registry, access -----------------------------------------------------------------
 from ..sources.fixtures import PRIOR_CUTOFF as _CUT  # noqa: E402
 
-_view("fx_ordem", [], """
-select event_id as ordem, cast(ts as date) as data, 'C' || cast(user_id % 5 as varchar) as classe_id, user_id as cotista_id,
-       case when event_type = 'click' then 'RESGATE' else 'APLICACAO' end as tipo, cast(value as decimal(20,2)) as valor
-from events where event_type in ('purchase', 'signup', 'click')""")
-
-_view("fx_ordem_preco", ["fx_ordem", "fx_fechamento"], f"""
-select o.*, p.preco, {_he(f"{_units('o.valor')} * cast(10000000000000000000000 as hugeint)", _units('p.preco'))} as qu
+_view("fx_ordem", ["fx_fundo"], """
+select o_orderkey as ordem, cast(cast(o_orderdate as date) + 45 as date) as data,
+       case when o_orderkey % 53 = 0 then '?' else cnpj || '|' || c_mktsegment end as classe_id,
+       case when o_orderkey % 59 = 0 then -c_custkey else c_custkey end as cotista_id,
+       case when o_orderkey % 2 = 0 then 'RESGATE' else 'APLICACAO' end as tipo,
+       cast(round(cast(o_totalprice as decimal(18,2)) * cast(0.30 as decimal(4,2)), 2) as decimal(20,2)) as valor,
+       case when o_orderkey % 6 = 0 then cast(cast(o_totalprice as decimal(18,2)) * cast(0.40 as decimal(4,2)) as decimal(28,12)) end as pedida
+from orders join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey join fx_fundo on fundo_id = n_regionkey""")
+
+_view("fx_ordem_preco", ["fx_ordem", "fx_fechamento", "fx_classe", "fx_cotista"], f"""
+select o.*, p.preco, coalesce({_units('o.pedida')}, {_he(f"{_units('o.valor')} * cast(10000000000000000000000 as hugeint) * sign({_units('p.preco')})", f"abs({_units('p.preco')})")}) as qu,
+       case when o.classe_id not in (select classe_id from fx_classe) then {_q(K.MSG_ORDEM_CLASSE)}
+            when o.cotista_id not in (select cotista_id from fx_cotista) then {_q(K.MSG_ORDEM_COTISTA)} end as recusa
 from fx_ordem o
 join (select o2.ordem, coalesce((select arg_max(valor_cota, data_referencia) from fx_fechamento f
                                  where f.classe_id = o2.classe_id and f.data_referencia <= o2.data and f.valor_cota is not null),
@@ -608,11 +640,11 @@ join (select o2.ordem, coalesce((select arg_max(valor_cota, data_referencia) fro
 
 _view("fx_ordem_stream", ["fx_ordem_preco", "fx_cota_movimento"], f"""
 select *, row_number() over (partition by classe_id, cotista_id order by data, k, ordem) as rn
-from (select classe_id, cotista_id, data, 1 as k, ordem, tipo = 'RESGATE' as redeem, qu from fx_ordem_preco
+from (select classe_id, cotista_id, data, 1 as k, ordem, tipo = 'RESGATE' as redeem, qu from fx_ordem_preco where recusa is null
       union all
       select classe_id, cotista_id, data, 0, null, false,
              {_units("cast(sum(case when tipo = 'EMISSAO' then quantidade else -quantidade end) as decimal(38,12))")}
-      from fx_cota_movimento group by classe_id, cotista_id, data) x""")
+      from fx_cota_movimento where cotista_id is not null group by classe_id, cotista_id, data) x""")
 
 _view("fx_ordem_fold", ["fx_ordem_stream"], """
 select classe_id, cotista_id, rn, ordem, k,
@@ -631,8 +663,9 @@ select o.ordem, o.classe_id, o.cotista_id, o.data, o.tipo, {_fixed('o.qu', 12, 2
        case when o.tipo = 'RESGATE'
             then {_fixed(_he(f"o.qu * {_units('o.preco')}", "cast(10000000000000000000000 as hugeint)"), 2, 20)}
             else o.valor end as valor_financeiro,
-       f.aceito, case when not f.aceito then '{K.MSG_SALDO_INSUFICIENTE}' end as motivo, {_fixed('f.saldo', 12, 28)} as saldo_cotas
-from fx_ordem_preco o join fx_ordem_fold f on f.k = 1 and f.ordem = o.ordem""", "fx_ordem_preco", "fx_ordem_fold", recursive=True)
+       coalesce(f.aceito, false) as aceito, case when o.recusa is not null then o.recusa when not f.aceito then '{K.MSG_SALDO_INSUFICIENTE}' end as motivo,
+       {_fixed('f.saldo', 12, 28)} as saldo_cotas
+from fx_ordem_preco o left join fx_ordem_fold f on f.k = 1 and f.ordem = o.ordem""", "fx_ordem_preco", "fx_ordem_fold", recursive=True)
 
 _view("fx_close_ids", ["fx_fechamento"], """
 select classe_id, data_referencia, sha256(classe_id || '|' || cast(data_referencia as varchar) || '|' || cast(versao as varchar)) as id
@@ -643,10 +676,9 @@ select fechamento_id, cast(ordem as bigint) as ordem,
        case when fechamento_id not in (select id from fx_close_ids) then {_q(K.MSG_SEAL_MISSING)}
             when row_number() over (partition by fechamento_id order by ordem) > 1 then {_q(K.MSG_SEAL_SEALED)}
             else 'SELADO' end as resultado
-from (select id as fechamento_id, 1 as ordem from fx_close_ids where month(data_referencia) = 12
-      union all select id, 2 from fx_close_ids where month(data_referencia) = 12
-      union all select sha256(classe_id || '|' || cast(data_referencia as varchar) || '|2'), 1 from fx_close_ids
-                where month(data_referencia) = 12) r""", "fx_close_ids")
+from (select id as fechamento_id, 1 as ordem from fx_close_ids
+      union all select id, 2 from fx_close_ids
+      union all select sha256(classe_id || '|' || cast(data_referencia as varchar) || '|2'), 1 from fx_close_ids) r""", "fx_close_ids")
 
 SQL["investor_registry"] = with_views(f"""
 select ordem, documento, nome, resultado, case when resultado = 'OK' then sha256('cotista|' || documento) end as id
@@ -669,14 +701,16 @@ select n_nationkey as perfil_id, case when n_nationkey > 0 then cast(floor((n_na
        'perm_' || cast(n_regionkey as varchar) as permissao
 from nation""")
 
-_view("fx_arvore", ["fx_perfil"], """
-select perfil_id, perfil_id as origem_id from fx_perfil
+# from each user's own role upwards; the way taken so far ends a cycle
+_view("fx_alcance", ["fx_perfil"], """
+select s_suppkey as usuario, s_nationkey as alcancado, [s_nationkey] as caminho from supplier
 union all
-select a.perfil_id, p.perfil_pai_id from fx_arvore a join fx_perfil p on p.perfil_id = a.origem_id where p.perfil_pai_id is not null""")
+select usuario, acima, list_append(caminho, acima)
+from (select usuario, caminho, (select perfil_pai_id from fx_perfil where perfil_id = alcancado) as acima from fx_alcance) passo
+where acima is not null and not list_contains(caminho, acima)""")
 
-_view("fx_permissao_efetiva", ["fx_arvore", "fx_perfil"], """
-select distinct cast(s_suppkey as bigint) as usuario_id, pp.permissao
-from supplier up join fx_arvore a on a.perfil_id = up.s_nationkey join fx_perfil pp on pp.perfil_id = a.origem_id""")
+_view("fx_permissao_efetiva", ["fx_alcance", "fx_perfil"], """
+select cast(usuario as bigint) as usuario_id, permissao from fx_alcance join fx_perfil on perfil_id = alcancado group by all""")
 
 SQL["effective_permissions"] = with_views("select * from fx_permissao_efetiva", "fx_permissao_efetiva", recursive=True)
 
@@ -713,17 +747,17 @@ from fx_boleta_val_f group by lote order by lote desc limit 100""", "fx_boleta_v
 
 SQL["implied_rate"] = with_views("""
 select identificador_externo, du_total,
-       case when du_total > 0 then try_cast((pow(cast(valor_face as double) / cast(valor_aquisicao as double), 252.0 / du_total) - 1) * 100
-                                        as decimal(12,6)) end as taxa_implicita_aa
+       case when du_total > 0 then case when abs(r) < 1e6 then cast(round(r, 6) as decimal(38,6)) else cast(cast(round(r) as hugeint) as decimal(38,6)) end end as taxa_implicita_aa
+from (select *, case when du_total > 0 then (pow(cast(valor_face as double) / cast(valor_aquisicao as double), 252.0 / du_total) - 1) * 100 end as r
 from (select t.identificador_externo, t.valor_face, t.valor_aquisicao,
              cast(greatest(cv.du_acumulado - ca.du_acumulado, 0) as bigint) as du_total
       from fx_titulo t
       left join fx_calendario ca on ca.data = t.data_aquisicao
-      left join fx_calendario cv on cv.data = t.data_vencimento) x""", "fx_titulo", "fx_calendario")
+      left join fx_calendario cv on cv.data = t.data_vencimento) y) x""", "fx_titulo", "fx_calendario")
 
 SQL["investor_balance"] = with_views(f"""
 select classe_id, cotista_id, cast(sum(case when tipo = 'EMISSAO' then quantidade else -quantidade end) as decimal(28,12)) as saldo_cotas
-from fx_cota_movimento where data <= date '{POSITION_DATE}' group by classe_id, cotista_id""", "fx_cota_movimento")
+from fx_cota_movimento where data <= date '{POSITION_DATE}' and cotista_id is not null group by classe_id, cotista_id""", "fx_cota_movimento")
 
 SQL["fund_registry"] = with_views(f"""
 select ordem, cnpj, nome, resultado, case when resultado = 'OK' then sha256('fundo|' || cnpj) end as id
@@ -760,14 +794,25 @@ from (select ordem, fundo_id, codigo, tipo,
                                     "fx_classe", "fx_fundo")
 
 SQL["title_status_asof"] = with_views(f"""
-select t.identificador_externo, t.fundo_id, t.classe_id, t.data_aquisicao, coalesce(s.situacao, 'ATIVO') as situacao,
-       cast(coalesce(s.n_eventos, 0) as bigint) as n_eventos
-from fx_titulo t
-left join (
-  select fundo_id, identificador_externo,
-         arg_max(case tipo when 'PAGAMENTO' then 'LIQUIDADO' when 'BAIXA' then 'BAIXADO' else 'RECOMPRADO' end,
-                 data_evento::varchar || tipo) as situacao,
-         count(*) as n_eventos
-  from fx_evento where tipo in ('PAGAMENTO', 'BAIXA', 'RECOMPRA') and data_evento <= date '{MARK_DATE}'
-  group by fundo_id, identificador_externo) s
-on s.fundo_id = t.fundo_id and s.identificador_externo = t.identificador_externo""", "fx_titulo", "fx_evento")
+select identificador_externo, fundo_id, classe_id, data_aquisicao, situacao, cast(n_eventos as bigint) as n_eventos
+from ({_status(f"(select * from fx_evento where data_evento <= date '{MARK_DATE}')")}) x""", "fx_titulo", "fx_evento")
+
+SQL["close_incremental"] = with_views(f"select * from fx_fechamento where data_referencia > date '{REPORT_DATE}'", "fx_fechamento")
+
+# a December closed again gives the same figures as version 2
+SQL["close_reprocess"] = with_views("""
+select * replace (case when month(data_referencia) = 12 then 2 else versao end as versao) from fx_fechamento""", "fx_fechamento")
+
+SQL["seal_status"] = with_views(f"""
+select classe_id, data_referencia, versao, case when data_referencia <= date '{REPORT_DATE}' then 'SELADO' else status end as status,
+       case when data_referencia <= date '{REPORT_DATE}' then date '{REPORT_DATE}' end as selado_em
+from fx_fechamento""", "fx_fechamento")
+
+SQL["close_audit"] = with_views("""
+select data_referencia as ocorrido_em, 'system' as usuario_email, 'FECHAMENTO_EXECUTADO' as acao, 'apuracao.fechamento' as entidade,
+       sha256(classe_id || '|' || cast(data_referencia as varchar) || '|' || cast(versao as varchar)) as entidade_id,
+       case when cota_anterior is not null then '{"valor_cota":' || cast(cota_anterior as varchar) || '}' end as antes,
+       '{"classe_id":"' || classe_id || '","data_referencia":"' || cast(data_referencia as varchar) || '","versao":' || cast(versao as varchar)
+         || ',"pl_liquido":' || cast(pl_liquido as varchar) || coalesce(',"valor_cota":' || cast(valor_cota as varchar), '') || '}' as depois,
+       strftime(data_referencia, '%Y%m') as mes
+from fx_fechamento""", "fx_fechamento")

@@ -75,7 +75,7 @@ def q_title_marking(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_class_marking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M7: class totals at every close date of the grid, in one job."""
     c = Ctx(spark, sf_dir)
-    return valuation.class_marking(c.titulos_status, c.grid, c.calendar)
+    return valuation.class_marking(c.titulos_status, c.grid, c.calendar, c.bands)
 
 
 # --- boleta validation and ingest -------------------------------------------------------------
@@ -178,6 +178,47 @@ def q_close_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Ctx(spark, sf_dir).computed_closes
 
 
+def q_close_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F2-F8: the closes after the report date, computed on top of the stored ones up to it."""
+    c = Ctx(spark, sf_dir)
+    day = F.lit(REPORT_DATE).cast("date")
+    inputs = closing.close_inputs(c.grid.where(F.col("data") > day), c.titulos_status, c.movimento_caixa,
+                                  c.cota_movimento, c.params, c.calendar, c.bands)
+    return closing.close_grid(inputs, c.calendar, c.closes.where(F.col("data_referencia") <= day))
+
+
+def q_close_reprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """every December closed again; the highest version of every close."""
+    c = Ctx(spark, sf_dir)
+    parts = [c.closes]
+    again = c.grid.where(F.month("data") == 12)
+    inputs = closing.close_inputs(again, c.titulos_status, c.movimento_caixa, c.cota_movimento, c.params, c.calendar, c.bands)
+    # each December is a run of its own on top of the stored closes before it
+    for year in range(*_years(again)):
+        one = inputs.where(F.year("data") == year)
+        parts.append(closing.close_grid(one, c.calendar, c.closes))
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return closing.latest_versions(every)
+
+
+def _years(grid: DataFrame) -> tuple[int, int]:
+    r = grid.agg(F.min(F.year("data")).alias("a"), F.max(F.year("data")).alias("b")).first()
+    return (r["a"], r["b"] + 1) if r["a"] else (0, 0)
+
+
+def q_seal_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F11 as state: status of every close after the accepted seals of the closes up to the report date."""
+    c = Ctx(spark, sf_dir)
+    old = c.closes.where(F.col("data_referencia") <= F.lit(REPORT_DATE).cast("date"))
+    reqs = old.select(closing.close_id(old).alias("fechamento_id"), F.lit(1).alias("ordem"))
+    log = closing.seal(c.closes, reqs).where(F.col("resultado") == "SELADO").select(
+        "fechamento_id", F.lit(REPORT_DATE).cast("timestamp").alias("selado_em"))
+    return closing.with_status(c.closes, log).select("classe_id", "data_referencia", "versao", "status",
+                                                     F.col("selado_em").cast("date").alias("selado_em"))
+
+
 def q_close_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """the 200 newest closes."""
     return closing.list_closes(Ctx(spark, sf_dir).closes)
@@ -230,13 +271,13 @@ def q_receivable_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_order_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Investor orders replayed with price lookup and the redemption guard."""
     c = Ctx(spark, sf_dir)
-    return orders.process_orders(fx.ordens(c.t), c.closes, c.cota_movimento)
+    return orders.process_orders(fx.ordens(c.t), c.closes, c.cota_movimento, c.classes, c.cotistas)
 
 
 def q_seal_closes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """seal every December close twice (second is refused) and a missing version."""
+    """seal every close twice (second is refused) and a missing version."""
     c = Ctx(spark, sf_dir)
-    dec = c.closes.where(F.month("data_referencia") == 12)
+    dec = c.closes
     cid = closing.close_id(dec)
     missing = F.sha2(F.concat_ws("|", "classe_id", "data_referencia", F.lit(2)), 256)
     reqs = (dec.select(cid.alias("fechamento_id"), F.lit(1).alias("ordem"))
@@ -332,12 +373,14 @@ def q_implied_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_close_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One audit record per close with its after-image as JSON (partitioned by month on write)."""
+    """One audit record per close: before (the class's previous price) and after, as JSON."""
     c = Ctx(spark, sf_dir)
     cl = c.closes
-    return access.audit_rows(cl, "FECHAMENTO_EXECUTADO", "apuracao.fechamento", closing.close_id(cl),
+    before = F.when(F.col("cota_anterior").isNotNull(), F.struct(F.col("cota_anterior").alias("valor_cota")))
+    rows = access.audit_rows(cl, "FECHAMENTO_EXECUTADO", "apuracao.fechamento", closing.close_id(cl),
                              ["classe_id", "data_referencia", "versao", "pl_liquido", "valor_cota"],
-                             at=F.col("data_referencia").cast("timestamp"))
+                             at=F.col("data_referencia").cast("timestamp"), before=before)
+    return rows.withColumn("ocorrido_em", F.col("ocorrido_em").cast("date"))
 
 
 def q_investor_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -401,6 +444,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "event_cash": q_event_cash,
     "position_view": q_position_view,
     "close_grid": q_close_grid,
+    "close_incremental": q_close_incremental,
+    "close_reprocess": q_close_reprocess,
+    "seal_status": q_seal_status,
     "close_list": q_close_list,
     "price_series": q_price_series,
     "overview": q_overview,

@@ -50,7 +50,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names for checkpoints.
 
     Read from the session (``spark.checkpoint.dir`` or the context's directory).
-    Only when neither is set (local tests) a private folder is created.
+    Only when neither is set and the master is local (tests) a private folder is
+    created; on a cluster, whose executors would not see it, that is an error.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
@@ -58,6 +59,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return d
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="recvfund-ckpt-")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from .. import constants as K
 from ..functions.rows import with_row_number
+from ..operators import ledger
 from .tables import Tables
 
 CNPJ_BASE = 10000000000000  # 14-digit document base
@@ -69,6 +70,18 @@ def faixas_pdd(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
+#: A choice of this fixture: holidays on the same day of every year, so that all years of the data have some.
+FIXTURE_HOLIDAYS_MMDD = ["01-01", "04-21", "05-01", "09-07", "10-12", "11-02", "11-15", "11-20", "12-25"]
+
+
+def feriados(spark: SparkSession, start: str, end: str) -> DataFrame:
+    """Holiday table: the fixture's days of every year of the range, and the dates the source is seeded with."""
+    years = spark.range(int(start[:4]), int(end[:4]) + 1).select(F.col("id").cast("string").alias("ano"))
+    yearly = years.select(F.explode(F.array(*[F.concat("ano", F.lit("-" + x)).cast("date") for x in FIXTURE_HOLIDAYS_MMDD])).alias("data"))
+    seeded = spark.range(1).select(F.explode(F.array(*[F.lit(x).cast("date") for x in K.SEEDED_HOLIDAYS])).alias("data"))
+    return yearly.unionByName(seeded).distinct()
+
+
 def parametros(t: Tables) -> DataFrame:
     """Two effective-dated fee rows per class: 1.5 % p.a. up to 1998, 2.0 % from 1999."""
     c = classes(t).select("classe_id")
@@ -147,10 +160,12 @@ def boleta_raw(t: Tables) -> DataFrame:
         _fault(257, F.lit(""), F.col("c_name")).alias("sacado_nome"),
         F.when(ln == 2, "x").otherwise(_iso(F.col("o_orderdate"))).alias("data_emissao"),
         _fault(263, F.lit("n/d"), _iso(F.col("l_shipdate"))).alias("data_vencimento"),
-        _fault(269, F.lit("-1"), F.col("vf").cast("string")).alias("valor_face"),
+        F.when(F.col("h") % 269 == 0, "-1").when(F.col("h") % 293 == 0, "NaN").when(F.col("h") % 307 == 0, "1e30")
+        .when(F.col("h") % 311 == 0, "0.001").otherwise(F.col("vf").cast("string")).alias("valor_face"),
         F.when(F.col("h") % 271 == 0, "abc").when(F.col("h") % 277 == 0, (F.col("vf") + 1).cast("string"))
         .otherwise(F.col("va").cast("string")).alias("valor_aquisicao"),
-        F.when(ln == 3, "n").otherwise("").alias("taxa_desconto_aa"),
+        F.when(ln == 3, "n").when(ln == 4, "9999999").when(ln == 5, "NaN").when(ln == 6, "18.5").otherwise("")
+        .alias("taxa_desconto_aa"),
         F.when(F.col("h") % 281 == 0, "TR").when(F.col("l_returnflag") == "A", "cdi")
         .when(F.col("l_returnflag") == "R", "PRE").otherwise("").alias("indexador"),
         F.lit("").alias("percentual_indexador"),
@@ -195,16 +210,33 @@ def titulos(t: Tables) -> DataFrame:
 
 
 def eventos(t: Tables, titles: DataFrame | None = None) -> DataFrame:
-    """One event per finished title, a few days after maturity."""
+    """Events of finished titles in posting order (``ordem``), which is not always the order of their dates.
+
+    Each has one some days after maturity (every third without a value). Some have a delay before it, some a
+    write-off that is dated earlier but posted later, some an unknown kind; some events name no known title.
+    """
     ti = titles if titles is not None else titulos(t)
     ln = F.col("l_linenumber")
-    return ti.where(F.col("l_linestatus") == "F").select(
-        "identificador_externo", "fundo_id", "classe_id",
-        F.date_add(F.col("data_vencimento"), ln.cast("int")).alias("data_evento"),
-        F.col("valor_face").alias("valor"),
-        F.when(F.col("l_returnflag") == "A", "PAGAMENTO").when(F.col("l_returnflag") == "R", "RECOMPRA")
-        .when(ln % 2 == 0, "BAIXA").otherwise("PAGAMENTO_PARCIAL").alias("tipo"),
+    posted = F.split("identificador_externo", "-")[0].cast("long") * 80 + ln * 8
+    kind = (F.when(F.col("l_returnflag") == "A", "PAGAMENTO").when(F.col("l_returnflag") == "R", "RECOMPRA")
+            .when(ln % 2 == 0, "BAIXA").otherwise("PAGAMENTO_PARCIAL"))
+    face, none = F.col("valor_face"), F.lit(None).cast(T.DecimalType(20, 2))
+
+    def event(name, place: int, days, kind, value) -> F.Column:
+        return F.struct(name.alias("identificador_externo"), (posted + place).alias("ordem"),
+                        F.date_add(F.col("data_vencimento"), days).alias("data_evento"), value.alias("valor"), kind.alias("tipo"))
+
+    own = F.col("identificador_externo")
+    made = F.array(
+        F.when(ln % 4 == 0, event(own, 0, F.lit(1), F.lit("ATRASO"), none)),
+        event(own, 1, ln.cast("int"), kind, F.when(ln % 3 == 0, none).otherwise(face)),
+        F.when(ln == 5, event(own, 2, F.lit(0), F.lit("BAIXA"), none)),
+        F.when(ln == 6, event(own, 3, F.lit(9), F.lit("PRORROGACAO"), none)),
+        F.when(ln == 7, event(F.concat(F.lit("X-"), own), 4, F.lit(2), F.lit("PAGAMENTO"), face)),
     )
+    finished = ti.where(F.col("l_linestatus") == "F")
+    return finished.select("fundo_id", F.explode(F.filter(made, lambda x: x.isNotNull())).alias("e")).select(
+        "e.identificador_externo", "fundo_id", "e.ordem", "e.data_evento", "e.valor", "e.tipo")
 
 
 def cota_movimento(t: Tables) -> DataFrame:
@@ -221,7 +253,7 @@ def cota_movimento(t: Tables) -> DataFrame:
         .select(
             F.col("o_orderkey").alias("mov_id"),
             F.concat_ws("|", "cnpj", "c_mktsegment").alias("classe_id"),
-            F.col("c_custkey").alias("cotista_id"),
+            F.when(F.col("o_orderkey") % 17 != 0, F.col("c_custkey")).alias("cotista_id"),  # some contributions are anonymous
             F.col("o_orderdate").cast("date").alias("data"),
             F.when(red, "RESGATE").otherwise("EMISSAO").alias("tipo"),
             (F.col("o_totalprice").cast(T.DecimalType(18, 2)) * factor).cast(T.DecimalType(28, 12)).alias("quantidade"),
@@ -244,23 +276,33 @@ def movimento_caixa(t: Tables, titles: DataFrame | None = None, events: DataFram
     acq = ti.groupBy("classe_id", F.col("data_aquisicao").alias("data")).agg(
         (-F.sum("valor_aquisicao")).cast(money).alias("valor")
     ).select("classe_id", "data", F.lit("AQUISICAO_DC").alias("tipo"), "valor")
-    rec = ev.where(F.col("tipo").isin(*K.EVENT_CASH_KINDS)).select(
-        "classe_id", F.col("data_evento").alias("data"), F.lit("RECEBIMENTO_DC").alias("tipo"),
-        F.col("valor").cast(money).alias("valor"),
-    )
+    rec = ledger.event_cash(ledger.apply_title_events(ti, ev)[1]).select("classe_id", "data", "tipo", "valor")
     return units.unionByName(acq).unionByName(rec)
 
 
 def ordens(t: Tables) -> DataFrame:
-    """Investor orders from the event stream (January 2024, five classes)."""
-    e = t.events.where(F.col("event_type").isin("purchase", "signup", "click"))
-    return e.select(
-        F.col("event_id").alias("ordem"),
-        F.col("ts").cast("date").alias("data"),
-        F.concat(F.lit("C"), (F.col("user_id") % 5).cast("string")).alias("classe_id"),
-        F.col("user_id").alias("cotista_id"),
-        F.when(F.col("event_type") == "click", "RESGATE").otherwise("APLICACAO").alias("tipo"),
-        F.col("value").cast(T.DecimalType(20, 2)).alias("valor"),
+    """Investor orders: one per order row, 45 days after it, in the customer's class.
+
+    Every second one redeems, every sixth by units instead of value; some name an unknown class or investor.
+    """
+    o = t.orders.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    c = t.customer.select("c_custkey", "c_nationkey", "c_mktsegment")
+    key = F.col("o_orderkey")
+    total = F.col("o_totalprice").cast(T.DecimalType(18, 2))
+    return (
+        o.join(c, F.col("c_custkey") == F.col("o_custkey"))
+        .join(t.nation.select("n_nationkey", "n_regionkey"), F.col("n_nationkey") == F.col("c_nationkey"))
+        .join(fundos(t).select("fundo_id", "cnpj"), F.col("fundo_id") == F.col("n_regionkey"))
+        .select(
+            key.alias("ordem"),
+            F.date_add(F.col("o_orderdate").cast("date"), 45).alias("data"),
+            F.when(key % 53 == 0, "?").otherwise(F.concat_ws("|", "cnpj", "c_mktsegment")).alias("classe_id"),
+            F.when(key % 59 == 0, -F.col("c_custkey")).otherwise(F.col("c_custkey")).alias("cotista_id"),
+            F.when(key % 2 == 0, "RESGATE").otherwise("APLICACAO").alias("tipo"),
+            F.round(total * F.lit("0.30").cast(T.DecimalType(4, 2)), 2).cast(T.DecimalType(20, 2)).alias("valor"),
+            F.when(key % 6 == 0, total * F.lit("0.40").cast(T.DecimalType(4, 2))).cast(T.DecimalType(28, 12))
+            .alias("quantidade_solicitada"),
+        )
     )
 
 

@@ -14,18 +14,16 @@ from pyspark.sql import functions as F
 from ..operators.ingest import IngestResult, month_of
 
 
-def _dynamic(df: DataFrame) -> None:
-    df.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-
-
 def write_partitioned(df: DataFrame, path: str, by: list[str], fmt: str = "parquet", sort: list[str] | None = None,
                       **options: str) -> None:
-    """Write ``df`` partitioned by ``by``, replacing only the partitions present in ``df``."""
-    _dynamic(df)
-    out = df.repartition(*by)
+    """Write ``df`` partitioned by ``by``, replacing only the partitions present in ``df``.
+
+    The rows are rebalanced by those columns: small partitions share a task, and a large one is split over several.
+    """
+    out = df.hint("rebalance", *by)
     if sort:
         out = out.sortWithinPartitions(*by, *sort)  # parquet min/max then prune on the sort columns
-    w = out.write.mode("overwrite").partitionBy(*by).format(fmt)
+    w = out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).format(fmt)
     for k, v in options.items():
         w = w.option(k, v)
     w.save(path)
@@ -42,11 +40,12 @@ def write_titles(titles: DataFrame, path: str) -> None:
     write_partitioned(t, path, ["mes_aquisicao", "lote_id"], sort=["classe_id"])
 
 
-def write_ingest(result: IngestResult, root: str, lote_id: str) -> None:
+def write_ingest(result: IngestResult, root: str, lote_id: str, with_staging: bool = True) -> None:
     """Persist a batch: staging, titles, cash, new counterparties. Each output is
     partitioned by the batch id, so re-running the batch replaces its own rows.
     The batch log row is written last by the caller (readers join on it)."""
-    write_staging(result.staging, f"{root}/boleta_staging")
+    if with_staging:
+        write_staging(result.staging, f"{root}/boleta_staging")
     write_titles(result.titles, f"{root}/direito_creditorio")
     write_partitioned(result.cash.withColumn("mes", month_of(F.col("data"))), f"{root}/movimento_caixa", ["mes", "lote_id"])
     parties = result.cedentes.unionByName(result.sacados).withColumn("lote_id", F.lit(lote_id))
@@ -60,6 +59,6 @@ def export_report_csv(sections: dict[str, DataFrame], root: str) -> None:
                           sep=";", header="true", encoding="UTF-8")
 
 
-def append_audit(rows: DataFrame, path: str) -> None:
-    """Audit records by month."""
-    rows.write.mode("append").partitionBy("mes").parquet(path)
+def write_audit(rows: DataFrame, path: str, action_id: str) -> None:
+    """Audit records by month and action; writing an action again replaces its own records."""
+    write_partitioned(rows.withColumn("acao_id", F.lit(action_id)), path, ["mes", "acao_id"])

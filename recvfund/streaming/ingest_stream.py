@@ -6,15 +6,16 @@ duplicate scope; batch and stream share the same validate/ingest functions.
 Outputs are partitioned by ``lote_id`` and written with dynamic partition
 overwrite, so a micro-batch replayed after a failure rewrites the same
 partitions: the sink is idempotent and the checkpoint gives exactly-once
-effects. Progress counters come from ``observe`` instead of extra jobs.
+effects. Staging is written first and read back, so every later step of the
+batch reads the stored lines instead of the files.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -38,10 +39,13 @@ class StreamRefs:
 
 
 def _read_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table, or None before its first batch; any other fault of the storage is raised."""
     try:
         return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - the table does not exist before the first batch
-        return None
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def ingest_files(batch: DataFrame, batch_id: int, out_root: str, refs: StreamRefs) -> None:
@@ -49,31 +53,30 @@ def ingest_files(batch: DataFrame, batch_id: int, out_root: str, refs: StreamRef
     spark = batch.sparkSession
     raw = with_file_line_number(batch, "linha_numero", start=2).withColumn("lote_id", F.sha2(F.col("arquivo"), 256))
     validated = validation.validate(validation.normalize(raw), refs.fundos, refs.classes, file_key="arquivo")
-    validated = validated.persist(StorageLevel.MEMORY_AND_DISK)  # feeds staging, titles, cash, parties
-    lotes = validated.select("lote_id").distinct()
+    lotes = raw.select("lote_id").distinct().checkpoint()  # a row a file
+    sinks.write_staging(validated, f"{out_root}/boleta_staging")
+    staged = spark.read.parquet(f"{out_root}/boleta_staging").join(lotes, "lote_id", "left_semi")
 
     keys, ced, sac = refs.prior_title_keys, refs.prior_cedentes, refs.prior_sacados
     written = _read_table(spark, f"{out_root}/direito_creditorio")
     if written is not None:  # earlier batches, excluding this batch's own rows (replay)
-        keys = keys.unionByName(written.join(lotes, "lote_id", "left_anti").select(*ingest.TITLE_KEY))
+        old = written.join(lotes, "lote_id", "left_anti").select(*ingest.TITLE_KEY, "mes_aquisicao")
+        month = ingest.month_of(F.col("data_aquisicao"))
+        keys = keys.withColumn("mes_aquisicao", month).unionByName(old.withColumn("mes_aquisicao", F.col("mes_aquisicao").cast("string")))
     parties = _read_table(spark, f"{out_root}/contraparte")
     if parties is not None:
         old = parties.where(F.col("lote_id") != F.lit(f"stream-{batch_id}"))
         ced = ced.unionByName(old.where(F.col("papel") == "CEDENTE").select("documento"))
         sac = sac.unionByName(old.where(F.col("papel") == "SACADO").select("documento"))
 
-    obs = Observation(f"lote_{batch_id}")
-    counted = validated.observe(obs, F.count(F.lit(1)).alias("linhas_total"),
-                                F.count_if(F.col("valido")).alias("linhas_aceitas"))
-    result = ingest.ingest(counted, refs.fundos, refs.classes, keys, ced, sac)
-    sinks.write_ingest(result, out_root, f"stream-{batch_id}")
-    log = validation.batch_summary(validated, ["lote_id", "arquivo"]).withColumn("batch_id", F.lit(batch_id))
+    result = ingest.ingest(staged, refs.fundos, refs.classes, keys, ced, sac)
+    sinks.write_ingest(result, out_root, f"stream-{batch_id}", with_staging=False)
+    log = validation.batch_summary(staged, ["lote_id", "arquivo"]).withColumn("batch_id", F.lit(batch_id))
     sinks.write_partitioned(log, f"{out_root}/lote_importacao", ["lote_id"])  # written last: makes the batch visible
-    validated.unpersist()
 
 
 def stream_ingest(spark: SparkSession, src_dir: str, out_root: str, checkpoint: str, refs: StreamRefs,
-                  available_now: bool = True, max_files_per_trigger: int | None = None) -> StreamingQuery:
+                  available_now: bool = True, max_files_per_trigger: int | None = 1000) -> StreamingQuery:
     reader = spark.readStream.schema(BOLETA_SCHEMA)
     for k, v in CSV_OPTIONS.items():
         if k != "inferSchema":

@@ -14,7 +14,7 @@ HOL = {date.fromisoformat(d) for d in K.SEEDED_HOLIDAYS}
 def py_business_days(a: date, b: date) -> int:
     n, d = 0, a + timedelta(days=1)
     while d <= b:
-        if d.weekday() < 5 and d not in HOL and d.strftime("%m-%d") not in K.FIXED_HOLIDAYS_MMDD:
+        if d.weekday() < 5 and d not in HOL:
             n += 1
         d += timedelta(days=1)
     return n

@@ -105,3 +105,30 @@ def test_file_line_numbers_per_file(spark, tmp_path):
     assert got == [("a.csv", i, i + 2) for i in range(3)] + [("b.csv", i, i + 2) for i in range(5)]
     hashes = file_hashes(spark, d).collect()
     assert len(hashes) == 2 and all(len(h.arquivo_hash) == 64 for h in hashes)
+
+
+def test_poison_values_are_rejected_or_cleared(spark):
+    def line(i, face="10000.00", paid="9720.50", rate="18.5"):
+        return ROW1.replace("000101", f"0002{i:02d}").replace("10000.00;9720.50;18.500000", f"{face};{paid};{rate}")
+
+    lines = [line(1, face="NaN"), line(2, face="Infinity"), line(3, face="1e30"), line(4, face="0.001"), line(5, face="20000d"),
+             line(6, paid="0.001"), line(7, rate="9999999"), line(8, rate="NaN"), line(9)]
+    v, fundos, classes = validate_lines(spark, lines)
+    rows = {r.linha_numero: r for r in v.collect()}
+    assert [rows[k].motivo_rejeicao for k in range(2, 7)] == [K.MSG_VF] * 5 and rows[7].motivo_rejeicao == K.MSG_VA
+    assert [(rows[k].valido, rows[k].taxa_desconto_aa) for k in (8, 9, 10)] == [(True, ""), (True, ""), (True, "18.5")]
+    empty_keys = spark.createDataFrame([], "fundo_id int, identificador_externo string, data_aquisicao date")
+    empty = spark.createDataFrame([], "documento string")
+    assert ingest.ingest(v, fundos, classes, empty_keys, empty, empty).titles.count() == 3
+
+
+def test_one_title_in_two_files_is_inserted_once(spark):
+    v, fundos, classes = validate_lines(spark, [ROW1, ROW2])
+    other = v.withColumn("arquivo", F.concat("arquivo", F.lit("-later"))).withColumn("cedente_nome", F.lit("Other")).withColumn("lote_id", F.lit("L2"))
+    both = v.unionByName(other)
+    empty_keys = spark.createDataFrame([], "fundo_id int, identificador_externo string, data_aquisicao date")
+    empty = spark.createDataFrame([], "documento string")
+    r = ingest.ingest(both, fundos, classes, empty_keys, empty, empty)
+    assert [(t.identificador_externo, t.lote_id) for t in r.titles.orderBy("identificador_externo").collect()] == [("ACME-2026-000101", "L1"), ("ACME-2026-000102", "L1")]
+    assert sum(c.valor for c in r.cash.collect()) == Decimal("-19175.60")
+    assert [c.nome for c in r.cedentes.collect()] == ["Comercial Acme Ltda"]

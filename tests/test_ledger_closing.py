@@ -1,6 +1,6 @@
 import random
 from datetime import date
-from decimal import ROUND_HALF_EVEN, Decimal
+from decimal import Decimal
 
 from recvfund.functions.calendar import build_calendar
 from pyspark.sql import functions as F
@@ -17,44 +17,44 @@ def _inputs(spark, rows):
                                        "caixa decimal(20,2), quantidade_cotas decimal(28,12), taxa_administracao_aa decimal(9,6)")
 
 
-def model_close(rows, cal_days):
-    """The source's per-call arithmetic in Python Decimal (28-digit context)."""
-    out, prev = [], None
-    for (_, _, d, _, vp, pdd, _, caixa, units, taxa) in rows:
-        n = 1 if prev is None else cal_days(prev["data"], d)
-        pl_bruto = (vp + caixa).quantize(Decimal("0.01"), ROUND_HALF_EVEN)
-        desp = (pl_bruto * (taxa / Decimal(100)) / Decimal(252) * Decimal(n)).quantize(Decimal("0.01"), ROUND_HALF_EVEN)
-        prov = ((prev["prov"] if prev else Decimal(0)) + desp).quantize(Decimal("0.01"), ROUND_HALF_EVEN)
-        liq = (pl_bruto - pdd - prov).quantize(Decimal("0.01"), ROUND_HALF_EVEN)
-        cota = (liq / units).quantize(Decimal("1e-12"), ROUND_HALF_EVEN) if units > 0 else None
-        ant = prev["cota"] if prev else None
-        base = ant if ant is not None else (Decimal("1") if cota is not None else None)
-        rent = (cota / base - 1).quantize(Decimal("1e-10"), ROUND_HALF_EVEN) if cota is not None and base and base > 0 else None
-        prev = {"data": d, "prov": prov, "cota": cota}
-        out.append((d, pl_bruto, desp, prov, liq, cota, ant, rent, n))
-    return out
+def _row(d, vp, pdd, cash, units):
+    return ("c", 1, d, 10, Decimal(vp), Decimal(pdd), Decimal(0), Decimal(cash), Decimal(units), Decimal("2.52"))
 
 
-def test_close_grid_matches_decimal_model(spark):
-    from test_calendar_params import py_business_days
+# worked by hand: 2.52 % a year is 0.01 % a business day of the gross value
+CHAIN = [
+    # date, present value, provision for losses, cash, units -> days, expense, accumulated, net, price, return
+    (_row(date(2026, 1, 30), "1000.00", "10.00", "500.00", "1000"), 1, "0.15", "0.15", "1489.85", "1.489850000000", "0.4898500000"),
+    (_row(date(2026, 1, 31), "1000.00", "10.00", "700.00", "1000"), 0, "0.00", "0.15", "1689.85", "1.689850000000", "0.1342417022"),
+    (_row(date(2026, 2, 2), "1000.00", "10.00", "700.00", "0"), 1, "0.17", "0.32", "1689.68", None, None),
+    (_row(date(2026, 2, 9), "3000.00", "0.00", "-500.00", "1250"), 5, "1.25", "1.57", "2498.43", "1.998744000000", "0.9987440000"),
+    (_row(date(2026, 2, 10), "2500.45", "0.45", "0.05", "2500"), 1, "0.25", "1.82", "2498.23", "0.999292000000", "-0.5000400251"),
+]
+
+
+def check_chain(got, want):
+    assert len(got) == len(want)
+    for g, (row, n, expense, total, net, price, ret) in zip(got, want):
+        assert (g.data_referencia, g.n_du, g.despesa_adm_dia, g.provisao_adm_acumulada) == (row[2], n, Decimal(expense), Decimal(total))
+        assert g.pl_liquido == Decimal(net) and g.valor_cota == (price and Decimal(price)) and g.rentabilidade_dia == (ret and Decimal(ret))
 
-    cal = build_calendar(spark, "2025-01-01", "2027-12-31")
-    rnd = random.Random(3)
-    dates = [date(2026, 1, 30), date(2026, 1, 31), date(2026, 2, 1), date(2026, 2, 27), date(2026, 3, 31), date(2026, 4, 30)]
-    rows = []
-    for i, d in enumerate(dates):
-        units = Decimal("0") if i == 2 else Decimal(rnd.randint(10 ** 5, 10 ** 8)) / Decimal(10 ** 3)
-        rows.append(("c", 1, d, 10, Decimal(rnd.randint(10 ** 6, 10 ** 9)) / 100, Decimal(rnd.randint(0, 10 ** 5)) / 100,
-                     Decimal(0), Decimal(rnd.randint(-10 ** 7, 10 ** 9)) / 100, units, Decimal("1.5")))
-    got = sorted(closing.close_grid(_inputs(spark, rows), cal).collect(), key=lambda r: r.data_referencia)
-    exp = model_close(rows, py_business_days)
-    for g, (d, pl_bruto, desp, prov, liq, cota, ant, rent, n) in zip(got, exp):
-        assert g.data_referencia == d and g.n_du == n
-        assert (g.pl_bruto, g.despesa_adm_dia, g.provisao_adm_acumulada, g.pl_liquido) == (pl_bruto, desp, prov, liq)
-        assert g.valor_cota == cota and g.cota_anterior == ant and g.rentabilidade_dia == rent
-    assert got[1].n_du == 0           # Saturday close after a Friday close
-    assert got[2].valor_cota is None  # zero units -> no price
-    assert got[3].cota_anterior is None and got[3].rentabilidade_dia is not None  # base falls back to par
+
+def test_close_chain_against_worked_figures(spark):
+    cal = build_calendar(spark, "2026-01-01", "2026-12-31")
+    got = sorted(closing.close_grid(_inputs(spark, [c[0] for c in CHAIN]), cal).collect(), key=lambda r: r.data_referencia)
+    check_chain(got, CHAIN)
+    assert got[3].cota_anterior is None  # the close before it has no price: its base is par
+
+
+def test_close_goes_on_from_stored_closes(spark):
+    cal = build_calendar(spark, "2026-01-01", "2026-12-31")
+    for cut in (1, 2, 3, 4):
+        first = closing.close_grid(_inputs(spark, [c[0] for c in CHAIN[:cut]]), cal)
+        rest = closing.close_grid(_inputs(spark, [c[0] for c in CHAIN[cut:]]), cal, first)
+        check_chain(sorted(rest.collect(), key=lambda r: r.data_referencia), CHAIN[cut:])
+    stored = closing.close_grid(_inputs(spark, [c[0] for c in CHAIN]), cal)
+    again = closing.close_grid(_inputs(spark, [CHAIN[3][0]]), cal, stored).first()
+    assert again.versao == 2 and again.valor_cota == Decimal(CHAIN[3][5]) and again.provisao_adm_acumulada == Decimal("1.57")
 
 
 def test_versions_and_seal(spark):
@@ -107,6 +107,7 @@ def test_report_residual_row(spark):
     units = spark.createDataFrame([("c", 1, date(2026, 1, 1), "EMISSAO", Decimal("100")),
                                    ("c", 2, date(2026, 1, 1), "EMISSAO", Decimal("50")),
                                    ("c", 2, date(2026, 2, 1), "RESGATE", Decimal("60"))], UNITS_SCHEMA)
+    units = units.unionByName(spark.createDataFrame([("c", None, date(2026, 1, 1), "EMISSAO", Decimal("200"))], UNITS_SCHEMA))
     got = {r.nome or r.documento: r for r in report.investors(closes, "2026-04-10", units).collect()}
     assert got["1"].valor == Decimal("150.00") and got["1"].participacao == Decimal("0.333333333333")
     assert "2" not in got  # net position <= 0 is not shown
@@ -117,6 +118,8 @@ def test_report_residual_row(spark):
 def test_effective_permissions_and_check(spark):
     roles = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 1)], "perfil_id int, perfil_pai_id int")
     perms = spark.createDataFrame([(1, "admin"), (2, "gestor"), (3, "leitura"), (4, "auditor")], "perfil_id int, permissao string")
+    loop = spark.createDataFrame([(1, 3), (2, 1), (3, 2), (4, 4)], "perfil_id int, perfil_pai_id int")  # cycles end
+    assert sorted((r.role, r.reached) for r in access.inherited_roles(loop).collect()) == [(a, b) for a in (1, 2, 3) for b in (1, 2, 3)] + [(4, 4)]
     users = spark.createDataFrame([(10, 3), (20, 4)], "usuario_id int, perfil_id int")
     eff = access.effective_permissions(users, roles, perms)
     got = sorted((r.usuario_id, r.permissao) for r in eff.collect())
@@ -166,3 +169,40 @@ def test_report_export_and_get_close(spark, tmp_path):
     export_report_csv({"composicao": closes.select("classe_id", "data_referencia", "pl_liquido", "valor_cota")}, str(tmp_path))
     back = spark.read.option("sep", ";").option("header", "true").csv(str(tmp_path / "composicao")).collect()
     assert len(back) == 1 and back[0].pl_liquido == "100.00"
+
+
+def test_event_order_rejects_and_class(spark):
+    from recvfund.operators import ledger
+
+    titles = spark.createDataFrame(
+        [("a", 1, "c1", date(2026, 1, 1), Decimal(10)), ("b", 1, "c2", date(2026, 1, 1), Decimal(20)), ("b", 1, "c2", date(2026, 2, 1), Decimal(30))],
+        "identificador_externo string, fundo_id int, classe_id string, data_aquisicao date, valor_face decimal(20,2)")
+    events = spark.createDataFrame(
+        [("a", 1, 2, date(2026, 3, 1), None, "PAGAMENTO", "wrong"), ("a", 1, 5, date(2026, 2, 1), None, "BAIXA", "wrong"), ("a", 1, 9, date(2026, 4, 1), None, "ATRASO", "wrong"),
+         ("b", 1, 3, date(2026, 3, 1), None, "PAGAMENTO", "c2"), ("z", 1, 4, date(2026, 3, 1), None, "PAGAMENTO", "c1"), ("a", 1, 1, date(2026, 3, 1), None, "OUTRO", "c1")],
+        "identificador_externo string, fundo_id int, ordem long, data_evento date, valor decimal(20,2), tipo string, classe_id string")
+    status, resolved = ledger.apply_title_events(titles, events)
+    got = {(r.identificador_externo, r.data_aquisicao.month): (r.situacao, r.n_eventos) for r in status.collect()}
+    assert got == {("a", 1): ("BAIXADO", 3), ("b", 1): ("ATIVO", 0), ("b", 2): ("ATIVO", 0)}  # the last posted, not the latest date
+    assert {r.ordem: r.resultado for r in resolved.collect()} == {
+        1: K.MSG_EVENTO_TIPO, 2: "OK", 3: K.MSG_EVENTO_AMBIGUO, 4: K.MSG_EVENTO_NAO_ENCONTRADO, 5: "OK", 9: "OK"}
+    assert [(r.classe_id, r.valor) for r in ledger.event_cash(resolved).collect()] == [("c1", Decimal("10.00"))]
+
+
+def test_positions_without_anonymous_units(spark):
+    from recvfund.operators import ledger
+
+    units = spark.createDataFrame([("c", 1, date(2026, 1, 1), "EMISSAO", Decimal("100")), ("c", None, date(2026, 1, 1), "EMISSAO", Decimal("200"))], UNITS_SCHEMA)
+    closes = spark.createDataFrame([], "classe_id string, data_referencia date, versao long, valor_cota decimal(28,12)")
+    got = ledger.position_view(units, closes, "2026-02-01").collect()
+    assert [(r.cotista_id, r.participacao) for r in got] == [(1, Decimal("1.000000"))]
+
+
+def test_orders_of_unknown_class_or_investor(spark):
+    rows = [(1, date(2024, 1, 1), "c", 1, "APLICACAO", Decimal("10.00")), (2, date(2024, 1, 2), "x", 1, "APLICACAO", Decimal("5.00")),
+            (3, date(2024, 1, 3), "c", 9, "APLICACAO", Decimal("5.00")), (4, date(2024, 1, 4), "c", 1, "RESGATE", Decimal("10.00"))]
+    df = spark.createDataFrame(rows, "ordem long, data date, classe_id string, cotista_id long, tipo string, valor decimal(20,2)")
+    closes = spark.createDataFrame([], "classe_id string, data_referencia date, versao long, valor_cota decimal(28,12)")
+    got = {r.ordem: (r.aceito, r.motivo) for r in orders.process_orders(
+        df, closes, None, spark.createDataFrame([("c",)], "classe_id string"), spark.createDataFrame([(1,)], "cotista_id long")).collect()}
+    assert got == {1: (True, None), 2: (False, K.MSG_ORDEM_CLASSE), 3: (False, K.MSG_ORDEM_COTISTA), 4: (True, None)}
