@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,31 +41,18 @@ def param_asof(keys: DataFrame, params: DataFrame, key: str = "classe_id", date:
     )
 
 
-def band_intervals(bands: DataFrame) -> DataFrame:
-    """Bands as half-open [min, next_min) intervals (7 rows)."""
-    w = Window.orderBy("dias_atraso_min")
-    return bands.select(
-        "dias_atraso_min", "percentual", "rating",
-        F.lead("dias_atraso_min").over(w).alias("dias_atraso_max"),
-    )
-
-
 def with_pdd_pct(df: DataFrame, days_col: str, bands: DataFrame, out: str = "pct_pdd") -> DataFrame:
     """Percentage of the highest band whose minimum <= days, else 0.
 
-    A range join against a 7-row broadcast table.
+    The band table (7 rows of configuration) is read once and becomes one CASE
+    expression, so no title is joined with anything.
     """
-    iv = F.broadcast(band_intervals(bands).select(
-        F.col("dias_atraso_min").alias("_b_min"), F.col("dias_atraso_max").alias("_b_max"),
-        F.col("percentual").alias("_b_pct"),
-    ))
-    d = F.col(days_col)
-    cond = (d >= F.col("_b_min")) & (F.col("_b_max").isNull() | (d < F.col("_b_max")))
-    return (
-        df.join(iv, cond, "left")
-        .withColumn(out, F.coalesce(F.col("_b_pct"), F.lit(0).cast(PCT)))
-        .drop("_b_min", "_b_max", "_b_pct")
-    )
+    return df.withColumn(out, pdd_pct_expr(F.col(days_col), band_rows(bands)))
+
+
+def band_rows(bands: DataFrame) -> list[tuple[int, Decimal]]:
+    """The band table on the driver, by minimum."""
+    return [(r["dias_atraso_min"], r["percentual"]) for r in bands.orderBy("dias_atraso_min").collect()]
 
 
 def band_list(bands=None) -> list[tuple[int, Decimal]]:
@@ -75,8 +62,7 @@ def band_list(bands=None) -> list[tuple[int, Decimal]]:
 
 
 def pdd_pct_expr(days: Column, bands=None) -> Column:
-    """C5 as a CASE expression (same result as ``with_pdd_pct``) for code paths
-    that cannot afford a join per row."""
+    """C5 as a CASE expression over bands in ascending order."""
     expr = F.lit(0).cast(PCT)
     for d, p in band_list(bands):
         expr = F.when(days >= d, F.lit(p).cast(PCT)).otherwise(expr)

@@ -187,6 +187,14 @@ def overview(closes: DataFrame, fundos: DataFrame, classes: DataFrame) -> DataFr
     )
 
 
+def recent_closes(closes: DataFrame, n: int = 8) -> DataFrame:
+    """per class its newest ``n`` closes with their status (a group limit: k rows a partition are shuffled)."""
+    newest = Window.partitionBy("classe_id").orderBy(F.col("data_referencia").desc(), F.col("versao").desc())
+    return closes.withColumn("posicao", F.row_number().over(newest)).where(F.col("posicao") <= n).select(
+        "classe_id", F.col("posicao").cast("long").alias("posicao"), "data_referencia", "versao", "status", "pl_liquido",
+        "quantidade_cotas", "valor_cota", "rentabilidade_dia")
+
+
 def get_close(closes: DataFrame, fechamento_id: str) -> DataFrame:
     """one close by id (empty when missing)."""
     return closes.where(close_id(closes) == F.lit(fechamento_id))

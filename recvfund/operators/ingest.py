@@ -149,6 +149,23 @@ def batch_result(validated: DataFrame, inserted: DataFrame) -> DataFrame:
     )
 
 
+def batch_log(validated: DataFrame, inserted: DataFrame, by: str = "lote_id") -> DataFrame:
+    """One row a batch: the summary with inserted rows and ignored duplicates."""
+    from .validation import batch_summary
+
+    n = inserted.groupBy(F.col("lote_id").alias("_lote")).agg(F.count(F.lit(1)).alias("_n"))
+    log = batch_summary(validated, [by]).join(n, F.col(by) == F.col("_lote"), "left")
+    done = F.coalesce("_n", F.lit(0))
+    return log.withColumns({"registros_inseridos": done, "duplicados_ignorados": F.col("linhas_aceitas") - done}).drop("_lote", "_n")
+
+
+def with_names(titles: DataFrame, cedentes: DataFrame, sacados: DataFrame) -> DataFrame:
+    """M8: ``cedente`` and ``sacado`` names of ingested titles, from the counterparty tables (id, nome)."""
+    ced = cedentes.select(F.col("id").alias("_ced"), F.col("nome").alias("cedente"))
+    sac = sacados.select(F.col("id").alias("_sac"), F.col("nome").alias("sacado"))
+    return titles.join(ced, F.col("cedente_id") == F.col("_ced"), "left").join(sac, F.col("sacado_id") == F.col("_sac"), "left").drop("_ced", "_sac")
+
+
 def latest_batches(lotes: DataFrame, n: int = 100, newest_first: str = "iniciado_em", tie: str = "lote_id") -> DataFrame:
     """Newest ``n`` batches (top-n, TakeOrderedAndProject)."""
     return lotes.orderBy(F.col(newest_first).desc(), F.col(tie)).limit(n)

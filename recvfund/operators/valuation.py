@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.calendar import with_business_days
-from ..functions.params import PCT, band_list, with_pdd_pct
+from ..functions.params import PCT, band_list, band_rows, with_pdd_pct
 
 MONEY = T.DecimalType(20, 2)
 
@@ -96,7 +96,7 @@ def class_marking(titles: DataFrame, grid: DataFrame, calendar: DataFrame, bands
     job fails on a title whose dates the calendar does not cover, rather than
     marking it wrong. ``bands``: the provision bands table (7 rows, read once).
     """
-    steps_of = band_list(bands if bands is None else [(r["dias_atraso_min"], r["percentual"]) for r in bands.orderBy("dias_atraso_min").collect()])
+    steps_of = band_list(None if bands is None else band_rows(bands))
     last = grid.agg(F.max("data").alias("d")).first()["d"]
     gi, cal = _grid_index(grid.select("data"), calendar)
     cal_b = F.broadcast(cal)

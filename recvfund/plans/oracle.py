@@ -31,7 +31,8 @@ select r_regionkey as fundo_id, cast(10000000000000 + r_regionkey as varchar) as
 from region""")
 
 _view("fx_classe", ["fx_fundo"], """
-select f.cnpj || '|' || p.codigo as classe_id, f.fundo_id, f.cnpj, p.codigo
+select f.cnpj || '|' || p.codigo as classe_id, f.fundo_id, f.cnpj, p.codigo, 'Cota ' || p.codigo as nome,
+       case when p.codigo < 'C' then 'SENIOR' when p.codigo < 'H' then 'MEZANINO' else 'SUBORDINADA' end as tipo
 from (select distinct n_regionkey as fundo_id, c_mktsegment as codigo
       from customer join nation on n_nationkey = c_nationkey) p
 join fx_fundo f on f.fundo_id = p.fundo_id
@@ -67,7 +68,8 @@ join nation n on n_nationkey = c_nationkey join supplier s on s_suppkey = l_supp
 
 _view("fx_titulo", ["fx_base"], """
 select identificador_externo, fundo_id, classe_id, data_aquisicao, data_vencimento, valor_face, valor_aquisicao,
-       cedente, sacado, l_returnflag, l_linestatus, l_linenumber
+       cedente, sacado, l_returnflag, l_linestatus, l_linenumber, 'NF-' || split_part(identificador_externo, '-', 1) as numero_titulo,
+       case l_linenumber % 3 when 0 then 'CCB' when 1 then 'DUPLICATA' else 'CARTAO' end as tipo_ativo
 from (
   select cast(l_orderkey as varchar) || '-' || cast(l_linenumber as varchar) as identificador_externo,
          n_regionkey as fundo_id, cnpj || '|' || c_mktsegment as classe_id,
@@ -437,7 +439,7 @@ join fx_fundo on fundo_id = n_regionkey""")
 _view("fx_cotista", [], """
 select c_custkey as cotista_id,
        case when c_custkey % 2 = 0 then cast(20000000000 + c_custkey as varchar) else cast(30000000000000 + c_custkey as varchar) end as documento,
-       c_name as nome
+       c_name as nome, case when c_custkey % 2 = 0 then 'PF' else 'PJ' end as tipo_investidor
 from customer""")
 
 _view("fx_movimento_caixa", ["fx_cota_movimento", "fx_titulo", "fx_evento"], """
@@ -563,7 +565,7 @@ select * from (select *, row_number() over (partition by classe_id order by data
                from fx_fechamento where data_referencia <= date '{REPORT_DATE}') t where r = 1""")
 
 SQL["report_composition"] = with_views("""
-select f.classe_id, f.fundo_id, fu.nome as fundo_nome, fu.cnpj as fundo_cnpj, c.codigo, f.data_referencia, f.versao, f.status,
+select f.classe_id, f.fundo_id, fu.nome as fundo_nome, fu.cnpj as fundo_cnpj, c.codigo, c.nome as classe_nome, c.tipo as classe_tipo, f.data_referencia, f.versao, f.status,
        f.pl_bruto, f.pl_liquido, f.valor_cota, f.quantidade_cotas, f.rentabilidade_dia,
        cast(coalesce(m.valor_presente, 0) as decimal(20,2)) as estoque_valorizado,
        cast(coalesce(m.qtd_ativos, 0) as bigint) as estoque_qtd_titulos,
@@ -582,26 +584,26 @@ group by m.classe_id, m.cotista_id
 having sum(case when m.tipo = 'EMISSAO' then m.quantidade else -m.quantidade end) > 0""")
 
 SQL["report_investors"] = with_views(f"""
-select x.classe_id, f.data_referencia, x.cotista_id, x.documento, x.nome, x.cotas,
+select x.classe_id, f.data_referencia, x.cotista_id, x.documento, x.nome, x.tipo_investidor, x.cotas,
        {_fixed(_he(f"{_units('x.cotas')} * {_units('coalesce(f.valor_cota, cast(0 as decimal(28,12)))')}", "cast(10000000000000000000000 as hugeint)"), 2, 20)} as valor,
        case when f.quantidade_cotas > 0
             then {_fixed(_he(f"{_units('x.cotas')} * {_E12}", _units('f.quantidade_cotas')), 12, 20)}
             else cast(0 as decimal(20,12)) end as participacao
-from (select p.classe_id, p.cotista_id, c.documento, c.nome, p.cotas from fx_report_pos p left join fx_cotista c on c.cotista_id = p.cotista_id
+from (select p.classe_id, p.cotista_id, c.documento, c.nome, c.tipo_investidor, p.cotas from fx_report_pos p left join fx_cotista c on c.cotista_id = p.cotista_id
       union all
-      select f2.classe_id, null, '{K.RESIDUAL_DOC}', '{K.RESIDUAL_NAME}',
+      select f2.classe_id, null, '{K.RESIDUAL_DOC}', '{K.RESIDUAL_NAME}', '{K.RESIDUAL_DOC}',
              cast(f2.quantidade_cotas - coalesce((select sum(cotas) from fx_report_pos p2 where p2.classe_id = f2.classe_id), 0) as decimal(28,12))
       from fx_report_close f2
       where f2.quantidade_cotas - coalesce((select sum(cotas) from fx_report_pos p2 where p2.classe_id = f2.classe_id), 0) > 0.000001) x
 join fx_report_close f on f.classe_id = x.classe_id""", "fx_report_close", "fx_report_pos", "fx_cotista")
 
 SQL["stock_top100"] = with_views(f"""
-select classe_id, data_referencia, cast(posicao as bigint) as posicao, identificador_externo, data_vencimento, valor_face,
+select classe_id, data_referencia, cast(posicao as bigint) as posicao, identificador_externo, numero_titulo, tipo_ativo, data_vencimento, valor_face,
        sacado, cedente, valor_presente, estoque_qtd_titulos, estoque_valorizado
 from (select m.*, row_number() over (partition by classe_id order by valor_presente desc, identificador_externo) as posicao,
              count(*) over (partition by classe_id) as estoque_qtd_titulos,
              cast(sum(valor_presente) over (partition by classe_id) as decimal(20,2)) as estoque_valorizado
-      from (select t.classe_id, f.data_referencia, t.identificador_externo, t.data_vencimento, t.valor_face, t.sacado, t.cedente,
+      from (select t.classe_id, f.data_referencia, t.identificador_externo, t.numero_titulo, t.tipo_ativo, t.data_vencimento, t.valor_face, t.sacado, t.cedente,
                    {_accrual('t.valor_face', 't.valor_aquisicao', 'cv.du_acumulado - cr.du_acumulado', 'cv.du_acumulado - ca.du_acumulado')} as valor_presente
             from fx_titulo_ativo t
             join fx_report_close f on f.classe_id = t.classe_id and t.data_aquisicao <= f.data_referencia
@@ -736,14 +738,20 @@ _ins_f = VIEWS["fx_titulo_inserido"][1].replace("from fx_boleta_val v", "from fx
 _view("fx_titulo_inserido_f", ["fx_boleta_val_f", "fx_fundo", "fx_classe", "fx_titulo"], _ins_f)
 SQL["stream_title_insert"] = with_views("select * from fx_titulo_inserido_f", "fx_titulo_inserido_f")
 
-SQL["latest_batches"] = with_views("""
+_LOG = """
 select lote, count(*) as linhas_total, count(*) filter (where valido) as linhas_aceitas,
        count(*) filter (where not valido) as linhas_rejeitadas,
        case when count(distinct data_aquisicao) filter (where valido) = 1
             then cast(min(data_aquisicao) filter (where valido) as date) end as data_referencia,
        case when count(distinct fundo_cnpj) filter (where valido) = 1
-            then min(fundo_cnpj) filter (where valido) end as fundo_cnpj
-from fx_boleta_val_f group by lote order by lote desc limit 100""", "fx_boleta_val_f")
+            then min(fundo_cnpj) filter (where valido) end as fundo_cnpj,
+       coalesce(any_value(n), 0) as registros_inseridos, count(*) filter (where valido) - coalesce(any_value(n), 0) as duplicados_ignorados
+from fx_boleta_val_f left join (select lote as l, count(*) as n from fx_titulo_inserido_f group by lote) i on l = lote
+group by lote"""
+SQL["latest_batches"] = with_views(f"{_LOG} order by lote desc limit 100", "fx_boleta_val_f", "fx_titulo_inserido_f")
+SQL["overview_batches"] = with_views(
+    f"select lote, data_referencia, linhas_aceitas, linhas_rejeitadas from ({_LOG}) x order by lote desc limit 5",
+    "fx_boleta_val_f", "fx_titulo_inserido_f")
 
 SQL["implied_rate"] = with_views("""
 select identificador_externo, du_total,
@@ -816,3 +824,67 @@ select data_referencia as ocorrido_em, 'system' as usuario_email, 'FECHAMENTO_EX
          || ',"pl_liquido":' || cast(pl_liquido as varchar) || coalesce(',"valor_cota":' || cast(valor_cota as varchar), '') || '}' as depois,
        strftime(data_referencia, '%Y%m') as mes
 from fx_fechamento""", "fx_fechamento")
+
+SQL["overview_closes"] = with_views("""
+select classe_id, posicao, data_referencia, versao, status, pl_liquido, quantidade_cotas, valor_cota, rentabilidade_dia
+from (select *, row_number() over (partition by classe_id order by data_referencia desc, versao desc) as posicao from fx_fechamento) t
+where posicao <= 8""", "fx_fechamento")
+
+_view("fx_contraparte", ["fx_boleta_val", "fx_prior_base"], SQL["counterparty_upsert"][SQL["counterparty_upsert"].rindex("select 'CEDENTE'"):] + """
+union
+select 'CEDENTE', ced_doc, s_name, sha256('cedente|' || ced_doc) from fx_prior_base
+union
+select 'SACADO', d, c_name, sha256('sacado|' || d)
+from (select c_name, case when c_custkey % 2 = 0 then cast(20000000000 + c_custkey as varchar) else cast(30000000000000 + c_custkey as varchar) end as d
+      from fx_prior_base) x""")
+
+SQL["chain_stock"] = with_views(f"""
+select classe_id, posicao, identificador_externo, numero_titulo, tipo_ativo, data_vencimento, sacado, cedente, valor_face, valor_presente,
+       estoque_qtd_titulos, estoque_valorizado
+from (select m.*, row_number() over (partition by classe_id order by valor_presente desc, identificador_externo) as posicao,
+             count(*) over (partition by classe_id) as estoque_qtd_titulos,
+             cast(sum(valor_presente) over (partition by classe_id) as decimal(20,2)) as estoque_valorizado
+      from (select t.*, ce.nome as cedente, sa.nome as sacado,
+                   {_accrual('t.valor_face', 't.valor_aquisicao', 'cv.du_acumulado - cr.du_acumulado', 'cv.du_acumulado - ca.du_acumulado')} as valor_presente
+            from fx_titulo_inserido t
+            left join fx_contraparte ce on ce.papel = 'CEDENTE' and ce.id = t.cedente_id
+            left join fx_contraparte sa on sa.papel = 'SACADO' and sa.id = t.sacado_id
+            left join fx_calendario ca on ca.data = t.data_aquisicao
+            left join fx_calendario cv on cv.data = t.data_vencimento
+            left join fx_calendario cr on cr.data = date '{MARK_DATE}'
+            where t.data_aquisicao <= date '{MARK_DATE}') m) r
+where posicao <= 100""", "fx_titulo_inserido", "fx_contraparte", "fx_calendario")
+
+
+def _body(name: str, *views: str) -> str:
+    """The last SELECT of a query, without its views."""
+    return SQL[name][len(with_views("", *views)):].strip()
+
+
+_view("fx_r_comp", ["fx_report_close", "fx_grid_mark", "fx_classe", "fx_fundo"],
+      _body("report_composition", "fx_report_close", "fx_grid_mark", "fx_classe", "fx_fundo"))
+_view("fx_r_inv", ["fx_report_close", "fx_report_pos", "fx_cotista"], _body("report_investors", "fx_report_close", "fx_report_pos", "fx_cotista"))
+_view("fx_r_top", ["fx_titulo_ativo", "fx_report_close", "fx_calendario"], _body("stock_top100", "fx_titulo_ativo", "fx_report_close", "fx_calendario"))
+
+
+def _joined(*cols: str) -> str:
+    return " || ';' || ".join(f"coalesce(cast({c} as varchar), 'null')" for c in cols)
+
+
+SQL["report_export"] = with_views(f"""
+select classe_id, data_referencia, 0 as parte, 0 as ordem, chr(65279) || 'Relatorio de posicao diaria;' || fundo_nome || ';' || cast(data_referencia as varchar) as linha from fx_r_comp
+union all select classe_id, data_referencia, 0, 1, '' from fx_r_comp
+union all select classe_id, data_referencia, 1, 0, 'COMPOSICAO;valor' from fx_r_comp
+union all select classe_id, data_referencia, 1, 1, 'Estoque valorizado;' || cast(estoque_valorizado as varchar) from fx_r_comp
+union all select classe_id, data_referencia, 1, 2, 'Caixa;' || cast(caixa as varchar) from fx_r_comp
+union all select classe_id, data_referencia, 1, 3, 'Provisao administracao;' || cast(provisao_administracao as varchar) from fx_r_comp
+union all select classe_id, data_referencia, 1, 4, 'PL liquido;' || cast(pl_liquido as varchar) from fx_r_comp
+union all select classe_id, data_referencia, 1, 5, 'Valor cota;' || coalesce(cast(valor_cota as varchar), 'null') from fx_r_comp
+union all select classe_id, data_referencia, 1, 99, '' from fx_r_comp
+union all select classe_id, data_referencia, 2, 0, 'COTISTA;documento;tipo;cotas;participacao;valor' from fx_r_comp
+union all select classe_id, data_referencia, 2, case when documento = '{K.RESIDUAL_DOC}' then 4611686018427387904 else 2305843009213693952 - cast(floor(cotas) as bigint) end,
+                 {_joined('nome', 'documento', 'tipo_investidor', 'cotas', 'participacao', 'valor')} from fx_r_inv
+union all select classe_id, data_referencia, 3, 0, '' from fx_r_comp
+union all select classe_id, data_referencia, 3, 1, 'TITULO;tipo;vencimento;sacado;cedente;valor_face;valor_presente' from fx_r_comp
+union all select classe_id, data_referencia, 4, posicao, {_joined('numero_titulo', 'tipo_ativo', 'data_vencimento', 'sacado', 'cedente', 'valor_face', 'valor_presente')} from fx_r_top""",
+                                  "fx_r_comp", "fx_r_inv", "fx_r_top")

@@ -240,7 +240,7 @@ def q_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_report_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Header and NAV composition of every class at the report date."""
     c = Ctx(spark, sf_dir)
-    return report.composition(c.closes, REPORT_DATE, c.titulos_status, c.calendar, c.fundos, c.classes)
+    return report.composition(c.closes, REPORT_DATE, c.titulos_status, c.calendar, c.bands, c.fundos, c.classes)
 
 
 def q_report_investors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,8 +254,8 @@ def q_stock_top100(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = Ctx(spark, sf_dir)
     s = report.stock(c.closes, REPORT_DATE, c.titulos_status, c.calendar, c.bands, 100)
     return s.select("classe_id", "data_referencia", F.col("posicao").cast("long").alias("posicao"),
-                    "identificador_externo", "data_vencimento", "valor_face", "sacado", "cedente", "valor_presente",
-                    "estoque_qtd_titulos", "estoque_valorizado")
+                    "identificador_externo", "numero_titulo", "tipo_ativo", "data_vencimento", "valor_face", "sacado",
+                    "cedente", "valor_presente", "estoque_qtd_titulos", "estoque_valorizado")
 
 
 def q_receivable_list(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -358,11 +358,50 @@ def q_latest_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = Ctx(spark, sf_dir)
     raw = c.boleta_raw.withColumn("lote", F.concat(F.lit("L"), F.substring("data_aquisicao", 1, 7)))
     # duplicate scope is the file; first occurrence by global line = first by per-file line
-    v = validation.validate(validation.normalize(raw), c.fundos, c.classes, file_key="lote")
-    log = validation.batch_summary(v, ["lote"])
+    v = validation.validate(validation.normalize(raw.withColumn("lote_id", F.col("lote"))), c.fundos, c.classes, file_key="lote")
+    r = ingest.ingest(v, c.fundos, c.classes, fx.prior_title_keys(c.titulos), fx.prior_counterparties(c.t, "cedente"),
+                      fx.prior_counterparties(c.t, "sacado"))
+    log = ingest.batch_log(v, r.titles, "lote")
     return ingest.latest_batches(log, 100, newest_first="lote", tie="lote")
 
 
+def q_overview_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the five newest batches."""
+    return ingest.latest_batches(q_latest_batches(spark, sf_dir), 5, newest_first="lote", tie="lote").select(
+        "lote", "data_referencia", "linhas_aceitas", "linhas_rejeitadas")
+
+
+def q_overview_closes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the eight newest closes of every class."""
+    return closing.recent_closes(Ctx(spark, sf_dir).closes)
+
+
+def q_report_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of every class as lines of its export file."""
+    c = Ctx(spark, sf_dir)
+    top = report.stock(c.closes, REPORT_DATE, c.titulos_status, c.calendar, c.bands, 100)
+    return report.export_lines(
+        report.composition(c.closes, REPORT_DATE, c.titulos_status, c.calendar, c.bands, c.fundos, c.classes),
+        report.investors(c.closes, REPORT_DATE, c.cota_movimento, c.cotistas), top)
+
+
+def q_chain_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File to report in one chain: the batch is ingested, its titles get their counterparties' names from the tables
+    (registered before or by this batch), are marked at the mark date, and the largest 100 of every class are listed."""
+    c = Ctx(spark, sf_dir)
+    r = c.ingest
+
+    def known(role: str, new: DataFrame) -> DataFrame:
+        old = fx.prior_counterparties(c.t, role).select(ingest.surrogate(F.lit(role), "documento").alias("id"), "nome")
+        return old.unionByName(new.select("id", "nome"))
+
+    named = ingest.with_names(r.titles, known("cedente", r.cedentes), known("sacado", r.sacados))
+    top = valuation.stock_detail(valuation.mark_titles_at(named, MARK_DATE, c.calendar, c.bands), 100)
+    return top.select("classe_id", F.col("posicao").cast("long").alias("posicao"), "identificador_externo", "numero_titulo",
+                      "tipo_ativo", "data_vencimento", "sacado", "cedente", "valor_face", "valor_presente",
+                      "estoque_qtd_titulos", "estoque_valorizado")
+
+
 def q_implied_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Annual cession rate implied by face value, acquisition value and business days."""
     c = Ctx(spark, sf_dir)
@@ -462,6 +501,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "boleta_csv_validation": q_boleta_csv_validation,
     "stream_title_insert": q_stream_title_insert,
     "latest_batches": q_latest_batches,
+    "overview_batches": q_overview_batches,
+    "overview_closes": q_overview_closes,
+    "report_export": q_report_export,
+    "chain_stock": q_chain_stock,
     "implied_rate": q_implied_rate,
     "close_audit": q_close_audit,
     "investor_balance": q_investor_balance,

@@ -54,7 +54,8 @@ def classes(t: Tables) -> DataFrame:
         .where(~((F.col("fundo_id") == 3) & (F.col("codigo") == "FURNITURE")))
         .select(
             F.concat_ws("|", "cnpj", "codigo").alias("classe_id"),
-            "fundo_id", "cnpj", "codigo",
+            "fundo_id", "cnpj", "codigo", F.concat(F.lit("Cota "), F.col("codigo")).alias("nome"),
+            F.when(F.col("codigo") < "C", "SENIOR").when(F.col("codigo") < "H", "MEZANINO").otherwise("SUBORDINADA").alias("tipo"),
         )
     )
 
@@ -206,6 +207,8 @@ def titulos(t: Tables) -> DataFrame:
         F.col("r.l_returnflag").alias("l_returnflag"),
         F.col("r.l_linestatus").alias("l_linestatus"),
         F.col("l_linenumber"),
+        F.concat(F.lit("NF-"), F.col("l_orderkey").cast("string")).alias("numero_titulo"),
+        F.when(F.col("l_linenumber") % 3 == 0, "CCB").when(F.col("l_linenumber") % 3 == 1, "DUPLICATA").otherwise("CARTAO").alias("tipo_ativo"),
     )
 
 
@@ -343,8 +346,8 @@ def prior_counterparties(t: Tables, role: str) -> DataFrame:
 
 def cotistas(t: Tables) -> DataFrame:
     """Investors: one per customer, with an 11- or 14-digit document."""
-    return t.customer.select(F.col("c_custkey").alias("cotista_id"), _sacado_doc().alias("documento"),
-                             F.col("c_name").alias("nome"))
+    return t.customer.select(F.col("c_custkey").alias("cotista_id"), _sacado_doc().alias("documento"), F.col("c_name").alias("nome"),
+                             F.when(F.col("c_custkey") % 2 == 0, "PF").otherwise("PJ").alias("tipo_investidor"))
 
 
 def prior_investors(t: Tables) -> DataFrame:

@@ -52,11 +52,16 @@ def write_ingest(result: IngestResult, root: str, lote_id: str, with_staging: bo
     write_partitioned(parties, f"{root}/contraparte", ["papel", "lote_id"])
 
 
-def export_report_csv(sections: dict[str, DataFrame], root: str) -> None:
-    """Each report section as ';' CSV under classe_id=/data_referencia= folders (all classes at once)."""
-    for name, df in sections.items():
-        write_partitioned(df, f"{root}/{name}", ["classe_id", "data_referencia"], fmt="csv",
-                          sep=";", header="true", encoding="UTF-8")
+def export_report_csv(lines: DataFrame, root: str) -> None:
+    """The lines of ``report.export_lines`` as ';' text files under classe_id=/data_referencia=, in order.
+
+    A report that is too long for one task is split into several files, in order by name.
+    """
+    by = ["classe_id", "data_referencia"]
+    (
+        lines.repartitionByRange(*by, "parte", "ordem").sortWithinPartitions(*by, "parte", "ordem", "linha").select(*by, "linha")
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).text(root)
+    )
 
 
 def write_audit(rows: DataFrame, path: str, action_id: str) -> None:

@@ -166,9 +166,12 @@ def test_report_export_and_get_close(spark, tmp_path):
     closes = closing.close_grid(_inputs(spark, rows), cal)
     cid = closes.select(closing.close_id(closes)).first()[0]
     assert closing.get_close(closes, cid).count() == 1 and closing.get_close(closes, "x").count() == 0
-    export_report_csv({"composicao": closes.select("classe_id", "data_referencia", "pl_liquido", "valor_cota")}, str(tmp_path))
-    back = spark.read.option("sep", ";").option("header", "true").csv(str(tmp_path / "composicao")).collect()
-    assert len(back) == 1 and back[0].pl_liquido == "100.00"
+    lines = spark.createDataFrame(
+        [("c", date(2026, 3, 31), 4, 1, "T"), ("c", date(2026, 3, 31), 0, 0, report.BOM + "Relatorio"), ("c", date(2026, 3, 31), 2, 0, "COTISTA"), ("d", date(2026, 3, 31), 0, 0, "x")],
+        "classe_id string, data_referencia date, parte long, ordem long, linha string")
+    export_report_csv(lines, str(tmp_path / "out"))
+    files = sorted((tmp_path / "out" / "classe_id=c" / "data_referencia=2026-03-31").glob("part-*.txt"))
+    assert "".join(f.read_text(encoding="utf-8") for f in files).split("\n")[:3] == ["\ufeffRelatorio", "COTISTA", "T"]
 
 
 def test_event_order_rejects_and_class(spark):
