@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, staged
 
 _POS_BITS = 33  # monotonically_increasing_id = (partition << 33) + position
 
@@ -59,18 +59,19 @@ def with_file_line_number(df: DataFrame, out: str = "linha_numero", start: int =
     A file split is read in file order inside one task, so the position inside
     the split is ``monotonically_increasing_id`` minus the split's first id; the
     split's offset is the row count of the earlier splits of the same file.
-    Only one row per split is aggregated and joined back.
+    The tagged rows are staged as parquet first, so the files are read once:
+    the splits are counted from two narrow columns, and whatever comes later
+    reads the staged rows. One row per split is joined back.
     """
-    tagged = (
-        df.withColumn("_f", F.col("_metadata.file_path"))
-        .withColumn("_s", F.col("_metadata.file_block_start"))
-        .withColumn("_rn_mid", F.monotonically_increasing_id())
-    )
+    tagged = staged(
+        df.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_s"))
+        .drop("_metadata").withColumn("_rn_mid", F.monotonically_increasing_id()),
+        "linhas")
     splits = tagged.groupBy("_f", "_s").agg(F.count(F.lit(1)).alias("_n"), F.min("_rn_mid").alias("_m0"))
     w = Window.partitionBy("_f").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     offs = splits.select("_f", "_s", "_m0", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
     return (
-        tagged.join(offs, ["_f", "_s"])
+        tagged.join(offs, ["_f", "_s"])  # a row a split: broadcast below Spark's size limit
         .withColumn(out, (F.col("_off") + F.col("_rn_mid") - F.col("_m0") + F.lit(start)).cast("long"))
         .withColumnRenamed("_f", "arquivo")
         .drop("_s", "_rn_mid", "_m0", "_off")

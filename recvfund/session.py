@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Decimal division must keep scale: decimal(20,2) / decimal(28,12) is decimal(38,8)
 # under the default rules, too coarse for a 12-dp unit price. With precision loss
@@ -66,6 +66,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or d
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder as parquet and read back: its source is read once, later steps read columns."""
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for written tables, under the shared checkpoint folder."""
     import uuid
