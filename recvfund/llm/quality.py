@@ -165,7 +165,7 @@ def fit_forest(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABEL
     """Fitted on up to ``max_labelled`` labelled documents, chosen by a hash of their ids: that many rows of statistics reach the driver."""
     known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    one = docs.select("doc_id", text_of().alias("text")).join(chosen, "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    one = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
     rows = one.select("doc_id", "quality", stats_of(F.col("text")).alias("s")).filter(~base_failed(F.col("s"))).select("doc_id", "quality", "s.features").toPandas()
     rows = rows.sort_values("doc_id")
     x = np.array(rows["features"].tolist(), float).reshape(len(rows), -1)
