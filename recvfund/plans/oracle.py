@@ -888,3 +888,43 @@ union all select classe_id, data_referencia, 3, 0, '' from fx_r_comp
 union all select classe_id, data_referencia, 3, 1, 'TITULO;tipo;vencimento;sacado;cedente;valor_face;valor_presente' from fx_r_comp
 union all select classe_id, data_referencia, 4, posicao, {_joined('numero_titulo', 'tipo_ativo', 'data_vencimento', 'sacado', 'cedente', 'valor_face', 'valor_presente')} from fx_r_top""",
                                   "fx_r_comp", "fx_r_inv", "fx_r_top")
+
+# a step of the recursion is a close; amounts in cents, units and prices in 10^-12
+_view("fx_fluxo", ["fx_ordem", "fx_ordem_fold", "fx_grid"], f"""
+select o.classe_id, (select min(g.data) from fx_grid g where g.classe_id = o.classe_id and g.data >= o.data) as data,
+       sum(case when o.tipo = 'APLICACAO' then {_units('o.valor')} else 0 end) as ap,
+       sum(case when o.tipo = 'RESGATE' and o.pedida is null then {_units('o.valor')} else 0 end) as rv,
+       sum(case when o.tipo = 'RESGATE' and o.pedida is not null then {_units('o.pedida')} else 0 end) as ru
+from fx_ordem o join fx_ordem_fold f on f.k = 1 and f.ordem = o.ordem and f.aceito group by 1, 2""")
+
+_view("fx_passo", ["fx_close_b", "fx_fluxo"], f"""
+select b.classe_id, b.data, row_number() over (partition by b.classe_id order by b.data) as rn,
+       {_units('b.valor_presente')} as vp, {_units('b.pdd')} as pdd, {_units('b.caixa')} as cx, {_units('b.cotas')} as ct, {_units('b.taxa')} as tx,
+       cast(b.n_du as hugeint) as n, cast(coalesce(f.ap, 0) as hugeint) as ap, cast(coalesce(f.rv, 0) as hugeint) as rv, cast(coalesce(f.ru, 0) as hugeint) as ru
+from fx_close_b b left join fx_fluxo f on f.classe_id = b.classe_id and f.data = b.data""")
+
+
+def _passo(src: str, where: str, price: str, units: str, cash: str, prov: str) -> str:
+    """One close from the state before it."""
+    p22 = "cast(10000000000000000000000 as hugeint)"
+    return f"""
+select classe_id, data, rn, pz, em, rs, ux, cx2, g, dp, pv, g - pdd - pv as liq, ct + ux as un,
+       case when ct + ux > 0 then {_he(f"(g - pdd - pv) * {_E12} * cast(10000000000 as hugeint)", "(ct + ux)")} end as pr
+from (select *, {prov} + dp as pv
+      from (select *, {_he("g * tx * n", "cast(25200000000 as hugeint)")} as dp
+            from (select *, vp + cx + cx2 as g
+                  from (select *, {units} + em - rs as ux, {cash} + ap - rv - {_he("ru * pz", p22)} as cx2
+                        from (select *, {_he(f"ap * {p22}", "pz")} as em, ru + {_he(f"rv * {p22}", "pz")} as rs
+                              from (select *, case when {price} > 0 then {price} else {_E12} end as pz from {src} where {where}) a) b) c) d) e) h"""
+
+
+_ZERO = "cast(0 as hugeint)"
+_view("fx_replay", ["fx_passo"], _passo("fx_passo", "rn = 1", _ZERO, _ZERO, _ZERO, _ZERO) + "\nunion all\n" + _passo(
+    "(select s.*, z.pr as zpr, z.ux as zux, z.cx2 as zcx, z.pv as zpv from fx_replay z join fx_passo s on s.classe_id = z.classe_id and s.rn = z.rn + 1) y",
+    "true", "coalesce(zpr, 0)", "zux", "zcx", "zpv"))
+
+SQL["order_close_replay"] = with_views(f"""
+select classe_id, data as data_referencia, {_fixed('pz', 12, 28)} as cota_aplicada, {_fixed('em', 12, 28)} as cotas_emitidas, {_fixed('rs', 12, 28)} as cotas_resgatadas,
+       {_fixed('(s.cx + r.cx2)', 2, 20)} as caixa, {_fixed('un', 12, 28)} as quantidade_cotas, {_fixed('g', 2, 20)} as pl_bruto, {_fixed('dp', 2, 20)} as despesa_adm_dia,
+       {_fixed('pv', 2, 20)} as provisao_adm_acumulada, {_fixed('liq', 2, 20)} as pl_liquido, {_fixed('pr', 12, 28)} as valor_cota
+from fx_replay r join fx_passo s using (classe_id, data)""", "fx_replay", "fx_passo", recursive=True)

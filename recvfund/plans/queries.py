@@ -274,6 +274,15 @@ def q_order_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.process_orders(fx.ordens(c.t), c.closes, c.cota_movimento, c.classes, c.cotistas)
 
 
+def q_order_close_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """every class's closes with the accepted orders fed back into units, cash and prices."""
+    c = Ctx(spark, sf_dir)
+    accepted = q_order_replay(spark, sf_dir).where("aceito").select("ordem")
+    taken = fx.ordens(c.t).join(accepted, "ordem", "left_semi")
+    inputs = closing.close_inputs(c.grid, c.titulos_status, c.movimento_caixa, c.cota_movimento, c.params, c.calendar, c.bands)
+    return closing.close_with_orders(inputs, c.calendar, taken)
+
+
 def q_seal_closes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """seal every close twice (second is refused) and a missing version."""
     c = Ctx(spark, sf_dir)
@@ -494,6 +503,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stock_top100": q_stock_top100,
     "receivable_list": q_receivable_list,
     "order_replay": q_order_replay,
+    "order_close_replay": q_order_close_replay,
     "seal_closes": q_seal_closes,
     "investor_registry": q_investor_registry,
     "effective_permissions": q_effective_permissions,

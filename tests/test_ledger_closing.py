@@ -209,3 +209,18 @@ def test_orders_of_unknown_class_or_investor(spark):
     got = {r.ordem: (r.aceito, r.motivo) for r in orders.process_orders(
         df, closes, None, spark.createDataFrame([("c",)], "classe_id string"), spark.createDataFrame([(1,)], "cotista_id long")).collect()}
     assert got == {1: (True, None), 2: (False, K.MSG_ORDEM_CLASSE), 3: (False, K.MSG_ORDEM_COTISTA), 4: (True, None)}
+
+
+def test_closes_and_orders_feed_each_other(spark):
+    cal = build_calendar(spark, "2026-01-01", "2026-12-31")
+    rows = [c[0] for c in CHAIN]
+    schema = "ordem long, data date, classe_id string, cotista_id long, tipo string, valor decimal(20,2), quantidade_solicitada decimal(28,12)"
+    plain = sorted(closing.close_with_orders(_inputs(spark, rows), cal, spark.createDataFrame([], schema)).collect(), key=lambda r: r.data_referencia)
+    assert [(r.valor_cota, r.provisao_adm_acumulada) for r in plain] == [(c[5] and Decimal(c[5]), Decimal(c[3])) for c in CHAIN]
+    orders_ = [(1, date(2026, 1, 31), "c", 1, "APLICACAO", Decimal("148.99"), None), (2, date(2026, 1, 31), "c", 1, "APLICACAO", Decimal("148.98"), None),
+               (3, date(2026, 1, 31), "c", 2, "RESGATE", Decimal("0.00"), Decimal("100")), (4, date(2027, 1, 1), "c", 2, "APLICACAO", Decimal("5.00"), None)]
+    got = sorted(closing.close_with_orders(_inputs(spark, rows[:2]), cal, spark.createDataFrame(orders_, schema)).collect(), key=lambda r: r.data_referencia)
+    # 297.97 at 1.48985 buys 200 units; 100 units go for 148.99 (148.985, half to even: 148.98)
+    assert (got[1].cota_aplicada, got[1].cotas_emitidas, got[1].cotas_resgatadas) == (Decimal("1.489850000000"), Decimal("200.000000000000"), Decimal("100"))
+    assert got[1].caixa == Decimal("700.00") + Decimal("297.97") - Decimal("148.98") and got[1].quantidade_cotas == 1100
+    assert got[1].pl_liquido == Decimal("1838.84") and got[1].valor_cota == Decimal("1.671672727273")
