@@ -27,7 +27,7 @@ SPAN = 8  # words of a window whose repetition counts
 #: The sample of labelled rows that the forest and its limit are fitted on.
 MAX_LABELLED = 20_000
 TREES, ROWS_A_TREE, MAX_DEPTH = 100, 256, 14
-MAX_GOOD_LOST = 0.002
+MAX_GOOD_LOST = 0.0005
 SEED = 8
 DRAW = 40.0  # words of plain prose added to each text's shares
 
@@ -158,7 +158,9 @@ def fit(x: np.ndarray, bad: np.ndarray, trees: int = TREES, rows: int = ROWS_A_T
     least = good[min(len(good) - 1, int(np.ceil(len(good) * (1 - max_good_lost))))]  # no more than that share lies above
     limits = np.unique(s[s >= least])
     gain = [np.mean(s[bad] > t) - np.mean(good > t) for t in limits]
-    return Forest(forest.trees, forest.normal, float(limits[int(np.argmax(gain))]))
+    limit = float(limits[int(np.argmax(gain))])
+    above = s[bad & (s > limit)]  # halfway to the nearest bad row, as good texts beyond the sample may lie somewhat higher
+    return Forest(forest.trees, forest.normal, (limit + float(above.min())) / 2 if len(above) else limit)
 
 
 def fit_forest(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Forest:
