@@ -29,7 +29,7 @@ from .common import kept, text_of
 MAX_LABELLED, MAX_TERMS = 20_000, 3000
 STEMS = (4, 5, 6)
 MIN_DOCS, MIN_RATIO, MIN_G2, SMOOTH = 2, 4.0, 8.0, 4.0  # of a candidate term
-PENALTY, ROUNDS, LEAST_WEIGHT = 2.0, 400, 0.05  # of the regression that picks terms among the candidates
+PENALTY, ROUNDS, LEAST_WEIGHT = 0.5, 400, 0.05  # of the regression that picks terms among the candidates
 FUZZY = 0.6  # weight of a misspelled form of which nothing was learned
 WINDOW = 6
 QUOTED, REPORTED, ADDRESSED = 0.3, 0.6, 1.3
