@@ -39,11 +39,11 @@ def read_boletas(spark: SparkSession, path: str, with_lines: bool = True) -> Dat
     return with_file_line_number(df, "linha_numero", start=2)
 
 
-def file_hashes(spark: SparkSession, path: str) -> DataFrame:
+def file_hashes(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """SHA-256 of every file's bytes (one row per file; a file is read whole,
     bounded by ``spark.sql.sources.binaryFile.maxLength``)."""
     return spark.read.format("binaryFile").load(path).select(
-        F.col("path").alias("arquivo"), F.col("length").alias("tamanho"),
+        F.col("_metadata.file_path").alias("arquivo"), F.col("length").alias("tamanho"),
         F.sha2(F.col("content"), 256).alias("arquivo_hash"))
 
 

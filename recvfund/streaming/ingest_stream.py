@@ -13,6 +13,7 @@ batch reads the stored lines instead of the files.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +25,7 @@ from .. import constants as K
 from ..functions.rows import with_file_line_number
 from ..operators import ingest, validation
 from ..sources import sinks
-from ..sources.boleta_files import CSV_OPTIONS
+from ..sources.boleta_files import CSV_OPTIONS, file_hashes
 
 BOLETA_SCHEMA = T.StructType([T.StructField(c, T.StringType(), True) for c in K.BOLETA_COLUMNS])
 
@@ -49,18 +50,19 @@ def _read_table(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def ingest_files(batch: DataFrame, batch_id: int, out_root: str, refs: StreamRefs) -> None:
-    """One micro-batch: number lines per file, validate, ingest, write."""
+    """One micro-batch: number lines per file, validate, ingest, write; the batch log row of each file comes last."""
     spark = batch.sparkSession
+    started = datetime.now(timezone.utc)
     raw = with_file_line_number(batch, "linha_numero", start=2).withColumn("lote_id", F.sha2(F.col("arquivo"), 256))
     validated = validation.validate(validation.normalize(raw), refs.fundos, refs.classes, file_key="arquivo")
-    lotes = raw.select("lote_id").distinct().checkpoint()  # a row a file
+    lotes = raw.select("lote_id", "arquivo").distinct().checkpoint()  # a row a file
     sinks.write_staging(validated, f"{out_root}/boleta_staging")
-    staged = spark.read.parquet(f"{out_root}/boleta_staging").join(lotes, "lote_id", "left_semi")
+    staged = spark.read.parquet(f"{out_root}/boleta_staging").join(lotes.select("lote_id"), "lote_id", "left_semi")
 
     keys, ced, sac = refs.prior_title_keys, refs.prior_cedentes, refs.prior_sacados
     written = _read_table(spark, f"{out_root}/direito_creditorio")
     if written is not None:  # earlier batches, excluding this batch's own rows (replay)
-        old = written.join(lotes, "lote_id", "left_anti").select(*ingest.TITLE_KEY, "mes_aquisicao")
+        old = written.join(lotes.select("lote_id"), "lote_id", "left_anti").select(*ingest.TITLE_KEY, "mes_aquisicao")
         month = ingest.month_of(F.col("data_aquisicao"))
         keys = keys.withColumn("mes_aquisicao", month).unionByName(old.withColumn("mes_aquisicao", F.col("mes_aquisicao").cast("string")))
     parties = _read_table(spark, f"{out_root}/contraparte")
@@ -71,10 +73,25 @@ def ingest_files(batch: DataFrame, batch_id: int, out_root: str, refs: StreamRef
 
     result = ingest.ingest(staged, refs.fundos, refs.classes, keys, ced, sac)
     sinks.write_ingest(result, out_root, f"stream-{batch_id}", with_staging=False)
-    log = validation.batch_summary(staged, ["lote_id", "arquivo"]).withColumn("batch_id", F.lit(batch_id))
+    log = batch_log(spark, staged, lotes, out_root, started).withColumn("batch_id", F.lit(batch_id))
     sinks.write_partitioned(log, f"{out_root}/lote_importacao", ["lote_id"])  # written last: makes the batch visible
 
 
+def batch_log(spark: SparkSession, staged: DataFrame, lotes: DataFrame, out_root: str, started: datetime) -> DataFrame:
+    """Per file its summary, inserted and ignored rows, the hash of its bytes, start and end."""
+    files = [r["arquivo"] for r in lotes.select("arquivo").collect()]  # no more than a trigger takes
+    titles = _read_table(spark, f"{out_root}/direito_creditorio")
+    log = validation.batch_summary(staged, ["lote_id", "arquivo"])
+    if titles is not None:
+        log = log.join(titles.join(lotes.select("lote_id"), "lote_id", "left_semi").groupBy("lote_id").agg(F.count(F.lit(1)).alias("n")), "lote_id", "left")
+    else:
+        log = log.withColumn("n", F.lit(0))
+    done = F.coalesce("n", F.lit(0))
+    log = log.withColumns({"registros_inseridos": done, "duplicados_ignorados": F.col("linhas_aceitas") - done}).drop("n")
+    log = log.join(file_hashes(spark, files).select("arquivo", "arquivo_hash"), "arquivo", "left") if files else log.withColumn("arquivo_hash", F.lit(None).cast("string"))
+    return log.withColumns({"iniciado_em": F.lit(started), "concluido_em": F.current_timestamp()})
+
+
 def stream_ingest(spark: SparkSession, src_dir: str, out_root: str, checkpoint: str, refs: StreamRefs,
                   available_now: bool = True, max_files_per_trigger: int | None = 1000) -> StreamingQuery:
     reader = spark.readStream.schema(BOLETA_SCHEMA)

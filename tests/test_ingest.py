@@ -132,3 +132,25 @@ def test_one_title_in_two_files_is_inserted_once(spark):
     assert [(t.identificador_externo, t.lote_id) for t in r.titles.orderBy("identificador_externo").collect()] == [("ACME-2026-000101", "L1"), ("ACME-2026-000102", "L1")]
     assert sum(c.valor for c in r.cash.collect()) == Decimal("-19175.60")
     assert [c.nome for c in r.cedentes.collect()] == ["Comercial Acme Ltda"]
+
+
+def test_stream_log_has_hash_and_counters(spark, tmp_path):
+    import hashlib
+
+    from recvfund.streaming.ingest_stream import StreamRefs, stream_ingest
+
+    fundos, classes = dims(spark)
+    src = tmp_path / "in"
+    src.mkdir()
+    texts = {"a.csv": [ROW1, ROW2], "b.csv": [ROW1, ROW2.replace("DUPLICATA", "BOLETO")]}  # the second repeats a title of the first
+    for name, rows in texts.items():
+        (src / name).write_text("\n".join([HEADER, *rows]) + "\n", encoding="utf-8")
+    empty = spark.createDataFrame([], "documento string")
+    refs = StreamRefs(fundos, classes, spark.createDataFrame([], "fundo_id int, identificador_externo string, data_aquisicao date"), empty, empty)
+    for _ in range(2):  # a second run finds nothing new
+        stream_ingest(spark, str(src), str(tmp_path / "out"), str(tmp_path / "ckpt"), refs).awaitTermination()
+    log = {r.arquivo.rsplit("/", 1)[1]: r for r in spark.read.parquet(str(tmp_path / "out" / "lote_importacao")).collect()}
+    assert {k: (r.linhas_total, r.linhas_aceitas, r.registros_inseridos, r.duplicados_ignorados) for k, r in log.items()} == {"a.csv": (2, 2, 2, 0), "b.csv": (2, 1, 0, 1)}
+    assert all(r.arquivo_hash == hashlib.sha256((src / k).read_bytes()).hexdigest() and r.iniciado_em <= r.concluido_em for k, r in log.items())
+    cash = spark.read.parquet(str(tmp_path / "out" / "movimento_caixa")).collect()
+    assert sum(c.valor for c in cash) == Decimal("-19175.60")
