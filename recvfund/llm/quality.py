@@ -163,6 +163,10 @@ def fit(x: np.ndarray, bad: np.ndarray, trees: int = TREES, rows: int = ROWS_A_T
     return Forest(forest.trees, forest.normal, (limit + float(above.min())) / 2 if len(above) else limit)
 
 
+def _matrix(features: pd.Series) -> np.ndarray:
+    return np.array(features.tolist(), float) if len(features) else np.zeros((0, 1))
+
+
 def fit_forest(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Forest:
     """Fitted on up to ``max_labelled`` labelled documents, chosen by a hash of their ids: that many rows of statistics reach the driver."""
     known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -170,7 +174,7 @@ def fit_forest(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABEL
     one = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
     rows = one.select("doc_id", "quality", stats_of(F.col("text")).alias("s")).filter(~base_failed(F.col("s"))).select("doc_id", "quality", "s.features").toPandas()
     rows = rows.sort_values("doc_id")
-    x = np.array(rows["features"].tolist(), float).reshape(len(rows), -1)
+    x = _matrix(rows["features"])
     return fit(x, rows["quality"].to_numpy() == 0)
 
 
@@ -178,7 +182,7 @@ def judged(docs: DataFrame, forest: Forest, name: str) -> DataFrame:
     """``docs`` with a struct column ``name``: the statistics, ``base_failed``, ``anomaly`` and ``kept``."""
 
     def score(features: pd.Series) -> pd.Series:
-        return pd.Series(forest.scores(np.array(features.tolist(), float).reshape(len(features), -1)))
+        return pd.Series(forest.scores(_matrix(features)))
 
     s = docs.withColumn(name, stats_of(text_of()))
     c = F.col(name)

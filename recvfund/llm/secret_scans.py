@@ -34,8 +34,10 @@ MIN_VALUE = 6
 WINDOW = 20
 #: Bits a character that a window must reach, by class; the most that a window of 20 can have is 4.32.
 LIMITS = {"hex": 3.0, "alnum": 3.6, "any": 3.8}
-#: Candidates that are no secrets: one kind of letter only, paths, dates and counters, runs of one sign, well-known prefixes of digests of content.
-ALLOW = re.compile(r"[A-Z]*[a-z]*[A-Z]*|[0-9]+|(?:/?[A-Za-z_-]+[0-9]{0,4})+/?|[0-9/_=+-]+|(?:sha(?:256|384|512))[-=].*")
+#: A word of an identifier or path (one case, capitalised or joined so), with up to four digits; each part is taken whole, so matching is linear.
+_PART = r"(?:[A-Z]{2,}+|[A-Z]?[a-z]{2,}+|[a-z])++[0-9]{0,4}+"
+#: Candidates that are no secrets: such words and paths of them, dates and counters, runs of signs, digests of content.
+ALLOW = re.compile(rf"[/_=+-]*+{_PART}(?:[/_=+-]++{_PART})*+[/_=+-]*+|[0-9/_=+-]+|(?:sha(?:256|384|512))[-=].*")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -52,12 +54,12 @@ def _limit(s: str) -> float:
     return LIMITS["alnum" if s.isalnum() else "any"]
 
 
-_TERM = [0.0] + [n * log2(n) for n in range(1, WINDOW + 1)]
+_TERM = [0.0] + [n * log2(n) for n in range(1, WINDOW + 2)]  # a window has one character more while it moves
 
 
 def entropy_spans(s: str, limit: float, width: int = WINDOW) -> list[tuple[int, int]]:
     """Unions of the windows of ``s`` with an entropy of ``limit`` or more. H = log2(w) - sum(c log2 c) / w, kept by counts."""
-    term = _TERM if width == WINDOW else [0.0] + [n * log2(n) for n in range(1, width + 1)]
+    term = _TERM if width == WINDOW else [0.0] + [n * log2(n) for n in range(1, width + 2)]
     counts: dict[str, int] = {}
     total, out = 0.0, []
     most = width * (log2(width) - limit) + 1e-9

@@ -82,6 +82,13 @@ def test_entropy_windows():
         assert got == hit
 
 
+def test_allow_list():
+    for secret in ("k3j9qlm2xv8tn5rw7yb4hc6a", "Zk3J9qLm2Xv8Tn5Rw7Yb4Hc6", "xK_9pQ-3vZ7/mN2=rT8wLb4yC", "aBcDeFgHiJkLmNoPqRsTuVwX"):
+        assert any(k == 3 for _, k, _ in secret_scans.find_spans(f"x {secret} y")), secret
+    for plain in ("this_is/a_path2/with-words", "Donaudampfschifffahrtsgesellschaft", "AVERYLONGCONSTANTNAME_OF_A_KIND", "2024-01-01/2024-12-31", "someCamelCaseIdentifierName", "========================", "z" * 5000 + "9x", "sha256-Zk3J9qLm2Xv8Tn5Rw7Yb4Hc6"):
+        assert not secret_scans.find_spans(f"x {plain} y"), plain
+
+
 def test_redaction(make_docs, odd_rows):
     docs = make_docs(odd_rows + [(50, "x token = abcdefgh y", "a")])
     out = secret_scans.without_secrets(docs)
