@@ -46,3 +46,8 @@ def stored(df: DataFrame) -> DataFrame:
 def n_shards(df: DataFrame, rows_each: int) -> int:
     """How many shards of about ``rows_each`` rows hold ``df``."""
     return max(1, -(-df.count() // rows_each))
+
+
+def small(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """``df`` with a broadcast hint if it has no more than ``rows`` rows; beyond that, Spark joins it by a shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import kept, text_of, word_count
+from .common import kept, small, text_of, word_count
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -58,8 +58,7 @@ def _budgets(docs: DataFrame, weights: Sequence[int], max_epochs: int, rows_per_
         F.when(F.col("source_size") > 0, F.floor(F.floor("target") / F.col("source_size"))).otherwise(0).cast("long").alias("epochs"),
         F.greatest(F.lit(1), F.ceil(F.col("n_docs") / rows_per_range)).cast("long").alias("n_ranges"),
     )
-    targets = kept(targets.withColumn("rest", F.floor("target").cast("long") - F.col("epochs") * F.col("source_size")))
-    # a row a source, joined on equality; Spark broadcasts it only below its own size limit and else splits a hot source
+    targets = small(kept(targets.withColumn("rest", F.floor("target").cast("long") - F.col("epochs") * F.col("source_size"))))  # a row a source
     share = F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / float(1 << 32)
     placed = sizes.join(targets, sizes["source"].eqNullSafe(targets["its_source"])).withColumn("range", F.floor(share * F.col("n_ranges")).cast("long")).drop("its_source")
     by_range = placed.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
@@ -96,7 +95,7 @@ def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = M
     ends = placed.filter((F.col("size") > 0) & (F.col("before") < F.col("rest"))).groupBy(F.col("source").alias("of")).agg(F.max(place(F.col("size"))).alias("end"))
     cuts = targets.join(ends, targets["its_source"].eqNullSafe(ends["of"]), "left").select(F.col("its_source"), F.col("epochs"), F.col("end"))
     name = next(f"cut{i or ''}" for i in range(len(docs.columns) + 1) if f"cut{i or ''}" not in docs.columns)
-    cuts = kept(cuts.select(F.struct(F.col("its_source").alias("source"), F.col("epochs"), F.col("end")).alias(name)))
+    cuts = small(kept(cuts.select(F.struct(F.col("its_source").alias("source"), F.col("epochs"), F.col("end")).alias(name))))
     rows = docs.join(cuts, docs["source"].eqNullSafe(F.col(f"{name}.source")))
     size = word_count(text_of())
     copies = F.when(size > 0, F.col(f"{name}.epochs") + F.coalesce((place(size) <= F.col(f"{name}.end")).cast("long"), F.lit(0))).otherwise(0)
