@@ -4,8 +4,9 @@ The index holds every template word with its place. Of each template's mandatory
 inverse document frequency over the whole corpus is its posting: a text is looked up by exactly those of its licence
 words, so common words never open a posting, and no text with the key phrase is missed. A hit at word ``i`` of a text
 for a posting at place ``j`` puts the template at ``i - j``; all template words are then compared at their relative
-places, the key phrase must stand there word for word, and the share of the template found (weighted by inverse
-document frequency) must reach the template's limit.
+places. The template's label is given wherever its key phrase stands word for word, so a licence that is only named
+counts, too; the share of the template found there (weighted by inverse document frequency) is the place's coverage. It
+decides no label, but sets the score, which tells a bare name from a whole sentence.
 
 Edge cases: a null or empty text has no words and no places; a phrase that stands several times counts each time; a
 text of one word, or one that ends inside a template, is compared up to its end; repeated rows give repeated rows; an
@@ -33,12 +34,11 @@ class Template:
     label: str
     text: str
     key: str  # the mandatory key phrase, part of text
-    least: float = 0.7
     base: bool = False
 
 
 #: Base phrases; the whole phrase is mandatory.
-BASE = tuple(Template(label, text, text, 1.0, True) for label, text in (("cc-by", "cc by"), ("gpl", "general public license"), ("reserved", "all rights reserved")))
+BASE = tuple(Template(label, text, text, True) for label, text in (("cc-by", "cc by"), ("gpl", "general public license"), ("reserved", "all rights reserved")))
 #: Sentences by which public licences are known (fixed values), with the words that must stand together.
 TEMPLATES = (
     Template("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2"),
@@ -50,7 +50,11 @@ TEMPLATES = (
     Template("gpl-2.0", "licensed under the gnu general public license version 2", "gnu general public license version 2"),
     Template("lgpl", "licensed under the gnu lesser general public license", "gnu lesser general public license"),
     Template("agpl", "licensed under the gnu affero general public license", "gnu affero general public license"),
-    Template("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
+    Template("mpl", "mozilla public license", "mozilla public license"),
+    Template("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", "mozilla public license v 2"),
+    Template("mpl-2.0", "mozilla public license v2 0", "mozilla public license v2"),
+    Template("mpl-2.0", "mozilla public license version 2 0", "mozilla public license version 2"),
+    Template("mpl-2.0", "mozilla public license 2 0", "mozilla public license 2"),
     Template("epl", "made available under the terms of the eclipse public license", "eclipse public license"),
     Template("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
     Template("cc0", "to the extent possible under law all copyright and related rights waived", "copyright and related rights"),
@@ -79,10 +83,10 @@ def _index(templates: Sequence[Template], idf: dict[str, float]) -> str:
     for t in templates:
         words, key = t.text.split(), t.key.split()
         at = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
-        rarest = max(range(len(key)), key=lambda j: (idf[key[j]], key[j], j))
+        rarest = max(range(len(key)), key=lambda j: (idf[key[j]], len(key[j]), key[j], j))  # of equals the longest, which fewest texts hold inside other words
         total = sum(idf[w] for w in words)
         out.append(
-            f"named_struct('label', '{t.label}', 'base', {str(t.base).lower()}, 'posting', '{key[rarest]}', 'place', {at + rarest}, 'key_from', {at}, 'key_to', {at + len(key)}, 'least', {t.least!r}D, "
+            f"named_struct('label', '{t.label}', 'base', {str(t.base).lower()}, 'posting', '{key[rarest]}', 'place', {at + rarest}, 'key_from', {at}, 'key_to', {at + len(key)}, "
             f"'words', array({', '.join(f"'{w}'" for w in words)}), 'share', array({', '.join(f'{idf[w] / total!r}D' for w in words)}))"
         )
     return f"array({', '.join(out)})"
@@ -93,7 +97,7 @@ def scan_licenses(docs: DataFrame, templates: Sequence[Template] = TEMPLATES) ->
     templates = (*BASE, *templates)
     idf = word_idf(docs, sorted({w for t in templates for w in t.text.split()}))
     index = _index(templates, idf)
-    postings = sorted({max(t.key.split(), key=lambda w: (idf[w], w)) for t in templates})
+    postings = sorted({max(t.key.split(), key=lambda w: (idf[w], len(w), w)) for t in templates})
     with_posting = text_of().rlike("(?i)" + "|".join(postings))  # (?i) folds ASCII only
     words = F.when(with_posting, license_words(text_of())).otherwise(F.array().cast("array<string>"))
     found = docs.select("doc_id", F.regexp_count(text_of(), F.lit(ANY_CASE_WORD)).cast("long").alias("n_words"), words.alias("words"))
@@ -103,11 +107,11 @@ def scan_licenses(docs: DataFrame, templates: Sequence[Template] = TEMPLATES) ->
     placed = F.expr(f"flatten(transform(hits, h -> transform(filter({index}, t -> t.posting = h.w), t -> named_struct('t', t, 'at', h.i - t.place))))")
     found = found.withColumn("placed", placed)
     judged = F.expr("""
-        transform(placed, p -> named_struct('label', p.t.label, 'base', p.t.base, 'at', cast(p.at as long), 'least', p.t.least,
+        transform(placed, p -> named_struct('label', p.t.label, 'base', p.t.base, 'at', cast(p.at as long),
             'key', forall(transform(p.t.words, (w, j) -> j < p.t.key_from or j >= p.t.key_to or coalesce(get(words, p.at + j) = w, false)), x -> x),
             'coverage', round(aggregate(transform(p.t.words, (w, j) -> if(coalesce(get(words, p.at + j) = w, false), p.t.share[j], 0D)), 0D, (a, x) -> a + x), 6)))""")
     found = found.withColumn("judged", judged)
-    places = F.expr("transform(filter(judged, x -> x.key and x.coverage >= x.least), x -> named_struct('label', x.label, 'base', x.base, 'at', x.at, 'coverage', x.coverage))")
+    places = F.expr("transform(filter(judged, x -> x.key), x -> named_struct('label', x.label, 'base', x.base, 'at', x.at, 'coverage', x.coverage))")
     return found.select("doc_id", "n_words", places.alias("places"))
 
 

@@ -43,6 +43,19 @@ def test_license_templates(make_docs):
     assert {r.doc_id: r.labels for r in gap} == {1: "", 2: "apache-2.0"}  # key phrase broken; template cut short
 
 
+def test_license_names_alone(make_docs):
+    texts = {
+        "MIT License": "mit", "under the MIT License.": "mit", "Mozilla Public License": "mpl", "Mozilla Public License Version 2.0": "mpl,mpl-2.0", "Mozilla Public License, v. 2.0": "mpl,mpl-2.0",
+        "Mozilla Public License v2.0": "mpl,mpl-2.0", "Mozilla Public License 1.1": "mpl", "subject to the terms of the Mozilla Public License, v. 1.1": "mpl", "Eclipse Public License": "epl",
+        "Creative Commons Attribution 4.0": "cc-attribution", "CC BY-NC": "cc-by,cc-by-nc", "Licensed under CC BY-NC": "cc-by,cc-by-nc", "a license of MIT": "",
+    }
+    common = [(1000 + i, "licensed under the terms of a license", "a") for i in range(30)]  # labels do not depend on the rest of the corpus
+    for more in ([], common):
+        rows = licenses.license_digest(make_docs([(i, t, "a") for i, t in enumerate(texts)] + more)).filter("doc_id < 1000").collect()
+        assert {r.doc_id: r.labels for r in rows} == dict(enumerate(texts.values()))
+        assert all((0 < r.score <= 1) == bool(r.labels) for r in rows)
+
+
 def test_license_empty(make_docs):
     assert licenses.license_digest(make_docs([])).count() == 0
 
