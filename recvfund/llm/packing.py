@@ -1,7 +1,9 @@
 """Conflict-constrained best-fit packing of documents into sequences of a fixed number of words.
 
-Texts longer than a sequence are cut into whole sequences and a rest. Pieces are dealt to shards by a hash of their
-document, and each shard is packed on its own, largest piece first. Open bins are kept in order of the room they have
+Texts longer than a sequence are cut into whole sequences and a rest. A piece's text is the document's own, from its
+first word up to the next piece's first word, with all white space as it stands (the first piece starts with the text,
+the last ends with it), so a document's pieces join to its text. Pieces are dealt to shards by a hash of their document,
+and each shard is packed on its own, largest piece first. Open bins are kept in order of the room they have
 left, and each carries two bitmaps: the sources and the duplicate clusters of its pieces. For a piece, the search starts
 at the successor of its size, the bin with the least room that suffices, and goes on to the next bin while the bitmaps
 show a conflict, until the tightest compatible bin is found; if there is none, a new bin is opened. So no bin holds two
@@ -59,6 +61,15 @@ def best_fit(pieces: list[tuple[int, int, int]], capacity: int) -> tuple[list[in
     return out, room
 
 
+def _piece_pattern(capacity: int) -> str:
+    """A piece's words, each with the white space after it; the first piece also has what stands before its first word.
+
+    All repeats are possessive: Java then loops over them, where it would recurse once a word otherwise.
+    """
+    space = r"[\x20\x09-\x0D]*+"
+    return rf"((?:\A{space})?(?:{WORD}+{space}){{1,{capacity}}}+)"
+
+
 def _packed(capacity: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["n_words", "doc_id", "piece", "source", "cluster"], ascending=[False, True, True, True, True], kind="stable", na_position="first").reset_index(drop=True)
@@ -84,11 +95,12 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS
     sized = sized.filter("words > 0")
     sized = sized if with_text else kept(sized)
     shards = max(1, -(-(docs if with_text else sized).count() // shard_rows))
-    pieces = sized.withColumn("piece", F.explode(F.sequence(F.lit(0), F.ceil(F.col("words") / capacity).cast("int") - 1)))
-    pieces = pieces.withColumn("start", F.col("piece").cast("long") * capacity).withColumn("n_words", F.least(F.lit(capacity).cast("long"), F.col("words") - F.col("start")))
     if with_text:
-        words = F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})")), F.col("start").cast("int") + 1, F.col("n_words").cast("int"))
-        pieces = pieces.withColumn("text", F.when(F.col("words") <= capacity, F.col("text")).otherwise(F.array_join(words, " ")))
+        texts = F.when(F.col("words") <= capacity, F.array("text")).otherwise(F.regexp_extract_all("text", F.lit(_piece_pattern(capacity))))
+        pieces = sized.select(*[c for c in sized.columns if c != "text"], F.posexplode(texts).alias("piece", "text"))
+    else:
+        pieces = sized.withColumn("piece", F.explode(F.sequence(F.lit(0), F.ceil(F.col("words") / capacity).cast("int") - 1)))
+    pieces = pieces.withColumn("start", F.col("piece").cast("long") * capacity).withColumn("n_words", F.least(F.lit(capacity).cast("long"), F.col("words") - F.col("start")))
     pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("int")).drop("words")
     out = pieces.groupBy("shard").applyInPandas(_packed(capacity), PACKED + (", text string" if with_text else ""))
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))  # a string inside, as pandas would make null ids floats

@@ -175,6 +175,20 @@ def test_packing(make_docs, odd_rows):
     assert packing.pack(make_docs([])).count() == 0
 
 
+def test_pieces_join_to_the_text(make_docs):
+    rng = random.Random(17)
+    spaces = [" ", "  ", "\n", "\n\n    ", "\t", "\r\n", "\x0b\x0c"]
+    long = {i: "".join(rng.choice(["", "\n "]) if k == 0 else w + rng.choice(spaces) for k, w in enumerate(["", *prose(rng, n).split()])) for i, n in ((1, 250), (2, 200), (3, 201), (4, 9000))}
+    long |= {5: "\n\t " + "x\u00a0y \U0001d4b3\n" * 130, 6: " a\n b ", 7: "def f():\n" + "    return 1\n" * 3000}
+    for capacity in (100, packing.CAPACITY):
+        pieces = defaultdict(list)
+        for r in packing.pack(make_docs([(i, t, "a") for i, t in long.items()]), capacity=capacity, with_text=True).collect():
+            pieces[r.doc_id].append((r.piece, r.text, r.n_words))
+        for i, t in long.items():
+            assert "".join(x for _, x, _ in sorted(pieces[i])) == t
+            assert all(len(WORDS.findall(x)) == n for _, x, n in pieces[i]) and [p for p, *_ in sorted(pieces[i])] == list(range(-(-len(WORDS.findall(t)) // capacity)))
+
+
 def test_best_fit_is_tightest():
     rng = random.Random(3)
     pieces = sorted(((rng.randint(1, 60), rng.randint(-1, 5), rng.randint(-1, 8)) for _ in range(300)), reverse=True)
