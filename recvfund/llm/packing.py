@@ -2,8 +2,8 @@
 
 Texts longer than a sequence are cut into whole sequences and a rest. A piece's text is the document's own, from its
 first word up to the next piece's first word, with all white space as it stands (the first piece starts with the text,
-the last ends with it), so a document's pieces join to its text. Pieces are dealt to shards by a hash of their document,
-and each shard is packed on its own, largest piece first. Open bins are kept in order of the room they have
+the last ends with it), so a document's pieces join to its text. Pieces are dealt to shards by a hash of their document's
+id, text and size, so rows without an id or with one id spread, too (only rows equal in all of these meet), and each shard is packed on its own, largest piece first. Open bins are kept in order of the room they have
 left, and each carries two bitmaps: the sources and the duplicate clusters of its pieces. For a piece, the search starts
 at the successor of its size, the bin with the least room that suffices, and goes on to the next bin while the bitmaps
 show a conflict, until the tightest compatible bin is found; if there is none, a new bin is opened. So no bin holds two
@@ -101,6 +101,6 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS
     else:
         pieces = sized.withColumn("piece", F.explode(F.sequence(F.lit(0), F.ceil(F.col("words") / capacity).cast("int") - 1)))
     pieces = pieces.withColumn("start", F.col("piece").cast("long") * capacity).withColumn("n_words", F.least(F.lit(capacity).cast("long"), F.col("words") - F.col("start")))
-    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("int")).drop("words")
+    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "cluster", "words"), F.lit(shards)).cast("int")).drop("words")
     out = pieces.groupBy("shard").applyInPandas(_packed(capacity), PACKED + (", text string" if with_text else ""))
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))  # a string inside, as pandas would make null ids floats

@@ -189,6 +189,16 @@ def test_pieces_join_to_the_text(make_docs):
             assert all(len(WORDS.findall(x)) == n for _, x, n in pieces[i]) and [p for p, *_ in sorted(pieces[i])] == list(range(-(-len(WORDS.findall(t)) // capacity)))
 
 
+def test_null_and_repeated_ids_spread_over_shards(make_docs):
+    rng = random.Random(19)
+    docs = make_docs([(i, prose(rng, rng.randint(1, 90)), "a") for i in [None] * 200 + [7] * 200 + list(range(100, 300))])
+    for with_text in (False, True):
+        shards = defaultdict(lambda: defaultdict(int))
+        for r in packing.pack(docs, capacity=100, shard_rows=60, with_text=with_text).collect():
+            shards[r.doc_id if r.doc_id in (None, 7) else "other"][r.bin_id.split("-")[0]] += 1
+        assert all(len(n) >= 8 and max(n.values()) <= 60 and sum(n.values()) == 200 for n in shards.values())
+
+
 def test_best_fit_is_tightest():
     rng = random.Random(3)
     pieces = sorted(((rng.randint(1, 60), rng.randint(-1, 5), rng.randint(-1, 8)) for _ in range(300)), reverse=True)
