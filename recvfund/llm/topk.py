@@ -8,8 +8,10 @@ shard that it is dealt to; its kth score from there is carried to all other shar
 in blocks, one block and one shard's tree at a time in memory; no query meets a vector outside a tree.
 
 Edge cases: a vector that is null, empty or holds a null or non-finite component takes no part, as query or as
-candidate; so does a null id. Only vectors of one length are compared. A query's own id is no candidate, however many
-rows have it; other repeated rows are candidates each. Ties go to the smaller id. Fewer candidates than k give all of
+candidate; so does a null id. Only vectors of one length are compared. Of several rows with one id, the one with the
+least vector (first component first) is the query, for each length; only that row is no candidate for it, all other
+rows, repeats of it included, are candidates each. If an id has vectors of several lengths, their candidates share one
+ranking. Ties go to the smaller id. Fewer candidates than k give all of
 them; a score beyond a long's range is given as the nearest long; an empty table gives an empty result. Other columns are ignored.
 """
 
@@ -74,7 +76,12 @@ def build_tree(ids: np.ndarray, x: np.ndarray, leaf_rows: int = LEAF_ROWS) -> di
 
 
 def search(tree: dict[str, np.ndarray], own: int, q: np.ndarray, k: int, limit: int | None) -> list[tuple[int, int]]:
-    """Up to k (score, -id) of the rows that score ``limit`` or more, best first."""
+    """Up to k (score, -id) of the rows that score ``limit`` or more, best first.
+
+    One row with the query's id and vector is left out: itself. Its equals are all in its home shard, so in any other tree there is none.
+    """
+    same = np.flatnonzero(tree["ids"] == own)
+    itself = next((int(j) for j in same if (tree["x"][j] == q).all()), -1)
     number = float if float(np.abs(q, dtype=float) @ np.maximum(np.abs(tree["low"][0], dtype=float), np.abs(tree["high"][0], dtype=float))) < EXACT else object
     q = q.astype(number)
     bounds = np.maximum(q * tree["low"].astype(number), q * tree["high"].astype(number)).sum(1) if number is object else np.maximum(q, 0) @ tree["high"].T + np.minimum(q, 0) @ tree["low"].T
@@ -90,7 +97,8 @@ def search(tree: dict[str, np.ndarray], own: int, q: np.ndarray, k: int, limit:
             continue
         rows = slice(int(tree["start"][i]), int(tree["end"][i]))
         scores, ids = tree["x"][rows].astype(number, copy=False) @ q, tree["ids"][rows]
-        take = np.flatnonzero((ids != own) & (scores >= limit)) if limit is not None else np.flatnonzero(ids != own)
+        other = np.arange(rows.start, rows.stop) != itself
+        take = np.flatnonzero(other & (scores >= limit)) if limit is not None else np.flatnonzero(other)
         if len(take) > 4 * k:  # the kth highest among them is a limit too
             take = take[scores[take] >= np.partition(scores[take], len(take) - k)[len(take) - k]]
         for j in take:
@@ -141,7 +149,8 @@ def top_k(vectors: DataFrame, k: int = K, query_every: int = QUERY_EVERY, shard_
     shards = n_shards(x, shard_rows)
     x = x.select("vec_id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int").alias("shard"))
     trees = kept(x.groupBy("dim", "shard").applyInPandas(_trees, "dim int, shard int, tree binary"))
-    asked = x.filter(F.col("vec_id") % query_every == 0).dropDuplicates(["vec_id", "dim"])
+    # the least vector of an id and length; equal vectors of one id are dealt to one shard
+    asked = x.filter(F.col("vec_id") % query_every == 0).groupBy("vec_id", "dim").agg(F.min(F.struct("v", "shard")).alias("q")).select("vec_id", "q.v", "dim", "q.shard")
     parts = max(1, n_shards(asked, block_rows))
     block = F.pmod(F.xxhash64("vec_id"), F.lit(max(1, parts // shards))).cast("int").alias("block")
     asked = kept(asked.select("*", block))

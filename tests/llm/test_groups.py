@@ -238,6 +238,26 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_repeated_ids(spark):
+    rng = random.Random(23)
+    vectors = [(i, [float(rng.randint(-4, 4)) for _ in range(3)]) for i in range(1, 120)]
+    vectors += [(0, [3.0, 1.0, 0.0]), (0, [-2.0, 9.0, 9.0]), (0, [-2.0, 9.0, 9.0]), (0, [3.0, 1.0, 0.0]), (50, [9.0, 9.0, 9.0]), (100, [-9.0, 9.0, 9.0])]
+    scaled = [(i, [int(256 * x) for x in v]) for i, v in vectors]
+    want = []
+    for i in (0, 50, 100):
+        q = min(v for j, v in scaled if j == i)
+        others = list(scaled)
+        others.remove((i, q))  # one row only
+        best = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j) for j, v in others)[:5]
+        want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    assert any(q == j for q, _, j, _ in want)
+    for seed in range(3):
+        random.Random(seed).shuffle(vectors)
+        df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(seed + 1)
+        for args in ({}, {"shard_rows": 20, "block_rows": 2}):
+            assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df, **args).collect()) == want
+
+
 def test_top_k_large_components(spark):
     rows = [(i, [float((i * 7919) % 101) * 1e6, float(i) * 1e6]) for i in range(60)]
     got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3).collect()
