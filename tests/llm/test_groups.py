@@ -337,6 +337,16 @@ def test_lexicon_reads_within_edits():
     assert lexicon.read("loweixyz") == [("lowei", -1)] and lexicon.best("loweixyz")[2] == 2.0
 
 
+def test_documents_of_misspelled_terms_only():
+    """Within and beyond the limits that README states."""
+    model = toxicity.Model(toxicity.Lexicon({w: 3.0 for w in ("idiot", "moron", "stupid", "scum", "worthless", "pathetic")}, {}), -1.0)
+    nothing = model.score("a plain text", {})
+    for word in ("idoot", "morons", "stuped", "wortless", "wrothless", "pathetik"):
+        assert model.score(f"a {word} text", {}) > nothing, word
+    for word in ("skum", "idoit", "stupdi", "mroon", "paehtetic"):
+        assert model.score(f"a {word} text", {}) == nothing, word
+
+
 def test_context_tells_quotation_from_abuse():
     model = toxicity.Model(toxicity.Lexicon({"idiot": 3.0}, {}), -1.0)
     score = lambda t: model.score(t, {})
