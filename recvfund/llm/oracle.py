@@ -68,4 +68,35 @@ placed as (
 select doc_id, size, source, source_size, target, (size * epochs + least(size, greatest(0, rest - before)))::bigint as taken from placed
 """
 
-SQL = {"op9_url_filters": OP9, "op10_mixing": OP10}
+def _integers(where: str = "") -> str:
+    """Rows of ``embeddings`` that take part, with whole components (exact as doubles)."""
+    return f"""select *, list_transform(embedding, lambda x: floor(256 * x::double)) as c from embeddings
+    where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0{where}"""
+
+
+OP6 = f"""
+with v as ({_integers()}),
+scored as (
+    select q.vec_id as query_id, v.vec_id, list_dot_product(q.c, v.c)::bigint as score
+    from v as q join v on v.vec_id <> q.vec_id and len(v.c) = len(q.c) where q.vec_id % 50 = 0),
+ranked as (select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from scored)
+select * from ranked where rank <= 5
+"""
+
+OP13 = f"""
+with sound as ({_integers(" and label is not null")}),
+v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, c from sound),
+scored as (
+    select a.vec_id as anchor_id, v.vec_id, a.label = v.label as same, list_dot_product(a.c, v.c)::bigint as score
+    from v as a join v on v.vec_id <> a.vec_id and len(v.c) = len(a.c) where a.vec_id % 100 = 0),
+positives as (
+    select anchor_id, vec_id as positive_id, score as positive_score, row_number() over (partition by anchor_id order by score desc, vec_id)::int as positive_rank
+    from scored where same qualify positive_rank <= 5)
+select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_rank order by score desc, vec_id)::int as rank, vec_id as negative_id,
+       positive_score, score as negative_score, positive_rank
+from positives join scored using (anchor_id)
+where not same and 80 * positive_score <= 100 * score and 100 * score <= 100 * positive_score
+qualify rank <= 5
+"""
+
+SQL = {"op9_url_filters": OP9, "op10_mixing": OP10, "op6_topk_search": OP6, "op13_hard_negatives": OP13}

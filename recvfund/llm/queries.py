@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, mixing, packing, quality, secret_scans, simhash, suffixes, topk, toxicity, urls
+from . import alignment, langid, licenses, mixing, negatives, packing, quality, secret_scans, simhash, suffixes, topk, toxicity, urls
 from .common import table
 
 
@@ -49,4 +49,20 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scans, op2_toxicity, op3_simhash_dedup, op4_suffix_dedup, op5_packing, op6_topk_search, op7_secret_scans, op8_quality_rules, op9_url_filters, op10_mixing)}
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_id(table(spark, sf_dir, "documents"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+_ALL = (
+    op1_license_scans, op2_toxicity, op3_simhash_dedup, op4_suffix_dedup, op5_packing, op6_topk_search, op7_secret_scans, op8_quality_rules,
+    op9_url_filters, op10_mixing, op11_language_id, op12_token_alignment, op13_hard_negatives,
+)
+QUERIES = {f.__name__: f for f in _ALL}

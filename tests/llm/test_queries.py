@@ -24,9 +24,10 @@ COLUMNS = {
     "op3": "doc_id fingerprint component_id", "op4": "doc_id n_bytes n_removed n_spans kept_sha256", "op5": "bin_id slot doc_id piece start n_words",
     "op6": "query_id rank vec_id score", "op7": "doc_id n_assign n_access n_hex base_sha256 spans",
     "op8": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept", "op9": "page_id host path rule verdict",
-    "op10": "doc_id size source_size target taken",
+    "op10": "doc_id size source_size target taken", "op11": "doc_id held_out lang_pred score", "op12": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256",
+    "op13": "anchor_id positive_id rank negative_id positive_score negative_score",
 }
-LONGS = "n_words n_base first_word last_word n_bytes n_removed n_spans vec_id n_assign n_access n_hex word_chars n_symbols n_dup_lines n_repeat_words size source_size taken component_id query_id".split()
+LONGS = "n_words n_base first_word last_word n_bytes n_removed n_spans vec_id n_assign n_access n_hex word_chars n_symbols n_dup_lines n_repeat_words size source_size taken component_id query_id n_a n_b n_groups n_links n_best count_sum anchor_id positive_id negative_id positive_score negative_score".split()
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
@@ -36,7 +37,7 @@ def test_columns_and_rows(spark, name):
     want = COLUMNS[name.split("_")[0]].split()
     assert set(want) <= set(kinds) and all(kinds[c] == "bigint" for c in want if c in LONGS)
     n = df.count()
-    if name.split("_")[0] in ("op1", "op2", "op3", "op4", "op7", "op8", "op10"):
+    if name.split("_")[0] in ("op1", "op2", "op3", "op4", "op7", "op8", "op10", "op11", "op12"):
         assert n == spark.read.parquet(f"{SF}/documents.parquet").count()
     assert n > 0
 
