@@ -69,6 +69,8 @@ SEEDED_HOLIDAYS = [
 
 # --- fixed values: day count and par ---
 DU_ANO = 252
+#: States of a stored close that count as a close.
+CLOSED_STATUS = ("PROCESSADO", "SELADO")
 PAR = "1.000000000000"
 
 # --- fixed values: title events ---

@@ -18,7 +18,7 @@ from collections.abc import Callable
 from decimal import ROUND_HALF_EVEN, Decimal, localcontext
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,16 +47,44 @@ def close_inputs(grid: DataFrame, titles: DataFrame, cash: DataFrame, units: Dat
     )
 
 
+def gross_nav(present_value: Column, cash: Column) -> Column:
+    """F1, cents."""
+    return F.bround(present_value + cash, 2).cast(MONEY)
+
+
+def fee_expense(gross: Column, rate: Column, days: Column) -> Column:
+    """gross x fee% / 252 x days, as one exact quotient, then HALF_EVEN to cents."""
+    whole = T.DecimalType(5, 0)
+    return F.bround(gross * rate * days.cast(whole) / F.lit(DAYS_FEE_DIVISOR).cast(whole), 2).cast(MONEY)
+
+
+def net_nav(gross: Column, pdd: Column, provision: Column) -> Column:
+    """F6."""
+    return (gross - pdd - provision).cast(MONEY)
+
+
+def unit_price(net: Column, units: Column) -> Column:
+    """null without units."""
+    return F.when(units > 0, F.bround(net / units, 12)).cast(UNITS)
+
+
+def _stored_versions(prior_closes: DataFrame) -> DataFrame:
+    """Per stored (class, date): its highest version, and price and provision of the highest one that counts as a close."""
+    counts = F.col("status").isin(*K.CLOSED_STATUS) if "status" in prior_closes.columns else F.lit(True)
+    pin = F.struct(F.col("valor_cota").cast(UNITS).alias("valor_cota"), F.col("provisao_adm_acumulada").cast(MONEY).alias("provisao_adm_acumulada"))
+    return prior_closes.groupBy("classe_id", F.col("data_referencia").alias("data")).agg(
+        F.max_by(pin, F.when(counts, F.col("versao"))).alias("_pin"), F.max("versao").cast("long").alias("_stored"))
+
+
 def close_grid(inputs: DataFrame, calendar: DataFrame, prior_closes: DataFrame | None = None) -> DataFrame:
-    """F1-F8, F10 for every (class, date) of ``inputs``.
+    """F1-F8, F10 for every (class, date) of ``inputs``, as if closed one after the other by date.
 
-    The previous close is the previous date of the grid; before a class's first
-    date, it is the last of ``prior_closes`` (highest version), whose date, price
-    and accumulated provision the chain goes on from. Dates that ``prior_closes``
-    has already get the next version.
+    Each class has one timeline of the run's dates and the stored dates (highest version each) that the run does not close
+    again. The previous close is the row before on that timeline: a stored one gives its price and accumulated
+    provision as they are, also where it lies between two dates of the run or came after the run's first date. A
+    stored row thus starts a segment, inside which the provision is a running sum. A date that is stored already gets the next
+    version. Stored and new rows meet by a union, so ``inputs`` is computed once and everything is one shuffle by class.
     """
-    w = Window.partitionBy("classe_id").orderBy("data")
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
     zero = F.lit(0).cast(MONEY)
     d = (
         inputs
@@ -66,48 +94,39 @@ def close_grid(inputs: DataFrame, calendar: DataFrame, prior_closes: DataFrame |
         .withColumn("qtd_ativos", F.coalesce(F.col("qtd_ativos"), F.lit(0)).cast("long"))
         .withColumn("caixa", F.coalesce(F.col("caixa"), zero).cast(MONEY))
         .withColumn("quantidade_cotas", F.coalesce(F.col("quantidade_cotas"), F.lit(0)).cast(UNITS))
+        .withColumn("_new", F.lit(True))
+        .withColumn("_pin", F.lit(None).cast("struct<valor_cota:decimal(28,12), provisao_adm_acumulada:decimal(20,2)>"))
+        .withColumn("_stored", F.lit(None).cast("long"))
     )
+    w = Window.partitionBy("classe_id").orderBy("data", "_new")
     if prior_closes is not None:
-        start = inputs.groupBy("classe_id").agg(F.min("data").alias("_start"))
-        before = (
-            prior_closes.join(start, "classe_id").where(F.col("data_referencia") < F.col("_start"))
-            .groupBy("classe_id")
-            .agg(F.max_by(F.struct("data_referencia", "valor_cota", "provisao_adm_acumulada"),
-                          F.struct("data_referencia", "versao")).alias("_before"))
-        )
-        d = d.join(before, "classe_id", "left")
+        stored = _stored_versions(prior_closes).withColumn("_new", F.lit(False))
+        d = d.unionByName(stored, allowMissingColumns=True)
+        same_before, same_after = F.lag("data").over(w) == F.col("data"), F.lead("data").over(w) == F.col("data")
+        d = d.withColumns({"_again": F.when(same_before, F.lag("_stored").over(w)), "_closed_again": same_after})
+        # a stored date that the run closes again, or that no version closed, is nobody's previous close
+        d = d.where(F.col("_new") | (F.col("_pin").isNotNull() & ~F.coalesce("_closed_again", F.lit(False))))
     else:
-        d = d.withColumn("_before", F.lit(None).cast(
-            "struct<data_referencia:date, valor_cota:decimal(28,12), provisao_adm_acumulada:decimal(20,2)>"))
-    d = d.withColumn("_lag", F.lag("data").over(w)).withColumn("_prev", F.coalesce("_lag", F.col("_before.data_referencia")))
+        d = d.withColumn("_again", F.lit(None).cast("long"))
     # business days since the previous close; 1 for the first close
-    d = with_business_days(d, "_prev", "data", "_n", calendar)
+    d = with_business_days(d.withColumn("_prev", F.lag("data").over(w)), "_prev", "data", "_n", calendar)
     d = d.withColumn("n_du", F.when(F.col("_prev").isNull(), F.lit(1)).otherwise(F.col("_n")))
-    pl_bruto = F.bround(F.col("valor_presente_ativos") + F.col("caixa"), 2).cast(MONEY)
-    d = d.withColumn("pl_bruto", pl_bruto)
-    # gross x fee% / 252 x n, as one exact quotient, then HALF_EVEN to cents
-    despesa = F.bround(
-        F.col("pl_bruto") * F.col("taxa_administracao_aa") * F.col("n_du").cast(T.DecimalType(5, 0))
-        / F.lit(DAYS_FEE_DIVISOR).cast(T.DecimalType(5, 0)), 2).cast(MONEY)
+    d = d.withColumn("pl_bruto", gross_nav(F.col("valor_presente_ativos"), F.col("caixa")))
+    d = d.withColumn("despesa_adm_dia", fee_expense(F.col("pl_bruto"), F.col("taxa_administracao_aa"), F.col("n_du")))
+    d = d.withColumn("_segment", F.sum((~F.col("_new")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    inside = Window.partitionBy("classe_id", "_segment").orderBy("data").rowsBetween(Window.unboundedPreceding, 0)
+    last = Window.partitionBy("classe_id").orderBy("data")
     d = (
-        d.withColumn("despesa_adm_dia", despesa)
-        .withColumn("provisao_adm_acumulada", (F.sum("despesa_adm_dia").over(run)                 # F5
-                    + F.coalesce(F.col("_before.provisao_adm_acumulada"), zero)).cast(MONEY))
-        .withColumn("pl_liquido", (F.col("pl_bruto") - F.col("pdd_total") - F.col("provisao_adm_acumulada"))
-                    .cast(MONEY))                                                             # F6
-        .withColumn("valor_cota", F.when(F.col("quantidade_cotas") > 0,                          # F7
-                                         F.bround(F.col("pl_liquido") / F.col("quantidade_cotas"), 12)).cast(UNITS))
-        .withColumn("cota_anterior", F.when(F.col("_lag").isNull(), F.col("_before.valor_cota"))  # F2
-                    .otherwise(F.lag("valor_cota").over(w)))
+        d.withColumn("provisao_adm_acumulada", F.sum(F.coalesce("_pin.provisao_adm_acumulada", "despesa_adm_dia")).over(inside).cast(MONEY))  # F5
+        .withColumn("pl_liquido", net_nav(F.col("pl_bruto"), F.col("pdd_total"), F.col("provisao_adm_acumulada")))
+        .withColumn("valor_cota", F.when(F.col("_new"), unit_price(F.col("pl_liquido"), F.col("quantidade_cotas"))).otherwise(F.col("_pin.valor_cota")))
+        .withColumn("cota_anterior", F.lag("valor_cota").over(last))                          # F2
+        .where("_new")
     )
     base = F.coalesce(F.col("cota_anterior"), F.lit(K.PAR).cast(UNITS))
     d = d.withColumn("rentabilidade_dia", F.when(F.col("valor_cota").isNotNull() & (base > 0),   # F8
                                                  F.bround(F.col("valor_cota") / base - 1, 10)).cast(RET))
-    versao = F.lit(1)
-    if prior_closes is not None:                                                                 # F10
-        mx = prior_closes.groupBy("classe_id", F.col("data_referencia").alias("data")).agg(F.max("versao").alias("_v"))
-        d = d.join(mx, ["classe_id", "data"], "left")
-        versao = F.coalesce(F.col("_v"), F.lit(0)) + 1
+    versao = F.coalesce(F.col("_again"), F.lit(0)) + 1                                          # F10
     return d.select(
         "fundo_id", "classe_id", F.col("data").alias("data_referencia"), versao.cast("long").alias("versao"),
         F.lit("PROCESSADO").alias("status"), "valor_presente_ativos", "pdd_total", "caixa", "contas_receber",

@@ -928,3 +928,36 @@ select classe_id, data as data_referencia, {_fixed('pz', 12, 28)} as cota_aplica
        {_fixed('(s.cx + r.cx2)', 2, 20)} as caixa, {_fixed('un', 12, 28)} as quantidade_cotas, {_fixed('g', 2, 20)} as pl_bruto, {_fixed('dp', 2, 20)} as despesa_adm_dia,
        {_fixed('pv', 2, 20)} as provisao_adm_acumulada, {_fixed('liq', 2, 20)} as pl_liquido, {_fixed('pr', 12, 28)} as valor_cota
 from fx_replay r join fx_passo s using (classe_id, data)""", "fx_replay", "fx_passo", recursive=True)
+
+# closes over a store with a gap and corrections: a step of the recursion is a date, stored or of the run
+_view("fx_linha", ["fx_close_b", "fx_fechamento", "fx_calendario"], f"""
+select x.*, row_number() over (partition by x.classe_id order by x.data) as rn,
+       case when prev2 is null then 1 else greatest(c1.du_acumulado - c0.du_acumulado, 0) end as dias
+from (select b.*, month(b.data) % 4 in (1, 2) as nova, lag(b.data) over (partition by b.classe_id order by b.data) as prev2,
+             {_units('f.provisao_adm_acumulada')} + case when month(b.data) = 8 then 1000 else 0 end as gp,
+             {_units('f.valor_cota')} + case when month(b.data) = 8 then 250000000000 else 0 end as gc
+      from fx_close_b b join fx_fechamento f on f.classe_id = b.classe_id and f.data_referencia = b.data where month(b.data) <> 4) x
+left join fx_calendario c0 on c0.data = x.prev2 left join fx_calendario c1 on c1.data = x.data""")
+
+
+def _linha(src: str, where: str, before: str, price: str) -> str:
+    return f"""
+select classe_id, fundo_id, data, rn, nova, valor_presente, pdd, caixa, a_receber, pl_bruto, cotas, qtd_ativos, dias, despesa, pv, liq, ant,
+       case when not nova then gc when cotas > 0 then {_he(f"liq * {_E12} * cast(10000000000 as hugeint)", _units('cotas'))} end as pr
+from (select *, {_units('pl_bruto')} - {_units('pdd')} - pv as liq
+      from (select *, case when nova then {before} + despesa else gp end as pv
+            from (select *, {price} as ant, {_he(f"{_units('pl_bruto')} * {_units('taxa')} * cast(dias as hugeint)", "cast(25200000000 as hugeint)")} as despesa
+                  from {src} where {where}) a) b) c"""
+
+
+_view("fx_gap", ["fx_linha"], _linha("fx_linha", "rn = 1", "cast(0 as hugeint)", "cast(null as hugeint)") + "\nunion all\n" + _linha(
+    "(select s.*, z.pv as zpv, z.pr as zpr from fx_gap z join fx_linha s on s.classe_id = z.classe_id and s.rn = z.rn + 1) y", "true", "zpv", "zpr"))
+
+SQL["close_gap"] = with_views(f"""
+select fundo_id, classe_id, data as data_referencia, cast(case when month(data) = 10 then 1 else 2 end as bigint) as versao, 'PROCESSADO' as status,
+       valor_presente as valor_presente_ativos, pdd as pdd_total, caixa, a_receber as contas_receber, cast(0 as decimal(20,2)) as contas_pagar, pl_bruto,
+       {_fixed('despesa', 2, 20)} as despesa_adm_dia, {_fixed('pv', 2, 20)} as provisao_adm_acumulada, {_fixed('liq', 2, 20)} as pl_liquido,
+       cotas as quantidade_cotas, {_fixed('pr', 12, 28)} as valor_cota, {_fixed('ant', 12, 28)} as cota_anterior,
+       case when pr is not null and coalesce(ant, {_E12}) > 0 then {_fixed(_he(f"(pr - coalesce(ant, {_E12})) * cast(10000000000 as hugeint)", f"coalesce(ant, {_E12})"), 10, 18)} end as rentabilidade_dia,
+       qtd_ativos, cast(dias as bigint) as n_du
+from fx_gap where nova""", "fx_gap", recursive=True)

@@ -188,24 +188,20 @@ def q_close_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_close_reprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """every December closed again; the highest version of every close."""
+    """every December closed again on top of the stored closes; the highest version of every close."""
     c = Ctx(spark, sf_dir)
-    parts = [c.closes]
     again = c.grid.where(F.month("data") == 12)
     inputs = closing.close_inputs(again, c.titulos_status, c.movimento_caixa, c.cota_movimento, c.params, c.calendar, c.bands)
-    # each December is a run of its own on top of the stored closes before it
-    for year in range(*_years(again)):
-        one = inputs.where(F.year("data") == year)
-        parts.append(closing.close_grid(one, c.calendar, c.closes))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    return closing.latest_versions(every)
+    return closing.latest_versions(c.closes.unionByName(closing.close_grid(inputs, c.calendar, c.closes)))
 
 
-def _years(grid: DataFrame) -> tuple[int, int]:
-    r = grid.agg(F.min(F.year("data")).alias("a"), F.max(F.year("data")).alias("b")).first()
-    return (r["a"], r["b"] + 1) if r["a"] else (0, 0)
+def q_close_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two of every four months closed again over a store with a missing month and corrected versions
+    between the run's dates."""
+    c = Ctx(spark, sf_dir)
+    run = c.grid.where((F.month("data") % 4).isin(1, 2))
+    inputs = closing.close_inputs(run, c.titulos_status, c.movimento_caixa, c.cota_movimento, c.params, c.calendar, c.bands)
+    return closing.close_grid(inputs, c.calendar, fx.corrected_closes(c.closes))
 
 
 def q_seal_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -494,6 +490,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "close_grid": q_close_grid,
     "close_incremental": q_close_incremental,
     "close_reprocess": q_close_reprocess,
+    "close_gap": q_close_gap,
     "seal_status": q_seal_status,
     "close_list": q_close_list,
     "price_series": q_price_series,

@@ -355,3 +355,13 @@ def prior_investors(t: Tables) -> DataFrame:
     o = t.orders.where(F.col("o_orderdate").cast("date") < F.lit(PRIOR_CUTOFF).cast("date")).select("o_custkey")
     c = t.customer.join(o.distinct(), F.col("c_custkey") == F.col("o_custkey"), "left_semi")
     return c.select(_sacado_doc().alias("documento"))
+
+
+def corrected_closes(closes: DataFrame) -> DataFrame:
+    """A store of closes with gaps and corrections: no April and no October; of every August a second version, with a
+    provision and a price that somebody has put right."""
+    kept = closes.where(~F.month("data_referencia").isin(4, 10))
+    second = kept.where(F.month("data_referencia") == 8).withColumns({
+        "versao": F.lit(2).cast("long"), "provisao_adm_acumulada": (F.col("provisao_adm_acumulada") + F.lit("10.00").cast("decimal(20,2)")).cast("decimal(20,2)"),
+        "valor_cota": (F.col("valor_cota") + F.lit("0.25").cast("decimal(28,12)")).cast("decimal(28,12)")})
+    return kept.unionByName(second)

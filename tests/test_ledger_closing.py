@@ -1,6 +1,6 @@
 import random
 from datetime import date
-from decimal import Decimal
+from decimal import ROUND_HALF_EVEN, Decimal, getcontext
 
 from recvfund.functions.calendar import build_calendar
 from pyspark.sql import functions as F
@@ -57,6 +57,65 @@ def test_close_goes_on_from_stored_closes(spark):
     assert again.versao == 2 and again.valor_cota == Decimal(CHAIN[3][5]) and again.provisao_adm_acumulada == Decimal("1.57")
 
 
+def close_by_close(store, row, cal):
+    """One close the way an operator makes it: the latest stored date before it, its highest version; appended as the next version."""
+    d, before = row[2], [s for s in store if s["d"] < row[2]]
+    prev = max(before, key=lambda s: (s["d"], s["v"]), default=None)
+    n = cal(prev["d"], d) if prev else 1
+    gross = row[4] + row[7]
+    expense = (gross * row[9] * n / 25200).quantize(Decimal("0.01"), ROUND_HALF_EVEN)
+    total = (prev["total"] if prev else 0) + expense
+    net = gross - row[5] - total
+    price = (net / row[8]).quantize(Decimal("1e-12"), ROUND_HALF_EVEN) if row[8] > 0 else None
+    base = prev["price"] if prev and prev["price"] is not None else Decimal(1)
+    ret = (price / base - 1).quantize(Decimal("1e-10"), ROUND_HALF_EVEN) if price is not None and base > 0 else None
+    new = {"d": d, "v": max((s["v"] for s in store if s["d"] == d), default=0) + 1, "n": n, "expense": expense, "total": total, "net": net,
+           "price": price, "prev": prev and prev["price"], "ret": ret}
+    store.append(new)
+    return new
+
+
+def test_gaps_and_recloses_against_closing_one_by_one(spark):
+    getcontext().prec = 60
+    rng = random.Random(13)
+    cal = build_calendar(spark, "2026-01-01", "2026-12-31")
+    counts = {r.data: r.du_acumulado for r in cal.collect()}
+    days = lambda a, b: max(0, counts[b] - counts[a])
+    stores = {f"c{k}": [] for k in range(40)}
+    closes = None
+    for turn in range(3):  # each run closes some dates of each class, in gaps of the store and again
+        rows = []
+        for c in stores:
+            for m in sorted(rng.sample(range(12), rng.randint(0, 6))):
+                units = rng.choice([Decimal(0), Decimal(rng.randint(1, 3000)), Decimal(rng.randint(1, 10**9)) / 1000])
+                rows.append((c, 1, date(2026, m + 1, 28 if m % 3 else 27), 1, Decimal(rng.randint(0, 10**6)) / 100, Decimal(rng.randint(0, 99)) / 100, Decimal(0),
+                             Decimal(rng.randint(-10**5, 10**6)) / 100, units, Decimal(rng.randint(0, 3 * 10**6)) / 10**6))
+        want = {(r[0], r[2]): close_by_close(stores[r[0]], r, days) for r in rows}
+        new = closing.close_grid(_inputs(spark, rows), cal, closes)
+        got = new.collect()
+        assert len(got) == len(want)
+        for g in got:
+            x = want[g.classe_id, g.data_referencia]
+            assert (g.versao, g.n_du, g.despesa_adm_dia, g.provisao_adm_acumulada, g.pl_liquido, g.valor_cota, g.cota_anterior, g.rentabilidade_dia) == (
+                x["v"], x["n"], x["expense"], x["total"], x["net"], x["price"], x["prev"], x["ret"])
+        fixed = spark.createDataFrame(got, new.schema)
+        closes = fixed if closes is None else closes.unionByName(fixed)
+    assert any(s["v"] == 3 for store in stores.values() for s in store)
+
+
+def test_a_close_takes_the_stored_one_before_it(spark):
+    """January and March are closed again over a stored February."""
+    cal = build_calendar(spark, "2026-01-01", "2026-12-31")
+    rows = [_row(date(2026, 1, 30), "1000.00", "0", "0.00", "1000"), _row(date(2026, 3, 3), "5681.82", "0", "0.00", "1000")]
+    stored = spark.createDataFrame([("c", date(2026, 1, 30), 1, "SELADO", Decimal("3"), Decimal("7.00")), ("c", date(2026, 2, 28), 1, "PROCESSADO", Decimal("1.5"), Decimal("9.00")),
+                                    ("c", date(2026, 2, 28), 2, "SELADO", Decimal("1.9963"), Decimal("11.25"))],
+                                   "classe_id string, data_referencia date, versao long, status string, valor_cota decimal(28,12), provisao_adm_acumulada decimal(20,2)")
+    jan, mar = sorted(closing.close_grid(_inputs(spark, rows), cal, stored).collect(), key=lambda r: r.data_referencia)
+    assert (jan.versao, jan.n_du, jan.provisao_adm_acumulada, jan.cota_anterior) == (2, 1, Decimal("0.10"), None)
+    assert (mar.versao, mar.n_du, mar.cota_anterior) == (1, 2, Decimal("1.9963"))
+    assert mar.despesa_adm_dia == Decimal("1.14") and mar.provisao_adm_acumulada == Decimal("12.39")
+
+
 def test_versions_and_seal(spark):
     cal = build_calendar(spark, "2025-01-01", "2027-12-31")
     rows = [("c", 1, date(2026, 3, 31), 1, Decimal("100.00"), Decimal(0), Decimal(0), Decimal("0.00"), Decimal("100"), Decimal(0))]
