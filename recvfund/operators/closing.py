@@ -14,10 +14,6 @@ where the source uses ``quantize(ROUND_HALF_EVEN)``.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from decimal import ROUND_HALF_EVEN, Decimal, localcontext
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -155,55 +151,6 @@ def orders_by_close(grid: DataFrame, orders: DataFrame) -> DataFrame:
     return dated.where(F.col("_close").isNull() & F.col("_at").isNotNull()).groupBy("classe_id", F.col("_at").alias("data")).agg(*[F.sum(c).alias(c) for c in sums])
 
 
-def _replay(schema: list[str]) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def places(x: Decimal, digits: int) -> Decimal:
-        return x.quantize(Decimal(1).scaleb(-digits), ROUND_HALF_EVEN)
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out, price, provision, more_units, more_cash = [], None, Decimal(0), Decimal(0), Decimal(0)
-        with localcontext() as ctx:
-            ctx.prec = 60
-            for r in rows.sort_values("data").itertuples(index=False):
-                at = price if price is not None and price > 0 else Decimal(1)
-                bought, sold = places(r.aplicado / at, 12), r.cotas_resgatadas + places(r.resgatado / at, 12)
-                paid = r.resgatado + places(r.cotas_resgatadas * at, 2)
-                more_units, more_cash = more_units + bought - sold, more_cash + r.aplicado - paid
-                units, cash = r.quantidade_cotas + more_units, r.caixa + more_cash
-                gross = places(r.valor_presente + cash, 2)
-                expense = places(gross * r.taxa_administracao_aa * r.n_du / DAYS_FEE_DIVISOR, 2)
-                provision += expense
-                net = gross - r.pdd - provision
-                price = places(net / units, 12) if units > 0 else None
-                out.append((r.classe_id, r.data, at, bought, sold, places(cash, 2), units, gross, expense, provision, net, price))
-        return pd.DataFrame(out, columns=schema)
-
-    return run
-
-
-def close_with_orders(inputs: DataFrame, calendar: DataFrame, orders: DataFrame) -> DataFrame:
-    """closes and orders feeding each other: each class's closes in date order, orders between two closes priced at the first.
-
-    Policy: orders after one close and up to the next are converted together, one rounding for subscriptions and one for
-    redemptions by value, at the price of the earlier close (par before the first one, or where that has no positive
-    price). Their units and cash are part of the next close, on top of the ledgers that ``inputs`` was built from. The
-    chain has one row per class and close date whatever the number of orders, and each class is a task of its own.
-    """
-    w = Window.partitionBy("classe_id").orderBy("data")
-    d = with_business_days(inputs.withColumn("_prev", F.lag("data").over(w)), "_prev", "data", "_n", calendar)
-    d = d.withColumn("n_du", F.when(F.col("_prev").isNull(), F.lit(1)).otherwise(F.col("_n")))
-    flows = orders_by_close(inputs.select("classe_id", "data"), orders)
-    d = d.join(flows, ["classe_id", "data"], "left")
-    zero = {c: F.coalesce(F.col(c), F.lit(0)).cast(UNITS if "cotas" in c else MONEY) for c in
-            ("valor_presente", "pdd", "caixa", "quantidade_cotas", "aplicado", "resgatado", "cotas_resgatadas")}
-    d = d.withColumns(zero).select("classe_id", "data", *zero, "taxa_administracao_aa", "n_du")
-    money = {"caixa", "pl_bruto", "despesa_adm_dia", "provisao_adm_acumulada", "pl_liquido"}
-    cols = ["classe_id", "data_referencia", "cota_aplicada", "cotas_emitidas", "cotas_resgatadas", "caixa", "quantidade_cotas",
-            "pl_bruto", "despesa_adm_dia", "provisao_adm_acumulada", "pl_liquido", "valor_cota"]
-    kinds = {"classe_id": "string", "data_referencia": "date"}
-    ddl = ", ".join(f"{c} {kinds.get(c) or ('decimal(20,2)' if c in money else 'decimal(28,12)')}" for c in cols)
-    return d.groupBy("classe_id").applyInPandas(_replay(cols), ddl)
-
-
 def close_id(closes: DataFrame) -> F.Column:
     return F.sha2(F.concat_ws("|", "classe_id", "data_referencia", "versao"), 256)
 

@@ -7,16 +7,20 @@ a rejected one must not reduce it. That is a sequential fold per
 (class, investor), which no associative aggregate expresses.
 
 But it only matters where some redemption is too large. A running sum in the
-JVM first assumes that all orders are accepted; a (class, investor) whose sum
-never falls below zero has its answer. Only the others enter the fold.
+JVM first assumes that all orders are accepted: prefix sums and prefix minima
+inside each day of an investor, so that the rows of a hot investor are spread
+over as many tasks as there are days, and over the days (one row each) the
+offset that each day starts from. Until the first day on which an investor's
+balance would fall below zero, that is the answer. Only rows from that day on
+enter the fold, with the balance before it.
 
 The fold runs as ``mapInPandas`` over rows hash-partitioned by (class,
 investor) and sorted by (class, investor, date, kind, order): state is one
 balance carried across Arrow batches, so memory stays bounded by the batch
-size even for an investor holding a third of all orders (that investor's
-rows are still one task: the guard is inherently serial). Opening balances
-come from the unit ledger, pre-aggregated per (class, investor, day), and are
-merged into the same sorted stream.
+size even for an investor holding a third of all orders (from a refused order
+on, that investor's rows are one task: the guard is inherently serial). Opening
+balances come from the unit ledger, pre-aggregated per (class, investor, day),
+and are merged into the same sorted stream.
 
 Replay order: by date, then order id (orders of a day are priced at the last
 close on or before that day).
@@ -37,8 +41,7 @@ from . import ledger
 
 MONEY = T.DecimalType(20, 2)
 UNITS = T.DecimalType(28, 12)
-
-
+SUMS = T.DecimalType(38, 12)
 
 def _out_schema(stream: DataFrame) -> T.StructType:
     f = {x.name: x.dataType for x in stream.schema.fields}
@@ -77,17 +80,42 @@ def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                             "cotista_id": pdf["cotista_id"], "aceito": acc, "saldo_cotas": after})
 
 
-def price_orders(orders: DataFrame, closes: DataFrame) -> DataFrame:
-    """L6/L7 arithmetic: applicable price and units of every order (before the guard)."""
-    priced = ledger.price_asof(orders, closes)
+def price_orders(orders: DataFrame, closes: DataFrame, same_day: bool = True) -> DataFrame:
+    """L6/L7 arithmetic: applicable price and units of every order (before the guard).
+
+    ``same_day``: the close of an order's own day prices it; else orders come before that close.
+    """
+    if same_day:
+        priced = ledger.price_asof(orders, closes)
+    else:
+        priced = ledger.price_asof(orders.withColumn("_day_before", F.date_sub("data", 1)), closes, "_day_before").drop("_day_before")
     price = F.col("valor_cota_aplicavel")
     by_units = F.col("quantidade_solicitada") if "quantidade_solicitada" in orders.columns else F.lit(None)
     qtd = F.coalesce(F.bround(by_units.cast(UNITS), 12), F.bround(F.col("valor") / price, 12)).cast(UNITS)
     return priced.withColumn("quantidade", qtd)
 
 
+def _screened(stream: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Orders that pass whatever comes later, with the balance after each; and what the fold has to decide, with an opening
+    row for each investor."""
+    who = ["classe_id", "cotista_id"]
+    day = Window.partitionBy(*who, "data").orderBy("_k", "ordem").rowsBetween(Window.unboundedPreceding, 0)
+    sums = stream.withColumn("_in", F.sum(F.when(F.col("_redeem"), -F.col("_q")).otherwise(F.col("_q"))).over(day))
+    days = sums.groupBy(*who, "data").agg(F.max_by("_in", F.struct("_k", "ordem")).alias("_total"), F.min("_in").alias("_least"))
+    before = Window.partitionBy(*who).orderBy("data")
+    days = days.withColumn("_offset", F.coalesce(F.sum("_total").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast(SUMS))
+    short = F.min(F.when(F.col("_offset") + F.col("_least") < 0, F.col("data"))).over(before.rowsBetween(Window.unboundedPreceding, 0))
+    days = days.withColumn("_short", short)  # the first day that falls short, on that day and after it
+    at = sums.join(days.select(*who, "data", "_offset", "_short"), [*who, "data"])
+    clear = at.where(F.col("_short").isNull() & (F.col("_k") == 1)).select(
+        "ordem", *who, F.lit(True).alias("aceito"), (F.col("_offset") + F.col("_in")).cast(UNITS).alias("saldo_cotas"))
+    opening = days.where(F.col("data") == F.col("_short")).select(
+        *who, "data", F.lit(0).alias("_k"), F.lit(None).cast("long").alias("ordem"), F.lit(False).alias("_redeem"), F.col("_offset").cast(UNITS).alias("_q"))
+    return clear, at.where(F.col("_short").isNotNull()).select(*stream.columns).unionByName(opening)
+
+
 def process_orders(orders: DataFrame, closes: DataFrame, unit_ledger: DataFrame | None = None,
-                   classes: DataFrame | None = None, cotistas: DataFrame | None = None) -> DataFrame:
+                   classes: DataFrame | None = None, cotistas: DataFrame | None = None, same_day: bool = True) -> DataFrame:
     """Replay orders (ordem, data, classe_id, cotista_id, tipo APLICACAO|RESGATE, valor
     [, quantidade_solicitada]) -> per order: units, price, financial value, accepted, balance after.
 
@@ -99,7 +127,7 @@ def process_orders(orders: DataFrame, closes: DataFrame, unit_ledger: DataFrame
             ids = table.select(F.col(key).alias("_id")).distinct()
             known = known.join(ids, F.col(key) == F.col("_id"), "left").withColumn(
                 "_refused", F.when(F.col("_id").isNull(), F.lit(message)).otherwise(F.col("_refused"))).drop("_id")
-    priced = price_orders(known, closes)
+    priced = price_orders(known, closes, same_day)
     stream = priced.where(F.col("_refused").isNull()).select(
         "classe_id", "cotista_id", "data", F.lit(1).alias("_k"), "ordem",
         (F.col("tipo") == "RESGATE").alias("_redeem"), F.col("quantidade").alias("_q"))
@@ -111,15 +139,9 @@ def process_orders(orders: DataFrame, closes: DataFrame, unit_ledger: DataFrame
                     F.lit(False).alias("_redeem"), "_q")
         )
         stream = opening.unionByName(stream)
-    one = Window.partitionBy("classe_id", "cotista_id")
-    run = one.orderBy("data", "_k", "ordem").rowsBetween(Window.unboundedPreceding, 0)
-    sums = stream.withColumn("_sum", F.sum(F.when(F.col("_redeem"), -F.col("_q")).otherwise(F.col("_q"))).over(run))
-    sums = sums.withColumn("_low", F.min("_sum").over(one))
-    clear = sums.where((F.col("_low") >= 0) & (F.col("_k") == 1)).select(
-        "ordem", "classe_id", "cotista_id", F.lit(True).alias("aceito"), F.col("_sum").cast(UNITS).alias("saldo_cotas"))
+    clear, rest = _screened(stream)
     folded = clear.unionByName(
-        sums.where(F.col("_low") < 0).drop("_sum", "_low")
-        .repartition("classe_id", "cotista_id")
+        rest.repartition("classe_id", "cotista_id")
         .sortWithinPartitions("classe_id", "cotista_id", "data", "_k", "ordem")
         .mapInPandas(_fold, _out_schema(stream))
         .where(F.col("_k") == 1)

@@ -889,45 +889,77 @@ union all select classe_id, data_referencia, 3, 1, 'TITULO;tipo;vencimento;sacad
 union all select classe_id, data_referencia, 4, posicao, {_joined('numero_titulo', 'tipo_ativo', 'data_vencimento', 'sacado', 'cedente', 'valor_face', 'valor_presente')} from fx_r_top""",
                                   "fx_r_comp", "fx_r_inv", "fx_r_top")
 
-# a step of the recursion is a close; amounts in cents, units and prices in 10^-12
-_view("fx_fluxo", ["fx_ordem", "fx_ordem_fold", "fx_grid"], f"""
-select o.classe_id, (select min(g.data) from fx_grid g where g.classe_id = o.classe_id and g.data >= o.data) as data,
-       sum(case when o.tipo = 'APLICACAO' then {_units('o.valor')} else 0 end) as ap,
-       sum(case when o.tipo = 'RESGATE' and o.pedida is null then {_units('o.valor')} else 0 end) as rv,
-       sum(case when o.tipo = 'RESGATE' and o.pedida is not null then {_units('o.pedida')} else 0 end) as ru
-from fx_ordem o join fx_ordem_fold f on f.k = 1 and f.ordem = o.ordem and f.aceito group by 1, 2""")
-
-_view("fx_passo", ["fx_close_b", "fx_fluxo"], f"""
-select b.classe_id, b.data, row_number() over (partition by b.classe_id order by b.data) as rn,
-       {_units('b.valor_presente')} as vp, {_units('b.pdd')} as pdd, {_units('b.caixa')} as cx, {_units('b.cotas')} as ct, {_units('b.taxa')} as tx,
-       cast(b.n_du as hugeint) as n, cast(coalesce(f.ap, 0) as hugeint) as ap, cast(coalesce(f.rv, 0) as hugeint) as rv, cast(coalesce(f.ru, 0) as hugeint) as ru
-from fx_close_b b left join fx_fluxo f on f.classe_id = b.classe_id and f.data = b.data""")
-
-
-def _passo(src: str, where: str, price: str, units: str, cash: str, prov: str) -> str:
-    """One close from the state before it."""
-    p22 = "cast(10000000000000000000000 as hugeint)"
-    return f"""
-select classe_id, data, rn, pz, em, rs, ux, cx2, g, dp, pv, g - pdd - pv as liq, ct + ux as un,
-       case when ct + ux > 0 then {_he(f"(g - pdd - pv) * {_E12} * cast(10000000000 as hugeint)", "(ct + ux)")} end as pr
-from (select *, {prov} + dp as pv
-      from (select *, {_he("g * tx * n", "cast(25200000000 as hugeint)")} as dp
-            from (select *, vp + cx + cx2 as g
-                  from (select *, {units} + em - rs as ux, {cash} + ap - rv - {_he("ru * pz", p22)} as cx2
-                        from (select *, {_he(f"ap * {p22}", "pz")} as em, ru + {_he(f"rv * {p22}", "pz")} as rs
-                              from (select *, case when {price} > 0 then {price} else {_E12} end as pz from {src} where {where}) a) b) c) d) e) h"""
-
-
+# a step of the recursion is a ledger movement, an order or a close of a class; amounts in cents, units and prices in 10^-12
+_P22 = "cast(10000000000000000000000 as hugeint)"
 _ZERO = "cast(0 as hugeint)"
-_view("fx_replay", ["fx_passo"], _passo("fx_passo", "rn = 1", _ZERO, _ZERO, _ZERO, _ZERO) + "\nunion all\n" + _passo(
-    "(select s.*, z.pr as zpr, z.ux as zux, z.cx2 as zcx, z.pv as zpv from fx_replay z join fx_passo s on s.classe_id = z.classe_id and s.rn = z.rn + 1) y",
-    "true", "coalesce(zpr, 0)", "zux", "zcx", "zpv"))
+_view("fx_j_evento", ["fx_close_b", "fx_fechamento", "fx_ordem", "fx_classe", "fx_cotista", "fx_cota_movimento"], f"""
+select *, row_number() over (partition by classe_id order by data, k, ordem, cotista_id) as rn
+from (select classe_id, data, 1 as k, ordem, cotista_id, tipo = 'RESGATE' as redeem, {_units('valor')} as valor, {_units('pedida')} as qu,
+             {_ZERO} as vp, {_ZERO} as pdd, {_ZERO} as cx, {_ZERO} as ct, {_ZERO} as tx, {_ZERO} as n, cast(null as hugeint) as v1
+      from fx_ordem where data > date '{REPORT_DATE}' and classe_id in (select classe_id from fx_classe) and cotista_id in (select cotista_id from fx_cotista)
+      union all
+      select classe_id, data, 0, null, cotista_id, false, 0, {_units("cast(sum(case when tipo = 'EMISSAO' then quantidade else -quantidade end) as decimal(38,12))")},
+             0, 0, 0, 0, 0, 0, null
+      from fx_cota_movimento where cotista_id is not null and data > date '{REPORT_DATE}' group by classe_id, cotista_id, data
+      union all
+      select b.classe_id, b.data, 2, null, null, false, 0, 0, {_units('b.valor_presente')}, {_units('b.pdd')}, {_units('b.caixa')}, {_units('b.cotas')},
+             {_units('b.taxa')}, cast(b.n_du as hugeint), {_units('f.valor_cota')}
+      from fx_close_b b join fx_fechamento f on f.classe_id = b.classe_id and f.data_referencia = b.data where b.data > date '{REPORT_DATE}') x""")
+
+_view("fx_j_inicio", ["fx_classe", "fx_fechamento", "fx_cota_movimento"], f"""
+select c.classe_id, f.pv, f.ant, coalesce(f.pz, {_E12}) as pz, coalesce(s.m, cast(map() as map(bigint, hugeint))) as m
+from fx_classe c
+left join (select classe_id, arg_max({_units('provisao_adm_acumulada')}, data_referencia) as pv,
+                  {_units('arg_max(valor_cota, data_referencia) filter (where valor_cota is not null)')} as pz,
+                  {_units('max_by(struct_pack(c := valor_cota), data_referencia).c')} as ant
+           from fx_fechamento where data_referencia <= date '{REPORT_DATE}' group by classe_id) f on f.classe_id = c.classe_id
+left join (select classe_id, map_from_entries(list(struct_pack(k := cast(cotista_id as bigint), v := q))) as m
+           from (select classe_id, cotista_id, {_units("cast(sum(case when tipo = 'EMISSAO' then quantidade else -quantidade end) as decimal(38,12))")} as q
+                 from fx_cota_movimento where cotista_id is not null and data <= date '{REPORT_DATE}' group by classe_id, cotista_id) x
+           group by classe_id) s on s.classe_id = c.classe_id""")
+
+
+def _j_step(src: str) -> str:
+    """One event from the state before it: price in force, previous price, provision, units and cash of orders, balances."""
+    return f"""
+select classe_id, rn, k, data, ordem, cotista_id, q, fin, ok, saldo, pz0, g, dp, liq, un, pr, n, ant0,
+       case when k = 2 then coalesce(pr, v1, pz0) else pz0 end as pz, case when k = 2 then pr else ant0 end as ant, case when k = 2 then pv0 + dp else pv0 end as pv,
+       case when k = 1 and ok then ux0 + case when redeem then -q else q end else ux0 end as ux,
+       case when k = 1 and ok then cx0 + case when redeem then -fin else valor end else cx0 end as cy,
+       case when k = 0 or (k = 1 and ok) then map_concat(m0, map([cast(cotista_id as bigint)], [saldo])) else m0 end as m
+from (select *, case when k = 2 and un > 0 then {_he(f"liq * {_P22}", "un")} end as pr,
+             case when k = 0 or not redeem then bal + q when ok then bal - q else bal end as saldo
+      from (select *, g - pdd - pv0 - dp as liq, ct + ux0 as un, case when redeem then q <= bal else true end as ok, case when redeem then {_he(f"q * pz0", _P22)} else valor end as fin
+            from (select *, {_he("(vp + cx + cx0) * tx * n", "cast(25200000000 as hugeint)")} as dp, vp + cx + cx0 as g,
+                         coalesce(m0[cast(cotista_id as bigint)], {_ZERO}) as bal,
+                         coalesce(qu, {_he(f"valor * {_P22} * sign(pz0)", "abs(pz0)")}) as q
+                  from {src}) a) b) c"""
+
+
+_START = f"(select e.*, i.pz as pz0, i.ant as ant0, i.pv as pv0, {_ZERO} as ux0, {_ZERO} as cx0, i.m as m0 from fx_j_evento e join fx_j_inicio i on i.classe_id = e.classe_id where e.rn = 1) y"
+_NEXT = "(select e.*, z.pz as pz0, z.ant as ant0, z.pv as pv0, z.ux as ux0, z.cy as cx0, z.m as m0 from fx_j z join fx_j_evento e on e.classe_id = z.classe_id and e.rn = z.rn + 1) y"
+_view("fx_j", ["fx_j_evento", "fx_j_inicio"], _j_step(_START) + "\nunion all\n" + _j_step(_NEXT))
 
 SQL["order_close_replay"] = with_views(f"""
-select classe_id, data as data_referencia, {_fixed('pz', 12, 28)} as cota_aplicada, {_fixed('em', 12, 28)} as cotas_emitidas, {_fixed('rs', 12, 28)} as cotas_resgatadas,
-       {_fixed('(s.cx + r.cx2)', 2, 20)} as caixa, {_fixed('un', 12, 28)} as quantidade_cotas, {_fixed('g', 2, 20)} as pl_bruto, {_fixed('dp', 2, 20)} as despesa_adm_dia,
-       {_fixed('pv', 2, 20)} as provisao_adm_acumulada, {_fixed('liq', 2, 20)} as pl_liquido, {_fixed('pr', 12, 28)} as valor_cota
-from fx_replay r join fx_passo s using (classe_id, data)""", "fx_replay", "fx_passo", recursive=True)
+select f.fundo_id, j.classe_id, j.data as data_referencia, cast(2 as bigint) as versao, 'PROCESSADO' as status, f.valor_presente_ativos, f.pdd_total,
+       {_fixed(f"(j.g - {_units('f.valor_presente_ativos')})", 2, 20)} as caixa, f.contas_receber, f.contas_pagar, {_fixed('j.g', 2, 20)} as pl_bruto,
+       {_fixed('j.dp', 2, 20)} as despesa_adm_dia, {_fixed('j.pv', 2, 20)} as provisao_adm_acumulada, {_fixed('j.liq', 2, 20)} as pl_liquido,
+       {_fixed('j.un', 12, 28)} as quantidade_cotas, {_fixed('j.pr', 12, 28)} as valor_cota, {_fixed('j.ant0', 12, 28)} as cota_anterior,
+       case when j.pr is not null and coalesce(j.ant0, {_E12}) > 0 then {_fixed(_he(f"(j.pr - coalesce(j.ant0, {_E12})) * cast(10000000000 as hugeint)", f"coalesce(j.ant0, {_E12})"), 10, 18)} end as rentabilidade_dia,
+       f.qtd_ativos, cast(j.n as bigint) as n_du
+from fx_j j join fx_fechamento f on f.classe_id = j.classe_id and f.data_referencia = j.data where j.k = 2""", "fx_j", "fx_fechamento", recursive=True)
+
+# a refused order has a price too: that of the closes before its day, or par for an unknown class
+SQL["order_guard_replay"] = with_views(f"""
+select o.ordem, o.classe_id, o.cotista_id, o.data, o.tipo, {_fixed('o.q', 12, 28)} as quantidade, {_fixed('o.pz0', 12, 28)} as valor_cota,
+       case when o.tipo = 'RESGATE' then {_fixed(_he("o.q * o.pz0", _P22), 2, 20)} else o.valor end as valor_financeiro,
+       coalesce(j.ok, false) as aceito, case when o.recusa is not null then o.recusa when not j.ok then '{K.MSG_SALDO_INSUFICIENTE}' end as motivo,
+       {_fixed('j.saldo', 12, 28)} as saldo_cotas
+from (select *, coalesce({_units('pedida')}, {_he(f"{_units('valor')} * {_P22} * sign(pz0)", "abs(pz0)")}) as q
+      from (select p.*, coalesce((select arg_max(z.pz, z.data) from fx_j z where z.k = 2 and z.classe_id = p.classe_id and z.data < p.data),
+                                 (select i.pz from fx_j_inicio i where i.classe_id = p.classe_id), {_E12}) as pz0
+            from fx_ordem_preco p where p.data > date '{REPORT_DATE}') a) o
+left join fx_j j on j.k = 1 and j.ordem = o.ordem""", "fx_j", "fx_j_inicio", "fx_ordem_preco", recursive=True)
 
 # closes over a store with a gap and corrections: a step of the recursion is a date, stored or of the run
 _view("fx_linha", ["fx_close_b", "fx_fechamento", "fx_calendario"], f"""

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from ..functions.calendar import with_business_days
 from ..functions.params import param_asof, with_pdd_pct
 from .. import constants as K
-from ..operators import access, closing, ingest, ledger, orders, registry, report, valuation, validation
+from ..operators import access, closing, ingest, ledger, orders, registry, replay, report, valuation, validation
 from ..session import work_dir
 from ..sources import fixtures as fx
 from ..sources.boleta_files import read_boletas, write_boleta_files
@@ -270,13 +270,22 @@ def q_order_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.process_orders(fx.ordens(c.t), c.closes, c.cota_movimento, c.classes, c.cotistas)
 
 
-def q_order_close_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """every class's closes with the accepted orders fed back into units, cash and prices."""
+def _replay(spark: SparkSession, sf_dir: str) -> replay.Replay:
+    """Closes after the report date made again over the stored ones, with the orders after it."""
     c = Ctx(spark, sf_dir)
-    accepted = q_order_replay(spark, sf_dir).where("aceito").select("ordem")
-    taken = fx.ordens(c.t).join(accepted, "ordem", "left_semi")
-    inputs = closing.close_inputs(c.grid, c.titulos_status, c.movimento_caixa, c.cota_movimento, c.params, c.calendar, c.bands)
-    return closing.close_with_orders(inputs, c.calendar, taken)
+    day = F.lit(REPORT_DATE).cast("date")
+    inputs = closing.close_inputs(c.grid.where(F.col("data") > day), c.titulos_status, c.movimento_caixa, c.cota_movimento, c.params, c.calendar, c.bands)
+    return replay.replay_orders(inputs, c.calendar, fx.ordens(c.t).where(F.col("data") > day), c.cota_movimento, c.closes, c.classes, c.cotistas)
+
+
+def q_order_close_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """closes over stored ones, fed by the orders that pass the guard at these closes' own prices; new versions."""
+    return _replay(spark, sf_dir).closes
+
+
+def q_order_guard_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders of that replay, each with the price, units and verdict that the closes before it gave."""
+    return _replay(spark, sf_dir).orders
 
 
 def q_seal_closes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -501,6 +510,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "receivable_list": q_receivable_list,
     "order_replay": q_order_replay,
     "order_close_replay": q_order_close_replay,
+    "order_guard_replay": q_order_guard_replay,
     "seal_closes": q_seal_closes,
     "investor_registry": q_investor_registry,
     "effective_permissions": q_effective_permissions,

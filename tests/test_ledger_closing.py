@@ -5,7 +5,7 @@ from decimal import ROUND_HALF_EVEN, Decimal, getcontext
 from recvfund.functions.calendar import build_calendar
 from pyspark.sql import functions as F
 
-from recvfund.operators import access, closing, orders, registry, report
+from recvfund.operators import access, closing, orders, registry, replay, report
 from recvfund import constants as K
 
 UNITS_SCHEMA = "classe_id string, cotista_id long, data date, tipo string, quantidade decimal(28,12)"
@@ -270,16 +270,108 @@ def test_orders_of_unknown_class_or_investor(spark):
     assert got == {1: (True, None), 2: (False, K.MSG_ORDEM_CLASSE), 3: (False, K.MSG_ORDEM_COTISTA), 4: (True, None)}
 
 
-def test_closes_and_orders_feed_each_other(spark):
+ORDERS = "ordem long, data date, classe_id string, cotista_id long, tipo string, valor decimal(20,2), quantidade_solicitada decimal(28,12)"
+
+
+def call_by_call(rows, orders_, opening, store, days):
+    """Orders and closes one after the other, as calls come in: a day's orders before its close."""
+    half = lambda x, places: x.quantize(Decimal(1).scaleb(-places), ROUND_HALF_EVEN)
+    events = [(r[2], 2, 0, r) for r in rows] + [(o[1], 1, o[0], o) for o in orders_] + [(m[2], 0, 0, m) for m in opening]
+    balance, units, cash, closes, verdicts = {}, {}, {}, {}, {}
+    for d, kind, _, e in sorted(events, key=lambda x: x[:3]):
+        if kind == 0:
+            balance[e[0], e[1]] = balance.get((e[0], e[1]), Decimal(0)) + (e[4] if e[3] == "EMISSAO" else -e[4])
+        elif kind == 1:
+            c, i = e[2], e[3]
+            priced = [s for s in store[c] if s["d"] < d and s["price"] is not None]
+            price = max(priced, key=lambda s: (s["d"], s["v"]))["price"] if priced else Decimal(1)
+            q = e[6] if e[6] is not None else half(e[5] / price, 12)
+            sells = e[4] == "RESGATE"
+            ok = not sells or q <= balance.get((c, i), Decimal(0))
+            value = half(q * price, 2) if sells else e[5]
+            if ok:
+                balance[c, i] = balance.get((c, i), Decimal(0)) + (-q if sells else q)
+                units[c], cash[c] = units.get(c, Decimal(0)) + (-q if sells else q), cash.get(c, Decimal(0)) + (-value if sells else value)
+            verdicts[e[0]] = (q, price, value, ok, balance.get((c, i), Decimal(0)))
+        else:
+            c = e[0]
+            row = (*e[:7], e[7] + cash.get(c, Decimal(0)), e[8] + units.get(c, Decimal(0)), e[9])
+            closes[c, d] = (close_by_close(store[c], row, days), row)
+    return closes, verdicts
+
+
+def test_closes_and_orders_against_call_by_call(spark):
+    getcontext().prec = 60
+    rng = random.Random(5)
+    cal = build_calendar(spark, "2026-01-01", "2026-12-31")
+    counts = {r.data: r.du_acumulado for r in cal.collect()}
+    store, rows = {}, []
+    for c in ("a", "b", "c", "d"):
+        store[c] = [{"d": date(2026, 1, 30), "v": 1, "price": Decimal("2.5"), "total": Decimal("3.00")}] if c != "a" else []
+        if c == "b":  # a close that the run makes again, and one between its dates
+            store[c] += [{"d": date(2026, 4, 30), "v": 1, "price": Decimal("9"), "total": Decimal("1.00")}, {"d": date(2026, 6, 15), "v": 2, "price": Decimal("1.75"), "total": Decimal("2.00")}]
+        for m in range(2, 9):
+            rows.append((c, 1, date(2026, m, 28 if m == 2 else 30), 1, Decimal(rng.randint(10**4, 10**6)) / 100, Decimal(rng.randint(0, 500)) / 100, Decimal(0),
+                         Decimal(rng.randint(0, 10**6)) / 100, Decimal(rng.randint(0, 2000) if c != "d" else 0), Decimal("1.5")))
+    stored = spark.createDataFrame([(c, x["d"], x["v"], x["price"], x["total"]) for c, xs in store.items() for x in xs],
+                                   "classe_id string, data_referencia date, versao long, valor_cota decimal(28,12), provisao_adm_acumulada decimal(20,2)")
+    days_ = [date(2026, m, d) for m in range(1, 10) for d in (1, 10, 28, 30) if (m, d) != (2, 30)]
+    orders_ = []
+    for k in range(500):
+        sells = rng.random() < 0.55
+        asked = Decimal(rng.randint(1, 300 * 10**6)) / 10**6 if sells and rng.random() < 0.4 else None
+        orders_.append((k, rng.choice(days_), rng.choice("aaabcd"), rng.choice([1, 1, 1, 2, 3, 4]), "RESGATE" if sells else "APLICACAO", Decimal(rng.randint(1, 60000)) / 100, asked))
+    opening = [(c, i, date(2026, rng.randint(1, 5), 3), rng.choice(["EMISSAO", "EMISSAO", "RESGATE"]), Decimal(rng.randint(1, 100))) for c in "abcd" for i in (1, 2) for _ in range(2)]
+    got = replay.replay_orders(_inputs(spark, rows), cal, spark.createDataFrame(orders_, ORDERS), spark.createDataFrame(opening, UNITS_SCHEMA), stored)
+    closes, verdicts = call_by_call(rows, orders_, opening, store, lambda a, b: max(0, counts[b] - counts[a]))
+    found = {r.ordem: (r.quantidade, r.valor_cota, r.valor_financeiro, r.aceito, r.saldo_cotas) for r in got.orders.collect()}
+    assert found == verdicts and len({v[3] for v in verdicts.values()}) == 2
+    new = got.closes.collect()
+    assert len(new) == len(rows)
+    for r in new:
+        x, row = closes[r.classe_id, r.data_referencia]
+        assert (r.versao, r.n_du, r.caixa, r.quantidade_cotas, r.provisao_adm_acumulada, r.valor_cota, r.cota_anterior) == (x["v"], x["n"], row[7], row[8], x["total"], x["price"], x["prev"])
+    assert got.rounds <= 9
+
+
+def test_replay_on_worked_figures(spark):
     cal = build_calendar(spark, "2026-01-01", "2026-12-31")
     rows = [c[0] for c in CHAIN]
-    schema = "ordem long, data date, classe_id string, cotista_id long, tipo string, valor decimal(20,2), quantidade_solicitada decimal(28,12)"
-    plain = sorted(closing.close_with_orders(_inputs(spark, rows), cal, spark.createDataFrame([], schema)).collect(), key=lambda r: r.data_referencia)
-    assert [(r.valor_cota, r.provisao_adm_acumulada) for r in plain] == [(c[5] and Decimal(c[5]), Decimal(c[3])) for c in CHAIN]
-    orders_ = [(1, date(2026, 1, 31), "c", 1, "APLICACAO", Decimal("148.99"), None), (2, date(2026, 1, 31), "c", 1, "APLICACAO", Decimal("148.98"), None),
-               (3, date(2026, 1, 31), "c", 2, "RESGATE", Decimal("0.00"), Decimal("100")), (4, date(2027, 1, 1), "c", 2, "APLICACAO", Decimal("5.00"), None)]
-    got = sorted(closing.close_with_orders(_inputs(spark, rows[:2]), cal, spark.createDataFrame(orders_, schema)).collect(), key=lambda r: r.data_referencia)
-    # 297.97 at 1.48985 buys 200 units; 100 units go for 148.99 (148.985, half to even: 148.98)
-    assert (got[1].cota_aplicada, got[1].cotas_emitidas, got[1].cotas_resgatadas) == (Decimal("1.489850000000"), Decimal("200.000000000000"), Decimal("100"))
-    assert got[1].caixa == Decimal("700.00") + Decimal("297.97") - Decimal("148.98") and got[1].quantidade_cotas == 1100
-    assert got[1].pl_liquido == Decimal("1838.84") and got[1].valor_cota == Decimal("1.671672727273")
+    plain = replay.replay_orders(_inputs(spark, rows), cal, spark.createDataFrame([], ORDERS))
+    assert plain.rounds == 1
+    check_chain(sorted(plain.closes.collect(), key=lambda r: r.data_referencia), CHAIN)
+    orders_ = [(1, date(2026, 1, 31), "c", 1, "APLICACAO", Decimal("148.99"), None), (2, date(2026, 1, 31), "c", 2, "APLICACAO", Decimal("148.98"), None),
+               (3, date(2026, 1, 31), "c", 2, "RESGATE", Decimal("0.00"), Decimal("99.5")), (4, date(2027, 1, 1), "c", 2, "APLICACAO", Decimal("5.00"), None),
+               (5, date(2026, 1, 31), "c", 1, "RESGATE", Decimal("148.99"), None), (6, date(2026, 1, 31), "c", 3, "RESGATE", Decimal("0.01"), None)]
+    got = replay.replay_orders(_inputs(spark, rows[:2]), cal, spark.createDataFrame(orders_, ORDERS))
+    found = {r.ordem: (r.quantidade, r.valor_cota, r.valor_financeiro, r.aceito) for r in got.orders.collect()}
+    # at 1.48985 a unit: 148.99 buys 100.003356042555 units, 148.98 buys 99.996643957445; 99.5 units go for 148.240075
+    assert found[1] == (Decimal("100.003356042555"), Decimal("1.489850000000"), Decimal("148.99"), True)
+    assert found[2][0] == Decimal("99.996643957445") and found[3][2:] == (Decimal("148.24"), True)
+    assert found[5] == (Decimal("100.003356042555"), Decimal("1.489850000000"), Decimal("148.99"), True) and not found[6][3]
+    last = max(got.closes.collect(), key=lambda r: r.data_referencia)
+    # cash 700 + 148.98 - 148.24, units 1000 + 99.996643957445 - 99.5
+    assert last.caixa == Decimal("700.74") and last.quantidade_cotas == Decimal("1000.496643957445")
+    assert last.pl_liquido == Decimal("1690.59") and last.valor_cota == Decimal("1.689750795478")
+
+
+def test_hot_investor_is_screened_by_days(spark):
+    """One investor with most orders: nothing enters the fold unless a redemption fails, and then only from that day on."""
+    rng = random.Random(3)
+    rows, held = [], Decimal(0)
+    for k in range(600):
+        d = date(2024, 1 + k // 60, 1 + k % 28)
+        rows.append((k, d, "c", 1 if k % 3 else 2 + k, "APLICACAO", Decimal(rng.randint(1, 100)), None))
+    rows.append((1000, date(2024, 12, 1), "c", 1, "RESGATE", Decimal("5.00"), None))
+    df = spark.createDataFrame(rows, ORDERS)
+    stream = df.select("classe_id", "cotista_id", "data", F.lit(1).alias("_k"), "ordem", (F.col("tipo") == "RESGATE").alias("_redeem"), F.col("valor").cast("decimal(28,12)").alias("_q"))
+    clear, rest = orders._screened(stream)
+    assert rest.isEmpty() and clear.count() == len(rows)
+    late = stream.unionByName(spark.createDataFrame([("c", 1, date(2024, 11, 1), 1, 2000, True, Decimal(10**7)), ("c", 1, date(2024, 11, 2), 1, 2001, True, Decimal(1))], stream.schema))
+    clear, rest = orders._screened(late)
+    held = sum(r[5] for r in rows if r[3] == 1 and r[4] == "APLICACAO")
+    assert {(r.ordem, r._k, r._q) for r in rest.collect()} == {(None, 0, held), (2000, 1, 10**7), (2001, 1, 1), (1000, 1, 5)}
+    closes = spark.createDataFrame([], "classe_id string, data_referencia date, versao long, valor_cota decimal(28,12)")
+    more = spark.createDataFrame([(2000, date(2024, 11, 1), "c", 1, "RESGATE", Decimal(10**7), None), (2001, date(2024, 11, 2), "c", 1, "RESGATE", Decimal(1), None)], ORDERS)
+    got = {r.ordem: (r.aceito, r.saldo_cotas) for r in orders.process_orders(df.unionByName(more), closes).collect()}
+    assert got[2000] == (False, held) and got[2001] == (True, held - 1) and got[1000] == (True, held - 6)
