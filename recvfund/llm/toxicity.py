@@ -9,7 +9,7 @@ reporting words lower it, direct address raises it. The score is the logistic of
 
 Edge cases: a null or empty text has no hits and scores the prior; without labelled rows of both kinds the lexicon is
 empty and every score is the prior; repeated words in a text count once per term; repeated rows get the same score;
-repeated labels of one id count once, toxic if any is; an empty table gives an empty result. Only text enters a score.
+repeated labels of one id count once, toxic if any is; a label other than 0 and 1 counts as none; an empty table gives an empty result. Only text enters a score.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import kept, text_of
 
-#: Bound of the labelled sample that is learned from, and of the lexicon.
-MAX_LABELLED, MAX_TERMS = 20_000, 3000
+#: Bound of the labelled sample that is learned from; it also bounds the terms.
+MAX_LABELLED = 20_000
 STEMS = (4, 5, 6)
 MIN_DOCS, MIN_RATIO, MIN_G2, SMOOTH = 2, 4.0, 8.0, 4.0  # of a candidate term
 PENALTY, ROUNDS, LEAST_WEIGHT = 0.5, 400, 0.05  # of the regression that picks terms among the candidates
@@ -190,7 +190,7 @@ class Model:
 def features(text: str) -> set[tuple[str, int]]:
     """The words of a text (kind 0) and their beginnings (kind: their length)."""
     words = {bare(w) for w in set(tokens(text))} - {""}
-    return {(w, 0) for w in words if len(w) <= 40} | {(w[:k], k) for w in words for k in STEMS if len(w) > k}
+    return {(w, 0) for w in words} | {(w[:k], k) for w in words for k in STEMS if len(w) > k}
 
 
 def regression(rows: list, y: np.ndarray, n_terms: int) -> np.ndarray:
@@ -221,7 +221,7 @@ def ratio(pos: float, neg: float, n_pos: float, n_neg: float) -> float:
 
 def _training(docs: DataFrame, labels: DataFrame, max_labelled: int) -> DataFrame:
     """``doc_id, toxic, text`` of up to ``max_labelled`` labelled documents that are not held out."""
-    known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(~held_out(F.col("doc_id")))
+    known = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(~held_out(F.col("doc_id")))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     return docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
@@ -230,7 +230,7 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_terms: int = MAX_TERMS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
     """Learned from the bounded sample; the driver sees the lexicon's counts only."""
     rows = kept(_training(docs, labels, max_labelled))
     sums = rows.agg(F.coalesce(F.sum(F.col("toxic").cast("int")), F.lit(0)).alias("p"), F.count(F.lit(1)).alias("n")).first()
@@ -252,7 +252,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     n = F.col("p") + F.col("q")
     g2 = 2 * (F.col("p") * F.log(F.col("p") / (n * base)) + F.when(F.col("q") > 0, F.col("q") * F.log(F.col("q") / (n * (1 - base)))).otherwise(0.0))
     chosen = counts.filter(F.col("p") >= min(MIN_DOCS, n_pos)).filter(rate >= MIN_RATIO).withColumn("g2", g2).filter(F.col("g2") >= MIN_G2)
-    chosen = chosen.orderBy(F.desc("g2"), "kind", "term").limit(max_terms).collect()
+    chosen = sorted(chosen.select("term", "kind", "p", "q", "g2").collect(), key=lambda r: (-r["g2"], r["kind"], r["term"]))  # of a bounded sample
     number = {(r["term"], r["kind"]): i for i, r in enumerate(chosen)}
 
     def incidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
