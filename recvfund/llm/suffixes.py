@@ -280,7 +280,8 @@ def repeated_spans(docs: DataFrame, shard_bytes: int = SHARD_BYTES, part_bytes:
     texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), text_of().alias("text")).filter(size >= LENGTH).withColumn("h", F.xxhash64("text"))
     runs = stored(texts.select("doc_id", "h", "text").mapInPandas(_runs, RUNS))
     anchors = runs.groupBy("m").agg(F.count(F.lit(1)).alias("all"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.max("many").alias("any_many")).filter("all > 1 or any_many")
-    anchors = anchors.select(F.col("m").alias("of_m"), ((F.col("all") > 1) & (F.col("c0") == F.col("c1"))).alias("whole"))
+    # written, so that the join's tasks hold nothing but the join and Spark can split a hot anchor's runs
+    anchors = stored(anchors.select(F.col("m").alias("of_m"), ((F.col("all") > 1) & (F.col("c0") == F.col("c1"))).alias("whole")))
     near = stored(runs.join(anchors, F.col("m") == F.col("of_m")).drop("of_m"))
     whole = lambda df: df.select("h", "n", F.col("lo").alias("start"), (F.col("hi") + LENGTH).alias("end"))
     spans = whole(near.filter("whole"))
@@ -308,7 +309,7 @@ def repeated_spans(docs: DataFrame, shard_bytes: int = SHARD_BYTES, part_bytes:
     return spans
 
 
-DIGEST = "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+DIGEST = "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed_share double, has_repeat boolean"
 
 
 def merge_spans(spans) -> list[tuple[int, int]]:
@@ -331,15 +332,16 @@ def _digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for a, b in [*cut, (len(raw), len(raw))]:
                 sha.update(raw[at:a])
                 at = b
-            out.append((doc_id, len(raw), sum(b - a for a, b in cut), len(cut), sha.hexdigest()))
-        yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            removed = sum(b - a for a, b in cut)
+            out.append((doc_id, len(raw), removed, len(cut), sha.hexdigest(), removed / max(1, len(raw)), removed > 0))
+        yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed_share", "has_repeat"])
 
 
 def suffix_dedup(docs: DataFrame, shard_bytes: int = SHARD_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
-    """Per document: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of the bytes that stay."""
+    """Per document: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of the bytes that stay; ``removed_share`` of its bytes, ``has_repeat``."""
     texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), text_of().alias("text"))  # pandas would make null ids floats
     size = F.octet_length("text").cast("long")
-    short = texts.filter(size < LENGTH).select("doc_id", size.alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
+    short = texts.filter(size < LENGTH).select("doc_id", size.alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), F.lit(0.0).alias("removed_share"), F.lit(False).alias("has_repeat"))
     spans = repeated_spans(docs, shard_bytes, part_bytes).groupBy("h", "n").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     spans = stored(spans.select(F.col("h").alias("of_h"), F.col("n").alias("of_n"), "spans"))
     long = texts.filter(size >= LENGTH).withColumn("h", F.xxhash64("text"))
