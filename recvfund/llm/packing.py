@@ -94,7 +94,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS
     sized = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(text_of()).alias("words"), F.xxhash64(plain).alias("cluster"), *([text_of().alias("text")] if with_text else []))
     sized = sized.filter("words > 0")
     sized = sized if with_text else kept(sized)
-    shards = max(1, -(-(docs if with_text else sized).count() // shard_rows))
+    n_pieces = sized.agg(F.coalesce(F.sum(F.ceil(F.col("words") / capacity)), F.lit(0)).alias("n")).first()["n"]  # groups hold pieces, not documents
+    shards = max(1, -(-n_pieces // shard_rows))
     if with_text:
         texts = F.when(F.col("words") <= capacity, F.array("text")).otherwise(F.regexp_extract_all("text", F.lit(_piece_pattern(capacity))))
         pieces = sized.select(*[c for c in sized.columns if c != "text"], F.posexplode(texts).alias("piece", "text"))
