@@ -43,6 +43,15 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """Names like the wanted ones that none of ``columns`` has in any case (Spark does not tell cases apart), nor one another."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        out.append(next(n for i in range(len(taken) + 1) if (n := f"{name}{i or ''}").lower() not in taken))
+        taken.add(out[-1].lower())
+    return out
+
+
 def n_shards(df: DataFrame, rows_each: int) -> int:
     """How many shards of about ``rows_each`` rows hold ``df``."""
     return max(1, -(-df.count() // rows_each))

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import free_names, text_of
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -200,5 +200,5 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep."""
-    name = next(f"q{i or ''}" for i in range(len(docs.columns) + 1) if f"q{i or ''}" not in docs.columns)
+    (name,) = free_names(docs.columns, "q")
     return judged(docs, fit_forest(docs, labels), name).filter(F.col(name)["kept"]).select(*docs.columns)

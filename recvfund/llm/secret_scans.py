@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import free_names, text_of
 
 KINDS = ("assign", "access", "hex", "entropy")
 _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -84,13 +84,17 @@ def find_spans(text: str) -> list[tuple[int, int, int]]:
     """All spans, base and entropy, by start and kind."""
     base = base_spans(text)
     more = []
+    at, reach = 0, -1  # base spans that begin no later than the span at hand, and how far they reach
     for m in _CANDIDATE.finditer(text):
         s = m.group()
         if ALLOW.fullmatch(s):
             continue
         for a, b in entropy_spans(s, _limit(s)):
             a, b = a + m.start(), b + m.start()
-            if not any(x <= a and b <= y for x, _, y in base):
+            while at < len(base) and base[at][0] <= a:  # entropy spans come by start
+                reach = max(reach, base[at][2])
+                at += 1
+            if b > reach:
                 more.append((a, 3, b))
     return sorted(base + more) if more else base
 
@@ -145,7 +149,7 @@ def redacted(text: Column) -> Column:
 
 def without_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` with the secrets in ``text`` replaced; ``n_chars``, if there, follows a text that changed."""
-    name = next(f"new{i or ''}" for i in range(len(docs.columns) + 1) if f"new{i or ''}" not in docs.columns)
+    (name,) = free_names(docs.columns, "new")
     rows = docs.withColumn(name, redacted(F.col("text").cast("string")))
     if "n_chars" in docs.columns:
         changed = F.length("text").cast("long") != F.length(name)

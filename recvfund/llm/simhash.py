@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import kept, text_of
+from .common import free_names, kept, text_of
 from .components import components
 
 SHINGLE = 3
@@ -149,9 +149,8 @@ def deduplicated(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BI
     a, b = F.xxhash64("doc_id", "text"), F.xxhash64(F.lit("second"), "text", "doc_id")  # 128 bits name a row
     prints = kept(docs.select("doc_id", a.alias("a"), b.alias("b"), fingerprint_of(text_of(), shingle).alias("fp")))
     groups = _grouped(prints.select("fp", _who(F.col("a"), F.col("b")).alias("who")), max_bits, bucket)
-    stay = groups.select(F.struct(F.col("first.a"), F.col("first.b")).alias("stay_row")).distinct()
-    name = next(f"row{i or ''}" for i in range(len(docs.columns) + 1) if f"row{i or ''}" not in docs.columns)
-    rows = docs.withColumn(name, F.struct(a.alias("a"), b.alias("b"))).join(stay, F.col(name) == F.col("stay_row"))
-    nth = f"{name}_nth"
+    name, nth, stay_row = free_names(docs.columns, "row", "row_nth", "stay_row")
+    stay = groups.select(F.struct(F.col("first.a"), F.col("first.b")).alias(stay_row)).distinct()
+    rows = docs.withColumn(name, F.struct(a.alias("a"), b.alias("b"))).join(stay, F.col(name) == F.col(stay_row))
     one = rows.withColumn(nth, F.row_number().over(Window.partitionBy(name).orderBy(F.lit(0)))).filter(F.col(nth) == 1)  # of equal rows
     return one.select(*docs.columns)
