@@ -19,7 +19,7 @@ def make_docs(spark):
         if extra:
             from pyspark.sql import functions as F
 
-            for c in ("size", "words", "q", "fp", "cut", "new", "row", "h", "n", "key", "shard", "score", "held_out", "piece"):
+            for c in ("size", "words", "q", "fp", "cut", "new", "row", "h", "n", "key", "shard", "score", "held_out", "piece", "row_nth", "stay_row", "nth", "New1", "Q1", "CUT1", "Row1"):
                 df = df.withColumn(c, F.lit(c))
         return df
 

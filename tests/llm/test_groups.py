@@ -376,3 +376,62 @@ def test_toxicity_held_out(make_docs, spark):
     assert np.mean([r.predicted == (r.doc_id % 4 == 0) for r in held]) > 0.95
     none = toxicity.toxicity(make_docs(rows[:5]), table.limit(0)).collect()
     assert len({r.score for r in none}) == 1 and toxicity.toxicity(make_docs([]), table).count() == 0
+
+
+def test_mix_of_rows_without_ids(spark):
+    """A third of all rows has no id and one size: the budget ends inside them, and exactly that many are taken."""
+    rows = [(None, "w " * 10, "a") for _ in range(2000)] + [(i, "v " * (1 + i % 7), "b") for i in range(500)] + [(i, "u " * 9, "c") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    size = {"a": 20_000, "b": sum(1 + i % 7 for i in range(500)), "c": 360}
+    target = plain_targets(size)
+    for ranges in (5000, 50):
+        got = mixing.mix(docs, rows_per_range=ranges).groupBy("source").agg({"taken": "sum"}).collect()
+        assert {r[0]: r[1] for r in got} == {s: int(t) for s, t in target.items()}
+        out = mixing.mixed(docs, rows_per_range=ranges).groupBy("source").count().collect()
+        stay = {r[0]: r[1] for r in out}
+        assert stay["a"] == -(-int(target["a"]) // 10) and 0 <= 9 * stay["c"] - int(target["c"]) < 9
+    same = mixing.mixed(docs).collect()
+    assert sorted(map(repr, same)) == sorted(map(repr, mixing.mixed(docs).collect()))
+
+
+def test_stages_leave_clashing_columns_alone(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    names = ["ROW", "row_nth", "Stay_Row", "New", "Q", "CUT", "Nth", "part", "At", "OF", "its_source", "End", "left"]
+    docs = spark.createDataFrame([(i, prose(rng, 40), "en", "abc"[i % 3], 1) for i in range(60)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.selectExpr("*", *[f"concat('{n}', doc_id) as `{n}`" for n in names]).selectExpr("*", "named_struct('a', doc_id) as s")
+    labels = spark.createDataFrame([(i, int(i % 5 > 0), 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        for r in out.collect():
+            assert all(r[n] == f"{n}{r.doc_id}" for n in names) and r.s.a == r.doc_id
+
+
+def test_toxic_labels_other_than_0_and_1_count_as_none(spark):
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(i, prose(rng, 20) + (" vilewordish" if i % 2 else ""), "a") for i in range(200)], "doc_id long, text string, source string")
+    good = [(i, 1, i % 2) for i in range(150)]
+    odd = [(i, 1, 2) for i in range(150, 200)] + [(3, 1, -1), (4, 0, 7)]
+    labels = lambda rows: spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+    key = lambda df: sorted(map(repr, df.collect()))
+    assert key(toxicity.toxicity(docs, labels(good + odd))) == key(toxicity.toxicity(docs, labels(good)))
+
+
+def test_long_terms_are_learned(spark):
+    long = "gr" + "u" * 60 + "bbel"
+    docs = spark.createDataFrame([(i, f"plain words {i} " + (long if i % 2 else ""), "a") for i in range(200)], "doc_id long, text string, source string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, 1, i % 2) for i in range(200)], "doc_id long, quality int, toxic int"))
+    assert any(t in long for t in [*model.lexicon.words, *model.lexicon.stems])
+
+
+def test_shards_hold_pieces_not_documents(make_docs):
+    rows = [(i, "w " * 102_400, f"s{i}") for i in range(4)]
+    for with_text in (False, True):
+        out = packing.pack(make_docs(rows), shard_rows=20, with_text=with_text).select("bin_id", "doc_id", "piece").collect()
+        shards = defaultdict(int)
+        for r in out:
+            shards[r.bin_id.split("-")[0]] += 1
+        assert len(out) == 200 and len(shards) >= 8 and max(shards.values()) <= 50

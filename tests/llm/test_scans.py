@@ -1,6 +1,7 @@
 """Licence, secret, quality and URL operators against plain versions."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -9,6 +10,8 @@ import pytest
 
 from recvfund.llm import licenses, quality, secret_scans, urls
 
+from .conftest import prose
+
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -192,3 +195,34 @@ def test_registered_domain(spark, host, domain, suffix):
 
     d, s = urls.domain_of(F.lit(host))
     assert tuple(spark.range(1).select(d, s).first()) == (domain, suffix)
+
+
+def test_entropy_finds_keys_that_no_base_pattern_covers():
+    rng = random.Random(77)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    found = 0
+    for _ in range(200):
+        key = "".join(rng.choices(alphabet, k=40))
+        text = f"{prose(rng, 30)} {key} {prose(rng, 30)}"
+        assert not [s for s in secret_scans.base_spans(text) if s[0] >= text.index(key) and s[2] <= text.index(key) + 40 and s[1] == 0]
+        spans = [s for s in secret_scans.find_spans(text) if s[1] == 3]
+        found += any(text.index(key) <= a and b <= text.index(key) + 40 for a, _, b in spans)
+    assert found >= 190
+    clean = [s for _ in range(200) for s in secret_scans.find_spans(prose(rng, 120))]
+    assert not clean
+
+
+def test_spans_covered_by_base_ones_are_left_out():
+    rng = random.Random(78)
+    for _ in range(40):
+        parts = [rng.choice(["token = '" + "".join(rng.choices("abcXYZ0189+/", k=50)) + "'", "".join(rng.choices("QWERTYasdfgh0123456789+/zxcvbnm", k=45)), "AKIA" + "A1B2C3D4E5F6G7H8J9K0", prose(rng, 5)]) for _ in range(30)]
+        text = " ".join(parts)
+        base = secret_scans.base_spans(text)
+        plain = []
+        for m in secret_scans._CANDIDATE.finditer(text):
+            if not secret_scans.ALLOW.fullmatch(m.group()):
+                for a, b in secret_scans.entropy_spans(m.group(), secret_scans._limit(m.group())):
+                    a, b = a + m.start(), b + m.start()
+                    if not any(x <= a and b <= y for x, _, y in base):
+                        plain.append((a, 3, b))
+        assert secret_scans.find_spans(text) == sorted(base + plain)
