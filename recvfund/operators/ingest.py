@@ -1,9 +1,9 @@
 """Set-based persistence of a validated batch.
 
 Surrogate ids are deterministic hashes of business keys, so a retried task
-or a re-run batch produces the same ids (never ``uuid()``). Before the
-idempotency anti-join the store is cut to the batch's acquisition months by a
-semi-join on its partition column, which Spark prunes dynamically.
+or a re-run batch produces the same ids (never ``uuid()``). The idempotency
+anti-join takes whatever part of the store the caller hands in: the stream
+reads the batch's acquisition months and key ranges only (``sources.store``).
 """
 
 from __future__ import annotations
@@ -88,16 +88,10 @@ def typed_titles(valid: DataFrame, fundos: DataFrame, classes: DataFrame) -> Dat
 def insert_new(typed: DataFrame, store_keys: DataFrame) -> DataFrame:
     """I4: rows whose (fund, id, acquisition date) is not in the store yet; of a key that comes more than once in the
     batch (in several files), the first line. Keys that repeat are found by a partial aggregate and joined back alone.
-
-    A store that carries its partition column ``mes_aquisicao`` is first cut to the months of the batch, so that only
-    those partitions are read.
     """
     firsts = typed.groupBy(*TITLE_KEY).agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_times"))
     firsts = firsts.where(F.col("_times") > 1).drop("_times")
     one = typed.join(firsts, TITLE_KEY, "left").where(F.col("_first").isNull() | (F.col("_place") == F.col("_first")))
-    if "mes_aquisicao" in store_keys.columns:
-        months = typed.select("mes_aquisicao").distinct()
-        store_keys = store_keys.withColumn("mes_aquisicao", F.col("mes_aquisicao").cast("string")).join(months, "mes_aquisicao", "left_semi")
     return one.join(store_keys.select(*TITLE_KEY), TITLE_KEY, "left_anti").drop("_place", "_first")
 
 

@@ -13,7 +13,10 @@ from ..functions.calendar import build_calendar, date_range
 from ..operators import closing, ingest, ledger, validation
 from ..session import checkpoint_dir, exact_decimals
 from ..sources import fixtures as fx
+from ..sources.boleta_files import write_boleta_files
+from ..sources.store import Store
 from ..sources.tables import Tables
+from ..streaming.ingest_stream import StreamRefs, stream_ingest
 
 # query parameters (one place, shared with the oracle SQL)
 MARK_DATE = "1998-06-30"       # single-date marking / stock report
@@ -136,6 +139,23 @@ class Ctx:
         """The stored staging table: the batch with its verdicts, as written by the import."""
         return self.stored("boleta_staging", lambda: self.validated)
 
+    @cached_property
+    def boleta_files(self) -> str:
+        """Folder of the received files: the derived batch as one ';' CSV file per acquisition month."""
+        raw = self.boleta_raw.withColumn("lote", F.concat(F.lit("L"), F.substring("data_aquisicao", 1, 7)))
+        return self.stored_path("boleta_arquivos", lambda path: write_boleta_files(raw, path, "lote"))
+
+    def import_files(self, root: str) -> None:
+        """Run the file stream over the received files into the tables below ``root``."""
+        refs = StreamRefs(self.fundos, self.classes, fx.prior_title_keys(self.titulos), fx.prior_counterparties(self.t, "cedente").select("documento"),
+                          fx.prior_counterparties(self.t, "sacado").select("documento"))
+        stream_ingest(self.spark, self.boleta_files, root, f"{root}-checkpoint", refs).awaitTermination()
+
+    @cached_property
+    def importacao(self) -> Store:
+        """The stored tables of an import of all received files, run once per application."""
+        return Store(self.spark, self.stored_path("importacao", self.import_files))
+
     @cached_property
     def ingest(self) -> "ingest.IngestResult":
         return ingest.ingest(self.staging, self.fundos, self.classes, fx.prior_title_keys(self.titulos),

@@ -7,6 +7,8 @@ here as CTEs. ``with_views(body, *names)`` prepends the CTEs a body needs
 
 from __future__ import annotations
 
+import re
+
 from .. import constants as K
 from ..sources.fixtures import FIXTURE_HOLIDAYS_MMDD
 from .context import MARK_DATE
@@ -234,7 +236,7 @@ from ({_GRID_MARK}) m""", "fx_grid", "fx_titulo_ativo", "fx_calendario", "fx_fai
 
 # --- boleta batch ------------------------------------------------------------------------------
 from .context import LOTE_ID  # noqa: E402
-from ..sources.fixtures import PRIOR_CUTOFF  # noqa: E402
+from ..sources.fixtures import CNPJ_BASE, PRIOR_CUTOFF  # noqa: E402
 
 _view("fx_boleta_raw", ["fx_base"], """
 select
@@ -748,7 +750,7 @@ select lote, count(*) as linhas_total, count(*) filter (where valido) as linhas_
        coalesce(any_value(n), 0) as registros_inseridos, count(*) filter (where valido) - coalesce(any_value(n), 0) as duplicados_ignorados
 from fx_boleta_val_f left join (select lote as l, count(*) as n from fx_titulo_inserido_f group by lote) i on l = lote
 group by lote"""
-SQL["latest_batches"] = with_views(f"{_LOG} order by lote desc limit 100", "fx_boleta_val_f", "fx_titulo_inserido_f")
+SQL["latest_batches"] = with_views(f"select *, true as completo from ({_LOG}) x order by lote desc limit 100", "fx_boleta_val_f", "fx_titulo_inserido_f")
 SQL["overview_batches"] = with_views(
     f"select lote, data_referencia, linhas_aceitas, linhas_rejeitadas from ({_LOG}) x order by lote desc limit 5",
     "fx_boleta_val_f", "fx_titulo_inserido_f")
@@ -993,3 +995,42 @@ select fundo_id, classe_id, data as data_referencia, cast(case when month(data)
        case when pr is not null and coalesce(ant, {_E12}) > 0 then {_fixed(_he(f"(pr - coalesce(ant, {_E12})) * cast(10000000000 as hugeint)", f"coalesce(ant, {_E12})"), 10, 18)} end as rentabilidade_dia,
        qtd_ativos, cast(dias as bigint) as n_du
 from fx_gap where nova""", "fx_gap", recursive=True)
+
+SQL["compacted_titles"] = with_views("""
+select mes_aquisicao, identificador_externo, fundo_id, classe_id, data_aquisicao, valor_face, id from fx_titulo_inserido_f
+where substr(mes_aquisicao, 1, 4) in ('1996', '1998')""", "fx_titulo_inserido_f")
+
+SQL["receivable_status_list"] = with_views("""
+select classe_id, cast(posicao as bigint) as posicao, identificador_externo, data_vencimento, valor_face, situacao
+from (select *, row_number() over (partition by classe_id order by data_vencimento, identificador_externo, data_aquisicao) as posicao
+      from fx_titulo_status where situacao = 'LIQUIDADO') t where posicao <= 200""", "fx_titulo_status")
+
+SQL["close_by_id"] = with_views(f"""
+select * from fx_fechamento where classe_id = '{CNPJ_BASE}|AUTOMOBILE' and data_referencia = date '1998-06-30'""", "fx_fechamento")
+
+# the same closes and report on the imported titles: views of their own, by the name of the title view
+_view("fx_c_caixa", ["fx_cota_movimento", "fx_titulo_inserido_f"], """
+select classe_id, data, cast(case when tipo = 'EMISSAO' then round(quantidade, 2) else -round(quantidade, 2) end as decimal(20,2)) as valor from fx_cota_movimento
+union all
+select classe_id, data_aquisicao, cast(-sum(valor_aquisicao) as decimal(20,2)) from fx_titulo_inserido_f group by classe_id, data_aquisicao""")
+_CHAIN = {"fx_titulo_ativo": "fx_titulo_inserido_f", "fx_movimento_caixa": "fx_c_caixa"}
+
+
+def _chained(name: str) -> str:
+    """The view ``name`` over the imported titles, made from the original and the views it rests on."""
+    if name in _CHAIN:
+        return _CHAIN[name]
+    deps, sql = VIEWS[name]
+    new = {d: _chained(d) for d in deps if d.startswith("fx_")}
+    if all(a == b for a, b in new.items()):
+        return name
+    for a, b in new.items():
+        sql = re.sub(rf"\b{a}\b", b, sql)
+    _CHAIN[name] = name.replace("fx_", "fx_c_")
+    _view(_CHAIN[name], list(new.values()), sql)
+    return _CHAIN[name]
+
+
+_composed = _body("report_composition", "fx_report_close", "fx_grid_mark", "fx_classe", "fx_fundo")
+_names = [_chained(n) for n in ("fx_report_close", "fx_grid_mark")]
+SQL["chain_report"] = with_views(re.sub(r"\bfx_(report_close|grid_mark)\b", r"fx_c_\1", _composed), *_names, "fx_classe", "fx_fundo")

@@ -6,6 +6,7 @@ BIGINT, money as DECIMAL(20,2), units/prices as DECIMAL(28,12)).
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,10 +17,10 @@ from ..functions.calendar import with_business_days
 from ..functions.params import param_asof, with_pdd_pct
 from .. import constants as K
 from ..operators import access, closing, ingest, ledger, orders, registry, replay, report, valuation, validation
-from ..session import work_dir
+from ..session import staged, work_dir
 from ..sources import fixtures as fx
-from ..sources.boleta_files import read_boletas, write_boleta_files
-from ..streaming.ingest_stream import StreamRefs, stream_ingest
+from ..sources.boleta_files import read_boletas
+from ..sources.store import Store
 from .context import MARK_DATE, POSITION_DATE, REPORT_DATE, Ctx
 
 MONEY = T.DecimalType(20, 2)
@@ -328,13 +329,6 @@ def q_permission_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- files and streams ------------------------------------------------------------------------------
 
-def _write_monthly_files(c: Ctx) -> str:
-    """The received files: the derived boleta batch as one ';' CSV file per acquisition
-    month, written once per application (like the other stored inputs)."""
-    raw = c.boleta_raw.withColumn("lote", F.concat(F.lit("L"), F.substring("data_aquisicao", 1, 7)))
-    return c.stored_path("boleta_arquivos", lambda path: write_boleta_files(raw, path, "lote"))
-
-
 def _lote_from_path() -> F.Column:
     return F.regexp_extract(F.col("arquivo"), r"lote=([^/]+)/", 1)
 
@@ -342,49 +336,78 @@ def _lote_from_path() -> F.Column:
 def q_boleta_csv_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S1/S2/S6 + V1-V20: read many CSV files, number lines per file, validate each file."""
     c = Ctx(spark, sf_dir)
-    df = read_boletas(spark, _write_monthly_files(c))
+    df = read_boletas(spark, c.boleta_files)
     v = validation.validate(validation.normalize(df), c.fundos, c.classes, file_key="arquivo")
     return v.withColumn("lote", _lote_from_path()).select(
         "lote", "linha_numero", *K.BOLETA_COLUMNS, "valido", "motivo_rejeicao")
 
 
 def q_stream_title_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The monthly files ingested by a file stream (availableNow); titles it inserted."""
-    c = Ctx(spark, sf_dir)
-    src = _write_monthly_files(c)
-    root = work_dir(spark, "stream")
-    refs = StreamRefs(c.fundos, c.classes, fx.prior_title_keys(c.titulos),
-                      fx.prior_counterparties(c.t, "cedente").select("documento"),
-                      fx.prior_counterparties(c.t, "sacado").select("documento"))
-    q = stream_ingest(spark, src, f"{root}/saida", f"{root}/checkpoint", refs)
-    q.awaitTermination()
-    titles = spark.read.parquet(f"{root}/saida/direito_creditorio")
-    staging = spark.read.parquet(f"{root}/saida/boleta_staging").select("lote_id", "arquivo").distinct()
-    return _longs(titles.join(staging, "lote_id").withColumn("lote", _lote_from_path()).select(
+    """The monthly files ingested by a file stream (availableNow); the titles of its logged batches."""
+    c = Ctx(spark, sf_dir)
+    store = Store(spark, f"{work_dir(spark, 'stream')}/saida")
+    c.import_files(store.root)
+    files = store.log().select("lote_id", "arquivo")
+    return _longs(store.titles().join(files, "lote_id").withColumn("lote", _lote_from_path()).select(
         "lote", "id", "data_aquisicao", "fundo_id", "classe_id", "cedente_id", "sacado_id", "identificador_externo",
         "tipo_ativo", "numero_titulo", "numero_parcela", "total_parcelas", "data_emissao", "data_vencimento",
         "valor_face", "valor_aquisicao", "taxa_desconto_aa", "indexador", "percentual_indexador", "coobrigacao",
-        "conta_liquidacao", "situacao", F.col("mes_aquisicao").cast("string").alias("mes_aquisicao")))
+        "conta_liquidacao", "situacao", "mes_aquisicao"))
 
 
 def q_latest_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batch log of the monthly files (one batch per file), newest 100."""
-    c = Ctx(spark, sf_dir)
-    raw = c.boleta_raw.withColumn("lote", F.concat(F.lit("L"), F.substring("data_aquisicao", 1, 7)))
-    # duplicate scope is the file; first occurrence by global line = first by per-file line
-    v = validation.validate(validation.normalize(raw.withColumn("lote_id", F.col("lote"))), c.fundos, c.classes, file_key="lote")
-    r = ingest.ingest(v, c.fundos, c.classes, fx.prior_title_keys(c.titulos), fx.prior_counterparties(c.t, "cedente"),
-                      fx.prior_counterparties(c.t, "sacado"))
-    log = ingest.batch_log(v, r.titles, "lote")
-    return ingest.latest_batches(log, 100, newest_first="lote", tie="lote")
+    """The stored batch log of the imported files (one batch per file), newest 100 by file; whether each row has its
+    file's hash and times in order (their values are this run's own)."""
+    log = Ctx(spark, sf_dir).importacao.log().withColumn("lote", _lote_from_path())
+    done = (F.length("arquivo_hash") == 64) & (F.col("iniciado_em") <= F.col("concluido_em"))
+    return ingest.latest_batches(log, 100, newest_first="lote", tie="lote").select(
+        "lote", "linhas_total", "linhas_aceitas", "linhas_rejeitadas", "data_referencia", "fundo_cnpj", "registros_inseridos", "duplicados_ignorados", done.alias("completo"))
 
 
 def q_overview_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """the five newest batches."""
+    """the five newest batches of the stored log."""
     return ingest.latest_batches(q_latest_batches(spark, sf_dir), 5, newest_first="lote", tie="lote").select(
         "lote", "data_referencia", "linhas_aceitas", "linhas_rejeitadas")
 
 
+def q_compacted_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An import whose first half of months is compacted (the first quarter twice), read month by month for two years."""
+    c = Ctx(spark, sf_dir)
+    store = Store(spark, f"{work_dir(spark, 'compact')}/saida")
+    c.import_files(store.root)
+    months = sorted(r["m"] for r in store.titles().select(F.col("mes_aquisicao").alias("m")).distinct().collect())  # a row a month
+    store.compact(months[: len(months) // 2])
+    store.compact(months[: len(months) // 4])
+    rows = store.titles(months=[f"{y}{m:02d}" for y in (1996, 1998) for m in range(1, 13)])
+    return rows.select("mes_aquisicao", "identificador_externo", "fundo_id", "classe_id", "data_aquisicao", "valor_face", "id")
+
+
+def q_chain_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files to report in one chain: the titles and acquisition debits that the import stored (titles acquired by the report
+    date are read by month), with the investors' money, closed at every month end, and the report on top of these closes."""
+    c = Ctx(spark, sf_dir)
+    titles = c.importacao.titles(until=REPORT_DATE)
+    money = c.movimento_caixa.where(F.col("tipo").isin("APORTE", "RESGATE")).select("classe_id", "data", "valor")
+    cash = money.unionByName(c.importacao.cash().select("classe_id", "data", "valor"))
+    grid = c.grid.where(F.col("data") <= F.lit(REPORT_DATE).cast("date"))
+    inputs = closing.close_inputs(grid, titles, cash, c.cota_movimento, c.params, c.calendar, c.bands)
+    closes = staged(closing.close_grid(inputs, c.calendar), "chain-closes")  # read three times by the report
+    return report.composition(closes, REPORT_DATE, titles, c.calendar, c.bands, c.fundos, c.classes)
+
+
+def q_receivable_status_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First 200 settled receivables by maturity per class."""
+    r = valuation.receivable_list(Ctx(spark, sf_dir).titulos_status, "LIQUIDADO", 200)
+    return r.select("classe_id", F.col("posicao").cast("long").alias("posicao"), "identificador_externo", "data_vencimento", "valor_face", "situacao")
+
+
+def q_close_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """one close, asked for by its id."""
+    c = Ctx(spark, sf_dir)
+    asked = hashlib.sha256(f"{fx.CNPJ_BASE}|AUTOMOBILE|1998-06-30|1".encode()).hexdigest()
+    return closing.get_close(c.closes, asked)
+
+
 def q_overview_closes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """the eight newest closes of every class."""
     return closing.recent_closes(Ctx(spark, sf_dir).closes)
@@ -519,6 +542,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_title_insert": q_stream_title_insert,
     "latest_batches": q_latest_batches,
     "overview_batches": q_overview_batches,
+    "compacted_titles": q_compacted_titles,
+    "chain_report": q_chain_report,
+    "receivable_status_list": q_receivable_status_list,
+    "close_by_id": q_close_by_id,
     "overview_closes": q_overview_closes,
     "report_export": q_report_export,
     "chain_stock": q_chain_stock,

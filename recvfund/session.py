@@ -73,6 +73,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether the file system that ``path`` names has it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for written tables, under the shared checkpoint folder."""
     import uuid

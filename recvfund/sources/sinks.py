@@ -35,9 +35,9 @@ def write_staging(validated: DataFrame, path: str) -> None:
 
 
 def write_titles(titles: DataFrame, path: str) -> None:
-    """Receivables by acquisition month (``mes_aquisicao``), sorted by class inside."""
+    """Receivables by acquisition month (``mes_aquisicao``), sorted by fund and external id inside, so that ranges of ids prune."""
     t = titles if "mes_aquisicao" in titles.columns else titles.withColumn("mes_aquisicao", month_of(F.col("data_aquisicao")))
-    write_partitioned(t, path, ["mes_aquisicao", "lote_id"], sort=["classe_id"])
+    write_partitioned(t, path, ["mes_aquisicao", "lote_id"], sort=["fundo_id", "identificador_externo"])
 
 
 def write_ingest(result: IngestResult, root: str, lote_id: str, with_staging: bool = True) -> None:
@@ -47,9 +47,18 @@ def write_ingest(result: IngestResult, root: str, lote_id: str, with_staging: bo
     if with_staging:
         write_staging(result.staging, f"{root}/boleta_staging")
     write_titles(result.titles, f"{root}/direito_creditorio")
-    write_partitioned(result.cash.withColumn("mes", month_of(F.col("data"))), f"{root}/movimento_caixa", ["mes", "lote_id"])
-    parties = result.cedentes.unionByName(result.sacados).withColumn("lote_id", F.lit(lote_id))
-    write_partitioned(parties, f"{root}/contraparte", ["papel", "lote_id"])
+    write_cash(result.cash, root)
+    write_parties(result.cedentes.unionByName(result.sacados), root, lote_id)
+
+
+def write_cash(cash: DataFrame, root: str) -> None:
+    """Cash movements by month and batch."""
+    write_partitioned(cash.withColumn("mes", month_of(F.col("data"))), f"{root}/movimento_caixa", ["mes", "lote_id"])
+
+
+def write_parties(parties: DataFrame, root: str, lote_id: str) -> None:
+    """New counterparties by role and batch, sorted by document, so that ranges of documents prune."""
+    write_partitioned(parties.withColumn("lote_id", F.lit(lote_id)), f"{root}/contraparte", ["papel", "lote_id"], sort=["documento"])
 
 
 def export_report_csv(lines: DataFrame, root: str) -> None:

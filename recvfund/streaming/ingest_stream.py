@@ -7,7 +7,8 @@ Outputs are partitioned by ``lote_id`` and written with dynamic partition
 overwrite, so a micro-batch replayed after a failure rewrites the same
 partitions: the sink is idempotent and the checkpoint gives exactly-once
 effects. Staging is written first and read back, so every later step of the
-batch reads the stored lines instead of the files.
+batch reads the stored lines instead of the files. The batch log comes last, and
+readers see the rows of logged batches only (``sources.store``).
 """
 
 from __future__ import annotations
@@ -15,8 +16,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -26,6 +26,7 @@ from ..functions.rows import with_file_line_number
 from ..operators import ingest, validation
 from ..sources import sinks
 from ..sources.boleta_files import CSV_OPTIONS, file_hashes
+from ..sources.store import Store
 
 BOLETA_SCHEMA = T.StructType([T.StructField(c, T.StringType(), True) for c in K.BOLETA_COLUMNS])
 
@@ -39,67 +40,83 @@ class StreamRefs:
     prior_sacados: DataFrame   # documento
 
 
-def _read_table(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table, or None before its first batch; any other fault of the storage is raised."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
+def _more(prior: DataFrame, stored: DataFrame | None, columns: list[str]) -> DataFrame:
+    return prior.select(*columns) if stored is None else prior.select(*columns).unionByName(stored.select(*columns))
 
 
 def ingest_files(batch: DataFrame, batch_id: int, out_root: str, refs: StreamRefs) -> None:
-    """One micro-batch: number lines per file, validate, ingest, write; the batch log row of each file comes last."""
-    spark = batch.sparkSession
+    """One micro-batch: number lines per file, validate, ingest, write; the batch log rows of its files come last.
+
+    What the batch needs of the store is known once its lines are staged: its own batch ids, its acquisition months, the ranges of its
+    external ids and documents. They stand in the plans as literals, so a micro-batch reads its own staging
+    folders, the months that it touches and the row groups that may hold its keys, however long the history is.
+    """
+    spark, store = batch.sparkSession, Store(batch.sparkSession, out_root)
     started = datetime.now(timezone.utc)
     raw = with_file_line_number(batch, "linha_numero", start=2).withColumn("lote_id", F.sha2(F.col("arquivo"), 256))
+    files = {r["lote_id"]: r["arquivo"] for r in raw.select("lote_id", "arquivo").distinct().collect()}  # no more than a trigger takes
+    if not files:
+        return
+    own = sorted(files)
     validated = validation.validate(validation.normalize(raw), refs.fundos, refs.classes, file_key="arquivo")
-    lotes = raw.select("lote_id", "arquivo").distinct().checkpoint()  # a row a file
-    sinks.write_staging(validated, f"{out_root}/boleta_staging")
-    staged = spark.read.parquet(f"{out_root}/boleta_staging").join(lotes.select("lote_id"), "lote_id", "left_semi")
-
-    keys, ced, sac = refs.prior_title_keys, refs.prior_cedentes, refs.prior_sacados
-    written = _read_table(spark, f"{out_root}/direito_creditorio")
-    if written is not None:  # earlier batches, excluding this batch's own rows (replay)
-        old = written.join(lotes.select("lote_id"), "lote_id", "left_anti").select(*ingest.TITLE_KEY, "mes_aquisicao")
-        month = ingest.month_of(F.col("data_aquisicao"))
-        keys = keys.withColumn("mes_aquisicao", month).unionByName(old.withColumn("mes_aquisicao", F.col("mes_aquisicao").cast("string")))
-    parties = _read_table(spark, f"{out_root}/contraparte")
-    if parties is not None:
-        old = parties.where(F.col("lote_id") != F.lit(f"stream-{batch_id}"))
-        ced = ced.unionByName(old.where(F.col("papel") == "CEDENTE").select("documento"))
-        sac = sac.unionByName(old.where(F.col("papel") == "SACADO").select("documento"))
-
-    result = ingest.ingest(staged, refs.fundos, refs.classes, keys, ced, sac)
-    sinks.write_ingest(result, out_root, f"stream-{batch_id}", with_staging=False)
-    log = batch_log(spark, staged, lotes, out_root, started).withColumn("batch_id", F.lit(batch_id))
-    sinks.write_partitioned(log, f"{out_root}/lote_importacao", ["lote_id"])  # written last: makes the batch visible
-
-
-def batch_log(spark: SparkSession, staged: DataFrame, lotes: DataFrame, out_root: str, started: datetime) -> DataFrame:
+    read = Observation()
+    sinks.write_staging(validated.observe(read, F.count(F.lit(1)).alias("linhas"), F.count_if("valido").alias("aceitas"), F.count_if(~F.col("valido")).alias("rejeitadas")),
+                        f"{out_root}/boleta_staging")
+    progress(spark, out_root, batch_id, "validado", len(own), read.get)
+    staged = store.lines_of(own)
+
+    ends = {c: (F.min(c), F.max(c)) for c in ("identificador_externo", "cedente_documento", "sacado_documento")}
+    month = F.substring(F.regexp_replace("data_aquisicao", "-", ""), 1, 6)  # of valid lines: ISO dates
+    span = staged.where("valido").agg(F.collect_set(month).alias("meses"), *[f.alias(f"{c}_{i}") for c, fs in ends.items() for i, f in enumerate(fs)]).first()
+    reach = {c: (span[f"{c}_0"] or "", span[f"{c}_1"] or "") for c in ends}
+    titles = store.titles(months=span["meses"], ids=reach["identificador_externo"])
+    if titles is not None:  # of earlier batches: a replayed one does not meet its own rows
+        titles = titles.where(~F.col("lote_id").isin(own))
+    parties = {r: store.parties(r, reach[f"{r}_documento"]) for r in ("cedente", "sacado")}
+    other = F.col("lote_id") != F.lit(f"stream-{batch_id}")
+    parties = {r: None if p is None else p.where(other) for r, p in parties.items()}
+
+    result = ingest.ingest(staged, refs.fundos, refs.classes, _more(refs.prior_title_keys, titles, ingest.TITLE_KEY),
+                           _more(refs.prior_cedentes, parties["cedente"], ["documento"]), _more(refs.prior_sacados, parties["sacado"], ["documento"]))
+    new = Observation()
+    sinks.write_titles(result.titles.observe(new, F.count(F.lit(1)).alias("inseridas")), f"{out_root}/direito_creditorio")
+    progress(spark, out_root, batch_id, "inserido", len(own), {**read.get, **new.get})
+    # what was written is read back: the search for existing titles is done once
+    written = store.titles_of(own, span["meses"])
+    written = result.titles.limit(0) if written is None else written
+    sinks.write_cash(ingest.acquisition_cash(written), out_root)
+    sinks.write_parties(result.cedentes.unionByName(result.sacados), out_root, f"stream-{batch_id}")
+    log = batch_log(spark, staged, written, list(files.values()), started).withColumn("batch_id", F.lit(batch_id))
+    sinks.write_partitioned(log.coalesce(1), f"{out_root}/lote_importacao", ["batch_id"])  # written last: makes the batch visible
+
+
+def batch_log(spark: SparkSession, staged: DataFrame, written: DataFrame, files: list[str], started: datetime) -> DataFrame:
     """Per file its summary, inserted and ignored rows, the hash of its bytes, start and end."""
-    files = [r["arquivo"] for r in lotes.select("arquivo").collect()]  # no more than a trigger takes
-    titles = _read_table(spark, f"{out_root}/direito_creditorio")
-    log = validation.batch_summary(staged, ["lote_id", "arquivo"])
-    if titles is not None:
-        log = log.join(titles.join(lotes.select("lote_id"), "lote_id", "left_semi").groupBy("lote_id").agg(F.count(F.lit(1)).alias("n")), "lote_id", "left")
-    else:
-        log = log.withColumn("n", F.lit(0))
+    n = written.groupBy("lote_id").agg(F.count(F.lit(1)).alias("n"))
+    log = validation.batch_summary(staged, ["lote_id", "arquivo"]).join(n, "lote_id", "left")
     done = F.coalesce("n", F.lit(0))
     log = log.withColumns({"registros_inseridos": done, "duplicados_ignorados": F.col("linhas_aceitas") - done}).drop("n")
-    log = log.join(file_hashes(spark, files).select("arquivo", "arquivo_hash"), "arquivo", "left") if files else log.withColumn("arquivo_hash", F.lit(None).cast("string"))
+    log = log.join(file_hashes(spark, files).select("arquivo", "arquivo_hash"), "arquivo", "left")
     return log.withColumns({"iniciado_em": F.lit(started), "concluido_em": F.current_timestamp()})
 
 
+PROGRESS = "arquivos long, linhas long, aceitas long, rejeitadas long, inseridas long, ocorrido_em timestamp, batch_id long, etapa string"
+
+
+def progress(spark: SparkSession, out_root: str, batch_id: int, step: str, n_files: int, seen: dict[str, int]) -> None:
+    """How far a micro-batch has come, with what its writes observed (no job of its own reads the data again)."""
+    row = (n_files, seen.get("linhas"), seen.get("aceitas"), seen.get("rejeitadas"), seen.get("inseridas"), datetime.now(timezone.utc), batch_id, step)
+    sinks.write_partitioned(spark.createDataFrame([row], PROGRESS), f"{out_root}/progresso", ["batch_id", "etapa"])
+
+
 def stream_ingest(spark: SparkSession, src_dir: str, out_root: str, checkpoint: str, refs: StreamRefs,
-                  available_now: bool = True, max_files_per_trigger: int | None = 1000) -> StreamingQuery:
+                  available_now: bool = True, max_files_per_trigger: int = 1000) -> StreamingQuery:
+    """Start the import; a trigger takes ``max_files_per_trigger`` files at most, as their names reach the driver."""
     reader = spark.readStream.schema(BOLETA_SCHEMA)
     for k, v in CSV_OPTIONS.items():
         if k != "inferSchema":
             reader = reader.option(k, v)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     src = reader.csv(src_dir).select("*", "_metadata")
     writer = (
         src.writeStream.foreachBatch(lambda df, bid: ingest_files(df, bid, out_root, refs))

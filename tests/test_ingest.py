@@ -1,4 +1,5 @@
 from decimal import Decimal
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,8 @@ from recvfund import constants as K
 from recvfund.functions.rows import with_file_line_number, with_row_number
 from recvfund.operators import ingest, validation
 from recvfund.sources.boleta_files import file_hashes, read_boletas
+from recvfund.sources.store import Store
+from recvfund.streaming.ingest_stream import StreamRefs, stream_ingest
 
 HEADER = ";".join(K.BOLETA_COLUMNS)
 ROW1 = ("ACME-2026-000101;12.345.678/0001-90;SENIOR;2026-07-23;DUPLICATA;NF-8842/1;1;3;98765432000121;"
@@ -137,8 +140,6 @@ def test_one_title_in_two_files_is_inserted_once(spark):
 def test_stream_log_has_hash_and_counters(spark, tmp_path):
     import hashlib
 
-    from recvfund.streaming.ingest_stream import StreamRefs, stream_ingest
-
     fundos, classes = dims(spark)
     src = tmp_path / "in"
     src.mkdir()
@@ -154,3 +155,110 @@ def test_stream_log_has_hash_and_counters(spark, tmp_path):
     assert all(r.arquivo_hash == hashlib.sha256((src / k).read_bytes()).hexdigest() and r.iniciado_em <= r.concluido_em for k, r in log.items())
     cash = spark.read.parquet(str(tmp_path / "out" / "movimento_caixa")).collect()
     assert sum(c.valor for c in cash) == Decimal("-19175.60")
+
+
+# --- the store behind the stream ---------------------------------------------------------------------
+
+@pytest.fixture
+def stream(spark, tmp_path):
+    """Import files by name; each call is a run of its own on the same store."""
+    fundos, classes = dims(spark)
+    empty = spark.createDataFrame([], "documento string")
+    refs = StreamRefs(fundos, classes, spark.createDataFrame([], "fundo_id int, identificador_externo string, data_aquisicao date"), empty, empty)
+    (tmp_path / "in").mkdir()
+
+    def run(files, per_trigger=1000):
+        for name, rows in files.items():
+            (tmp_path / "in" / name).write_text("\n".join([HEADER, *rows]) + "\n", encoding="utf-8")
+        stream_ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ckpt"), refs, max_files_per_trigger=per_trigger).awaitTermination()
+        return Store(spark, str(tmp_path / "out"))
+
+    run.refs = refs
+    return run
+
+
+def month_row(i, month, day=17):
+    return ROW1.replace("000101", f"{i:06d}").replace("2026-07-23", f"2026-{month:02d}-{day:02d}")
+
+
+def keys(rows):
+    return sorted((r.identificador_externo, str(r.data_aquisicao)) for r in rows.collect())
+
+
+def test_a_batch_without_its_log_row_is_invisible(spark, stream, monkeypatch):
+    from recvfund.streaming import ingest_stream
+
+    store = stream({"a.csv": [month_row(1, 3), month_row(2, 4)]})
+    before = keys(store.titles())
+    assert len(before) == 2 and store.cash().count() == 2 and store.parties("cedente").count() == 1
+    log = ingest_stream.batch_log
+
+    def stop(*_):
+        raise RuntimeError("stopped before the log")
+
+    monkeypatch.setattr(ingest_stream, "batch_log", stop)
+    with pytest.raises(Exception, match="stopped before the log"):
+        stream({"b.csv": [month_row(3, 3), month_row(1, 3), ROW2.replace("2026-07-23", "2026-03-18")]})
+    raw = spark.read.parquet(f"{store.root}/direito_creditorio")
+    assert raw.count() > 2  # its titles are there ...
+    assert keys(store.titles()) == before and store.lines().count() == 2 and store.cash().count() == 2  # ... and nobody sees them
+    assert store.log().count() == 1
+    monkeypatch.setattr(ingest_stream, "batch_log", log)
+    store = stream({})  # the stream goes on with the batch that stopped
+    assert len(keys(store.titles())) == 4 and store.log().count() == 2
+    counters = {r.arquivo.rsplit("/", 1)[1]: (r.linhas_total, r.registros_inseridos, r.duplicados_ignorados) for r in store.log().collect()}
+    assert counters == {"a.csv": (2, 2, 0), "b.csv": (3, 2, 1)}
+    steps = {(r.batch_id, r.etapa): (r.arquivos, r.linhas, r.aceitas, r.rejeitadas, r.inseridas) for r in spark.read.parquet(f"{store.root}/progresso").collect()}
+    assert steps == {(0, "validado"): (1, 2, 2, 0, None), (0, "inserido"): (1, 2, 2, 0, 2), (1, "validado"): (1, 3, 3, 0, None), (1, "inserido"): (1, 3, 3, 0, 2)}
+
+
+def scan_filters(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return " ".join(line for line in plan.splitlines() if "PartitionFilters" in line)
+
+
+def test_a_micro_batch_reads_its_own_months_and_keys(spark, stream):
+    store = stream({"a.csv": [month_row(i, 1 + i % 6) for i in range(12)]})
+    for rows in (store.titles(months=["202603"], ids=("ACME-2026-000001", "ACME-2026-000005")), store.titles_of(["x", "y"], ["202603"]), store.titles(until="2026-02-20"), store.lines_of(["x"])):
+        filters = scan_filters(rows)
+        assert "mes_aquisicao" in filters.split("PushedFilters")[0] or "lote_id" in filters.split("PushedFilters")[0]
+    plan = scan_filters(store.titles(months=["202603"], ids=("ACME-2026-000001", "ACME-2026-000005")))
+    assert "(mes_aquisicao" in plan and "202603" in plan and "GreaterThanOrEqual(identificador_externo,ACME-2026-000001)" in plan
+    assert keys(store.titles(until="2026-02-20")) == sorted((f"ACME-2026-{i:06d}", f"2026-{1 + i % 6:02d}-17") for i in range(12) if i % 6 < 2)
+    many = [f"{y}{m:02d}" for y in range(1900, 2100) for m in range(1, 13)]
+    assert len(keys(store.titles(months=many))) == 12 and not keys(store.titles(months=[]))
+
+
+def test_compaction_changes_nothing_but_the_files(spark, stream, tmp_path, monkeypatch):
+    from recvfund.sources import sinks
+
+    for n in range(4):
+        store = stream({f"{n}.csv": [month_row(10 * n + i, 1 + i % 3) for i in range(6)]})
+    before = keys(store.titles())
+    files = lambda: sum(1 for _ in Path(store.root, "direito_creditorio").rglob("*.parquet"))
+    assert len(before) == 24 and files() == 12
+    used = len(store.titles(months=["202601", "202602"]).inputFiles())
+    write = sinks.write_partitioned
+
+    def stop(df, path, *a, **k):
+        if path.endswith("compactacao"):
+            raise RuntimeError("stopped before the log")
+        write(df, path, *a, **k)
+
+    monkeypatch.setattr(sinks, "write_partitioned", stop)
+    with pytest.raises(RuntimeError):
+        store.compact(["202601", "202602"])
+    assert keys(store.titles()) == before  # new files, but nobody reads them
+    monkeypatch.setattr(sinks, "write_partitioned", write)
+    assert store.compact(["202601", "202602"]) == 0
+    small = store._raw("titulos_compactos").where("geracao = 0")
+    assert len(small.inputFiles()) == 2 < used and keys(store.titles()) == before
+    store = stream({"later.csv": [month_row(100, 1), month_row(1, 1)], "again.csv": [month_row(0, 1), month_row(3, 1)]})  # old titles come again
+    after = keys(store.titles())
+    assert len(after) == len(set(after)) == 26  # 000100 and 000001 of January are new
+    assert store.compact(["202601"]) == 1 and keys(store.titles()) == after
+    assert keys(store.titles(months=["202601"], ids=("ACME-2026-000100", "ACME-2026-000100"))) == [("ACME-2026-000100", "2026-01-17")]
+    old = store.superseded().collect()
+    assert {(r.mes, r.geracao) for r in old if r.geracao is not None} == {(202601, 0)} and sum(r.geracao is None for r in old) >= 9
+    lotes = {r.lote_id for r in store.titles().collect()}
+    assert lotes == {r.lote_id for r in store.log().where("registros_inseridos > 0").collect()}  # the batch of a row is kept
