@@ -293,6 +293,7 @@ def repeated_spans(docs: DataFrame, shard_bytes: int = SHARD_BYTES, part_bytes:
     length = F.col("hi") - F.col("lo") + LENGTH
     total = contents.agg(F.coalesce(F.sum(length), F.lit(0)).alias("b")).first()["b"]
     big = contents.groupBy("m").agg(F.ceil(F.sum(length) / part_bytes).cast("int").alias("parts")).filter("parts > 1").withColumnRenamed("m", "of_m")
+    big = stored(big)  # few; a join with what is written is one that Spark can broadcast or split
     dealt = contents.join(big, F.col("m") == F.col("of_m"), "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("m", "part"), F.lit(max(1, -(-total // shard_bytes)))))
