@@ -39,8 +39,8 @@ top as (select (coalesce(sum(k), 0) + 0.5) / (coalesce(sum(n), 0) + 1.0) as over
 m_suffix as (select suffix, (k + s_suffix * overall) / (n + s_suffix) as m from suffixes, top, s_suffix),
 m_domain as (select domain, d.suffix, (k + s_domain * m) / (n + s_domain) as m from domains d join m_suffix s on s.suffix = d.suffix, s_domain),
 beta as (select host, k + s_host * m as a, n - k + s_host * (1 - m) as b from hosts h join m_domain d on d.domain = h.domain and d.suffix = h.suffix, s_host),
-known as (select host, a / (a + b) - {urls.Z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > {urls.MAX_BAD_RATE} as bad from beta),
-prior as (select overall - {urls.Z} * sqrt(overall * (1 - overall) / (coalesce((select s_host from s_host), {urls.LEAST_STRENGTH}) + 1)) > {urls.MAX_BAD_RATE} as bad from top),
+known as (select host, a / (a + b) - {urls.Z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > overall as bad from beta, top),
+prior as (select false as bad),
 fit as (
     select page_id, host, path, rules.rule, rules.verdict from parts left join rules
     on (host = of or ends_with(host, '.' || of)) and starts_with(path, start)),

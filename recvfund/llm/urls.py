@@ -3,7 +3,8 @@
 Labelled page outcomes (bad or not) are counted per host, registered domain and suffix. Each level is a beta-binomial:
 its prior's mean is the posterior mean of the level above, its prior's strength is estimated by moments from how much
 the level's rates differ beyond chance. So a host with few labelled pages is judged like its domain, a domain with few
-like its suffix. A page is blocked when even the lower bound of its host's posterior is above the tolerated bad rate.
+like its suffix. A page is blocked when even the lower bound of its host's posterior is above the bad rate of all labelled pages
+(or above a tolerated rate that the caller gives): when its host is worse than the average, beyond what chance explains.
 
 Edge cases: a null url or one without ``://`` has an empty host and path, fits no rule and is judged by the overall
 rate; pages without outcomes get the prior; ties cannot arise, as the longest fitting rule is one of a chain of nested
@@ -23,7 +24,6 @@ from .common import ascii_lower, kept
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 #: Suffixes of two labels under which names are registered (fixed values).
 LONG_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "ne.jp", "or.jp", "com.br", "co.in", "co.nz", "co.za", "com.cn", "com.mx")
-MAX_BAD_RATE = 0.5
 Z = 1.645
 LEAST_STRENGTH, MOST_STRENGTH = 0.5, 1000.0
 
@@ -64,7 +64,7 @@ def _strength(groups: DataFrame) -> Column:
 
 
 def host_reputation(outcomes: DataFrame, z: float = Z) -> tuple[DataFrame, float]:
-    """Per host: ``host, n, k, mean, low`` from ``outcomes`` (``host, bad``); and the lower bound for hosts without outcomes.
+    """Per host: ``host, n, k, mean, low, overall`` from ``outcomes`` (``host, bad``); and the lower bound for hosts without outcomes.
 
     Counts are summed before anything is joined, so no host's pages meet in one task.
     """
@@ -81,18 +81,21 @@ def host_reputation(outcomes: DataFrame, z: float = Z) -> tuple[DataFrame, float
     domains = domains.join(suffixes, "suffix").select("domain", "suffix", mean(F.col("m_suffix"), s_domain).alias("m_domain"))
     a, b = F.col("k") + s_host * F.col("m_domain"), F.col("n") - F.col("k") + s_host * (1 - F.col("m_domain"))
     sd = F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
-    known = hosts.join(domains, ["domain", "suffix"]).select("host", "n", "k", (a / (a + b)).alias("mean"), F.greatest(F.lit(0.0), a / (a + b) - z * sd).alias("low"))
+    known = hosts.join(domains, ["domain", "suffix"]).select("host", "n", "k", (a / (a + b)).alias("mean"), F.greatest(F.lit(0.0), a / (a + b) - z * sd).alias("low"), F.lit(overall).alias("overall"))
     low = max(0.0, overall - z * (overall * (1 - overall) / (s_host + 1)) ** 0.5)
     return known, low
 
 
-def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]] = RULES, max_bad_rate: float = MAX_BAD_RATE) -> DataFrame:
-    """Per page: ``page_id, host, path, rule, verdict``. ``outcomes``: ``host, bad`` (0 or 1), a row a labelled page."""
+def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]] = RULES, max_bad_rate: float | None = None) -> DataFrame:
+    """Per page: ``page_id, host, path, rule, verdict``. ``outcomes``: ``host, bad`` (0 or 1), a row a labelled page.
+
+    ``max_bad_rate``: the bad rate tolerated; None: that of all outcomes, which a host without outcomes cannot exceed.
+    """
     host, path = url_parts(F.col("url"))
     parts = pages.select("page_id", host.alias("host"), path.alias("path"))
     reputation, unknown = host_reputation(outcomes)
-    known = kept(reputation.select(F.col("host").alias("its_host"), (F.col("low") > max_bad_rate).alias("bad")))
-    by_host = F.when(F.coalesce("bad", F.lit(unknown > max_bad_rate)), "block").otherwise("allow")
+    known = kept(reputation.select(F.col("host").alias("its_host"), (F.col("low") > (F.col("overall") if max_bad_rate is None else max_bad_rate)).alias("bad")))
+    by_host = F.when(F.coalesce("bad", F.lit(max_bad_rate is not None and unknown > max_bad_rate)), "block").otherwise("allow")
     at = rule_of(F.col("host"), F.col("path"), rules)
     named = parts.withColumn("at", at).join(known, F.col("host") == F.col("its_host"), "left")
     pick = lambda k: F.element_at(F.array(*[F.lit(r[k]) for r in rules]), F.col("at") + 1)

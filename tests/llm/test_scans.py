@@ -226,3 +226,14 @@ def test_spans_covered_by_base_ones_are_left_out():
                     if not any(x <= a and b <= y for x, _, y in base):
                         plain.append((a, 3, b))
         assert secret_scans.find_spans(text) == sorted(base + plain)
+
+
+def test_hosts_worse_than_the_average_are_blocked(spark):
+    """Labelled outcomes decide: a host with nearly twice the overall bad rate goes, at any overall rate; one that chance explains stays."""
+    hosts = {f"h{i}.d{i}.net": (200, 40 + i % 5) for i in range(40)} | {"spam.net": (300, 110), "few.net": (3, 2), "clean.net": (300, 5)}
+    rows = [(h, int(j < bad)) for h, (n, bad) in hosts.items() for j in range(n)]
+    pages = spark.createDataFrame([(i, f"http://{h}/p", None) for i, h in enumerate([*hosts, "unseen.net"])], "page_id long, url string, html string")
+    outcomes = spark.createDataFrame(rows, "host string, bad int")
+    blocked = lambda **k: {r.host for r in urls.judge_urls(pages, outcomes, **k).collect() if r.verdict == "block"}
+    assert blocked() == {"spam.net"}
+    assert not blocked(max_bad_rate=0.5) and "unseen.net" in blocked(max_bad_rate=0.0)
