@@ -1,10 +1,12 @@
-"""Business-day calendar (C1), day counts (C2) and the out-of-range fallback.
+"""Business-day calendar (C1), day counts (C2) and dates outside the calendar.
 
 The calendar has one row per day between the first and the last date of the
-data (about 11 k rows for 30 years) and is broadcast to every join: a century
-is 36,525 rows. The cumulative count turns "business days in (a, b]" into one
-subtraction. Holidays are a table (``data``); without one, the rows that the
-source application is seeded with.
+data or of the holiday table (about 11 k rows for 30 years) and is broadcast to
+every join: a century is 36,525 rows. The cumulative count turns "business days
+in (a, b]" into one subtraction. Holidays are a table (``data``); without one,
+the rows that the source application is seeded with. As the calendar covers all
+holidays, days outside it are business days by weekday alone, and their count
+has a closed form: no day list is made for any row.
 """
 
 from __future__ import annotations
@@ -15,22 +17,16 @@ from pyspark.sql import functions as F
 from .. import constants as K
 
 
-def _is_business_day(d: Column, holidays: list[str]) -> Column:
-    weekday = ~F.dayofweek(d).isin(1, 7)  # 1 = Sunday, 7 = Saturday
-    return weekday & ~d.isin(*[F.lit(x).cast("date") for x in holidays]) if holidays else weekday
-
-
 def build_calendar(spark: SparkSession, start: str, end: str, holidays: DataFrame | None = None) -> DataFrame:
-    """(data, dia_util, du_acumulado, ultimo_du) for every day in [start, end].
+    """(data, dia_util, du_acumulado, ultimo_du) for every day in [start, end], widened to the first and last holiday.
 
     ``ultimo_du`` is the last business day on or before ``data``.
     """
     if holidays is None:
         holidays = spark.createDataFrame([(x,) for x in K.SEEDED_HOLIDAYS], "d string").select(F.col("d").cast("date").alias("data"))
-    days = spark.range(1).select(
-        F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))).alias("data")
-    )
     off = holidays.select(F.col("data").cast("date").alias("_off")).distinct()
+    ends = off.agg(F.least(F.lit(start).cast("date"), F.min("_off")).alias("a"), F.greatest(F.lit(end).cast("date"), F.max("_off")).alias("b"))
+    days = ends.select(F.explode(F.sequence("a", "b")).alias("data"))
     # single ordered pass over a bounded day range (not over the data)
     w = Window.orderBy("data").rowsBetween(Window.unboundedPreceding, 0)
     return (
@@ -50,31 +46,39 @@ def date_range(*columns: tuple[DataFrame, str]) -> tuple[str, str]:
     return min(first).isoformat(), max(last).isoformat()
 
 
-def business_days_fallback(d_ini: Column, d_fim: Column, holidays: list[str] | None = None) -> Column:
-    """Count business days in (d_ini, d_fim] by enumeration; 0 when d_fim <= d_ini.
+MONDAY = "1969-12-29"
 
-    Only used for dates outside the calendar range; the work per row is the
-    number of days between the two dates.
-    """
-    off = K.SEEDED_HOLIDAYS if holidays is None else holidays
-    days = F.sequence(F.date_add(d_ini, 1), d_fim)
-    n = F.size(F.filter(days, lambda x: _is_business_day(x, off)))
-    return F.when(d_fim > d_ini, n).otherwise(F.lit(0))
+
+def weekdays_until(d: Column) -> Column:
+    """Weekdays (Monday to Friday) since a Monday in 1969, ``d`` included; negative before it."""
+    n = F.datediff(d, F.lit(MONDAY).cast("date")) + 1
+    return F.floor(n / 7) * 5 + F.least(F.lit(5), F.pmod(n, F.lit(7)))
+
+
+def calendar_ends(calendar: DataFrame) -> Column:
+    """First and last day of the calendar and its last cumulative count: a scalar subquery, computed once a query."""
+    return calendar.agg(F.struct(F.min("data").alias("first"), F.max("data").alias("last"), F.max("du_acumulado").alias("total")).alias("ends")).scalar()
+
+
+def business_day_number(d: Column, du: Column, ends: Column) -> Column:
+    """The cumulative count at any day: the calendar's (``du``), or beyond its ends carried on by weekdays."""
+    after = ends["total"] + weekdays_until(d) - weekdays_until(ends["last"])
+    before = weekdays_until(d) - weekdays_until(F.date_sub(ends["first"], 1))
+    return F.coalesce(du.cast("long"), F.when(d > ends["last"], after).otherwise(before))
 
 
 def with_business_days(df: DataFrame, d_ini: str, d_fim: str, out: str, calendar: DataFrame,
                        floor_zero: bool = True) -> DataFrame:
-    """Add ``out`` = business days in (d_ini, d_fim] via two calendar lookups."""
+    """Add ``out`` = business days in (d_ini, d_fim] via two calendar lookups; null where a date is null."""
     a = F.broadcast(calendar.select(F.col("data").alias("_ci_d"), F.col("du_acumulado").alias("_ci_c")))
     b = F.broadcast(calendar.select(F.col("data").alias("_cf_d"), F.col("du_acumulado").alias("_cf_c")))
-    diff = F.col("_cf_c") - F.col("_ci_c")
+    ends = calendar_ends(calendar)
+    diff = business_day_number(F.col(d_fim), F.col("_cf_c"), ends) - business_day_number(F.col(d_ini), F.col("_ci_c"), ends)
     if floor_zero:
-        # greatest() skips nulls, so floor only when both lookups hit
-        diff = F.when(diff.isNotNull(), F.greatest(diff, F.lit(0)))
-    value = F.coalesce(diff, business_days_fallback(F.col(d_ini), F.col(d_fim)))
+        diff = F.when(diff.isNotNull(), F.greatest(diff, F.lit(0)))  # greatest() skips nulls
     return (
         df.join(a, F.col(d_ini) == F.col("_ci_d"), "left")
         .join(b, F.col(d_fim) == F.col("_cf_d"), "left")
-        .withColumn(out, value.cast("int"))
+        .withColumn(out, diff.cast("int"))
         .drop("_ci_d", "_ci_c", "_cf_d", "_cf_c")
     )

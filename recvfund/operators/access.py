@@ -51,6 +51,29 @@ def has_permission(requests: DataFrame, effective: DataFrame) -> DataFrame:
         "usuario_id", "permissao", F.coalesce(F.col("_ok"), F.lit(False)).alias("permitido"))
 
 
+def audit_changes(before: DataFrame, after: DataFrame, key: list[str], fields: list[str], acao: F.Column, entidade: str,
+                  entidade_id: F.Column, at: F.Column, usuario: str = "system") -> DataFrame:
+    """X3 as the difference of two states of a table: one audit record per row that is new, gone or changed.
+
+    ``antes`` and ``depois`` hold the changed fields only, as JSON (a field that is null is left out there); ``campos``
+    names them. The states meet in one full outer join on ``key``. ``acao``, ``entidade_id`` and ``at`` are
+    expressions over the key and the structs ``a`` (before, null for a new row) and ``d`` (after, null for one that is gone).
+    """
+    old = before.select(*key, F.struct(*fields).alias("a"))
+    new = after.select(*key, F.struct(*fields).alias("d"))
+    both = old.join(new, key, "full_outer")
+    differs = {f: ~F.col(f"a.{f}").eqNullSafe(F.col(f"d.{f}")) for f in fields}
+    names = F.array_compact(F.array(*[F.when(c, F.lit(f)) for f, c in differs.items()]))
+
+    def image(side: str) -> F.Column:
+        return F.when(F.col(side).isNotNull(), F.to_json(F.struct(*[F.when(c, F.col(f"{side}.{f}")).alias(f) for f, c in differs.items()])))
+
+    rows = both.withColumn("campos", names).where(F.size("campos") > 0)
+    return rows.select(at.alias("ocorrido_em"), F.lit(usuario).alias("usuario_email"), acao.alias("acao"), F.lit(entidade).alias("entidade"),
+                       entidade_id.cast("string").alias("entidade_id"), "campos", image("a").alias("antes"), image("d").alias("depois")).withColumn(
+        "mes", F.date_format("ocorrido_em", "yyyyMM"))
+
+
 def audit_rows(df: DataFrame, acao: str, entidade: str, id_col: F.Column, after_cols: list[str],
                usuario: str = "system", at: F.Column | None = None, before: F.Column | None = None) -> DataFrame:
     """One audit record per row with its month; before- and after-image as JSON.

@@ -171,6 +171,16 @@ def apply_title_events(titles: DataFrame, events: DataFrame, as_of: str | None =
     return status, resolved
 
 
+def title_leaving(titles: DataFrame, resolved_events: DataFrame) -> DataFrame:
+    """M1/L8 as of any day: ``titles`` with ``data_saida``, the day of the first event that ends the active status.
+
+    No kind of event makes a title active again, so the first one by date decides, whatever the posting order.
+    """
+    key = ["fundo_id", "identificador_externo", "data_aquisicao"]
+    ends = resolved_events.where((F.col("resultado") == "OK") & F.col("tipo").isin(*K.EVENT_STATUS))
+    return titles.join(ends.groupBy(*key).agg(F.min("data_evento").alias("data_saida")), key, "left")
+
+
 def event_cash(resolved_events: DataFrame) -> DataFrame:
     """Receipts (RECEBIMENTO_DC) for PAGAMENTO and RECOMPRA only."""
     return (

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.calendar import with_business_days
+from ..functions.calendar import business_day_number, calendar_ends, with_business_days
 from ..functions.params import PCT, band_list, band_rows, with_pdd_pct
 
 MONEY = T.DecimalType(20, 2)
@@ -88,23 +88,33 @@ def _grid_index(grid_dates: DataFrame, calendar: DataFrame):
     return gi, cal.drop("gidx")
 
 
-def class_marking(titles: DataFrame, grid: DataFrame, calendar: DataFrame, bands: DataFrame | None = None) -> DataFrame:
+def class_marking(titles: DataFrame, grid: DataFrame, calendar: DataFrame, bands: DataFrame | None = None,
+                  leaving: str | None = None) -> DataFrame:
     """M7 over a grid: (classe_id, data) -> qtd_ativos, valor_presente, pdd, a_receber.
 
     ``grid`` holds the (classe_id, data) pairs to close (classes x close dates,
-    small). Titles acquired after the last close date are not read further. The
-    job fails on a title whose dates the calendar does not cover, rather than
-    marking it wrong. ``bands``: the provision bands table (7 rows, read once).
+    small; within the calendar). Titles acquired after the last close date are
+    not read further; dates of titles outside the calendar count as C3 does.
+    ``bands``: the provision bands table (7 rows, read once).
+
+    Status is current, unless ``leaving`` names the column with the day from
+    which a title is no longer active (null: it stays; see
+    ``ledger.title_leaving``). Then a title counts at a close date before that
+    day: its steps that start earlier are taken back on that day, and its curve
+    ends there.
     """
     steps_of = band_list(None if bands is None else band_rows(bands))
     last = grid.agg(F.max("data").alias("d")).first()["d"]
     gi, cal = _grid_index(grid.select("data"), calendar)
     cal_b = F.broadcast(cal)
-    t = eligible(titles).select("classe_id", "data_aquisicao", "data_vencimento", "valor_face", "valor_aquisicao")
-    t = t.where(F.col("data_aquisicao") <= F.lit(last))
+    leaves = F.lit(None).cast("date") if leaving is None else F.col(leaving).cast("date")
+    t = (eligible(titles) if leaving is None else titles).select("classe_id", "data_aquisicao", "data_vencimento", "valor_face", "valor_aquisicao", leaves.alias("_l"))
+    t = t.where((F.col("data_aquisicao") <= F.lit(last)) & (F.col("_l").isNull() | (F.col("_l") > F.col("data_aquisicao"))))
+    ends = calendar_ends(calendar)
+    n_closes = grid.agg(F.countDistinct("data")).scalar()
 
-    def covered(value: Column) -> Column:
-        return F.when(value.isNotNull(), value).otherwise(F.raise_error(F.lit("a title's dates lie outside the calendar")).cast("int"))
+    def closes_before(looked_up: Column, day: Column) -> Column:
+        return F.coalesce(looked_up, F.when(day > ends["last"], n_closes).otherwise(F.lit(0)))
 
     ca = cal_b.select(F.col("data").alias("_a"), F.col("du_acumulado").alias("_ca"), F.col("g_before").alias("_lo"))
     cv = cal_b.select(F.col("data").alias("_v"), F.col("du_acumulado").alias("_cv"), F.col("ultimo_du").alias("_b"))
@@ -113,8 +123,15 @@ def class_marking(titles: DataFrame, grid: DataFrame, calendar: DataFrame, bands
         t.join(ca, F.col("data_aquisicao") == F.col("_a"), "left")
         .join(cv, F.col("data_vencimento") == F.col("_v"), "left")
         .join(cb, F.col("_b") == F.col("_bd"), "left")
-        .withColumn("du_total", covered(F.col("_cv") - F.col("_ca")))
+        .withColumns({
+            "_lo": closes_before(F.col("_lo"), F.col("data_aquisicao")), "_hi": closes_before(F.col("_hi"), F.col("data_vencimento")),
+            "_cv": business_day_number(F.col("data_vencimento"), F.col("_cv"), ends), "_b": F.coalesce("_b", "data_vencimento")})
+        .withColumn("du_total", F.col("_cv") - business_day_number(F.col("data_aquisicao"), F.col("_ca"), ends))
     )  # map-side only (broadcast lookups): cheaper to rescan than to pin in memory
+    if leaving is not None:
+        cl = cal_b.select(F.col("data").alias("_ld"), F.col("g_before").alias("_lg"))
+        t = t.join(cl, F.col("_l") == F.col("_ld"), "left").withColumn(
+            "_hi", F.when(F.col("_l").isNull(), F.col("_hi")).otherwise(F.least("_hi", closes_before(F.col("_lg"), F.col("_l")))))
 
     # performing part: one row per close date in [acquisition, last business day <= maturity)
     curve = (
@@ -147,8 +164,13 @@ def class_marking(titles: DataFrame, grid: DataFrame, calendar: DataFrame, bands
         amount = F.round(vf * F.lit(pct).cast(PCT), 2)
         steps.append(step(F.date_add(F.col("data_vencimento"), days), 0, zero, zero, amount - prev))
         prev = amount
+    every = F.array(*steps)
+    if leaving is not None:  # of the steps before the title leaves, and of them once more, taken back on that day
+        begun = F.filter(every, lambda s: F.col("_l").isNull() | (s["data"] < F.col("_l")))
+        back = F.transform(begun, lambda s: F.struct(F.col("_l").alias("data"), (-s["dq"]).alias("dq"), *[(-s[c]).cast(MONEY).alias(c) for c in ("dvp", "drec", "dpdd")]))
+        every = F.concat(begun, F.when(F.col("_l").isNotNull(), back).otherwise(F.filter(every, lambda _: F.lit(False))))
     deltas = (
-        t.select("classe_id", F.inline(F.array(*steps)))
+        t.select("classe_id", F.inline(every))
         .groupBy("classe_id", "data")
         .agg(F.sum("dq").alias("dq"), F.sum("dvp").alias("dvp"), F.sum("drec").alias("drec"),
              F.sum("dpdd").alias("dpdd"))

@@ -818,15 +818,6 @@ select classe_id, data_referencia, versao, case when data_referencia <= date '{R
        case when data_referencia <= date '{REPORT_DATE}' then date '{REPORT_DATE}' end as selado_em
 from fx_fechamento""", "fx_fechamento")
 
-SQL["close_audit"] = with_views("""
-select data_referencia as ocorrido_em, 'system' as usuario_email, 'FECHAMENTO_EXECUTADO' as acao, 'apuracao.fechamento' as entidade,
-       sha256(classe_id || '|' || cast(data_referencia as varchar) || '|' || cast(versao as varchar)) as entidade_id,
-       case when cota_anterior is not null then '{"valor_cota":' || cast(cota_anterior as varchar) || '}' end as antes,
-       '{"classe_id":"' || classe_id || '","data_referencia":"' || cast(data_referencia as varchar) || '","versao":' || cast(versao as varchar)
-         || ',"pl_liquido":' || cast(pl_liquido as varchar) || coalesce(',"valor_cota":' || cast(valor_cota as varchar), '') || '}' as depois,
-       strftime(data_referencia, '%Y%m') as mes
-from fx_fechamento""", "fx_fechamento")
-
 SQL["overview_closes"] = with_views("""
 select classe_id, posicao, data_referencia, versao, status, pl_liquido, quantidade_cotas, valor_cota, rentabilidade_dia
 from (select *, row_number() over (partition by classe_id order by data_referencia desc, versao desc) as posicao from fx_fechamento) t
@@ -1034,3 +1025,48 @@ def _chained(name: str) -> str:
 _composed = _body("report_composition", "fx_report_close", "fx_grid_mark", "fx_classe", "fx_fundo")
 _names = [_chained(n) for n in ("fx_report_close", "fx_grid_mark")]
 SQL["chain_report"] = with_views(re.sub(r"\bfx_(report_close|grid_mark)\b", r"fx_c_\1", _composed), *_names, "fx_classe", "fx_fundo")
+
+# status at each close date: titles whose first ending event lies after it
+_view("fx_saida", ["fx_evento"], """
+select fundo_id, identificador_externo, min(data_evento) as saida from fx_evento where tipo in ('PAGAMENTO', 'BAIXA', 'RECOMPRA') group by all""")
+_asof = _GRID_MARK.replace("left join fx_titulo_ativo t on t.classe_id = g.classe_id and t.data_aquisicao <= g.data", """
+left join (select f.*, s.saida from fx_titulo f left join fx_saida s on s.fundo_id = f.fundo_id and s.identificador_externo = f.identificador_externo) t
+  on t.classe_id = g.classe_id and t.data_aquisicao <= g.data and (t.saida is null or t.saida > g.data)""")
+SQL["class_marking_asof"] = with_views(f"""
+select classe_id, data, cast(qtd_ativos as bigint) as qtd_ativos, cast(valor_presente as decimal(20,2)) as valor_presente,
+       cast(pdd as decimal(20,2)) as pdd, cast(a_receber as decimal(20,2)) as a_receber
+from ({_asof}) m""", "fx_grid", "fx_titulo", "fx_saida", "fx_calendario", "fx_faixa_pdd")
+
+_view("fx_calendario_longo", [], f"""
+select cast(g.d as date) as data, cast(sum(case when isodow(g.d) < 6 and not (year(g.d) between 1990 and 1999 and strftime(g.d, '%m-%d') in ({_HOL_MMDD}))
+             and cast(g.d as date) not in ({_HOL_DATED}) then 1 else 0 end) over (order by g.d) as bigint) as n
+from generate_series(date '1960-01-01', date '2040-12-31', interval 1 day) g(d)""")
+SQL["business_days_outside"] = with_views("""
+select identificador_externo, de, ate, greatest(b.n - a.n, 0) as du
+from (select identificador_externo, cast(data_aquisicao - interval 300 month as date) as de, cast(data_vencimento + interval 300 month as date) as ate from fx_titulo) t
+join fx_calendario_longo a on a.data = t.de join fx_calendario_longo b on b.data = t.ate""", "fx_titulo", "fx_calendario_longo")
+
+
+def _json(side: str, fields: dict[str, bool], changed: dict[str, str]) -> str:
+    """A JSON object of the fields that changed and are not null; ``fields``: name to whether it is text."""
+    parts = ", ".join(f"""case when {changed[f]} and {side}_{f} is not null then '"{f}":{'"' if text else ''}' || cast({side}_{f} as varchar) || '{'"' if text else ''}' end""" for f, text in fields.items())
+    return f"'{{' || array_to_string(list_filter([{parts}], lambda x: x is not null), ',') || '}}'"
+
+
+_FIELDS = {"versao": False, "status": True, "pl_liquido": False, "valor_cota": False, "provisao_adm_acumulada": False}
+_CHANGED = {f: f"a_{f} is distinct from d_{f}" for f in _FIELDS}
+_view("fx_mudanca", ["fx_linha", "fx_gap", "fx_fechamento"], f"""
+select x.*, case when data <= date '{REPORT_DATE}' then 'SELADO' else 'PROCESSADO' end as d_status
+from (select g.classe_id, g.data, case when month(g.data) = 10 then null when month(g.data) = 8 then 2 else 1 end as a_versao,
+             case when month(g.data) <> 10 then 'PROCESSADO' end as a_status, case when month(g.data) <> 10 then f.pl_liquido end as a_pl_liquido,
+             case when month(g.data) <> 10 then {_fixed('l.gc', 12, 28)} end as a_valor_cota, case when month(g.data) <> 10 then {_fixed('l.gp', 2, 20)} end as a_provisao_adm_acumulada,
+             case when month(g.data) = 10 then 1 when g.nova or month(g.data) = 8 then 2 else 1 end as d_versao,
+             case when g.nova then {_fixed('g.liq', 2, 20)} else f.pl_liquido end as d_pl_liquido,
+             {_fixed('g.pr', 12, 28)} as d_valor_cota, {_fixed('g.pv', 2, 20)} as d_provisao_adm_acumulada
+      from fx_gap g join fx_linha l on l.classe_id = g.classe_id and l.data = g.data join fx_fechamento f on f.classe_id = g.classe_id and f.data_referencia = g.data) x""")
+SQL["close_audit"] = with_views(f"""
+select data as ocorrido_em, 'system' as usuario_email, case when {_CHANGED['versao']} then 'FECHAMENTO_EXECUTADO' else 'FECHAMENTO_SELADO' end as acao,
+       'apuracao.fechamento' as entidade, sha256(classe_id || '|' || cast(data as varchar) || '|' || cast(d_versao as varchar)) as entidade_id,
+       array_to_string(list_filter([{', '.join(f"case when {c} then '{f}' end" for f, c in _CHANGED.items())}], lambda x: x is not null), ',') as campos,
+       case when a_versao is not null then {_json('a', _FIELDS, _CHANGED)} end as antes, {_json('d', _FIELDS, _CHANGED)} as depois, strftime(data, '%Y%m') as mes
+from fx_mudanca where {' or '.join(_CHANGED.values())}""", "fx_mudanca", recursive=True)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.calendar import with_business_days
+from ..functions.calendar import build_calendar, with_business_days
 from ..functions.params import param_asof, with_pdd_pct
 from .. import constants as K
 from ..operators import access, closing, ingest, ledger, orders, registry, replay, report, valuation, validation
@@ -449,14 +449,34 @@ def q_implied_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_close_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One audit record per close: before (the class's previous price) and after, as JSON."""
+    """What a run changed in the closes: the latest versions before it (the corrected store) against those after two of
+    every four months were closed again and the closes up to the report date sealed; changed fields only."""
     c = Ctx(spark, sf_dir)
-    cl = c.closes
-    before = F.when(F.col("cota_anterior").isNotNull(), F.struct(F.col("cota_anterior").alias("valor_cota")))
-    rows = access.audit_rows(cl, "FECHAMENTO_EXECUTADO", "apuracao.fechamento", closing.close_id(cl),
-                             ["classe_id", "data_referencia", "versao", "pl_liquido", "valor_cota"],
-                             at=F.col("data_referencia").cast("timestamp"), before=before)
-    return rows.withColumn("ocorrido_em", F.col("ocorrido_em").cast("date"))
+    store = fx.corrected_closes(c.closes)
+    again = closing.latest_versions(store.unionByName(q_close_gap(spark, sf_dir).select(*store.columns)))
+    sealed = again.where(F.col("data_referencia") <= F.lit(REPORT_DATE).cast("date")).select(
+        closing.close_id(again).alias("fechamento_id"), F.lit(REPORT_DATE).cast("timestamp").alias("selado_em"))
+    after = closing.with_status(again, sealed).drop("selado_em")
+    key = ["classe_id", "data_referencia"]
+    acao = F.when(F.array_contains("campos", "versao"), "FECHAMENTO_EXECUTADO").otherwise("FECHAMENTO_SELADO")
+    cid = F.sha2(F.concat_ws("|", *key, "d.versao"), 256)
+    return access.audit_changes(closing.latest_versions(store), after, key, ["versao", "status", "pl_liquido", "valor_cota", "provisao_adm_acumulada"],
+                                acao, "apuracao.fechamento", cid, F.col("data_referencia")).withColumn("campos", F.concat_ws(",", "campos"))
+
+
+def q_class_marking_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class totals at every close date, each title with the status that it had on that date."""
+    c = Ctx(spark, sf_dir)
+    _, resolved = ledger.apply_title_events(c.titulos, c.eventos)
+    return valuation.class_marking(ledger.title_leaving(c.titulos, resolved), c.grid, c.calendar, c.bands, leaving="data_saida")
+
+
+def q_business_days_outside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Business days from 25 years before acquisition to 25 years after maturity, with a holiday table that ends inside."""
+    c = Ctx(spark, sf_dir)
+    t = c.titulos.select("identificador_externo", F.add_months("data_aquisicao", -300).alias("de"), F.add_months("data_vencimento", 300).alias("ate"))
+    narrow = build_calendar(spark, "1997-01-01", "1997-12-31", fx.feriados(spark, "1990-01-01", "1999-12-31"))
+    return _longs(with_business_days(t, "de", "ate", "du", narrow))
 
 
 def q_investor_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -551,6 +571,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "chain_stock": q_chain_stock,
     "implied_rate": q_implied_rate,
     "close_audit": q_close_audit,
+    "class_marking_asof": q_class_marking_asof,
+    "business_days_outside": q_business_days_outside,
     "investor_balance": q_investor_balance,
     "fund_registry": q_fund_registry,
     "class_registry": q_class_registry,

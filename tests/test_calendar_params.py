@@ -1,3 +1,4 @@
+import random
 from datetime import date, timedelta
 from decimal import Decimal
 
@@ -60,3 +61,18 @@ def test_param_asof_latest_open_period(spark):
     assert got[("c", date(2021, 6, 15))] == Decimal("3.0")
     assert got[("c", date(2021, 7, 15))] == Decimal("2.0")
     assert got[("x", date(2021, 1, 1))] == 0
+
+
+def test_days_outside_the_calendar_keep_its_holidays(spark):
+    table = spark.createDataFrame([(date(2026, 6, 10),), (date(2026, 6, 13),), (date(2027, 1, 4),)], "data date")  # the second is a Saturday
+    off = {date(2026, 6, 10), date(2027, 1, 4)}
+    cal = build_calendar(spark, "2026-01-01", "2026-01-31", table)
+    rng = random.Random(9)
+    pairs = [(date(2026, 6, 9), date(2026, 7, 1)), (date(2026, 1, 1), date(2026, 1, 2)), (date(1968, 3, 1), date(1970, 1, 5)), (date(2025, 12, 31), date(2027, 1, 5))]
+    pairs += [(a := date(1995, 1, 1) + timedelta(rng.randint(0, 15000)), a + timedelta(rng.randint(-20, 900))) for _ in range(150)]
+    df = spark.createDataFrame([(a, b) for a, b in pairs] + [(None, date(2026, 1, 5))], "a date, b date")
+    got = {(r.a, r.b): r.n for r in with_business_days(df, "a", "b", "n", cal).collect()}
+    for a, b in pairs:
+        days = (a + timedelta(k) for k in range(1, (b - a).days + 1))
+        assert got[a, b] == sum(d.weekday() < 5 and d not in off for d in days), (a, b)
+    assert got[pairs[0]] == 15 and got[None, date(2026, 1, 5)] is None

@@ -375,3 +375,18 @@ def test_hot_investor_is_screened_by_days(spark):
     more = spark.createDataFrame([(2000, date(2024, 11, 1), "c", 1, "RESGATE", Decimal(10**7), None), (2001, date(2024, 11, 2), "c", 1, "RESGATE", Decimal(1), None)], ORDERS)
     got = {r.ordem: (r.aceito, r.saldo_cotas) for r in orders.process_orders(df.unionByName(more), closes).collect()}
     assert got[2000] == (False, held) and got[2001] == (True, held - 1) and got[1000] == (True, held - 6)
+
+
+def test_audit_is_the_difference_of_two_states(spark):
+    schema = "id long, versao long, status string, preco decimal(10,2)"
+    before = spark.createDataFrame([(1, 1, "P", Decimal("1.50")), (2, 1, "P", Decimal("2.00")), (3, 1, "P", None), (4, 1, "P", Decimal("4.00"))], schema)
+    after = spark.createDataFrame([(1, 1, "P", Decimal("1.50")), (2, 2, "P", Decimal("2.50")), (3, 1, "S", Decimal("3.00")), (5, 1, "P", None)], schema)
+    rows = access.audit_changes(before, after, ["id"], ["versao", "status", "preco"], F.when(F.col("d").isNull(), "GONE").when(F.col("a").isNull(), "NEW").otherwise("CHANGED"),
+                                "t", F.col("id"), F.lit("2026-03-01").cast("date"))
+    got = {int(r.entidade_id): (r.acao, r.campos, r.antes, r.depois, r.mes) for r in rows.collect()}
+    assert got == {
+        2: ("CHANGED", ["versao", "preco"], '{"versao":1,"preco":2.00}', '{"versao":2,"preco":2.50}', "202603"),
+        3: ("CHANGED", ["status", "preco"], '{"status":"P"}', '{"status":"S","preco":3.00}', "202603"),
+        4: ("GONE", ["versao", "status", "preco"], '{"versao":1,"status":"P","preco":4.00}', None, "202603"),
+        5: ("NEW", ["versao", "status"], None, '{"versao":1,"status":"P"}', "202603"),
+    }
