@@ -129,6 +129,10 @@ class Ctx:
         """The boleta file as received (text columns and line numbers)."""
         return self.stored("boleta_raw", lambda: fx.boleta_raw(self.t).withColumn("lote_id", F.lit(LOTE_ID)))
 
+    def counterparties(self, role: str) -> DataFrame:
+        """The stored table of sellers or debtors that were registered before the batch."""
+        return self.stored(f"contraparte_{role}", lambda: fx.prior_counterparties(self.t, role))
+
     @cached_property
     def validated(self) -> DataFrame:
         """Computed validation of the batch (what ``boleta_validation`` returns)."""
@@ -147,8 +151,8 @@ class Ctx:
 
     def import_files(self, root: str) -> None:
         """Run the file stream over the received files into the tables below ``root``."""
-        refs = StreamRefs(self.fundos, self.classes, fx.prior_title_keys(self.titulos), fx.prior_counterparties(self.t, "cedente").select("documento"),
-                          fx.prior_counterparties(self.t, "sacado").select("documento"))
+        refs = StreamRefs(self.fundos, self.classes, fx.prior_title_keys(self.titulos), self.counterparties("cedente").select("documento"),
+                          self.counterparties("sacado").select("documento"))
         stream_ingest(self.spark, self.boleta_files, root, f"{root}-checkpoint", refs).awaitTermination()
 
     @cached_property
@@ -159,7 +163,7 @@ class Ctx:
     @cached_property
     def ingest(self) -> "ingest.IngestResult":
         return ingest.ingest(self.staging, self.fundos, self.classes, fx.prior_title_keys(self.titulos),
-                             fx.prior_counterparties(self.t, "cedente"), fx.prior_counterparties(self.t, "sacado"))
+                             self.counterparties("cedente"), self.counterparties("sacado"))
 
     # --- closes -----------------------------------------------------------------------------
     @cached_property

@@ -429,7 +429,7 @@ def q_chain_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = c.ingest
 
     def known(role: str, new: DataFrame) -> DataFrame:
-        old = fx.prior_counterparties(c.t, role).select(ingest.surrogate(F.lit(role), "documento").alias("id"), "nome")
+        old = c.counterparties(role).select(ingest.surrogate(F.lit(role), "documento").alias("id"), "nome")
         return old.unionByName(new.select("id", "nome"))
 
     named = ingest.with_names(r.titles, known("cedente", r.cedentes), known("sacado", r.sacados))

@@ -17,19 +17,22 @@ CSV_OPTIONS = {
     "sep": ";",
     "header": "true",
     "quote": '"',
+    "escape": '"',            # a quote inside a quoted value is doubled
     "inferSchema": "false",   # everything is text; types are imposed by validation
     "mode": "PERMISSIVE",     # surplus fields dropped, short rows null-filled
     "encoding": "UTF-8",
 }
 
 
-def read_boletas(spark: SparkSession, path: str, with_lines: bool = True) -> DataFrame:
+def read_boletas(spark: SparkSession, path: str, with_lines: bool = True, quoted_breaks: bool = False) -> DataFrame:
     """All-text frame of the contract columns plus ``arquivo`` and ``linha_numero``.
 
-    ``path`` may be a folder or glob of many files. Lines are numbered per file
-    from the file scan itself (no shuffle before the numbering).
+    ``path`` may be a folder or glob of many files. Rows are numbered per file
+    from the file scan itself (no shuffle before the numbering). With
+    ``quoted_breaks``, a line break inside quotes belongs to its value; a file
+    is then read by one task, many files still by many.
     """
-    reader = spark.read
+    reader = spark.read.option("multiLine", quoted_breaks)
     for k, v in CSV_OPTIONS.items():
         reader = reader.option(k, v)
     df = reader.csv(path)
@@ -58,7 +61,7 @@ def write_boleta_files(raw: DataFrame, path: str, file_key: str) -> None:
         .sortWithinPartitions(file_key, "linha_numero")
         .select(file_key, *K.BOLETA_COLUMNS)
         .write.mode("overwrite").partitionBy(file_key)
-        .option("sep", ";").option("header", "true").option("quoteAll", "false")
+        .option("sep", ";").option("header", "true").option("quoteAll", "false").option("escape", '"')
         .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
         .csv(path)
     )

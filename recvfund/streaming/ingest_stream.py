@@ -110,9 +110,12 @@ def progress(spark: SparkSession, out_root: str, batch_id: int, step: str, n_fil
 
 
 def stream_ingest(spark: SparkSession, src_dir: str, out_root: str, checkpoint: str, refs: StreamRefs,
-                  available_now: bool = True, max_files_per_trigger: int = 1000) -> StreamingQuery:
-    """Start the import; a trigger takes ``max_files_per_trigger`` files at most, as their names reach the driver."""
-    reader = spark.readStream.schema(BOLETA_SCHEMA)
+                  available_now: bool = True, max_files_per_trigger: int = 1000, quoted_breaks: bool = False) -> StreamingQuery:
+    """Start the import; a trigger takes ``max_files_per_trigger`` files at most, as their names reach the driver.
+
+    ``quoted_breaks``: see ``read_boletas``.
+    """
+    reader = spark.readStream.schema(BOLETA_SCHEMA).option("multiLine", quoted_breaks)
     for k, v in CSV_OPTIONS.items():
         if k != "inferSchema":
             reader = reader.option(k, v)

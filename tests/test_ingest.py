@@ -262,3 +262,19 @@ def test_compaction_changes_nothing_but_the_files(spark, stream, tmp_path, monke
     assert {(r.mes, r.geracao) for r in old if r.geracao is not None} == {(202601, 0)} and sum(r.geracao is None for r in old) >= 9
     lotes = {r.lote_id for r in store.titles().collect()}
     assert lotes == {r.lote_id for r in store.log().where("registros_inseridos > 0").collect()}  # the batch of a row is kept
+
+
+def test_line_breaks_inside_quotes(spark, tmp_path):
+    """A name over two lines is one value, in a file that is read as a batch and in one that is streamed."""
+    broken = ROW1.replace("Comercial Acme Ltda", '"Comercial ""Acme""\nFilial; Sul"')
+    for name in ("a.csv", "b.csv"):
+        (tmp_path / name).write_text("\n".join([HEADER, broken.replace("000101", name), ROW2.replace("000102", name + "2")]) + "\n", encoding="utf-8")
+    rows = read_boletas(spark, str(tmp_path), quoted_breaks=True).collect()
+    got = sorted((r.identificador_externo, r.linha_numero, r.cedente_nome) for r in rows)
+    name = 'Comercial "Acme"\nFilial; Sul'
+    assert got == [("ACME-2026-a.csv", 2, name), ("ACME-2026-a.csv2", 3, "Comercial Acme Ltda"), ("ACME-2026-b.csv", 2, name), ("ACME-2026-b.csv2", 3, "Comercial Acme Ltda")]
+    fundos, classes = dims(spark)
+    empty = spark.createDataFrame([], "documento string")
+    refs = StreamRefs(fundos, classes, spark.createDataFrame([], "fundo_id int, identificador_externo string, data_aquisicao date"), empty, empty)
+    stream_ingest(spark, str(tmp_path), str(tmp_path / "out"), str(tmp_path / "ckpt"), refs, quoted_breaks=True).awaitTermination()
+    assert Store(spark, str(tmp_path / "out")).titles().count() == 4
