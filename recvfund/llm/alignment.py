@@ -7,8 +7,8 @@ cover the whole character where a token holds only some of its bytes (split char
 refined by the bytes that each token decodes to. A text whose joined bytes differ from the input for A or B has no tokens. Ends that both have cut the tokens into groups; each pair of tokens
 that end together is a link.
 
-No merge of A or B crosses from a non-space to a space, which is checked on the vocabularies, so a text is cut there into
-segments; a segment is encoded once and looked up when it comes again, until the task has seen ``KEPT`` and starts anew. With vocabularies that
+No merge of A or B crosses from a non-space to a space or line break, or from a letter to a full stop or comma, which is
+checked on the vocabularies, so a text is cut there into segments; a segment is encoded once and looked up when it comes again, until the task has seen ``KEPT`` and starts anew. With vocabularies that
 fail the check, texts are encoded whole. Linked ids are one another's suffixes in bytes, so the number of different pairs is bounded by
 the vocabularies, whatever the corpus: the counts of pairs are summed by Spark and then held in each task.
 
@@ -41,7 +41,11 @@ TOKENIZERS = "/opt/tokenizers"
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 SPACE = "▁"
 KEPT, AT_ONCE = 3 << 18, 4096  # segments after which a task forgets all, and how many are encoded together
-_CUT = re.compile(r"(?<=\S)(?= [\s\S])")  # B adds no space to nothing, so a last space stays with what is before
+#: Where a text may be cut: before white space after another character (B adds no space to nothing, so a last space stays with
+#: what is before), and between a Latin letter and a full stop or comma.
+_CUT = re.compile(r"(?<=\S)(?=[ \n][\s\S])|(?<=[A-Za-zÀ-ÖØ-öø-ɏ])(?=[.,])")
+_ACROSS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ][.,]|\n")  # what no piece of B may hold for that
+BREAK = "\n"  # has no piece, so it merges with nothing
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -105,9 +109,17 @@ class Tokenizers:
         spec = json.loads(self.a_json)
         level = spec.get("pre_tokenizer") or {}
         plain = not spec.get("normalizer") and level.get("type") == "ByteLevel" and level.get("use_regex", True) and not level.get("add_prefix_space")
-        if not plain or any(SPACE in p.lstrip(SPACE) for p in pieces):
+        if not plain or any(SPACE in p.lstrip(SPACE) or _ACROSS.search(p) for p in pieces):
             return False
-        return self.b.encode("a  b ", out_type=int) == [*self.b.encode("a", out_type=int), *self.b.encode(" b ", out_type=int)]
+        probe = "a  b. c,d" + BREAK + "e, " + BREAK + "f "
+        parts = self._b_encoded(_CUT.split(" " + probe))
+        return self.b.encode(probe, out_type=int) == [i for ids, _ in parts for i in ids]
+
+    def _b_encoded(self, segments: list[str]) -> list[tuple[list[int], list[tuple[int, int]]]]:
+        """B's ids and byte spans. The space that B adds is a segment's own first one; without one, a line break before the segment
+        takes it, and both go again."""
+        got = self.b.encode([s[1:] if s[0] == " " else BREAK + s for s in segments], return_type="offset_mapping", return_bytes=True, num_threads=1)
+        return [(y["ids"], y["offsets"]) if s[0] == " " else (y["ids"][2:], y["offsets"][2:]) for s, y in zip(segments, got, strict=True)]
 
     @property
     def codes(self) -> int:
@@ -115,15 +127,14 @@ class Tokenizers:
         return len(self.a_bytes) * self.radix
 
     def segments(self, text: str) -> list[str]:
-        """Parts of space + text, each beginning with a space, that are encoded alike alone and in the text."""
+        """Parts of space + text that are encoded alike alone and in the text."""
         return _CUT.split(" " + text) if self.in_segments else [" " + text]
 
     def encoded(self, segments: list[str]) -> Aligned:
-        """Alignments of segments, all of which begin with a space."""
+        """Alignments of segments."""
         a = self.a.encode_batch(segments, add_special_tokens=False)
-        b = self.b.encode([s[1:] for s in segments], return_type="offset_mapping", return_bytes=True, num_threads=1)
-        a_ids, b_ids, raw = [x.ids for x in a], [y["ids"] for y in b], [s.encode() for s in segments]
-        a_spans, b_spans = [x.offsets for x in a], [y["offsets"] for y in b]
+        b_ids, b_spans = map(list, zip(*self._b_encoded(segments), strict=True))
+        a_ids, a_spans, raw = [x.ids for x in a], [x.offsets for x in a], [s.encode() for s in segments]
         if self._same(raw, a_ids, b_ids):
             return self._aligned(segments, raw, a_ids, b_ids, a_spans, b_spans)
         same = [i for i in range(len(segments)) if self._same(raw[i : i + 1], a_ids[i : i + 1], b_ids[i : i + 1])]
@@ -139,10 +150,13 @@ class Tokenizers:
 
     def _same(self, raw: list[bytes], a_ids: list, b_ids: list) -> bool:
         """Whether the tokens of each segment join to it."""
-        whole, sizes = b"".join(raw), [len(r) for r in raw]
-        for of, ids in ((self.a_bytes, a_ids), (self.b_bytes, b_ids)):
-            joined = [b"".join([of[i] for i in x]) for x in ids]
-            if [len(j) for j in joined] != sizes or b"".join(joined) != whole:
+        whole, ends = b"".join(raw), np.cumsum([len(r) for r in raw])
+        for of, sizes, ids in ((self.a_bytes, self.a_sizes, a_ids), (self.b_bytes, self.b_sizes, b_ids)):
+            flat = list(chain.from_iterable(ids))
+            if b"".join(map(of.__getitem__, flat)) != whole:
+                return False
+            reached = np.append(0, np.cumsum(sizes[flat])) if flat else np.zeros(1, np.int64)
+            if not np.array_equal(reached[np.cumsum([len(x) for x in ids])], ends):
                 return False
         return True
 
@@ -159,7 +173,8 @@ class Tokenizers:
         a_first, b_first = np.repeat(np.cumsum(n) - n, n_a), np.repeat(np.cumsum(size) - size, n_b)
         shared = np.append(a_from[1:] + a_first[1:] < a_to[:-1] + a_first[:-1], False)  # the next token holds a part of the same character
         a_ends = refined(chars[a_first + a_to], self.a_sizes[a], shared)
-        b_ends = refined(b_first + 1 + b_to, self.b_sizes[b], self.b_fallback[b])  # 1: the space before
+        moved = np.array([1 if s[0] == " " else -1 for s in segments])  # a space before that B added, or a break that is gone
+        b_ends = refined(b_first + np.repeat(moved, n_b) + b_to, self.b_sizes[b], self.b_fallback[b])
         last_a = np.flatnonzero(np.isin(a_ends, b_ends, assume_unique=True))
         last_b = np.searchsorted(b_ends, a_ends[last_a])
         # tokens of A and B in the order of the groups' text

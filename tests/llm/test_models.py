@@ -154,7 +154,7 @@ ODD = [
 
 def odd_texts(n):
     rng = random.Random(1)
-    return ODD + ["".join(rng.choices(" \n\tab é日😀▁ 's1.", k=rng.randint(1, 30))) for _ in range(n)]
+    return ODD + ["".join(rng.choices(" .,\n\tab é日😀▁ 's1²", k=rng.randint(1, 30))) for _ in range(n)]
 
 
 def test_alignment_of_odd_texts(pair):
