@@ -68,6 +68,8 @@ SEEDED_HOLIDAYS = [
 ]
 
 # --- fixed values: day count and par ---
+MSG_COLUNAS = "Colunas obrigatórias ausentes no arquivo: "
+MSG_ORDEM_COLUNAS = "Colunas fora de ordem."
 DU_ANO = 252
 #: States of a stored close that count as a close.
 CLOSED_STATUS = ("PROCESSADO", "SELADO")

@@ -1070,3 +1070,6 @@ select data as ocorrido_em, 'system' as usuario_email, case when {_CHANGED['vers
        array_to_string(list_filter([{', '.join(f"case when {c} then '{f}' end" for f, c in _CHANGED.items())}], lambda x: x is not null), ',') as campos,
        case when a_versao is not null then {_json('a', _FIELDS, _CHANGED)} end as antes, {_json('d', _FIELDS, _CHANGED)} as depois, strftime(data, '%Y%m') as mes
 from fx_mudanca where {' or '.join(_CHANGED.values())}""", "fx_mudanca", recursive=True)
+
+SQL["boleta_headers"] = with_views(f"""
+select lote, cast({len(K.BOLETA_COLUMNS)} as bigint) as n_colunas, 'OK' as resultado from fx_boleta_raw_f group by lote""", "fx_boleta_raw_f")

@@ -19,7 +19,7 @@ from .. import constants as K
 from ..operators import access, closing, ingest, ledger, orders, registry, replay, report, valuation, validation
 from ..session import staged, work_dir
 from ..sources import fixtures as fx
-from ..sources.boleta_files import read_boletas
+from ..sources.boleta_files import file_headers, read_boletas
 from ..sources.store import Store
 from .context import MARK_DATE, POSITION_DATE, REPORT_DATE, Ctx
 
@@ -342,6 +342,12 @@ def q_boleta_csv_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
         "lote", "linha_numero", *K.BOLETA_COLUMNS, "valido", "motivo_rejeicao")
 
 
+def q_boleta_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The header of every received file against the contract."""
+    h = file_headers(spark, Ctx(spark, sf_dir).boleta_files).withColumn("lote", _lote_from_path())
+    return h.select("lote", F.size("colunas").cast("long").alias("n_colunas"), F.coalesce("falha", F.lit("OK")).alias("resultado"))
+
+
 def q_stream_title_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The monthly files ingested by a file stream (availableNow); the titles of its logged batches."""
     c = Ctx(spark, sf_dir)
@@ -559,6 +565,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "effective_permissions": q_effective_permissions,
     "permission_check": q_permission_check,
     "boleta_csv_validation": q_boleta_csv_validation,
+    "boleta_headers": q_boleta_headers,
     "stream_title_insert": q_stream_title_insert,
     "latest_batches": q_latest_batches,
     "overview_batches": q_overview_batches,

@@ -42,6 +42,22 @@ def read_boletas(spark: SparkSession, path: str, with_lines: bool = True, quoted
     return with_file_line_number(df, "linha_numero", start=2)
 
 
+def file_headers(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """S2 per file: ``arquivo``, its header's columns and what is wrong with it (``falha``; null: nothing).
+
+    Rows are read by position, so the contract's columns have to come first and in order; more columns may follow. Each
+    task keeps the first line of the file beginnings that it reads (a partial aggregate), so one line a file is shuffled.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("arquivo"), F.col("_metadata.file_block_start").alias("_s"))
+    first = lines.where("_s = 0").withColumn("_at", F.monotonically_increasing_id()).groupBy("arquivo").agg(F.min_by("value", "_at").alias("_h"))
+    columns = F.transform(F.split(F.regexp_replace("_h", "^\ufeff", ""), CSV_OPTIONS["sep"]), lambda c: F.btrim(c, F.lit(' "\r')))
+    contract = F.array(*[F.lit(c) for c in K.BOLETA_COLUMNS])
+    missing = F.array_except(contract, F.col("colunas"))
+    fault = F.when(F.size(missing) > 0, F.concat(F.lit(K.MSG_COLUNAS), F.array_join(missing, ", "))).when(
+        F.slice("colunas", 1, len(K.BOLETA_COLUMNS)) != contract, F.lit(K.MSG_ORDEM_COLUNAS))
+    return first.select("arquivo", columns.alias("colunas")).withColumn("falha", fault)
+
+
 def file_hashes(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """SHA-256 of every file's bytes (one row per file; a file is read whole,
     bounded by ``spark.sql.sources.binaryFile.maxLength``)."""

@@ -25,7 +25,7 @@ from .. import constants as K
 from ..functions.rows import with_file_line_number
 from ..operators import ingest, validation
 from ..sources import sinks
-from ..sources.boleta_files import CSV_OPTIONS, file_hashes
+from ..sources.boleta_files import CSV_OPTIONS, file_hashes, file_headers
 from ..sources.store import Store
 
 BOLETA_SCHEMA = T.StructType([T.StructField(c, T.StringType(), True) for c in K.BOLETA_COLUMNS])
@@ -57,7 +57,14 @@ def ingest_files(batch: DataFrame, batch_id: int, out_root: str, refs: StreamRef
     files = {r["lote_id"]: r["arquivo"] for r in raw.select("lote_id", "arquivo").distinct().collect()}  # no more than a trigger takes
     if not files:
         return
+    faults = {r["arquivo"]: r["falha"] for r in file_headers(spark, sorted(files.values())).where("falha is not null").collect()}
+    rejected = rejected_files(spark, faults, started, batch_id)
+    files = {lote: f for lote, f in files.items() if f not in faults}
     own = sorted(files)
+    if not own:
+        sinks.write_partitioned(rejected.coalesce(1), f"{out_root}/lote_importacao", ["batch_id"])
+        return
+    raw = raw.where(F.col("lote_id").isin(own))
     validated = validation.validate(validation.normalize(raw), refs.fundos, refs.classes, file_key="arquivo")
     read = Observation()
     sinks.write_staging(validated.observe(read, F.count(F.lit(1)).alias("linhas"), F.count_if("valido").alias("aceitas"), F.count_if(~F.col("valido")).alias("rejeitadas")),
@@ -86,8 +93,8 @@ def ingest_files(batch: DataFrame, batch_id: int, out_root: str, refs: StreamRef
     written = result.titles.limit(0) if written is None else written
     sinks.write_cash(ingest.acquisition_cash(written), out_root)
     sinks.write_parties(result.cedentes.unionByName(result.sacados), out_root, f"stream-{batch_id}")
-    log = batch_log(spark, staged, written, list(files.values()), started).withColumn("batch_id", F.lit(batch_id))
-    sinks.write_partitioned(log.coalesce(1), f"{out_root}/lote_importacao", ["batch_id"])  # written last: makes the batch visible
+    log = batch_log(spark, staged, written, list(files.values()), started).withColumn("batch_id", F.lit(batch_id).cast("long"))
+    sinks.write_partitioned(log.unionByName(rejected).coalesce(1), f"{out_root}/lote_importacao", ["batch_id"])  # written last: makes the batch visible
 
 
 def batch_log(spark: SparkSession, staged: DataFrame, written: DataFrame, files: list[str], started: datetime) -> DataFrame:
@@ -97,7 +104,17 @@ def batch_log(spark: SparkSession, staged: DataFrame, written: DataFrame, files:
     done = F.coalesce("n", F.lit(0))
     log = log.withColumns({"registros_inseridos": done, "duplicados_ignorados": F.col("linhas_aceitas") - done}).drop("n")
     log = log.join(file_hashes(spark, files).select("arquivo", "arquivo_hash"), "arquivo", "left")
-    return log.withColumns({"iniciado_em": F.lit(started), "concluido_em": F.current_timestamp()})
+    return log.withColumns({"iniciado_em": F.lit(started), "concluido_em": F.current_timestamp(), "status": F.lit("PROCESSADO"), "motivo": F.lit(None).cast("string")})
+
+
+LOG = ("lote_id string, arquivo string, linhas_total long, linhas_aceitas long, linhas_rejeitadas long, data_referencia date, fundo_cnpj string, "
+       "registros_inseridos long, duplicados_ignorados long, arquivo_hash string, iniciado_em timestamp, concluido_em timestamp, status string, motivo string, batch_id long")
+
+
+def rejected_files(spark: SparkSession, faults: dict[str, str], started: datetime, batch_id: int) -> DataFrame:
+    """Log rows of files that are refused as a whole (S2): none of their lines is read on."""
+    rows = [(None, f, 0, 0, 0, None, None, 0, 0, None, started, datetime.now(timezone.utc), "REJEITADO", why, batch_id) for f, why in sorted(faults.items())]
+    return spark.createDataFrame(rows, LOG).withColumn("lote_id", F.sha2("arquivo", 256))
 
 
 PROGRESS = "arquivos long, linhas long, aceitas long, rejeitadas long, inseridas long, ocorrido_em timestamp, batch_id long, etapa string"

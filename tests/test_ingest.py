@@ -278,3 +278,19 @@ def test_line_breaks_inside_quotes(spark, tmp_path):
     refs = StreamRefs(fundos, classes, spark.createDataFrame([], "fundo_id int, identificador_externo string, data_aquisicao date"), empty, empty)
     stream_ingest(spark, str(tmp_path), str(tmp_path / "out"), str(tmp_path / "ckpt"), refs, quoted_breaks=True).awaitTermination()
     assert Store(spark, str(tmp_path / "out")).titles().count() == 4
+
+
+def test_files_with_other_headers_are_refused_as_a_whole(spark, stream, tmp_path):
+    store = stream({"good.csv": [month_row(1, 3)]})
+    short, moved, more = tmp_path / "in" / "short.csv", tmp_path / "in" / "moved.csv", tmp_path / "in" / "more.csv"
+    cols = HEADER.split(";")
+    short.write_text("\n".join([";".join(cols[:-2]), month_row(2, 3)]) + "\n", encoding="utf-8")
+    moved.write_text("\n".join([";".join([cols[1], cols[0], *cols[2:]]), month_row(3, 3)]) + "\n", encoding="utf-8")
+    more.write_text("\n".join(["\ufeff" + ";".join([f'"{c}"' for c in cols] + ["nota"]), month_row(4, 3) + ";x"]) + "\n", encoding="utf-8")
+    store = stream({})
+    log = {r.arquivo.rsplit("/", 1)[1]: (r.status, r.motivo, r.linhas_total, r.registros_inseridos) for r in store.log().collect()}
+    assert log == {"good.csv": ("PROCESSADO", None, 1, 1), "more.csv": ("PROCESSADO", None, 1, 1),
+                   "short.csv": ("REJEITADO", K.MSG_COLUNAS + ", ".join(cols[-2:]), 0, 0), "moved.csv": ("REJEITADO", K.MSG_ORDEM_COLUNAS, 0, 0)}
+    assert [k for k, _ in keys(store.titles())] == ["ACME-2026-000001", "ACME-2026-000004"]
+    short.with_name("worse.csv").write_text("x;y\n1;2\n", encoding="utf-8")  # a batch of refused files only
+    assert stream({}).log().where("status = 'REJEITADO'").count() == 3
