@@ -1,4 +1,10 @@
-"""The corpus pipeline: a list of stages, each one operator of the llm subpackage applied to what its predecessor kept."""
+"""The corpus pipeline: a list of stages, each one operator of the llm subpackage applied to what its predecessor kept.
+
+Edge cases: a document whose text is null, empty or has under 20 words fails the quality rules' limits and goes; of repeated rows, the
+near-dedup stage keeps one; a null id or source is a value like any other; a label of a document that is not there
+changes nothing, and without labels the fixed limits alone decide; columns beyond those of ``documents`` pass all stages but the last
+untouched, whatever their names; empty tables give an empty result with the same columns. Very long texts are cut by the last stage only.
+"""
 
 from __future__ import annotations
 

@@ -12,6 +12,8 @@ pieces of one duplicate cluster, nor two of one source.
 Edge cases: a null or empty text has no words and gets no piece; a null source is a source of its own; copies of a
 text (white space and ASCII case aside) are one cluster; pieces of one text are one cluster, too; ties are broken by
 document, then piece; repeated rows are packed each; an empty table gives an empty result. Other columns are ignored.
+Memory: a shard holds some ``shard_rows`` pieces, with texts of a sequence each where they are asked for; a very long text is one
+row until the JVM has cut it, so a task also needs room for its longest text.
 """
 
 from __future__ import annotations

@@ -144,3 +144,25 @@ def test_entry_lists_and_survives_without_the_subpackage(tmp_path):
     code = "import sys; sys.path.insert(0, sys.argv[1]); import __spark_entry__ as e; assert not any(q.startswith('op') or q == 'pipeline' for q in e.queries() if q != 'order_replay'); print(len(e.queries()), len(e.oracle_sql()))"
     said = subprocess.run([sys.executable, "-B", "-c", code, str(tmp_path)], capture_output=True, text=True, cwd=tmp_path)
     assert said.returncode == 0, said.stderr
+
+
+def test_pipeline_on_empty_tables_and_with_more_columns(spark, tmp_path):
+    rng = random.Random(41)
+    docs = "doc_id long, text string, lang string, source string, n_chars long"
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    empty, more = str(tmp_path / "empty"), str(tmp_path / "more")
+    spark.createDataFrame([], docs).write.parquet(f"{empty}/documents.parquet")
+    labels.write.parquet(f"{empty}/labels.parquet")
+    out = corpus_pipeline.run(spark, empty)
+    assert out.count() == 0
+    rows = [(i, prose(rng, 60), "en", "ab"[i % 2], 1) for i in range(30)] + [(None, prose(rng, 60), None, None, None), (40, None, "en", "a", 0)]
+    df = spark.createDataFrame(rows, docs).selectExpr("*", "1 as CUT", "2 as Row", "3 as New", "4 as q", "map('k', doc_id) as extra")
+    df.write.parquet(f"{more}/documents.parquet")
+    labels.write.parquet(f"{more}/labels.parquet")
+    got = corpus_pipeline.run(spark, more)
+    assert got.columns == out.columns and {r.doc_id for r in got.collect()} <= {r[0] for r in rows} - {40}
+    kept = df
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, more)
+        assert kept.columns == df.columns
+    assert all((r.CUT, r.Row, r.New, r.q, r.extra) == (1, 2, 3, 4, {"k": r.doc_id}) for r in kept.collect()) and kept.count() > 20
