@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.calendar import build_calendar, date_range
-from ..operators import closing, ingest, ledger, validation
+from ..operators import closing, ingest, ledger, replay, validation
 from ..session import checkpoint_dir, exact_decimals
 from ..sources import fixtures as fx
 from ..sources.boleta_files import write_boleta_files
@@ -30,6 +30,7 @@ LOTE_ID = "lote-fx-0001"       # batch id of the derived boleta file
 # the shared checkpoint folder, the way the source keeps them as database tables.
 # Queries read them; each query still computes its own result from them.
 _STORE: dict[tuple[str, str, str], str] = {}
+_REPLAYS: dict[tuple[str, str], replay.Replay] = {}
 _LOCK = threading.RLock()  # builds nest (status reads titles)
 
 
@@ -182,6 +183,19 @@ class Ctx:
         """The stored closes table (apuracao.fechamento)."""
         return self.stored("fechamento", lambda: self.computed_closes)
 
+    @cached_property
+    def replay(self) -> "replay.Replay":
+        """Closes after the report date made again over the stored ones, with the orders after it; run once per application."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        with _LOCK:
+            if key not in _REPLAYS:
+                day = F.lit(REPORT_DATE).cast("date")
+                inputs = closing.close_inputs(self.grid.where(F.col("data") > day), self.titulos_status, self.movimento_caixa, self.cota_movimento,
+                                              self.params, self.calendar, self.bands)
+                _REPLAYS[key] = replay.replay_orders(inputs, self.calendar, fx.ordens(self.t).where(F.col("data") > day), self.cota_movimento,
+                                                     self.closes, self.classes, self.cotistas)
+        return _REPLAYS[key]
+
     # --- access review ----------------------------------------------------------------------
     @cached_property
     def perfis(self) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from ..functions.calendar import build_calendar, with_business_days
 from ..functions.params import param_asof, with_pdd_pct
 from .. import constants as K
-from ..operators import access, closing, ingest, ledger, orders, registry, replay, report, valuation, validation
+from ..operators import access, closing, ingest, ledger, orders, registry, report, valuation, validation
 from ..session import staged, work_dir
 from ..sources import fixtures as fx
 from ..sources.boleta_files import file_headers, read_boletas
@@ -271,22 +271,14 @@ def q_order_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.process_orders(fx.ordens(c.t), c.closes, c.cota_movimento, c.classes, c.cotistas)
 
 
-def _replay(spark: SparkSession, sf_dir: str) -> replay.Replay:
-    """Closes after the report date made again over the stored ones, with the orders after it."""
-    c = Ctx(spark, sf_dir)
-    day = F.lit(REPORT_DATE).cast("date")
-    inputs = closing.close_inputs(c.grid.where(F.col("data") > day), c.titulos_status, c.movimento_caixa, c.cota_movimento, c.params, c.calendar, c.bands)
-    return replay.replay_orders(inputs, c.calendar, fx.ordens(c.t).where(F.col("data") > day), c.cota_movimento, c.closes, c.classes, c.cotistas)
-
-
 def q_order_close_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """closes over stored ones, fed by the orders that pass the guard at these closes' own prices; new versions."""
-    return _replay(spark, sf_dir).closes
+    return Ctx(spark, sf_dir).replay.closes
 
 
 def q_order_guard_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The orders of that replay, each with the price, units and verdict that the closes before it gave."""
-    return _replay(spark, sf_dir).orders
+    return Ctx(spark, sf_dir).replay.orders
 
 
 def q_seal_closes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -377,10 +369,8 @@ def q_overview_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_compacted_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An import whose first half of months is compacted (the first quarter twice), read month by month for two years."""
-    c = Ctx(spark, sf_dir)
-    store = Store(spark, f"{work_dir(spark, 'compact')}/saida")
-    c.import_files(store.root)
+    """The imported titles after their first half of months was compacted (the first quarter twice), read for two years."""
+    store = Ctx(spark, sf_dir).importacao
     months = sorted(r["m"] for r in store.titles().select(F.col("mes_aquisicao").alias("m")).distinct().collect())  # a row a month
     store.compact(months[: len(months) // 2])
     store.compact(months[: len(months) // 4])
