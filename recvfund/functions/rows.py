@@ -53,6 +53,29 @@ def with_row_number(df: DataFrame, order_cols: list, out: str = "row_number", st
     return _number(tagged, out, start)
 
 
+def with_grouped_row_number(df: DataFrame, group: str, order_cols: list, out: str = "row_number", start: int = 1) -> DataFrame:
+    """Dense, gap-free row number over ``(group, *order_cols)`` for groups that fit a task (the lines of an order).
+
+    Rows are numbered inside their group and moved by the rows of the groups before it. Only a row a group is sorted across
+    partitions and written; the rows themselves are shuffled by ``group`` alone, which their last join may have done already.
+    ``df`` is read twice, the first time for ``group`` only, which must not be null.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = staged(  # written once: bounds that are sampled again could differ
+        df.groupBy(group).agg(F.count(F.lit(1)).alias("_rn_n")).repartitionByRange(n, group).withColumn("_rn_pid", F.spark_partition_id()), "grupos")
+    ranges = counts.groupBy("_rn_pid").agg(F.sum("_rn_n").alias("_rn_all"))  # a row a partition
+    before = Window.orderBy("_rn_pid").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("_rn_pid", F.coalesce(F.sum("_rn_all").over(before), F.lit(0)).alias("_rn_off"))
+    inside = Window.partitionBy("_rn_pid").orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(group, "_rn_pid", F.coalesce(F.sum("_rn_n").over(inside), F.lit(0)).alias("_rn_in"))
+    offsets = offsets.join(F.broadcast(ranges), "_rn_pid").select(group, (F.col("_rn_in") + F.col("_rn_off")).alias("_rn_off"))
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(*order_cols))
+    return (
+        df.withColumn("_rn_in", rank).join(offsets, group)
+        .withColumn(out, (F.col("_rn_off") + F.col("_rn_in") + F.lit(start - 1)).cast("long")).drop("_rn_in", "_rn_off")
+    )
+
+
 def with_file_line_number(df: DataFrame, out: str = "linha_numero", start: int = 2) -> DataFrame:
     """Per-file data-row number for rows read straight from files (no shuffle before).
 

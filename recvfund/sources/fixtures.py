@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as K
-from ..functions.rows import with_row_number
+from ..functions.rows import with_grouped_row_number
 from ..operators import ledger
 from .tables import Tables
 
@@ -103,7 +103,11 @@ def parametros(t: Tables) -> DataFrame:
 
 
 def base(t: Tables) -> DataFrame:
-    """Lineitems enriched with order, customer, nation and supplier columns."""
+    """Lineitems enriched with order, customer, nation and supplier columns.
+
+    Orders meet their customers first and suppliers join the narrow lineitems, so that the join by order comes last: its
+    shuffle by order also serves what goes on by order.
+    """
     li = t.lineitem
     o = t.orders.select("o_orderkey", "o_orderdate", "o_custkey")
     c = t.customer.select("c_custkey", "c_mktsegment", "c_name", "c_nationkey")
@@ -111,11 +115,13 @@ def base(t: Tables) -> DataFrame:
     s = t.supplier.select("s_suppkey", "s_name")
     vf = F.col("l_extendedprice").cast(T.DecimalType(18, 2))
     disc = F.col("l_discount").cast(T.DecimalType(4, 2))
-    return (
-        li.join(o, F.col("o_orderkey") == F.col("l_orderkey"))
-        .join(c, F.col("c_custkey") == F.col("o_custkey"))
+    sold = (
+        o.join(c, F.col("c_custkey") == F.col("o_custkey"))
         .join(F.broadcast(n), F.col("n_nationkey") == F.col("c_nationkey"))  # 25 nations: fixed size
-        .join(s, F.col("s_suppkey") == F.col("l_suppkey"))
+    )
+    return (
+        li.join(s, F.col("s_suppkey") == F.col("l_suppkey"))
+        .join(sold, F.col("o_orderkey") == F.col("l_orderkey"))
         .withColumn("h", F.col("l_orderkey") * 7 + F.col("l_partkey") * 13 + F.col("l_suppkey") * 3
                     + F.col("l_linenumber"))
         .withColumn("vf", vf)
@@ -173,7 +179,7 @@ def boleta_raw(t: Tables) -> DataFrame:
         F.when(F.col("l_linestatus") == "O", "s").otherwise("").alias("coobrigacao"),
         F.concat(F.lit("CTA-"), F.col("l_returnflag")).alias("conta_liquidacao"),
     ]
-    numbered = with_row_number(b.select(*BOLETA_ORDER, *cols_inputs()), BOLETA_ORDER, "linha_numero", start=2)
+    numbered = with_grouped_row_number(b.select(*BOLETA_ORDER, *cols_inputs()), BOLETA_ORDER[0], BOLETA_ORDER[1:], "linha_numero", start=2)
     return numbered.select("linha_numero", *cols)
 
 

@@ -294,3 +294,35 @@ def test_files_with_other_headers_are_refused_as_a_whole(spark, stream, tmp_path
     assert [k for k, _ in keys(store.titles())] == ["ACME-2026-000001", "ACME-2026-000004"]
     short.with_name("worse.csv").write_text("x;y\n1;2\n", encoding="utf-8")  # a batch of refused files only
     assert stream({}).log().where("status = 'REJEITADO'").count() == 3
+
+
+def _order_tables(spark):
+    """Two lines share order, line and part; one order has no lines, one line no order; keys repeat in suppliers."""
+    from types import SimpleNamespace
+
+    d = "timestamp'1997-03-01 00:00:00'"
+    lines = [(o, ln, p, 1 + p % 2, float(q)) for o in (3, 1, 2, 9) for ln, p, q in ((2, 5, 1), (1, 7, 2), (2, 4, 9))]
+    frame = spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double")
+    return SimpleNamespace(
+        lineitem=frame.selectExpr("*", "l_quantity * 100 as l_extendedprice", "0.05D as l_discount", "'N' as l_returnflag", "'O' as l_linestatus", f"{d} as l_shipdate"),
+        orders=spark.createDataFrame([(1, 1), (2, 2), (3, 1), (4, 1)], "o_orderkey long, o_custkey long").selectExpr("*", f"{d} as o_orderdate"),
+        customer=spark.createDataFrame([(1, "BUILDING", "C1", 0), (2, "MACHINERY", "C2", 1)], "c_custkey long, c_mktsegment string, c_name string, c_nationkey int"),
+        nation=spark.createDataFrame([(0, 0), (1, 1)], "n_nationkey int, n_regionkey int"),
+        supplier=spark.createDataFrame([(1, "S1"), (2, "S2")], "s_suppkey long, s_name string"))
+
+
+def test_boleta_lines_are_numbered_without_writing_the_wide_rows(spark):
+    """Only a row an order is sorted across partitions and written; numbers are those of one order over all lines."""
+    from recvfund.functions.rows import with_grouped_row_number
+    from recvfund.sources import fixtures as fx
+
+    t = _order_tables(spark)
+    raw = fx.boleta_raw(t)
+    assert "rangepartitioning" not in raw._jdf.queryExecution().executedPlan().toString()
+    assert all("grupos" in f for f in raw.inputFiles())  # nothing else was written on the way
+    got = [(r.linha_numero, r.numero_titulo, r.numero_parcela) for r in raw.orderBy("linha_numero").collect()]
+    assert [g[0] for g in got] == list(range(2, 11))
+    assert [g[2] for g in got] == ["", "2", "2"] * 3
+    b = fx.base(t).select(*fx.BOLETA_ORDER)
+    key = lambda rows: sorted(tuple(r) for r in rows)
+    assert key(with_grouped_row_number(b, fx.BOLETA_ORDER[0], fx.BOLETA_ORDER[1:], "n").collect()) == key(with_row_number(b, fx.BOLETA_ORDER, "n").collect())
