@@ -326,3 +326,25 @@ def test_boleta_lines_are_numbered_without_writing_the_wide_rows(spark):
     b = fx.base(t).select(*fx.BOLETA_ORDER)
     key = lambda rows: sorted(tuple(r) for r in rows)
     assert key(with_grouped_row_number(b, fx.BOLETA_ORDER[0], fx.BOLETA_ORDER[1:], "n").collect()) == key(with_row_number(b, fx.BOLETA_ORDER, "n").collect())
+
+
+def test_received_files_are_compressed(spark, tmp_path):
+    from recvfund.sources.boleta_files import write_boleta_files
+
+    rows = spark.createDataFrame([(i, f"L{i % 2}", *[f"{c}{i}" for c in K.BOLETA_COLUMNS]) for i in range(6)], ["linha_numero", "lote", *K.BOLETA_COLUMNS])
+    write_boleta_files(rows, str(tmp_path / "f"), "lote")
+    assert {p.suffix for p in (tmp_path / "f").glob("lote=*/part-*")} == {".gz"}
+    got = {(r.lote, r.linha_numero, r.numero_titulo) for r in read_boletas(spark, str(tmp_path / "f")).collect()}
+    assert got == {("L0", 2, "numero_titulo0"), ("L0", 3, "numero_titulo2"), ("L0", 4, "numero_titulo4"),
+                   ("L1", 2, "numero_titulo1"), ("L1", 3, "numero_titulo3"), ("L1", 4, "numero_titulo5")}
+
+
+def test_stored_tables_are_small(spark, tmp_path):
+    from recvfund.session import staged
+    from recvfund.sources import sinks
+
+    files = lambda root: [f for f in root.rglob("*.parquet")]
+    sinks.write_partitioned(spark.range(3).withColumn("m", F.lit("x")), str(tmp_path / "t"), ["m"])
+    assert files(tmp_path / "t") and all(".zstd." in f.name for f in files(tmp_path / "t"))
+    path = Path(staged(spark.range(3), "small").inputFiles()[0].removeprefix("file:"))
+    assert ".zstd." in path.name
