@@ -348,3 +348,15 @@ def test_stored_tables_are_small(spark, tmp_path):
     assert files(tmp_path / "t") and all(".zstd." in f.name for f in files(tmp_path / "t"))
     path = Path(staged(spark.range(3), "small").inputFiles()[0].removeprefix("file:"))
     assert ".zstd." in path.name
+
+
+def test_ids_are_hashed_after_the_shuffles(spark):
+    """Hashes do not compress: no exchange of the import carries one."""
+    v, fundos, classes = validate_lines(spark, [ROW1, ROW2])
+    none = spark.createDataFrame([], "fundo_id int, identificador_externo string, data_aquisicao date")
+    docs = spark.createDataFrame([], "documento string")
+    titles = ingest.ingest(v, fundos, classes, none, docs, docs).titles
+    plan = titles._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert "sha2" in plan[0] and len([ln for ln in plan if "sha2" in ln]) == 1
+    want = ingest.insert_new(ingest.typed_titles(v.where("valido"), fundos, classes), none)
+    assert titles.columns == want.columns and sorted(map(tuple, titles.collect())) == sorted(map(tuple, want.collect()))
