@@ -162,8 +162,10 @@ def apply_title_events(titles: DataFrame, events: DataFrame, as_of: str | None =
         .agg(F.max_by(status_map[F.col("tipo")], F.when(F.col("tipo").isin(*K.EVENT_STATUS), F.col("ordem"))).alias("_s"),
              F.count(F.lit(1)).alias("n_eventos"))
     )
+    # an event that counts names a key of one title, so the key alone finds it (dates that are null match nothing)
+    changes = changes.where(F.col("data_aquisicao").isNotNull()).drop("data_aquisicao")
     status = (
-        titles.join(changes, [*key, "data_aquisicao"], "left")
+        titles.join(changes, key, "left")
         .withColumn("situacao", F.coalesce(F.col("_s"), F.lit("ATIVO")))
         .withColumn("n_eventos", F.coalesce(F.col("n_eventos"), F.lit(0)).cast("long"))
         .drop("_s")

@@ -390,3 +390,26 @@ def test_audit_is_the_difference_of_two_states(spark):
         4: ("GONE", ["versao", "status", "preco"], '{"versao":1,"status":"P","preco":4.00}', None, "202603"),
         5: ("NEW", ["versao", "status"], None, '{"versao":1,"status":"P"}', "202603"),
     }
+
+
+def D(day: int) -> date:
+    return date(2026, 1, day)
+
+
+M = Decimal
+
+
+def test_status_meets_titles_by_their_key_alone(spark):
+    """One join by fund and id serves matches and status (the date would shuffle the titles again); null keys and dates match nothing."""
+    from recvfund.operators import ledger
+
+    titles = spark.createDataFrame([(1, "a", D(1), "c", M("5.00")), (1, "b", D(1), "c", M("5.00")), (1, "b", D(2), "c", M("5.00")),
+                                    (1, "n", None, "c", M("5.00")), (None, "a", D(1), "c", M("5.00"))],
+                                   "fundo_id int, identificador_externo string, data_aquisicao date, classe_id string, valor_face decimal(20,2)")
+    events = spark.createDataFrame([(i, 1, x, D(3), None, "PAGAMENTO") for i, x in enumerate("abnz")],
+                                   "ordem int, fundo_id int, identificador_externo string, data_evento date, valor decimal(20,2), tipo string")
+    status, _ = ledger.apply_title_events(titles, events)
+    assert sorted((r.fundo_id or 0, r.identificador_externo, r.situacao, r.n_eventos) for r in status.collect()) == [
+        (0, "a", "ATIVO", 0), (1, "a", "LIQUIDADO", 1), (1, "b", "ATIVO", 0), (1, "b", "ATIVO", 0), (1, "n", "ATIVO", 0)]
+    plan = status._jdf.queryExecution().optimizedPlan().toString()
+    assert "data_aquisicao" not in next(ln for ln in plan.splitlines() if "Join LeftOuter" in ln)
