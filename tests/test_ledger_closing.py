@@ -413,3 +413,21 @@ def test_status_meets_titles_by_their_key_alone(spark):
         (0, "a", "ATIVO", 0), (1, "a", "LIQUIDADO", 1), (1, "b", "ATIVO", 0), (1, "b", "ATIVO", 0), (1, "n", "ATIVO", 0)]
     plan = status._jdf.queryExecution().optimizedPlan().toString()
     assert "data_aquisicao" not in next(ln for ln in plan.splitlines() if "Join LeftOuter" in ln)
+
+
+def test_replay_screens_unknown_investors_once(spark, monkeypatch):
+    """Refusals and opening balances depend on no price: every round reads them as they were written."""
+    from recvfund.operators import orders, replay
+
+    seen = []
+    real = orders.opening_units
+    monkeypatch.setattr(replay, "opening_units", lambda units: seen.append(1) or real(units))
+    inputs = _inputs(spark, [_row(D(d), "100.00", "0.00", "0.00", "100") for d in (10, 20, 30)])
+    placed = spark.createDataFrame([(1, D(15), "c", 7, "APLICACAO", M("50.00"), None), (2, D(25), "c", 7, "RESGATE", M("10.00"), None),
+                                    (3, D(25), "c", 8, "RESGATE", M("10.00"), None), (4, D(25), "c", 9, "RESGATE", M("10.00"), None)],
+                                   "ordem long, data date, classe_id string, cotista_id long, tipo string, valor decimal(20,2), quantidade_solicitada decimal(28,12)")
+    units = spark.createDataFrame([("c", 8, D(1), "EMISSAO", M("100"))], "classe_id string, cotista_id long, data date, tipo string, quantidade decimal(28,12)")
+    who = spark.createDataFrame([(7,), (8,)], "cotista_id long")
+    r = replay.replay_orders(inputs, build_calendar(spark, "2026-01-01", "2026-12-31"), placed, units, classes=spark.createDataFrame([("c",)], "classe_id string"), cotistas=who)
+    assert {x.ordem: (x.aceito, x.motivo) for x in r.orders.collect()} == {1: (True, None), 2: (True, None), 3: (True, None), 4: (False, K.MSG_ORDEM_COTISTA)}
+    assert r.rounds > 1 and len(seen) == 1
