@@ -230,6 +230,8 @@ def test_a_micro_batch_reads_its_own_months_and_keys(spark, stream):
 
 
 def test_compaction_changes_nothing_but_the_files(spark, stream, tmp_path, monkeypatch):
+    import tempfile
+
     from recvfund.sources import sinks
 
     for n in range(4):
@@ -341,6 +343,8 @@ def test_received_files_are_compressed(spark, tmp_path):
 
 def test_stored_tables_are_small(spark, tmp_path):
     from recvfund.session import staged
+    import tempfile
+
     from recvfund.sources import sinks
 
     files = lambda root: [f for f in root.rglob("*.parquet")]
@@ -360,3 +364,28 @@ def test_ids_are_hashed_after_the_shuffles(spark):
     assert "sha2" in plan[0] and len([ln for ln in plan if "sha2" in ln]) == 1
     want = ingest.insert_new(ingest.typed_titles(v.where("valido"), fundos, classes), none)
     assert titles.columns == want.columns and sorted(map(tuple, titles.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_repeated_identifiers_are_found_without_moving_the_wide_rows(spark):
+    fundos, classes = dims(spark)
+    n = 10_000  # several blocks of bits; every third identifier comes twice, one comes a thousand times
+    line = F.col("linha_numero")
+    name = F.when(line % 10 == 0, "HOT").when(line % 3 == 0, F.concat(F.lit("R"), (line % 3000).cast("string"))).otherwise(F.concat(F.lit("U"), line.cast("string")))
+    good = dict(zip(K.BOLETA_COLUMNS, ROW1.split(";"), strict=True))
+    raw = spark.range(2, n).withColumnRenamed("id", "linha_numero").select(
+        "linha_numero", *[name.alias(c) if c == "identificador_externo" else F.lit(good[c]).alias(c) for c in K.BOLETA_COLUMNS])
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")
+    try:
+        v = validation.validate(validation.normalize(raw), fundos, classes)
+        assert "hashpartitioning(identificador_externo" not in v._jdf.queryExecution().executedPlan().toString()
+        got = {r["linha_numero"]: r["motivo_rejeicao"] for r in v.select("linha_numero", "motivo_rejeicao").collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    seen, again = set(), set()
+    for i in range(2, n):
+        key = "HOT" if i % 10 == 0 else f"R{i % 3000}" if i % 3 == 0 else f"U{i}"
+        again |= {i} if key in seen else set()
+        seen.add(key)
+    assert len(got) == n - 2 and {i for i, m in got.items() if m == K.MSG_DUPLICADO} == again
+    assert {m for i, m in got.items() if i not in again} == {None}
