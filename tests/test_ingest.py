@@ -389,3 +389,23 @@ def test_repeated_identifiers_are_found_without_moving_the_wide_rows(spark):
         seen.add(key)
     assert len(got) == n - 2 and {i for i, m in got.items() if m == K.MSG_DUPLICADO} == again
     assert {m for i, m in got.items() if i not in again} == {None}
+
+
+def test_lines_are_staged_and_titles_rebalanced_before_their_ids(spark):
+    import tempfile
+
+    from recvfund.sources import sinks
+
+    d = tempfile.mkdtemp(prefix="recvfund-test-clustered-") + "/t"
+    rows = spark.range(0, 100, 1, 2).select((F.col("id") >= 50).cast("int").alias("lote_id"), F.col("id").alias("linha_numero"))
+    sinks.write_staging(rows, d, clustered=True)
+    back = spark.read.parquet(d)
+    assert back.count() == 100 and len(back.inputFiles()) == 2
+    v, fundos, classes = validate_lines(spark, [ROW1, ROW2])
+    none = spark.createDataFrame([], "fundo_id long, identificador_externo string, data_aquisicao date")
+    parties = spark.createDataFrame([], "documento string, nome string")
+    plain = ingest.ingest(v, fundos, classes, none, parties, parties).titles
+    moved = ingest.ingest(v, fundos, classes, none, parties, parties, rebalance=tuple(sinks.TITLES_BY)).titles
+    assert moved.columns == plain.columns and sorted(map(str, moved.collect())) == sorted(map(str, plain.collect()))
+    plan = moved._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.index("sha2(") < plan.index("RebalancePartitions")  # the parent stands above its child
