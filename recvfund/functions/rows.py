@@ -22,6 +22,22 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_dir, staged
 
 _POS_BITS = 33  # monotonically_increasing_id = (partition << 33) + position
+#: Tables of so many rows are dealt into partitions of so many rows each, which a task sorts in memory; smaller ones are left to Spark.
+DEALT_FROM, ROWS_A_PARTITION = 2_000_000, 200_000
+
+
+def partitions_for(table: DataFrame) -> int | None:
+    """How many partitions ``table`` is dealt into; None where that is left to Spark, which merges partitions by their compressed
+    bytes, whatever a task has to sort. ``table`` is one as stored: its rows are counted without reading columns."""
+    rows = table.count()
+    if rows < DEALT_FROM:
+        return None
+    return max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_A_PARTITION))
+
+
+def dealt(df: DataFrame, n: int | None, *keys: str) -> DataFrame:
+    """``df`` in ``n`` partitions by ``keys`` (see ``partitions_for``), which joins and groups by them then take as they are."""
+    return df if n is None else df.repartition(n, *keys)
 
 
 def _number(tagged: DataFrame, out: str, start: int) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as K
+from ..functions.rows import dealt
 
 MONEY = T.DecimalType(20, 2)
 UNITS = T.DecimalType(28, 12)
@@ -116,37 +117,51 @@ def price_asof(keys: DataFrame, closes: DataFrame, date: str = "data") -> DataFr
     The as-of runs on the distinct (class, date) keys (bounded by classes x days),
     then joins back on equality, so a hot class never sorts its raw rows.
     """
+    return keys.join(applicable_prices(keys, closes, date), ["classe_id", date], "left")
+
+
+def applicable_prices(keys: DataFrame, closes: DataFrame, date: str = "data") -> DataFrame:
+    """L4 for the distinct (class, date) of ``keys``: a row each with ``valor_cota_aplicavel``."""
     priced = latest_price_per_date(closes).select(
         "classe_id", F.col("data_referencia").alias(date), "valor_cota", F.lit(0).alias("_k"))
     kd = keys.select("classe_id", date).distinct().select(
         "classe_id", date, F.lit(None).cast(PRICE).alias("valor_cota"), F.lit(1).alias("_k"))
     w = Window.partitionBy("classe_id").orderBy(date, "_k").rowsBetween(Window.unboundedPreceding, 0)
-    asof = (
+    return (
         priced.unionByName(kd)
         .withColumn("_p", F.last("valor_cota", ignorenulls=True).over(w))
         .where(F.col("_k") == 1)
         .select("classe_id", date, F.coalesce(F.col("_p"), F.lit(K.PAR).cast(PRICE)).alias("valor_cota_aplicavel"))
     )
-    return keys.join(asof, ["classe_id", date], "left")
 
 
-def apply_title_events(titles: DataFrame, events: DataFrame, as_of: str | None = None):
+EVENT_KEY = ["fundo_id", "identificador_externo"]
+
+
+def apply_title_events(titles: DataFrame, events: DataFrame, as_of: str | None = None, partitions: int | None = None):
     """Resolve events to titles by (fundo_id, identificador_externo) and derive status.
 
     Returns (titles with ``situacao`` and ``n_eventos``, resolved events with
     ``resultado``: OK, or the not-found / ambiguous / unknown-kind message). Events
     apply in posting order (``ordem``); the class is that of the title they resolve
-    to. With ``as_of`` only events dated on or before that day count.
+    to. With ``as_of`` only events dated on or before that day count. ``partitions``:
+    how many both are dealt into (see ``rows.partitions_for``).
     """
-    key = ["fundo_id", "identificador_externo"]
+    resolved = resolve_events(titles, events, as_of, partitions)
+    return title_status(titles, resolved, partitions), resolved
+
+
+def resolve_events(titles: DataFrame, events: DataFrame, as_of: str | None = None, partitions: int | None = None) -> DataFrame:
+    """The second result of ``apply_title_events``."""
+    key = EVENT_KEY
     events = events.drop("classe_id")
     ev = events if as_of is None else events.where(F.col("data_evento") <= F.lit(as_of).cast("date"))
-    matches = titles.groupBy(*key).agg(
+    matches = dealt(titles, partitions, *key).groupBy(*key).agg(
         F.count(F.lit(1)).alias("_n"),
         F.min(F.struct("data_aquisicao", "classe_id", "valor_face")).alias("_t"),
     )
-    resolved = (
-        ev.join(matches, key, "left")
+    return (
+        dealt(ev, partitions, *key).join(matches, key, "left")
         .withColumn("resultado", F.when(F.col("_n").isNull(), F.lit(K.MSG_EVENTO_NAO_ENCONTRADO))
                     .when(F.col("_n") > 1, F.lit(K.MSG_EVENTO_AMBIGUO))
                     .when(~F.col("tipo").isin(*K.TITLE_EVENT_KINDS), F.lit(K.MSG_EVENTO_TIPO)).otherwise(F.lit("OK")))
@@ -155,6 +170,11 @@ def apply_title_events(titles: DataFrame, events: DataFrame, as_of: str | None =
         .withColumn("valor", F.coalesce(F.col("valor"), F.col("_t.valor_face")).cast(MONEY))
         .drop("_n", "_t")
     )
+
+
+def title_status(titles: DataFrame, resolved: DataFrame, partitions: int | None = None) -> DataFrame:
+    """The first result of ``apply_title_events``, from its second."""
+    key = EVENT_KEY
     status_map = F.create_map(*[x for k, v in K.EVENT_STATUS.items() for x in (F.lit(k), F.lit(v))])
     changes = (
         resolved.where(F.col("resultado") == "OK")
@@ -164,13 +184,12 @@ def apply_title_events(titles: DataFrame, events: DataFrame, as_of: str | None =
     )
     # an event that counts names a key of one title, so the key alone finds it (dates that are null match nothing)
     changes = changes.where(F.col("data_aquisicao").isNotNull()).drop("data_aquisicao")
-    status = (
-        titles.join(changes, key, "left")
+    return (
+        dealt(titles, partitions, *key).join(changes, key, "left")
         .withColumn("situacao", F.coalesce(F.col("_s"), F.lit("ATIVO")))
         .withColumn("n_eventos", F.coalesce(F.col("n_eventos"), F.lit(0)).cast("long"))
         .drop("_s")
     )
-    return status, resolved
 
 
 def title_leaving(titles: DataFrame, resolved_events: DataFrame) -> DataFrame:

@@ -22,6 +22,10 @@ on, that investor's rows are one task: the guard is inherently serial). Opening
 balances come from the unit ledger, pre-aggregated per (class, investor, day),
 and are merged into the same sorted stream.
 
+Orders are read, priced and screened once: known orders, the prices that apply (a
+row a class and day, so that Spark knows their size), priced and screened orders are
+each written to the shared folder, as several later steps read them.
+
 Replay order: by date, then order id (orders of a day are priced at the last
 close on or before that day).
 """
@@ -37,6 +41,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as K
+from ..functions.rows import dealt, partitions_for
+from ..session import staged
 from . import ledger
 
 MONEY = T.DecimalType(20, 2)
@@ -85,31 +91,32 @@ def price_orders(orders: DataFrame, closes: DataFrame, same_day: bool = True) ->
 
     ``same_day``: the close of an order's own day prices it; else orders come before that close.
     """
-    if same_day:
-        priced = ledger.price_asof(orders, closes)
-    else:
-        priced = ledger.price_asof(orders.withColumn("_day_before", F.date_sub("data", 1)), closes, "_day_before").drop("_day_before")
+    at = orders.withColumn("_priced_on", F.col("data") if same_day else F.date_sub("data", 1))
+    prices = staged(ledger.applicable_prices(at, closes, "_priced_on"), "precos")
+    priced = at.join(prices, ["classe_id", "_priced_on"], "left").drop("_priced_on")
     price = F.col("valor_cota_aplicavel")
     by_units = F.col("quantidade_solicitada") if "quantidade_solicitada" in orders.columns else F.lit(None)
     qtd = F.coalesce(F.bround(by_units.cast(UNITS), 12), F.bround(F.col("valor") / price, 12)).cast(UNITS)
     return priced.withColumn("quantidade", qtd)
 
 
-def _screened(stream: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _screened(stream: DataFrame, partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Orders that pass whatever comes later, with the balance after each; and what the fold has to decide, with an opening
-    row for each investor."""
+    row for each investor. ``stream`` is read once; both parts read the written result."""
     who = ["classe_id", "cotista_id"]
+    stream = dealt(stream, partitions, *who, "data")
     day = Window.partitionBy(*who, "data").orderBy("_k", "ordem").rowsBetween(Window.unboundedPreceding, 0)
     sums = stream.withColumn("_in", F.sum(F.when(F.col("_redeem"), -F.col("_q")).otherwise(F.col("_q"))).over(day))
-    days = sums.groupBy(*who, "data").agg(F.max_by("_in", F.struct("_k", "ordem")).alias("_total"), F.min("_in").alias("_least"))
+    days = sums.groupBy(*who, "data").agg(F.sum(F.when(F.col("_redeem"), -F.col("_q")).otherwise(F.col("_q"))).alias("_total"), F.min("_in").alias("_least"))
     before = Window.partitionBy(*who).orderBy("data")
     days = days.withColumn("_offset", F.coalesce(F.sum("_total").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast(SUMS))
     short = F.min(F.when(F.col("_offset") + F.col("_least") < 0, F.col("data"))).over(before.rowsBetween(Window.unboundedPreceding, 0))
     days = days.withColumn("_short", short)  # the first day that falls short, on that day and after it
-    at = sums.join(days.select(*who, "data", "_offset", "_short"), [*who, "data"])
+    at = staged(sums.join(days.select(*who, "data", "_offset", "_short"), [*who, "data"]), "triagem")
     clear = at.where(F.col("_short").isNull() & (F.col("_k") == 1)).select(
         "ordem", *who, F.lit(True).alias("aceito"), (F.col("_offset") + F.col("_in")).cast(UNITS).alias("saldo_cotas"))
-    opening = days.where(F.col("data") == F.col("_short")).select(
+    # all rows of a day have its offset
+    opening = at.where(F.col("data") == F.col("_short")).groupBy(*who, "data").agg(F.min("_offset").alias("_offset")).select(
         *who, "data", F.lit(0).alias("_k"), F.lit(None).cast("long").alias("ordem"), F.lit(False).alias("_redeem"), F.col("_offset").cast(UNITS).alias("_q"))
     return clear, at.where(F.col("_short").isNotNull()).select(*stream.columns).unionByName(opening)
 
@@ -122,7 +129,7 @@ def process_orders(orders: DataFrame, closes: DataFrame, unit_ledger: DataFrame
     With ``classes`` and ``cotistas``, an order for an unknown one is refused and changes no balance.
     """
     opening = None if unit_ledger is None else opening_units(unit_ledger)
-    return guard_orders(with_refusals(orders, classes, cotistas), closes, opening, same_day)
+    return guard_orders(staged(with_refusals(orders, classes, cotistas), "ordens"), closes, opening, same_day)
 
 
 def with_refusals(orders: DataFrame, classes: DataFrame | None = None, cotistas: DataFrame | None = None) -> DataFrame:
@@ -148,13 +155,14 @@ def opening_units(unit_ledger: DataFrame) -> DataFrame:
 
 def guard_orders(known: DataFrame, closes: DataFrame, opening: DataFrame | None = None, same_day: bool = True) -> DataFrame:
     """The part of ``process_orders`` that depends on the closes: orders ``with_refusals`` and ``opening_units`` stay as they are."""
-    priced = price_orders(known, closes, same_day)
+    priced = staged(price_orders(known, closes, same_day), "ordens-preco")
+    n_parts = partitions_for(priced)
     stream = priced.where(F.col("_refused").isNull()).select(
         "classe_id", "cotista_id", "data", F.lit(1).alias("_k"), "ordem",
         (F.col("tipo") == "RESGATE").alias("_redeem"), F.col("quantidade").alias("_q"))
     if opening is not None:
         stream = opening.unionByName(stream)
-    clear, rest = _screened(stream)
+    clear, rest = _screened(stream, n_parts)
     folded = clear.unionByName(
         rest.repartition("classe_id", "cotista_id")
         .sortWithinPartitions("classe_id", "cotista_id", "data", "_k", "ordem")
@@ -165,7 +173,7 @@ def guard_orders(known: DataFrame, closes: DataFrame, opening: DataFrame | None
     valor = F.when(F.col("tipo") == "RESGATE", F.bround(F.col("quantidade") * F.col("valor_cota_aplicavel"), 2)) \
         .otherwise(F.col("valor"))
     return (
-        priced.join(folded, ["ordem", "classe_id", "cotista_id"], "left")
+        dealt(priced, n_parts, "ordem", "classe_id", "cotista_id").join(folded, ["ordem", "classe_id", "cotista_id"], "left")
         .withColumn("aceito", F.coalesce("aceito", F.lit(False)))
         .select("ordem", "classe_id", "cotista_id", "data", "tipo", "quantidade",
                 F.col("valor_cota_aplicavel").alias("valor_cota"), valor.cast(MONEY).alias("valor_financeiro"),

@@ -431,3 +431,31 @@ def test_replay_screens_unknown_investors_once(spark, monkeypatch):
     r = replay.replay_orders(inputs, build_calendar(spark, "2026-01-01", "2026-12-31"), placed, units, classes=spark.createDataFrame([("c",)], "classe_id string"), cotistas=who)
     assert {x.ordem: (x.aceito, x.motivo) for x in r.orders.collect()} == {1: (True, None), 2: (True, None), 3: (True, None), 4: (False, K.MSG_ORDEM_COTISTA)}
     assert r.rounds > 1 and len(seen) == 1
+
+
+def test_dealt_title_events_are_the_same(spark):
+    """Status and resolved events do not depend on how many partitions titles are dealt into; titles are not sorted before they are."""
+    from recvfund.operators import ledger
+
+    titles = spark.createDataFrame([(1, "a", D(1), "c", M("5.00")), (1, "b", D(1), "c", M("5.00")), (1, "b", D(2), "d", M("4.00")), (None, "a", D(1), "c", M("5.00"))],
+                                   "fundo_id int, identificador_externo string, data_aquisicao date, classe_id string, valor_face decimal(20,2)")
+    events = spark.createDataFrame([(i, 1, x, D(3), None, "PAGAMENTO") for i, x in enumerate("abnz")],
+                                   "ordem int, fundo_id int, identificador_externo string, data_evento date, valor decimal(20,2), tipo string")
+    key = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    want = [key(x) for x in ledger.apply_title_events(titles, events)]
+    status, resolved = ledger.apply_title_events(titles, events, partitions=7)
+    assert [key(status), key(resolved), key(ledger.title_status(titles, resolved, 7))] == [*want, want[0]]
+    plan = ledger.resolve_events(titles, events, partitions=7)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 2 and "ENSURE_REQUIREMENTS" not in plan
+
+
+def test_orders_are_priced_and_screened_once(spark):
+    """What several steps of the guard read is written: the result's plan has no window, and reads nothing else."""
+    df = spark.createDataFrame([(1, D(3), "c", 1, "APLICACAO", M("10.00")), (2, D(4), "c", 1, "RESGATE", M("4.00")), (3, D(5), "c", 1, "RESGATE", M("9.00")), (4, D(6), "c", 1, "RESGATE", M("6.00"))],
+                               "ordem long, data date, classe_id string, cotista_id long, tipo string, valor decimal(20,2)")
+    closes = spark.createDataFrame([("c", D(4), 1, M("2"))], "classe_id string, data_referencia date, versao long, valor_cota decimal(28,12)")
+    got = orders.process_orders(df, closes)
+    # 10 units at par; from the 4th on a unit is worth 2
+    assert {r.ordem: (r.aceito, r.saldo_cotas) for r in got.collect()} == {1: (True, 10), 2: (True, 8), 3: (True, M("3.5")), 4: (True, M("0.5"))}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and {f.split("/recvfund-")[-1].rsplit("-", 1)[0] for f in (x.rsplit("/", 1)[0] for x in got.inputFiles())} == {"ordens-preco", "triagem"}
