@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.calendar import build_calendar, date_range
+from ..functions.rows import dealt, partitions_for
 from ..operators import closing, ingest, ledger, replay, validation
 from ..session import STORED, checkpoint_dir, exact_decimals
 from ..sources import fixtures as fx
@@ -99,10 +100,23 @@ class Ctx:
     def eventos(self) -> DataFrame:
         return self.stored("evento", lambda: fx.eventos(self.t, self.titulos))
 
+    @cached_property
+    def title_partitions(self) -> int | None:
+        return partitions_for(self.titulos)
+
+    @cached_property
+    def eventos_resolvidos(self) -> DataFrame:
+        """Every recorded event with the title it names and what came of it; status and cash read it."""
+        return self.stored("evento_resolvido", lambda: ledger.resolve_events(self.titulos, self.eventos, partitions=self.title_partitions))
+
     @cached_property
     def titulos_status(self) -> DataFrame:
         """Titles with their current status after every recorded event."""
-        return self.stored("titulo_status", lambda: ledger.apply_title_events(self.titulos, self.eventos)[0])
+        def build() -> DataFrame:
+            n = self.title_partitions
+            return ledger.title_status(self.titulos, dealt(self.eventos_resolvidos, n, *ledger.EVENT_KEY), n)
+
+        return self.stored("titulo_status", build)
 
     @cached_property
     def cota_movimento(self) -> DataFrame:
@@ -110,7 +124,7 @@ class Ctx:
 
     @cached_property
     def movimento_caixa(self) -> DataFrame:
-        return self.stored("movimento_caixa", lambda: fx.movimento_caixa(self.t, self.titulos, self.eventos))
+        return self.stored("movimento_caixa", lambda: fx.movimento_caixa(self.t, self.titulos, self.eventos_resolvidos, self.cota_movimento))
 
     @cached_property
     def grid(self) -> DataFrame:

@@ -153,7 +153,7 @@ def q_price_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_title_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Current status of every receivable after its events."""
     c = Ctx(spark, sf_dir)
-    status, _ = ledger.apply_title_events(c.titulos, c.eventos)
+    status, _ = ledger.apply_title_events(c.titulos, c.eventos, partitions=c.title_partitions)
     return status.select("identificador_externo", "fundo_id", "classe_id", "data_aquisicao",
                                    "situacao", "n_eventos")
 
@@ -161,7 +161,7 @@ def q_title_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_event_cash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cash receipts posted by payment and repurchase events."""
     c = Ctx(spark, sf_dir)
-    _, resolved = ledger.apply_title_events(c.titulos, c.eventos)
+    _, resolved = ledger.apply_title_events(c.titulos, c.eventos, partitions=c.title_partitions)
     return ledger.event_cash(resolved)
 
 
@@ -463,7 +463,7 @@ def q_close_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_class_marking_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class totals at every close date, each title with the status that it had on that date."""
     c = Ctx(spark, sf_dir)
-    _, resolved = ledger.apply_title_events(c.titulos, c.eventos)
+    _, resolved = ledger.apply_title_events(c.titulos, c.eventos, partitions=c.title_partitions)
     return valuation.class_marking(ledger.title_leaving(c.titulos, resolved), c.grid, c.calendar, c.bands, leaving="data_saida")
 
 
@@ -510,7 +510,7 @@ def q_class_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_title_status_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M1/L8 as-of variant: status of every receivable from the events on or before the mark date."""
     c = Ctx(spark, sf_dir)
-    status, _ = ledger.apply_title_events(c.titulos, c.eventos, as_of=MARK_DATE)
+    status, _ = ledger.apply_title_events(c.titulos, c.eventos, as_of=MARK_DATE, partitions=c.title_partitions)
     return status.select("identificador_externo", "fundo_id", "classe_id", "data_aquisicao", "situacao", "n_eventos")
 
 

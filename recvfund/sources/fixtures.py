@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as K
-from ..functions.rows import with_grouped_row_number
+from ..functions.rows import dealt, partitions_for, with_grouped_row_number
 from ..operators import ledger
 from .tables import Tables
 
@@ -106,9 +106,10 @@ def base(t: Tables) -> DataFrame:
     """Lineitems enriched with order, customer, nation and supplier columns.
 
     Orders meet their customers first and suppliers join the narrow lineitems, so that the join by order comes last: its
-    shuffle by order also serves what goes on by order.
+    shuffle by order also serves what goes on by order. Its partitions are as many as the lineitems need for their sorts.
     """
     li = t.lineitem
+    n_parts = partitions_for(li)
     o = t.orders.select("o_orderkey", "o_orderdate", "o_custkey")
     c = t.customer.select("c_custkey", "c_mktsegment", "c_name", "c_nationkey")
     n = t.nation.select("n_nationkey", "n_regionkey")
@@ -120,8 +121,8 @@ def base(t: Tables) -> DataFrame:
         .join(F.broadcast(n), F.col("n_nationkey") == F.col("c_nationkey"))  # 25 nations: fixed size
     )
     return (
-        li.join(s, F.col("s_suppkey") == F.col("l_suppkey"))
-        .join(sold, F.col("o_orderkey") == F.col("l_orderkey"))
+        dealt(li.join(s, F.col("s_suppkey") == F.col("l_suppkey")), n_parts, "l_orderkey")
+        .join(dealt(sold, n_parts, "o_orderkey"), F.col("o_orderkey") == F.col("l_orderkey"))
         .withColumn("h", F.col("l_orderkey") * 7 + F.col("l_partkey") * 13 + F.col("l_suppkey") * 3
                     + F.col("l_linenumber"))
         .withColumn("vf", vf)
@@ -193,7 +194,7 @@ def titulos(t: Tables) -> DataFrame:
     b = base(t).where(F.col("l_shipdate").cast("date") >= F.col("o_orderdate").cast("date"))
     payload = F.struct(
         F.col("l_partkey"), F.col("l_suppkey"), F.col("l_quantity"),
-        F.col("n_regionkey"), F.col("cnpj"), F.col("c_mktsegment"), F.col("o_orderdate"),
+        F.col("n_regionkey"), F.col("c_mktsegment"), F.col("o_orderdate"),
         F.col("l_shipdate"), F.col("vf"), F.col("va"), F.col("s_name"), F.col("c_name"),
         F.col("l_returnflag"), F.col("l_linestatus"),
     )
@@ -203,7 +204,7 @@ def titulos(t: Tables) -> DataFrame:
         F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"))
         .alias("identificador_externo"),
         F.col("r.n_regionkey").alias("fundo_id"),
-        F.concat_ws("|", F.col("r.cnpj"), F.col("r.c_mktsegment")).alias("classe_id"),
+        F.concat_ws("|", _doc(F.col("r.n_regionkey")), F.col("r.c_mktsegment")).alias("classe_id"),
         F.col("r.o_orderdate").cast("date").alias("data_aquisicao"),
         F.col("r.l_shipdate").cast("date").alias("data_vencimento"),
         F.col("r.vf").cast(T.DecimalType(20, 2)).alias("valor_face"),
@@ -270,12 +271,12 @@ def cota_movimento(t: Tables) -> DataFrame:
     )
 
 
-def movimento_caixa(t: Tables, titles: DataFrame | None = None, events: DataFrame | None = None) -> DataFrame:
-    """Cash ledger: unit flows at par, acquisitions (per class/date) and receipts."""
+def movimento_caixa(t: Tables, titles: DataFrame | None = None, resolved: DataFrame | None = None, units: DataFrame | None = None) -> DataFrame:
+    """Cash ledger: unit flows at par, acquisitions (per class/date) and receipts (of ``resolved`` events)."""
     ti = titles if titles is not None else titulos(t)
-    ev = events if events is not None else eventos(t, ti)
+    resolved = resolved if resolved is not None else ledger.resolve_events(ti, eventos(t, ti))
     money = T.DecimalType(20, 2)
-    cm = cota_movimento(t)
+    cm = units if units is not None else cota_movimento(t)
     units = cm.select(
         "classe_id", "data",
         F.when(F.col("tipo") == "EMISSAO", "APORTE").otherwise("RESGATE").alias("tipo"),
@@ -285,7 +286,7 @@ def movimento_caixa(t: Tables, titles: DataFrame | None = None, events: DataFram
     acq = ti.groupBy("classe_id", F.col("data_aquisicao").alias("data")).agg(
         (-F.sum("valor_aquisicao")).cast(money).alias("valor")
     ).select("classe_id", "data", F.lit("AQUISICAO_DC").alias("tipo"), "valor")
-    rec = ledger.event_cash(ledger.apply_title_events(ti, ev)[1]).select("classe_id", "data", "tipo", "valor")
+    rec = ledger.event_cash(resolved).select("classe_id", "data", "tipo", "valor")
     return units.unionByName(acq).unionByName(rec)
 
 

@@ -409,3 +409,20 @@ def test_lines_are_staged_and_titles_rebalanced_before_their_ids(spark):
     assert moved.columns == plain.columns and sorted(map(str, moved.collect())) == sorted(map(str, plain.collect()))
     plan = moved._jdf.queryExecution().optimizedPlan().toString()
     assert 0 <= plan.index("sha2(") < plan.index("RebalancePartitions")  # the parent stands above its child
+
+
+def test_wide_sorts_follow_the_rows(spark, monkeypatch):
+    """Large tables meet by order in as many partitions as their rows need, and what goes on by order does not move them again."""
+    from recvfund.functions import rows
+    from recvfund.sources import fixtures as fx
+
+    t = _order_tables(spark)
+    made = lambda: [sorted(map(tuple, f(t).collect()), key=repr) for f in (fx.titulos, fx.boleta_raw)]
+    want = made()
+    monkeypatch.setattr(rows, "DEALT_FROM", 5)
+    monkeypatch.setattr(rows, "ROWS_A_PARTITION", 1)
+    assert rows.partitions_for(t.lineitem) == t.lineitem.count() > 4 and made() == want
+    for f in (fx.titulos, fx.boleta_raw):
+        plan = f(t)._jdf.queryExecution().executedPlan().toString()
+        by_order = [ln for ln in plan.splitlines() if "Exchange hashpartitioning(l_orderkey" in ln]
+        assert len([ln for ln in by_order if "REPARTITION_BY_NUM" in ln]) == 1 and all(f", {t.lineitem.count()})" in ln for ln in by_order)
