@@ -179,15 +179,18 @@ def fit_forest(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABEL
 
 
 def judged(docs: DataFrame, forest: Forest, name: str) -> DataFrame:
-    """``docs`` with a struct column ``name``: the statistics, ``base_failed``, ``anomaly`` and ``kept``."""
+    """``docs`` with a struct column ``name``: the statistics, ``base_failed``, ``anomaly`` and ``kept``.
 
-    def score(features: pd.Series) -> pd.Series:
-        return pd.Series(forest.scores(_matrix(features)))
+    One function counts and scores a batch: two in a row would hold two Python processes a task, with the batch in both.
+    """
+
+    def judge(texts: pd.Series) -> pd.DataFrame:
+        stats = _stats(texts)
+        return stats.assign(anomaly=forest.scores(_matrix(stats["features"])))
 
-    s = docs.withColumn(name, stats_of(text_of()))
+    s = docs.withColumn(name, F.pandas_udf(judge, STATS + ", anomaly double")(text_of()))
     c = F.col(name)
-    anomaly = F.pandas_udf(score, "double")(c["features"])
-    return s.withColumn(name, c.withField("anomaly", anomaly)).withColumn(name, c.withField("base_failed", base_failed(c))).withColumn(
+    return s.withColumn(name, c.withField("base_failed", base_failed(c))).withColumn(
         name, c.withField("kept", ~c["base_failed"] & (c["anomaly"] <= F.lit(forest.limit)))
     )
 

@@ -137,6 +137,19 @@ def test_quality_statistics(make_docs, odd_rows, spark):
     assert quality.quality_rules(make_docs([]), labels).count() == 0
 
 
+def test_quality_counts_and_scores_in_one_function(make_docs, odd_rows):
+    """A task holds one Python process with a batch of texts, not two."""
+    rng = np.random.default_rng(4)
+    x, bad = rng.uniform(0, 0.3, (200, 8)), np.zeros(200, bool)
+    x[:20], bad[:20] = x[:20] + 0.6, True
+    forest = quality.fit(x, bad, trees=20)
+    got = quality.judged(make_docs(odd_rows), forest, "judged")
+    assert got._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    scores = [r.judged.anomaly for r in got.orderBy("n_chars", "doc_id", "text").collect()]
+    texts = [r.text or "" for r in make_docs(odd_rows).orderBy("n_chars", "doc_id", "text").collect()]
+    assert scores == list(forest.scores(np.array([quality.text_stats(t)[5] for t in texts])))
+
+
 def test_quality_forest_held_out(make_docs, spark):
     import random
 
