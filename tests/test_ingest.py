@@ -426,3 +426,42 @@ def test_wide_sorts_follow_the_rows(spark, monkeypatch):
         plan = f(t)._jdf.queryExecution().executedPlan().toString()
         by_order = [ln for ln in plan.splitlines() if "Exchange hashpartitioning(l_orderkey" in ln]
         assert len([ln for ln in by_order if "REPARTITION_BY_NUM" in ln]) == 1 and all(f", {t.lineitem.count()})" in ln for ln in by_order)
+
+
+def test_day_reads_what_the_pattern_reads(spark):
+    texts = ["2026-07-23", "2024-02-29", "2023-02-29", "1997-13-01", "0000-01-01", "0001-01-01", "9999-12-31", "+12026-07-23", "12026-07-23", "2026-7-23", "2026-07-2T",
+             "2026-07-23T", "2026-07-23 10:00", "2026-07-2\x01", "2026-07-23\n", "-026-07-23", "20260723", "٢٠٢٦-٠٧-٢٣", "n/d", "x", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select("t", F.unix_date(validation.day("t")).alias("got"), F.expr("unix_date(try_to_date(t, 'yyyy-MM-dd'))").alias("want")).collect()
+    assert [(r.t, r.got) for r in rows] == [(r.t, r.want) for r in rows]
+    assert rows[0].got is not None and rows[2].got is None
+
+
+def test_amounts_that_are_no_numbers_are_null(spark):
+    texts = ["1.50", "-1", "+2", ".5", "1e3", "NaN", "abc", "n", "Infinity", "1e30", "9" * 30, "1d", "1f", "", " 7", "٣", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select("t", validation._fits("t", 20, 2).alias("got"), F.expr("try_cast(t as decimal(20,2))").alias("want")).collect()
+    assert [(r.t, r.got) for r in rows] == [(r.t, r.want) for r in rows]
+
+
+def test_columns_of_a_file_are_computed_once_a_split(spark, tmp_path):
+    for name, n in (("a", 3), ("b", 1)):
+        (tmp_path / f"{name}.csv").write_text("\n".join([HEADER, *[ROW1] * n]) + "\n", encoding="utf-8")
+    df = spark.read.option("header", "true").option("sep", ";").csv(str(tmp_path)).select("identificador_externo", "_metadata")
+    lines = with_file_line_number(df, of_file={"lote_id": F.sha2("arquivo", 256)})
+    assert "sha2" not in lines._jdf.queryExecution().optimizedPlan().toString()
+    got = lines.select("arquivo", "linha_numero", (F.col("lote_id") == F.sha2("arquivo", 256)).alias("same")).collect()
+    assert sorted((r.arquivo[-5:], r.linha_numero, r.same) for r in got) == [("a.csv", 2, True), ("a.csv", 3, True), ("a.csv", 4, True), ("b.csv", 2, True)]
+
+
+def test_queries_set_the_limit_on_generated_methods(spark):
+    from recvfund.session import exact_decimals
+
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "65535")
+        exact_decimals(spark)
+        assert spark.conf.get(name) == "8000"
+    finally:
+        spark.conf.set(name, before)
