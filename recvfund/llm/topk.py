@@ -5,7 +5,9 @@ splits the widest dimension at its median down to small leaves, and every node h
 box's bound is the largest inner product any point in the box could have. The traversal is best-first: the node with the
 highest bound is opened next, and it ends when no bound reaches the kth score found so far. A query first searches the
 shard that it is dealt to; its kth score from there is carried to all other shards as the starting limit. Queries travel
-in blocks, one block and one shard's tree at a time in memory; no query meets a vector outside a tree.
+in blocks, one block and one shard's tree at a time in memory; no query meets a vector outside a tree. Blocks and trees meet
+by a shuffle, whatever Spark takes their size for: it would broadcast the blocks by what they hold before each is repeated for
+every shard, through the driver.
 
 Edge cases: a vector that is null, empty or holds a null or non-finite component takes no part, as query or as
 candidate; so does a null id. Only vectors of one length are compared. Of several rows with one id, the one with the
@@ -156,6 +158,7 @@ def top_k(vectors: DataFrame, k: int = K, query_every: int = QUERY_EVERY, shard_
     asked = kept(asked.select("*", block))
     found = "query_id long, vec_id long, score long"
     blocks = asked.groupBy("dim", "shard", "block").applyInPandas(_blocks, "dim int, home int, queries binary")
+    trees = trees.hint("merge")
     at_home = blocks.join(trees, (blocks["dim"] == trees["dim"]) & (blocks["home"] == trees["shard"])).select("tree", "queries").mapInPandas(_searched(k), found)
     at_home = kept(at_home)
     limits = at_home.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("n") == k).select(F.col("query_id").alias("of"), F.col("score").alias("kth"))
@@ -163,6 +166,7 @@ def top_k(vectors: DataFrame, k: int = K, query_every: int = QUERY_EVERY, shard_
     carried = asked.join(limits, F.col("vec_id") == F.col("of"), "left").drop("of")
     blocks = carried.groupBy("dim", "shard", "block").applyInPandas(_blocks, "dim int, home int, queries binary")
     away = blocks.withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).filter("to != home")
+    away = away.repartition(2 * shards, "dim", "to")  # else Spark puts trees together by the bytes that meet them, not by the work
     away = away.join(trees, (away["dim"] == trees["dim"]) & (away["to"] == trees["shard"])).select("tree", "queries").mapInPandas(_searched(k), found)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return at_home.unionByName(away).withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -238,6 +238,15 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_blocks_meet_trees_by_a_shuffle(spark):
+    """Small blocks, each repeated for every shard, are not broadcast."""
+    df = spark.createDataFrame([(i, [float(i % 7), float(i % 11)]) for i in range(400)], "vec_id long, embedding array<double>")
+    out = topk.top_k(df, query_every=5, shard_rows=20, block_rows=4)
+    out.collect()
+    joins = re.findall(r"(\w+Join) \[dim#", out._jdf.queryExecution().executedPlan().toString())
+    assert joins and set(joins) == {"SortMergeJoin"}
+
+
 def test_top_k_repeated_ids(spark):
     rng = random.Random(23)
     vectors = [(i, [float(rng.randint(-4, 4)) for _ in range(3)]) for i in range(1, 120)]
